@@ -186,11 +186,11 @@ def rectangle(cx, cy, ux, uy, length, width) -> Column:
     """Open ring of a rectangle whose long side points along the unit vector ``(ux, uy)``."""
     a, b = col(length) / 2, col(width) / 2
     cx, cy, ux, uy = col(cx), col(cy), col(ux), col(uy)
-
-    def corner(s, t):
-        return point(cx + s * a * ux - t * b * uy, cy + s * a * uy + t * b * ux)
-
-    return F.array(corner(1, 1), corner(1, -1), corner(-1, -1), corner(-1, 1))
+    # half the long side (lx, ly) and half the short side (wx, wy); no factor of -1, because a
+    # literal -0.0 it could fold to breaks Spark's common-subexpression matching
+    lx, ly, wx, wy = a * ux, a * uy, b * uy, b * ux
+    return F.array(point(cx + lx - wx, cy + ly + wy), point(cx + lx + wx, cy + ly - wy),
+                   point(cx - lx + wx, cy - ly - wy), point(cx - lx - wx, cy - ly + wy))
 
 
 # Bay sizes in metres (along the long side, across it) and the angled turn.

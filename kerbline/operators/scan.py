@@ -34,22 +34,23 @@ def ordered_scan(
     prior_min: dict[str, Column] | None = None,
     later_min: dict[str, Column] | None = None,
     row_number: str | None = None,
-    count: str | None = None,
+    total: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add window columns to every row of ``df``.
 
     ``order`` must be total within a group and ``chunk`` must not decrease along it.
     ``lag``/``lead`` name the neighbour's value, ``running_sum`` includes the row itself,
-    ``prior_max``/``prior_min`` look at earlier rows only, ``later_min`` at later rows only.
+    ``prior_max``/``prior_min`` look at earlier rows only, ``later_min`` at later rows only,
+    ``total`` is the sum over the whole group.
     """
-    lag, lead = lag or {}, lead or {}
+    lag, lead, total = lag or {}, lead or {}, total or {}
     sums, pmax, pmin, lmin = running_sum or {}, prior_max or {}, prior_min or {}, later_min or {}
     if row_number:
         sums = {**sums, row_number: F.lit(1).cast("bigint")}
     order = [col(o) for o in order]
 
     exprs: dict[str, Column] = {}
-    for group in (lag, lead, sums, pmax, pmin, lmin):
+    for group in (lag, lead, sums, pmax, pmin, lmin, total):
         for name, e in group.items():
             exprs[f"__in_{name}"] = col(e)
     base = df.withColumns({**exprs, "__chunk": chunk})
@@ -83,6 +84,7 @@ def ordered_scan(
     aggs += [F.max(f"__in_{n}").alias(f"__max_{n}") for n in pmax]
     aggs += [F.min(f"__in_{n}").alias(f"__min_{n}") for n in pmin]
     aggs += [F.min(f"__in_{n}").alias(f"__lmin_{n}") for n in lmin]
+    aggs += [F.sum(f"__in_{n}").alias(f"__tot_{n}") for n in total]
     aggs.append(F.count(F.lit(1)).alias("__n"))
     cw = Window.partitionBy(*by).orderBy("__chunk")
     cprev, cnext = cw.rowsBetween(Window.unboundedPreceding, -1), cw.rowsBetween(1, Window.unboundedFollowing)
@@ -95,8 +97,7 @@ def ordered_scan(
     carry.update({f"__c_{n}": F.max(f"__max_{n}").over(cprev) for n in pmax})
     carry.update({f"__c_{n}": F.min(f"__min_{n}").over(cprev) for n in pmin})
     carry.update({f"__c_{n}": F.min(f"__lmin_{n}").over(cnext) for n in lmin})
-    if count:
-        carry["__c_count"] = F.sum("__n").over(Window.partitionBy(*by))
+    carry.update({f"__c_{n}": F.sum(f"__tot_{n}").over(Window.partitionBy(*by)) for n in total})
     summary = base.groupBy(*keys).agg(*aggs).withColumns(carry).select(*[F.col(k).alias(f"__k_{k}") for k in keys], *carry)
 
     joined = rows.join(summary, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], "left")
@@ -111,8 +112,8 @@ def ordered_scan(
         out[n] = F.greatest(F.col(n), F.col(f"__c_{n}"))
     for n in [*pmin, *lmin]:
         out[n] = F.least(F.col(n), F.col(f"__c_{n}"))
-    if count:
-        out[count] = F.col("__c_count")
+    for n in total:
+        out[n] = F.col(f"__c_{n}")
     joined = joined.withColumns(out)
     return joined.drop(*[c for c in joined.columns if c.startswith("__")])
 

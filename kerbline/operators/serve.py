@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import as_time, col, count_if, ratio, seconds_between, within_window
 from .scan import latest_per_key
+from .stats import percentiles
 from .spatial import points_in_areas
 
 BAY_WINDOW_S = 7200
@@ -140,13 +141,13 @@ def ingest_rates(frames: DataFrame, as_of, window_s: float) -> DataFrame:
 
 
 def classify_latency(jobs: DataFrame, as_of, window_s: float) -> DataFrame:
-    took = seconds_between("finished_at", "enqueued_at")
-    done = jobs.filter(within_window("finished_at", as_of, window_s)).withColumn("took", took)
+    done = jobs.filter(within_window("finished_at", as_of, window_s)).select("status", seconds_between("finished_at", "enqueued_at").alias("took"))
     failed = count_if(F.col("status") == "failed")
-    return done.agg(
+    counts = done.agg(
         F.count(F.lit(1)).alias("finished_in_window"), F.round(F.avg("took"), 3).alias("avg_s"),
-        F.round(F.percentile("took", 0.5), 3).alias("p50_s"), F.round(F.percentile("took", 0.95), 3).alias("p95_s"),
         failed.alias("failed_in_window"), F.round(ratio(failed, F.count(F.lit(1))), 4).alias("failure_rate"))
+    ranks = percentiles(done, [], "took", {"p50_s": (0.5, "continuous"), "p95_s": (0.95, "continuous")}, width=60.0)
+    return side_by_side(counts, ranks.select(F.round("p50_s", 3).alias("p50_s"), F.round("p95_s", 3).alias("p95_s")))
 
 
 def drone_activity(drones: DataFrame, as_of, window_s: float) -> DataFrame:

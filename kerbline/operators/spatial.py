@@ -146,3 +146,132 @@ def points_in_areas(points: DataFrame, areas: DataFrame, px: str, py: str, ring:
         {f"__{k}": F.col(f"__b.{k}") for k in ("x0", "y0", "x1", "y1")}).drop("__b")
     cand = near_pairs(points, boxed, px, py, ("__x0", "__y0", "__x1", "__y1"), 0.0, size)
     return cand.filter(geo.point_in_ring(px, py, F.col(ring))).drop("__x0", "__y0", "__x1", "__y1")
+
+
+def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple, rbox: tuple, size: float, on: list[str] | None = None,
+              reach: float = 0.0) -> DataFrame:
+    """Pairs of rows whose boxes, the left grown by ``reach``, touch; each pair once.
+
+    Both sides are laid over cells; a pair is kept only in the first cell the boxes share.
+    """
+    m = F.lit(float(reach))
+    lm = left.withColumns({"__lx0": col(lbox[0]) - m, "__ly0": col(lbox[1]) - m, "__lx1": col(lbox[2]) + m, "__ly1": col(lbox[3]) + m})
+    rm = right.withColumns({"__rx0": col(rbox[0]), "__ry0": col(rbox[1]), "__rx1": col(rbox[2]), "__ry1": col(rbox[3])})
+    a = over_cells(lm, "__lx0", "__ly0", "__lx1", "__ly1", size, 0.0, "__cx", "__cy")
+    b = over_cells(rm, "__rx0", "__ry0", "__rx1", "__ry1", size, 0.0, "__cx", "__cy")
+    out = a.join(b, [*(on or []), "__cx", "__cy"]).filter(
+        (F.col("__lx0") <= F.col("__rx1")) & (F.col("__rx0") <= F.col("__lx1")) & (F.col("__ly0") <= F.col("__ry1")) & (F.col("__ry0") <= F.col("__ly1"))
+        & (F.col("__cx") == cell(F.greatest("__lx0", "__rx0"), size)) & (F.col("__cy") == cell(F.greatest("__ly0", "__ry0"), size)))
+    return out.drop(*[f"__{s}{c}" for s in "lr" for c in ("x0", "y0", "x1", "y1")], "__cx", "__cy")
+
+
+def k_nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, k: int, size: float, on: str, max_rounds: int = 24) -> DataFrame:
+    """The ``k`` closest items sharing the ``on`` key: ``(point_id, item_id, ix, iy, dist)``.
+
+    The search radius doubles until a point has ``k`` items inside it or all its key has.
+    """
+    have = items.groupBy(on).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("__want"))
+    todo = points.select(point_id, on, "x", "y").join(have, on)
+    its = items.select(F.col(item_id), on, F.col("x").alias("ix"), F.col("y").alias("iy"))
+    done, side = None, float(size)
+    for _ in range(max_rounds):
+        cand = near_pairs(todo, its, "x", "y", ("ix", "iy", "ix", "iy"), side, side, on=[on])
+        cand = cand.withColumn("dist", geo.distance("x", "y", "ix", "iy")).filter(F.col("dist") <= side)
+        from .scan import top_per_key
+
+        top = top_per_key(cand, [point_id], [F.col("dist"), F.col(item_id)], k, F.struct("ix", "iy"))
+        full = top.groupBy(point_id).agg(F.count(F.lit(1)).alias("__n"), F.max("__want").alias("__w")).filter("__n >= __w").select(point_id)
+        got = cut(top.join(full, point_id).select(point_id, item_id, "ix", "iy", "dist"))
+        done = got if done is None else done.unionByName(got)
+        todo = cut(todo.join(got.select(point_id).distinct(), point_id, "left_anti"))
+        if todo.isEmpty():
+            break
+        side *= 2
+    return done
+
+
+# Fixed value: a bay farther than this from every centre line is not on one.
+MAX_SNAP_M = 40.0
+
+
+def nearest_road(bays: DataFrame, roads: DataFrame, snap_m: float = MAX_SNAP_M) -> DataFrame:
+    """``(bay_id, dist, bearing_deg, ox, oy, name, named)``: own street within ``snap_m``, else any road.
+
+    ``roads`` are segments ``name, ax, ay, bx, by``; ``(ox, oy)`` points from the road to the bay.
+    Bays beyond ``snap_m`` of every road are absent.
+    """
+    from ..functions.text import norm_street
+
+    segs = roads.filter(geo.distance("ax", "ay", "bx", "by") > 0).select(
+        F.col("name"), norm_street("name").alias("__rn"), "ax", "ay", "bx", "by",
+        F.least("ax", "bx").alias("__x0"), F.least("ay", "by").alias("__y0"), F.greatest("ax", "bx").alias("__x1"), F.greatest("ay", "by").alias("__y1"))
+    pts = bays.select("bay_id", "x", "y", norm_street("street").alias("__sn"))
+    cand = near_pairs(pts, segs, "x", "y", ("__x0", "__y0", "__x1", "__y1"), snap_m, snap_m)
+    cand = cand.withColumn("__t", geo.segment_param("x", "y", "ax", "ay", "bx", "by")).withColumns({
+        "ox": F.col("x") - F.col("ax") - F.col("__t") * (F.col("bx") - F.col("ax")),
+        "oy": F.col("y") - F.col("ay") - F.col("__t") * (F.col("by") - F.col("ay"))})
+    cand = cand.withColumn("d", F.sqrt(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy"))).filter(F.col("d") <= snap_m)
+    own = (F.col("__rn") != "") & (F.col("__sn") != "") & (F.col("__rn").contains(F.col("__sn")) | F.col("__sn").contains(F.col("__rn")))
+    hit = F.struct("d", F.degrees(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))).alias("bearing"), "ox", "oy", "name")
+    best = cand.groupBy("bay_id").agg(F.min(hit).alias("any"), F.min(F.when(own, hit)).alias("own"))
+    b = F.coalesce("own", "any")
+    return best.select("bay_id", b["d"].alias("dist"), b["bearing"].alias("bearing_deg"), b["ox"].alias("ox"), b["oy"].alias("oy"),
+                       b["name"].alias("name"), F.col("own").isNotNull().alias("named"))
+
+
+def street_bearing(bays: DataFrame, roads: DataFrame, snap_m: float = MAX_SNAP_M) -> DataFrame:
+    """``(bay_id, bearing_deg)`` in [0, 180): road direction, else the axis of the six nearest bays of the
+    street, else the direction to the nearest bay of all."""
+    on_road = nearest_road(bays, roads, snap_m).select("bay_id", "bearing_deg")
+    rest = cut(bays.select("bay_id", "street", "x", "y").join(on_road, "bay_id", "left_anti"))
+    out = on_road
+    if not rest.isEmpty():
+        near = k_nearest(rest, bays.select(F.col("bay_id").alias("other"), "street", "x", "y"), "bay_id", "other", 6, 25.0, "street")
+        fit = near.groupBy("bay_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("ix").alias("vx"), F.var_pop("iy").alias("vy"), F.covar_pop("ix", "iy").alias("cxy"))
+        axis = fit.filter("n >= 3").select("bay_id", F.degrees(F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")) / 2).alias("bearing_deg"))
+        lone = rest.join(axis, "bay_id", "left_anti")
+        twin = k_nearest(lone.withColumn("__k", F.lit(1)), bays.select(F.col("bay_id").alias("other"), "x", "y").withColumn("__k", F.lit(1)), "bay_id", "other", 2, 25.0, "__k")
+        toward = (twin.filter(F.col("bay_id") != F.col("other")).join(lone.select("bay_id", "x", "y"), "bay_id").groupBy("bay_id")
+                  .agg(F.min(F.struct("dist", (F.col("ix") - F.col("x")).alias("dx"), (F.col("iy") - F.col("y")).alias("dy"))).alias("b")))
+        out = out.unionByName(axis).unionByName(toward.select("bay_id", F.degrees(F.atan2(F.col("b.dy"), F.col("b.dx"))).alias("bearing_deg")))
+    return out.select("bay_id", F.pmod("bearing_deg", F.lit(180.0)).alias("bearing_deg"))
+
+
+def row_side(bays: DataFrame, roads: DataFrame) -> DataFrame:
+    """``(bay_id, label)``: street plus the compass side of its centre line the bay lies on."""
+    road = nearest_road(bays, roads)
+    ns = F.when(F.col("oy") > 0, "N").otherwise("S")
+    ew = F.when(F.col("ox") > 0, "E").otherwise("W")
+    side = F.when(F.abs("oy") >= F.abs("ox"), ns).otherwise(ew)
+    street = F.coalesce("street", F.lit("?"))
+    plain = F.col("dist").isNull() | (F.col("dist") < 0.5)
+    return bays.select("bay_id", "street").join(road, "bay_id", "left").select(
+        "bay_id", F.when(plain, street).otherwise(F.concat(street, F.lit(" - "), side)).alias("label"))
+
+
+def overlapping(bays: DataFrame, size: float = 12.0) -> DataFrame:
+    """``(a, b)`` pairs of bays whose outlines share ground, ``a`` before ``b`` by ``ord``."""
+    boxed = bays.select("bay_id", "ord", "ring", geo.bbox(F.col("ring")).alias("bb"))
+    a = boxed.select(F.col("bay_id").alias("a"), F.col("ord").alias("oa"), F.col("ring").alias("ra"), F.col("bb").alias("ba"))
+    b = boxed.select(F.col("bay_id").alias("b"), F.col("ord").alias("ob"), F.col("ring").alias("rb"), F.col("bb").alias("bb"))
+    corner = ("x0", "y0", "x1", "y1")
+    p = box_pairs(a, b, tuple(f"ba.{c}" for c in corner), tuple(f"bb.{c}" for c in corner), size)
+    return p.filter((F.col("oa") < F.col("ob")) & geo.rings_overlap(F.col("ra"), F.col("rb"))).select("a", "b")
+
+
+def off_route(points: DataFrame, segments: DataFrame, point_id: str, px: str, py: str, size: float = 50.0, max_rounds: int = 20) -> DataFrame:
+    """``(point_id, dist)`` to the closest segment; the search box doubles until every point has one."""
+    segs = segments.select("ax", "ay", "bx", "by", F.least("ax", "bx").alias("__x0"), F.least("ay", "by").alias("__y0"),
+                           F.greatest("ax", "bx").alias("__x1"), F.greatest("ay", "by").alias("__y1"))
+    todo = points.select(F.col(point_id), F.col(px).alias("__px"), F.col(py).alias("__py")).filter("__px is not null and __py is not null")
+    done, side = None, float(size)
+    for _ in range(max_rounds):
+        cand = near_pairs(todo, segs, "__px", "__py", ("__x0", "__y0", "__x1", "__y1"), side, side)
+        d = geo.segment_distance("__px", "__py", "ax", "ay", "bx", "by")
+        got = cut(cand.withColumn("dist", d).filter(F.col("dist") <= side).groupBy(point_id).agg(F.min("dist").alias("dist")))
+        done = got if done is None else done.unionByName(got)
+        todo = cut(todo.join(got, point_id, "left_anti"))
+        if todo.isEmpty():
+            break
+        side *= 2
+    return done

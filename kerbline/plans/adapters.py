@@ -71,7 +71,11 @@ VIEWS: dict[str, str] = {
  case when floor(ord/40)%3=0 then null else street end name,
  -10.0e0 ax, floor(ord/40)*12.1e0-4.0e0 ay, 250.0e0 bx, floor(ord/40)*12.1e0-4.0e0+(floor(ord/40)%3)*0.4e0 by_
  from (select distinct cast(floor(ord/40) as bigint)*40 ord, street from v_bay) t""",
-    # bays with the slightly turned outline used by the geometry audits
+    # outlines: each bay's rectangle, turned by a few degrees
+    "v_ring": """select bay_id, ord, zona, street, park_txt, x, y, deg, l, w, cos(radians(deg+turn)) c, sin(radians(deg+turn)) s
+ from (select *, (ord%7)*3.0e0+1.0e0 deg, case park_txt when 'perpendicular' then 90.0e0 when 'angled' then 45.0e0 else 0.0e0 end turn,
+ case park_txt when 'perpendicular' then 4.8e0 else 5.4e0 end l, case park_txt when 'perpendicular' then 2.4e0 else 2.2e0 end w from v_bay) t""",
+    # ordered positions of many flights
     "v_track": """select concat('u',cast(user_id%50 as string)) flight, event_id idx, ts t,
  (user_id%40)*5.9e0+event_id%31 x, floor(event_id/50)*1.5e0+k*0.02e0 y, value, k from (select *, cast({k} as int) as k from events)""",
 }
