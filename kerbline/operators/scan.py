@@ -114,8 +114,8 @@ def ordered_scan(
         out[n] = F.least(F.col(n), F.col(f"__c_{n}"))
     for n in total:
         out[n] = F.col(f"__c_{n}")
-    joined = joined.withColumns(out)
-    return joined.drop(*[c for c in joined.columns if c.startswith("__")])
+    fresh = [n for n in out if n not in df.columns]
+    return joined.withColumns(out).select(*df.columns, *fresh)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, salt: Column, salts: int = 32) -> DataFrame:
