@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import count_if, ratio
+from ..session import cut
 from .scan import chunk_of, ordered_scan
 
 
@@ -22,6 +23,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, picks: dict[str, tuple
     if not by:
         src = src.withColumn("__all", F.lit(0))
     hist = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("cnt"))
+    hist = cut(hist)
     ranked = ordered_scan(hist, keys, ["__v"], chunk_of("__v", width), running_sum={"upto": F.col("cnt")}, total={"size": F.col("cnt")})
 
     def at(idx: Column) -> Column:

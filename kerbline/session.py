@@ -47,11 +47,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so later rounds do not replay its plan.
+    """``df`` as a table written to the shared folder, so later rounds do not replay its plan.
 
-    The rows live in reliable storage, so losing executors costs a re-read and not a restart.
+    The rows live in reliable storage, so losing executors costs a re-read and not a restart; unlike an
+    RDD checkpoint they are computed once and come back with file sizes the optimizer can use.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
