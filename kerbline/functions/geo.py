@@ -285,47 +285,34 @@ TILT_ALLOWANCE = 0.06
 MIN_DEPTH_M = 0.01
 
 
-def _vec(x, y, z):
-    return (x, y, z)
-
-
-def _turn(v, axis, ang: Column):
-    """Rotate ``v`` about a unit axis: parallel part kept, perpendicular part turned."""
-    c, s = F.cos(ang), F.sin(ang)
-    along = v[0] * axis[0] + v[1] * axis[1] + v[2] * axis[2]
-    par = tuple(along * a for a in axis)
-    crossed = (axis[1] * v[2] - axis[2] * v[1], axis[2] * v[0] - axis[0] * v[2], axis[0] * v[1] - axis[1] * v[0])
-    return tuple(p + (vi - p) * c + k * s for p, vi, k in zip(par, v, crossed))
-
-
 def camera_axes(yaw, roll=None, pitch=None, cam_pitch=None, cam_roll=None) -> Column:
     """Optical axis ``d``, image-right ``r`` and image-down ``b`` as structs of x,y,z.
 
     Roll is the body roll, pitch is what the gimbal leaves over, and ``cam_roll`` spins the
     picture about the optical axis.  A missing angle is a level camera looking straight down.
+
+    Written out in the body frame (nose, left, up): rolling about the nose and then pitching about
+    the left axis gives ``d = (-cr sp, sr, -cr cp)``, ``right = (-sr sp, -cr, -sr cp)`` and
+    ``down = (-cp, 0, sp)``; the spin mixes the last two.
     """
     def ang(c, default=0.0):
         return F.lit(default) if c is None else F.coalesce(col(c).cast("double"), F.lit(default))
 
-    yaw = col(yaw)
-    residual = ang(pitch) + ang(cam_pitch, math.pi / 2) - F.lit(math.pi / 2)
-    zero = F.lit(0.0)
-    nose = _vec(F.cos(yaw), F.sin(yaw), zero)
-    left = _vec(-F.sin(yaw), F.cos(yaw), zero)
-
-    def tilt(v):
-        return _turn(_turn(v, nose, ang(roll)), left, residual)
+    def cos_sin(a):
+        return F.cos(a), F.sin(a)
 
-    d = tilt(_vec(zero, zero, F.lit(-1.0)))
-    right = tilt(tuple(-c for c in left))
-    down = tilt(tuple(-c for c in nose))
-    spin = ang(cam_roll)
-    right, down = _turn(right, d, spin), _turn(down, d, spin)
+    cy, sy = cos_sin(col(yaw))
+    cr, sr = cos_sin(ang(roll))
+    cp, sp = cos_sin(ang(pitch) + ang(cam_pitch, math.pi / 2) - F.lit(math.pi / 2))
+    ck, sk = cos_sin(ang(cam_roll))
 
-    def pack(v):
-        return F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
+    def world(nose, left, up):
+        return F.struct((nose * cy - left * sy).alias("x"), (nose * sy + left * cy).alias("y"), up.alias("z"))
 
-    return F.struct(pack(d).alias("d"), pack(right).alias("r"), pack(down).alias("b"))
+    d = world(-(cr * sp), sr, -(cr * cp))
+    right = world(-(sr * sp * ck) - cp * sk, -(cr * ck), sp * sk - sr * cp * ck)
+    down = world(sr * sp * sk - cp * ck, cr * sk, sp * ck + sr * cp * sk)
+    return F.struct(d.alias("d"), right.alias("r"), down.alias("b"))
 
 
 def project(x, y, pose: dict, axes: Column, cam: Camera) -> Column:
@@ -348,13 +335,23 @@ def unproject(u, v, pose: dict, axes: Column, cam: Camera) -> Column:
     return F.when(ray["z"] < -1e-9, point(pose["x"] + t * ray["x"], pose["y"] + t * ray["y"]))
 
 
-def fully_in_shot(ring_px: Column, cam: Camera) -> Column:
-    return F.forall(ring_px, lambda p: (p.x >= 0) & (p.x < cam.w) & (p.y >= 0) & (p.y < cam.h))
+def extent(ring_px: Column) -> Column:
+    """Box and mean of an outline in one pass: ``struct<x0,y0,x1,y1,sx,sy,n>``."""
+    inf = float("inf")
+    start = F.struct(F.lit(inf).alias("x0"), F.lit(inf).alias("y0"), F.lit(-inf).alias("x1"), F.lit(-inf).alias("y1"),
+                     F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"), F.lit(0.0).alias("n"))
+    return F.aggregate(ring_px, start, lambda a, p: F.struct(
+        F.least(a.x0, p.x).alias("x0"), F.least(a.y0, p.y).alias("y0"), F.greatest(a.x1, p.x).alias("x1"), F.greatest(a.y1, p.y).alias("y1"),
+        (a.sx + p.x).alias("sx"), (a.sy + p.y).alias("sy"), (a.n + 1.0).alias("n")))
+
+
+def fully_in_shot(e: Column, cam: Camera) -> Column:
+    """Every corner inside the picture, for an ``extent``."""
+    return (e.x0 >= 0) & (e.x1 < cam.w) & (e.y0 >= 0) & (e.y1 < cam.h)
 
 
-def overlaps_frame(ring_px: Column, cam: Camera) -> Column:
-    b = bbox(ring_px)
-    return (b.x1 >= 0) & (b.x0 < cam.w) & (b.y1 >= 0) & (b.y0 < cam.h)
+def overlaps_frame(e: Column, cam: Camera) -> Column:
+    return (e.x1 >= 0) & (e.x0 < cam.w) & (e.y1 >= 0) & (e.y0 < cam.h)
 
 
 def in_footprint(wx, wy, pose: dict, cam: Camera, margin: float = 1.0) -> Column:

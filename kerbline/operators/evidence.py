@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..functions.geo import Camera
+from ..session import cut
 from .scan import latest_per_key
 from .spatial import box_pairs, near_pairs, nearest
 
@@ -24,7 +25,7 @@ def _pose(prefix: str = "p") -> dict[str, Column]:
 
 
 def frame_bay_views(poses: DataFrame, bays: DataFrame, cam: Camera, mode: str = "full", size: float = 30.0) -> DataFrame:
-    """``(frame_idx, bay_id, x, y, ring_px, off, fully)`` of bays in shot.
+    """``(frame_idx, bay_id, x, y, px, off, fully)`` of bays in shot; ``px`` is the outline's pixel box.
 
     ``mode="full"`` wants every corner inside the picture, ``"partial"`` any overlap.  ``off`` is the
     distance of the outline's centre from the picture's centre in pixels.
@@ -32,15 +33,15 @@ def frame_bay_views(poses: DataFrame, bays: DataFrame, cam: Camera, mode: str =
     p = with_axes(poses).select("frame_idx", F.struct("x", "y", "alt", "yaw", "axes").alias("p"))
     reach = cam.reach(F.col("p.alt"))
     p = p.withColumns({"__a": F.col("p.x") - reach, "__b": F.col("p.y") - reach, "__c": F.col("p.x") + reach, "__d": F.col("p.y") + reach})
-    b = bays.select("bay_id", "x", "y", "ring", geo.bbox(F.col("ring")).alias("bb"))
+    b = bays.select("bay_id", "x", "y", geo.open_ring(F.col("ring")).alias("open"), geo.bbox(F.col("ring")).alias("bb"))
     pair = box_pairs(p, b, ("__a", "__b", "__c", "__d"), ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), size)
-    ring_px = F.transform("ring", lambda v: geo.project(v.x, v.y, _pose(), F.col("p.axes"), cam))
-    shot = pair.withColumn("ring_px", ring_px).withColumn("fully", geo.fully_in_shot(F.col("ring_px"), cam))
-    shot = shot.filter(F.col("fully") if mode == "full" else geo.overlaps_frame(F.col("ring_px"), cam))
-    c = geo.vertex_centroid(geo.open_ring(F.col("ring_px")))
-    return (shot.withColumn("__c", c)
-            .withColumn("off", geo.distance("__c.x", "__c.y", F.lit(cam.w / 2.0), F.lit(cam.h / 2.0)))
-            .select("frame_idx", "bay_id", "x", "y", "ring_px", "off", "fully"))
+    # the outline is projected once per candidate and reduced to its extent
+    ring_px = F.transform("open", lambda v: geo.project(v.x, v.y, _pose(), F.col("p.axes"), cam))
+    shot = pair.withColumn("px", geo.extent(ring_px)).withColumn("fully", geo.fully_in_shot(F.col("px"), cam))
+    shot = shot.filter(F.col("fully") if mode == "full" else geo.overlaps_frame(F.col("px"), cam))
+    mid_u, mid_v = F.col("px.sx") / F.col("px.n"), F.col("px.sy") / F.col("px.n")
+    return shot.select("frame_idx", "bay_id", "x", "y", F.struct("px.x0", "px.y0", "px.x1", "px.y1").alias("px"),
+                       geo.distance(mid_u, mid_v, F.lit(cam.w / 2.0), F.lit(cam.h / 2.0)).alias("off"), "fully")
 
 
 def ground_points(dets: DataFrame, poses: DataFrame, cam: Camera, box: tuple = ("x0", "y0", "x1", "y1")) -> DataFrame:
@@ -83,7 +84,7 @@ def assign_nearest(dets: DataFrame, views: DataFrame, radius: float = ASSIGN_M)
 def unassigned(dets: DataFrame, views: DataFrame, bays: DataFrame, radius: float = ASSIGN_M, size: float = 12.0) -> DataFrame:
     """Detections no visible bay took, with the nearest bay of all."""
     taken = _in_range(dets, views, radius).select("event_id").distinct()
-    left = dets.join(taken, "event_id", "left_anti")
+    left = cut(dets.join(taken, "event_id", "left_anti"))
     near = nearest(left, bays, "event_id", "bay_id", "x", "y", "x", "y", size)
     return left.join(near.select("event_id", F.col("bay_id").alias("nearest_bay"), F.col("dist").alias("nearest_m")), "event_id", "left")
 
@@ -105,9 +106,8 @@ def best_view(views: DataFrame) -> DataFrame:
 
 def crop_windows(views: DataFrame, labels: DataFrame) -> DataFrame:
     """Integer pixel boxes of bays wholly in shot, with their label."""
-    b = geo.bbox(F.col("ring_px"))
-    whole = views.filter("fully").withColumn("__b", b)
-    px = {"x0": F.floor("__b.x0"), "y0": F.floor("__b.y0"), "x1": F.floor("__b.x1") + 1, "y1": F.floor("__b.y1") + 1}
+    whole = views.filter("fully")
+    px = {"x0": F.floor("px.x0"), "y0": F.floor("px.y0"), "x1": F.floor("px.x1") + 1, "y1": F.floor("px.y1") + 1}
     return whole.join(labels.select("bay_id", "occupied"), "bay_id").select(
         "frame_idx", "bay_id", *[c.cast("int").alias(n) for n, c in px.items()], F.when(F.col("occupied"), "occupied").otherwise("free").alias("label"))
 

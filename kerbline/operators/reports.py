@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geo
 from ..functions.numeric import axis_diff, count_if, ratio
 from ..functions.text import norm_street
+from ..session import cut
 from .components import link_points
 from .spatial import box_pairs, cell, near_pairs, nearest, nearest_road
 from .stats import percentiles
@@ -14,7 +15,7 @@ from .stats import percentiles
 
 def view_scatter(points: DataFrame, r: float = 2.0, min_views: int = 3) -> DataFrame:
     """Spread of the ground points of one car over its views: clusters, median and p90 of their rms."""
-    m = link_points(points, r)
+    m = cut(link_points(points, r))
     looks = m.groupBy("label", "view").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in (
         ("sx", F.col("x")), ("sy", F.col("y")))])
     mid = looks.groupBy("label").agg(F.count(F.lit(1)).alias("views"), (F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my")).filter(F.col("views") >= min_views)
@@ -136,6 +137,7 @@ def unassigned_report(dets: DataFrame, rejected: DataFrame, bays: DataFrame, rad
     from .serve import side_by_side
     from .spatial import points_in_areas
 
+    rejected = cut(rejected)
     total = dets.agg(F.count(F.lit(1)).alias("detections"))
     counts = rejected.agg(F.count(F.lit(1)).alias("unmatched"), count_if(F.col("nearest_m") <= 2 * radius).alias("within_2r"),
                           count_if(F.col("nearest_m") <= 3.0).alias("within_3m"), count_if(F.col("nearest_m") <= 5.0).alias("within_5m"))

@@ -275,3 +275,86 @@ def off_route(points: DataFrame, segments: DataFrame, point_id: str, px: str, py
             break
         side *= 2
     return done
+
+
+def nearest_geo(points: DataFrame, items: DataFrame, point_id: str, item_id: str, size: float) -> DataFrame:
+    """Closest item by great-circle distance for tables with ``lon`` and ``lat``.
+
+    Searched in a local metric frame; candidates up to one part in a hundred beyond the planar winner
+    are kept and ranked by the true distance, which covers the frame's distortion over a city.
+    """
+    def flat(df):
+        x, y = geo.to_enu("lon", "lat")
+        return df.withColumns({"__ex": x, "__ey": y})
+
+    p, i = flat(points), flat(items)
+    near = nearest(p, i, point_id, item_id, "__ex", "__ey", "__ex", "__ey", size).select(point_id, F.col("dist").alias("__r"))
+    q = p.select(point_id, F.col("__ex").alias("px"), F.col("__ey").alias("py"), F.col("lon").alias("plon"), F.col("lat").alias("plat")).join(near, point_id)
+    grow = F.col("__r") * 1.02 + 1.0
+    q = q.withColumns({"__a": F.col("px") - grow, "__b": F.col("py") - grow, "__c": F.col("px") + grow, "__d": F.col("py") + grow})
+    sites = i.groupBy("lon", "lat", "__ex", "__ey").agg(F.min(item_id).alias(item_id))
+    cand = near_pairs(sites, q, "__ex", "__ey", ("__a", "__b", "__c", "__d"), 0.0, 2 * size)
+    best = cand.groupBy(point_id).agg(F.min(F.struct(geo.haversine("plon", "plat", "lon", "lat").alias("d"), F.col(item_id).alias("i"))).alias("b"))
+    return best.select(point_id, F.col("b.i").alias(item_id), F.col("b.d").alias("dist"))
+
+
+def airspace_conflicts(points: DataFrame, zones: DataFrame, px: str, py: str, alt: float | None = None, size: float = 250.0) -> DataFrame:
+    """Points inside zones, with the zone's id and restriction; ``alt`` keeps zones that reach that height."""
+    if alt is not None:
+        zones = zones.filter((F.coalesce("lower_m", F.lit(0.0)) <= alt) & (F.col("upper_m").isNull() | (F.col("upper_m") >= alt)))
+    return points_in_areas(points, zones.select("identifier", "restriction", "ring"), px, py, size=size).drop("ring")
+
+
+# Fixed values, metres: flight level, clearance above a structure, distance from the route.
+FLIGHT_LEVEL_M, CLEARANCE_ABOVE_M, ROUTE_MARGIN_M = 30.0, 5.0, 10.0
+
+
+def route_hazards(structures: DataFrame, route: DataFrame, level_m: float = FLIGHT_LEVEL_M, above_m: float = CLEARANCE_ABOVE_M, margin_m: float = ROUTE_MARGIN_M) -> DataFrame:
+    """``(osm_id, height_m, min_route_dist_m)`` of structures that reach into the flight level near the route.
+
+    The distance is zero when a route end lies inside or a piece crosses the outline.
+    """
+    tall = structures.filter(F.col("top") + above_m > level_m).select("osm_id", "top", "ring", geo.bbox(F.col("ring")).alias("bb"))
+    legs = route.select("ax", "ay", "bx", "by", F.least("ax", "bx").alias("lx0"), F.least("ay", "by").alias("ly0"), F.greatest("ax", "bx").alias("lx1"), F.greatest("ay", "by").alias("ly1"))
+    p = box_pairs(tall, legs, ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), ("lx0", "ly0", "lx1", "ly1"), 50.0, reach=margin_m)
+
+    def side(ax, ay, bx, by, px, py):
+        return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+    def to_edge(e):
+        a, b = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
+        cross = (side(*a, *b, e.a.x, e.a.y) * side(*a, *b, e.b.x, e.b.y) < 0) & (side(e.a.x, e.a.y, e.b.x, e.b.y, *a) * side(e.a.x, e.a.y, e.b.x, e.b.y, *b) < 0)
+        ends = F.least(geo.segment_distance(*a, e.a.x, e.a.y, e.b.x, e.b.y), geo.segment_distance(*b, e.a.x, e.a.y, e.b.x, e.b.y),
+                       geo.segment_distance(e.a.x, e.a.y, *a, *b), geo.segment_distance(e.b.x, e.b.y, *a, *b))
+        return F.when(cross, F.lit(0.0)).otherwise(ends)
+
+    inside = geo.point_in_ring("ax", "ay", F.col("ring")) | geo.point_in_ring("bx", "by", F.col("ring"))
+    d = F.when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform(geo.edges(F.col("ring")), to_edge)))
+    best = p.withColumn("d", d).groupBy("osm_id").agg(F.max("top").alias("top"), F.min("d").alias("d")).filter(F.col("d") <= margin_m)
+    return best.select("osm_id", F.round("top", 1).alias("height_m"), F.round("d", 1).alias("min_route_dist_m"))
+
+
+def min_separation(a: DataFrame, b: DataFrame, key: str, size: float = 25.0, max_rounds: int = 24) -> DataFrame:
+    """Least distance between two point sets.
+
+    The search distance doubles until some pair is inside it; only the cell neighbourhoods of that
+    round are compared, each row of ``a`` reduced to its closest candidate map-side.
+    """
+    pa = a.select("x", "y").distinct()
+    pb = b.select(F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    side = float(size)
+    for _ in range(max_rounds):
+        cand = near_pairs(pa, pb, "x", "y", ("bx", "by", "bx", "by"), side, side)
+        best = cut(cand.agg(F.min(geo.distance("x", "y", "bx", "by")).alias("min_m")))
+        if not best.filter(F.col("min_m") <= side).isEmpty():
+            break
+        side *= 2
+    return best
+
+
+def buffer_exclude(train: DataFrame, val: DataFrame, key: str, metres: float) -> DataFrame:
+    """Rows of ``train`` that keep at least ``metres`` from every row of ``val``."""
+    pv = val.select(F.col("x").alias("vx"), F.col("y").alias("vy")).distinct()
+    near = near_pairs(train.select(key, "x", "y"), pv, "x", "y", ("vx", "vy", "vx", "vy"), metres, metres)
+    hit = near.filter(geo.distance("x", "y", "vx", "vy") < metres).select(key).distinct()
+    return train.join(hit, key, "left_anti")
