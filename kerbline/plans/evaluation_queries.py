@@ -440,7 +440,7 @@ def pixel_boxes(spark, sf):
 
 @query("WIN11_run_extents", f"""with {DET}, b as (select d.event_id, d.frame_idx, d.x, d.y, (50.0e0/{FPX}*30.0e0)*abs(sin(p.yaw))+(30.0e0/{FPX}*30.0e0)*abs(cos(p.yaw)) wx, p.yaw from d join v_pose p using (frame_idx)),
  o as (select b.*, r.run_id, r.length_m, row_number() over (partition by event_id order by sqrt(pow(b.x-least(greatest(b.x,0.0e0),r.length_m),2)+pow(b.y-r.y,2)), r.run_id) rn, sqrt(pow(b.x-least(greatest(b.x,0.0e0),r.length_m),2)+pow(b.y-r.y,2)) dist from b join v_run r on abs(b.y-r.y)<=6.1e0)
- select event_id, frame_idx, run_id, round(least(greatest(x-wx/2,0.0e0),length_m),3) s0, round(least(greatest(x+wx/2,0.0e0),length_m),3) s1 from o where rn=1 and dist<=6.0e0""")
+ select event_id, frame_idx, run_id, round(least(greatest(x-wx/2,0.0e0),length_m),3) s0, round(least(greatest(x+wx/2,0.0e0),length_m),3) s1 from o where rn=1 and dist<=6.0e0 and least(greatest(x+wx/2,0.0e0),length_m)-least(greatest(x-wx/2,0.0e0),length_m) >= 0.001e0""")
 def win11(spark, sf):
     quads = evidence.ground_quads(pixel_boxes(spark, sf), view(spark, sf, "v_pose"), CAM)
     return evidence.run_extents(quads, segs(spark, sf)).select("event_id", "frame_idx", "run_id", r(F.col("s0"), 3).alias("s0"), r(F.col("s1"), 3).alias("s1"))
