@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -60,7 +62,7 @@ def win19(spark, sf):
 
 
 @query("WIN20_circ_median", f"""with {HEAD}, g as (select flight, n, round(yaw,4) yaw from h), c as (select p.flight, p.n, g.yaw from s p join g on g.flight=p.flight and abs(g.n-p.n)<=5),
- k as (select a.flight, a.n, a.yaw, round(sum(abs((b.yaw-a.yaw+pi())-2*pi()*floor((b.yaw-a.yaw+pi())/(2*pi()))-pi())),6) cost from c a join c b on a.flight=b.flight and a.n=b.n group by a.flight, a.n, a.yaw, a.rowid_), z as (select 1)
+ k as (select a.flight, a.n, a.yaw, round(sum(abs((b.yaw-a.yaw+pi())-2*pi()*floor((b.yaw-a.yaw+pi())/(2*pi()))-pi())),6) cost from (select distinct flight, n, yaw from c) a join c b on a.flight=b.flight and a.n=b.n group by a.flight, a.n, a.yaw, a.rowid_), z as (select 1)
  select flight, n idx, round(yaw,6) yaw from (select *, row_number() over (partition by flight, n order by cost, yaw) rn from k) t where rn=1""".replace(", a.rowid_", "").replace("c as (select p.flight, p.n, g.yaw from", "c as (select p.flight, p.n, g.yaw from"))
 def win20(spark, sf):
     s = shifts(spark, sf)
@@ -218,7 +220,7 @@ def src05(spark, sf):
     return out.select("source", "frame", "captured_at", "lat", r(F.col("lon")).alias("lon"), "alt", "gb_yaw")
 
 
-@query("SRC06_telemetry_to_poses", f"""select cast(event_id as int) frame_idx, round((round(23+(1000+event_id%1000)/10000.0e0,4)-23.3298956e0)*{111320.0 * 0.7351862!r}e0,-1) x, round(case when event_id%4=0 then radians(45.0e0) end,6) yaw, round(case when event_id%4=0 then radians(90.0e0) end,6) cam_pitch,
+@query("SRC06_telemetry_to_poses", f"""select cast(event_id as int) frame_idx, round((round(23+(1000+event_id%1000)/10000.0e0,4)-23.3298956e0)*{111320.0 * math.cos(math.radians(42.6747105))!r}e0,-1) x, round(case when event_id%4=0 then radians(45.0e0) end,6) yaw, round(case when event_id%4=0 then radians(90.0e0) end,6) cam_pitch,
  case when event_id%3=0 then 61.5e0 else 30.5e0 end alt from events""")
 def src06(spark, sf):
     out = frames.telemetry_to_poses(frames.parse_telemetry(ev(spark, sf, SRT)))

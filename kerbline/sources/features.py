@@ -73,9 +73,12 @@ _ZONE = """features array<struct<identifier:string,name:string,restriction:strin
  lowerLimit:double,upperLimit:double,upperVerticalReference:string>>>>"""
 
 
-def read_airspace(spark: SparkSession, path: str) -> DataFrame:
-    """One row per zone volume: closed outline (circles as 48 corners), box, limits, permanence, contact."""
-    z = spark.read.schema(_ZONE).option("multiLine", True).json(path).select(F.explode("features").alias("z")).select("z.*", F.posexplode("z.geometry").alias("i", "v"))
+def read_airspace(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per zone volume: closed outline (circles as 48 corners), box, limits, permanence, contact.
+
+    One document per file, or per line with ``lines``.
+    """
+    z = spark.read.schema(_ZONE).option("multiLine", not lines).json(path).select(F.explode("features").alias("z")).select("z.*", F.posexplode("z.geometry").alias("i", "v"))
     hp = F.col("v.horizontalProjection")
     lon, lat = hp["center"][0], F.get(hp["center"], F.lit(1))
     scale = geo.METRES_PER_DEGREE
@@ -101,9 +104,9 @@ def read_airspace(spark: SparkSession, path: str) -> DataFrame:
 _OSM = "elements array<struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
 
 
-def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
+def read_osm_ways(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Elements of a map extract on disk: ``osm_id, etype, tags, line``."""
-    e = spark.read.schema(_OSM).option("multiLine", True).json(path).select(F.explode("elements").alias("e"))
+    e = spark.read.schema(_OSM).option("multiLine", not lines).json(path).select(F.explode("elements").alias("e"))
     line = F.transform("e.geometry", lambda p: geo.point(p.lon, p.lat))
     return e.select(F.col("e.id").alias("osm_id"), F.col("e.type").alias("etype"), F.coalesce("e.tags", F.create_map().cast("map<string,string>")).alias("tags"), line.alias("line"))
 

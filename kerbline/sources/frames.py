@@ -105,13 +105,21 @@ def detections_for(poses: DataFrame, dets: DataFrame) -> DataFrame:
     return hit.join(dets, "key")
 
 
+def _label_name(path: Column) -> Column:
+    """Frame a label file belongs to: its folder ``stem=<name>`` when written by us, else the file's own name."""
+    folder = F.regexp_extract(path, r"/stem=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(_stem(path))
+
+
 def read_yolo(spark: SparkSession, path: str, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(boxes, files)`` of a label folder; ``files`` lists empty ones too, so they differ from missing ones.
 
     ``sizes`` (``stem, w, h``) scales boxes to pixels; lines without exactly five numbers are ignored.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(_stem(F.col("path")).alias("stem"), "length")
-    lines = spark.read.option("pathGlobFilter", "*.txt").text(path).select(_stem(_source_name()).alias("stem"), F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") == 5)
+    # Spark's scans skip files of no bytes, so names come from the listing the scan is planned with
+    names = spark.read.option("pathGlobFilter", "*.txt").text(path).inputFiles()
+    files = spark.createDataFrame([(n,) for n in names], "path string").select(_label_name(F.col("path")).alias("stem")).distinct()
+    lines = spark.read.option("pathGlobFilter", "*.txt").text(path).select(_label_name(F.col("_metadata.file_path")).alias("stem"), F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") == 5)
     v = lines.select("stem", *[F.get("f", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("cls", "cx", "cy", "bw", "bh"))]).filter("cx is not null and cy is not null and bw is not null and bh is not null")
     if sizes is not None:
         v = v.join(sizes.select("stem", "w", "h"), "stem")
