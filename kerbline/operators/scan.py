@@ -146,8 +146,9 @@ def global_number(df: DataFrame, order: list, name: str, start: int | Column = 0
     placed = cut(spread.withColumn("__chunk", F.spark_partition_id().cast("bigint")))
     w = Window.partitionBy("__chunk").orderBy(*order)
     sizes = placed.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.alias("a").join(sizes.alias("b"), F.col("b.__chunk") < F.col("a.__chunk"), "left") \
-        .groupBy(F.col("a.__chunk").alias("__k")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__base"))
+    # one row per partition, so this window is as small as the partition count
+    before = Window.partitionBy("__one").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("__one", F.lit(0)).select(F.col("__chunk").alias("__k"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     start = F.lit(start) if isinstance(start, int) else start
     return (placed.withColumn("__rn", F.row_number().over(w))
             .join(base, F.col("__chunk") == F.col("__k"))

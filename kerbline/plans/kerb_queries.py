@@ -278,7 +278,7 @@ def win14(spark, sf):
 
 
 @query("WIN15_nearest_gap", f"""with {WIN7}, t as (select g.run_id, concat(g.run_id,'@',cast(round(g.s0,2) as varchar)) target, (round(g.s0,2)+round(g.s1,2))/2 s, r.y from g join v_run r on r.run_id=g.run_id where spaces>0),
- d as (select b.bay_id, t.*, sqrt(pow(b.x-t.s,2)+pow(b.y-t.y,2)) dist, row_number() over (partition by b.bay_id order by sqrt(pow(b.x-t.s,2)+pow(b.y-t.y,2)), target) rn from v_bay b, t)
+ d as (select b.bay_id, t.*, sqrt(pow(b.x-least(t.s,230.1e0),2)+pow(b.y-t.y,2)) dist, row_number() over (partition by b.bay_id order by sqrt(pow(b.x-least(t.s,230.1e0),2)+pow(b.y-t.y,2)), target) rn from v_bay b, t)
  select bay_id point_id, run_id, round(s,3) s, round(dist,3) dist from d where rn=1""")
 def win15(spark, sf):
     cars = sparse_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
@@ -298,10 +298,10 @@ def win15b(spark, sf):
 
 
 @query("AGG41_run_layer_report", f"""with {CELLS}, vo as (select run_id, k*0.5e0 s0, least((k+1)*0.5e0,230.1e0) s1 from votes where looks>=3 and hits*2>looks), vb as (select run_id, k*0.5e0 s0, least((k+1)*0.5e0,230.1e0) s1 from votes where looks>=3),
- {merged('vo', 'run_id', '1.5e0', 'occ')}, {merged('vb', 'run_id', '0.0000001e0', 'ob')}, {gaps_sql('occ', 'ob', 'g')}, f as (select run_id, sum(spaces) f from g where spaces>0 group by 1),
- ol as (select run_id, sum(s1-s0) o from ob group by 1), oc as (select run_id, sum(s1-s0) o from occ group by 1), n as (select run_id, count(*) n from {OWN_RUN} t group by 1)
- select r.run_id, capacity, cast(least(coalesce(f,0),capacity) as bigint) as "free", round(coalesce(oc.o,0.0e0),2) occupied_len_m, coalesce(n,0) dets_seen, round(ol.o/length_m,3) observed_fraction,
- coalesce(n,0)>0 and round(coalesce(oc.o,0.0e0),2)=0 outvoted from v_run r join ol using (run_id) left join f using (run_id) left join oc using (run_id) left join n using (run_id) where round(ol.o/length_m,3) > 0.05""")
+ {merged('vo', 'run_id', '1.5e0', 'occ')}, {merged('vb', 'run_id', '0.0000001e0', 'obs')}, {gaps_sql('occ', 'obs', 'g')}, f as (select run_id, sum(spaces) f from g where spaces>0 group by 1),
+ ol as (select run_id, sum(s1-s0) o from obs group by 1), ocl as (select run_id, sum(s1-s0) o from occ group by 1), n as (select run_id, count(*) n from {OWN_RUN} t group by 1)
+ select r.run_id, capacity, cast(least(coalesce(f,0),capacity) as bigint) as "free", round(coalesce(ocl.o,0.0e0),2) occupied_len_m, coalesce(n,0) dets_seen, round(ol.o/length_m,3) observed_fraction,
+ coalesce(n,0)>0 and round(coalesce(ocl.o,0.0e0),2)=0 outvoted from v_run r join ol using (run_id) left join f using (run_id) left join ocl using (run_id) left join n using (run_id) where round(ol.o/length_m,3) > 0.05""")
 def agg41(spark, sf):
     own = spatial.assign_runs(view(spark, sf, "v_detection"), segs(spark, sf), "event_id", "x", "y")
     return runs.run_layer_report(view(spark, sf, "v_run"), cell_votes(spark, sf), own)
