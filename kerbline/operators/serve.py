@@ -15,9 +15,12 @@ BAY_WINDOW_S = 7200
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:
-    """Columns of several one-row tables in one row."""
-    keyed = [r.withColumn("__one", F.lit(1)) for r in rows]
-    return reduce(lambda a, b: a.join(b, "__one"), keyed).drop("__one")
+    """Columns of several one-row tables in one row, by a union and one aggregate instead of joins."""
+    types = [r.schema for r in rows]
+    parts = [r.select(*[(F.struct(*r.columns) if j == i else F.lit(None).cast(t)).alias(f"p{j}") for j, t in enumerate(types)])
+             for i, r in enumerate(rows)]
+    whole = reduce(DataFrame.unionByName, parts).agg(*[F.first(f"p{j}", ignorenulls=True).alias(f"p{j}") for j in range(len(rows))])
+    return whole.select(*[F.col(f"p{j}.{c}") for j, t in enumerate(types) for c in t.names])
 
 
 def is_fresh(updated_at, as_of, window_s: float = BAY_WINDOW_S) -> Column:

@@ -452,7 +452,7 @@ def prj20(spark, sf):
     return evidence.car_boxes(cars, view(spark, sf, "v_pose"), CAM)
 
 
-@query("EVD_ground_points", f"with {DET} select event_id, round(d.x,4) x, round(d.y,4) y from d join v_pose p using (frame_idx)")
+@query("WIN11_ground_points", f"with {DET} select event_id, round(d.x,4) x, round(d.y,4) y from d join v_pose p using (frame_idx)")
 def ground(spark, sf):
     g = evidence.ground_points(pixel_boxes(spark, sf), view(spark, sf, "v_pose"), CAM)
     return g.select("event_id", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"))

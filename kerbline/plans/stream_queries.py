@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geo, text
 from ..functions.geo import Camera
 from ..operators import images
+from ..operators.serve import side_by_side
 from ..session import scratch_path
 from ..sources import features, frames, sinks
 from ..streaming import jobs
@@ -58,8 +59,8 @@ def str01(spark, sf):
     f.repartitionByRange(3, "received_at").write.parquet(src)
     store = jobs.Store(spark, scratch_path(spark, "ledger"))
     jobs.stream_frames(jobs.tail(spark, src, f.schema, files_per_batch=1), store).awaitTermination()
-    n = store.log("frames", f.schema).agg(F.count(F.lit(1)).alias("frames")).withColumn("one", F.lit(1))
-    return n.join(store.log("jobs", "frame_id string, status string").agg(F.count(F.lit(1)).alias("jobs")).withColumn("one", F.lit(1)), "one").drop("one")
+    ledger = store.log("frames", f.schema).agg(F.count(F.lit(1)).alias("frames"))
+    return side_by_side(ledger, store.log("jobs", "frame_id string, status string").agg(F.count(F.lit(1)).alias("jobs")))
 
 
 @query("STR01_number_missions", """select frame_id, cast(sum(b) over (partition by drone_id order by received_at, frame_id) as bigint) flight_no from (select *, case when frame_idx < lag(frame_idx) over (partition by drone_id order by received_at, frame_id) then 1 else 0 end b from v_frame) t""")
