@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,18 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for functions that run in Python workers there."""
+    context = spark.sparkContext
+    if getattr(context, "_kerbline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # otherwise it was imported from an archive that was sent already
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / "kerbline_code.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    context._kerbline_shipped = True
