@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_code
-from . import decontam, packing, sharding, simhash, token_count
+from . import decontam, html_text, packing, quality, sharding, simhash, token_count, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_toxic_segments")
+def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+WARC_SQL = """with p as (select page_id, coalesce(html,'') h from pages), d as (select page_id, octet_length(encode(h)) n, sha256(h) s from p),
+ f as (select s, min(page_id) first, count(*) c from d where n>=100 group by s having count(*)>1)
+ select d.page_id, cast(n as bigint) payload_bytes, d.s payload_digest, case when f.first is not null and d.page_id is distinct from f.first then 'revisit' else 'response' end record_type,
+ case when d.page_id is distinct from f.first then f.first end refers_to from d left join f on d.s=f.s"""
+
+
+@query("op2_warc_round_trip", WARC_SQL)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op4_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
@@ -63,3 +84,8 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_weak_label_quality")
+def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"))
