@@ -12,8 +12,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
 from .common import fold, sample_below, sigmoid
@@ -148,13 +149,8 @@ def fit_scorer(at: np.ndarray, value: np.ndarray, row: np.ndarray, target: np.nd
     return w
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(key, held_out, score, predicted)`` for every row; no given label is used, and fold 0 is left out of the fitting.
-
-    A null or empty text and one of a few words carry no sign against them and score as the intercept says.  Repeated rows and
-    null keys are scored like others; other columns are ignored; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, DataFrame]:
+    """Weights of the scorer, and the described documents that it was learned from."""
     seen = cut(describe(docs, key, text))
     learn = seen.filter(fold(F.col("key")) != 0)
     posterior = learn_votes({r.votes: r.n for r in learn.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()})
@@ -162,9 +158,35 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sa
     lists = sample.column("at").combine_chunks()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) if len(lists) else np.empty(0, dtype=np.int64)
     target = np.array([posterior[p] for p in sample.column("votes").to_pylist()])
-    weights = fit_scorer(lists.flatten().to_numpy().astype(np.int64), sample.column("value").combine_chunks().flatten().to_numpy().astype(float), row, target)
+    return fit_scorer(lists.flatten().to_numpy().astype(np.int64), sample.column("value").combine_chunks().flatten().to_numpy().astype(float), row, target), seen
+
+
+def score_column(spark: SparkSession, weights: np.ndarray, text: Column) -> Column:
+    """Score of a text column, for filters that need no join."""
     shared = spark.sparkContext.broadcast(weights)
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo, w = Words(), shared.value
+        for texts in batches:
+            z = []
+            for t in texts:
+                at, value = features(*look(t, memo))
+                z.append(float(np.dot(w[at], value)) + w[-1] if at else w[-1])
+            yield pd.Series(sigmoid(np.array(z)))
+
+    return score(text)
+
+
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(key, held_out, score, predicted)`` for every row; no given label is used, and fold 0 is left out of the fitting.
+
+    A null or empty text and one of a few words carry no sign against them and score as the intercept says.  Repeated rows and
+    null keys are scored like others; other columns are ignored; an empty table gives an empty result.
+    """
+    weights, seen = fit(docs, key, text, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
 from .common import fit_line, fold, sample_below, sigmoid
@@ -227,6 +228,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Score of a text column, for filters that need no join."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.probability(np.array([shared.value.evidence(_tokens(t))[0] for t in texts], dtype=float)))
+
+    return judge(text)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
     """``(key, held_out, score, predicted)``, on demand also ``passages``: code-point spans with score and expected chance count."""
     kind = docs.schema[key].dataType.simpleString()
