@@ -20,7 +20,7 @@ from ..session import cut
 CAPACITY = 4096
 END_ID = 1
 # Pre-tokens and words remembered per worker.
-MEMO_SIZE, MEMO_CHARS = 300_000, 48
+MEMO_SIZE, MEMO_CHARS = 500_000, 48
 # Rows numbered by one task, about.
 NUMBER_ROWS = 100_000
 
@@ -44,9 +44,22 @@ class WordIds(dict):
         self.plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
         # Fixed value: how this vocabulary's pre-tokenizer splits such characters.
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+        self.model, self.little = self.tok.model, [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        # the model sees bytes as printable characters: those that are none stand behind the last byte, in order
+        odd = iter(range(256, 512))
+        self.letters = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(odd) for b in range(256)}
+        #: The model may be asked without the steps before it if it answers alike for every plain character.
+        plain = [chr(c) for c in (*range(33, 127), *range(0xC0, 0x100)) if chr(c) not in "×÷"]
+        self.direct = all(self.merge(f"{c.lower()}{c.lower()}") == self.encode(f"{c}{c}") for c in plain if len(self.split.findall(f"{c}{c}".lower())) == 1)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.little.__getitem__, self.tok.encode(text, add_special_tokens=False).ids))
+
+    def merge(self, run: str) -> bytes:
+        """Ids of one pre-token of plain characters, by the library's merges alone."""
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.little[t.id] for t in self.model.tokenize(run)])
 
     def __missing__(self, word: str) -> bytes:
         if "<|" in word or not self.plain.fullmatch(word):
@@ -56,7 +69,7 @@ class WordIds(dict):
             for run in self.split.findall(word.lower()):
                 ids = self.runs.get(run)
                 if ids is None:
-                    ids = self.encode(run)
+                    ids = self.merge(run) if self.direct else self.encode(run)
                     if len(run) <= MEMO_CHARS:
                         if len(self.runs) >= MEMO_SIZE:
                             self.runs.clear()
