@@ -59,7 +59,17 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op6_jump_sharding")
+# The checksum byte by byte, the jumps one by one.
+SHARD_SQL = """with recursive tab as (select list(v order by i) t from (select i, list_reduce(list_prepend(i, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) v from (select unnest(range(256)) i))),
+ b as (select doc_id, encode(coalesce(text,'')) e from documents),
+ h as (select doc_id, cast(octet_length(e) as bigint)+1 size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(e), '..'), lambda x: cast(concat('0x', x) as bigint))), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) text_crc32 from b, tab),
+ j as (select doc_id, cast(coalesce(doc_id,0) as uhugeint) k, cast(-1 as bigint) b, cast(0 as bigint) j, 0 n from (select distinct doc_id from documents)
+  union all select doc_id, nk, j, cast(floor((j+1)*(2147483648.0e0/cast(cast(nk // 8589934592 as bigint)+1 as double))) as bigint), n+1 from (select *, (k*2862933555777941757+1) % 18446744073709551616::uhugeint nk from j where j < 9)),
+ s as (select doc_id, cast(max(j) filter (j<8) as int) shard, cast(max(j) filter (j<9) as int) grown_shard from j group by doc_id)
+select h.doc_id, size, text_crc32, 'key' law, shard, row_number() over (partition by shard order by h.doc_id, text_crc32, size)-1 slot, grown_shard from h join s on h.doc_id is not distinct from s.doc_id"""
+
+
+@query("op6_jump_sharding", SHARD_SQL)
 def jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 

@@ -94,7 +94,7 @@ class WarcReader(DataSourceReader):
         schema = to_arrow_schema(self.types)
         rows: list[dict] = []
         size = 0
-        for path in partition.paths:
+        for path in partition.paths if partition else []:  # no file, no partition
             with store.open_input_file(path) as raw:
                 stream = gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
                 for headers, length in records(stream):
