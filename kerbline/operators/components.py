@@ -22,10 +22,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
     star = cut(pairs)
     before = None
     while True:
-        print_ = star.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(print_) == before:
+        state = star.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if tuple(state) == before:
             break
-        before = tuple(print_)
+        before = tuple(state)
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         upward = star.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v"))

@@ -58,13 +58,10 @@ def build_runs(bays: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame
     axis = m.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"),
         F.covar_pop("x", "y").alias("cxy"), F.min_by(F.struct("ux", "uy"), "ord").alias("own"))
-    sxx, syy, sxy = [F.col(c) * F.col("n") for c in ("vx", "vy", "cxy")]
-    lam = (sxx + syy) / 2 + F.sqrt(F.greatest(F.lit(0.0), (sxx + syy) * (sxx + syy) / 4 - (sxx * syy - sxy * sxy)))
-    d = F.sqrt(sxy * sxy + (lam - sxx) * (lam - sxx))
-    slanted = F.abs(sxy) > 1e-9
-    axis = axis.withColumns({
-        "ax": F.when(F.col("n") == 1, F.col("own.ux")).when(slanted, sxy / F.nullif(d, F.lit(0.0))).otherwise(1.0),
-        "ay": F.when(F.col("n") == 1, F.col("own.uy")).when(slanted, (lam - sxx) / F.nullif(d, F.lit(0.0))).otherwise(0.0)})
+    # the direction of greatest spread is half the angle of the doubled covariance; it points to positive y
+    turn = F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")) / 2
+    up = F.when(F.sin(turn) < 0, -1.0).otherwise(1.0)
+    axis = axis.withColumns({"ax": F.when(F.col("n") == 1, F.col("own.ux")).otherwise(up * F.cos(turn)), "ay": F.when(F.col("n") == 1, F.col("own.uy")).otherwise(up * F.sin(turn))})
     m, axis = cut(m), cut(axis)
     placed = m.join(axis.select("label", "mx", "my", "ax", "ay"), "label").withColumn(
         "proj", (F.col("x") - F.col("mx")) * F.col("ax") + (F.col("y") - F.col("my")) * F.col("ay"))
@@ -89,19 +86,17 @@ def build_runs(bays: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def run_lines(members: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs with their polyline as one array (for files and maps), ends pushed out by half a pitch."""
-    pts = members.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
-    line = F.transform("v", lambda p: geo.point(p.x, p.y))
-    j = runs.join(pts, "run_id").withColumn("line", line)
-    n, half = F.size("line"), F.coalesce("pitch_m", F.lit(0.0)) / 2
-
-    def pushed(end, nxt):
-        a, b = F.get("line", end), F.get("line", nxt)
-        d = F.nullif(geo.distance(b.x, b.y, a.x, a.y), F.lit(0.0))
-        return geo.point(a.x + F.coalesce((a.x - b.x) / d, F.lit(0.0)) * half, a.y + F.coalesce((a.y - b.y) / d, F.lit(0.0)) * half)
-
-    long = F.concat(F.array(pushed(F.lit(0), F.lit(1))), F.slice("line", F.lit(2), F.greatest(n - 2, F.lit(0))), F.array(pushed(n - 1, n - 2)))
-    return j.withColumn("line", F.when(n >= 2, long).otherwise(F.col("line"))).drop("v")
+    """Runs with their polyline as one array (for files and maps); each end lies half a pitch beyond the last bay.
+
+    An end is a row without a row before or behind it; it moves away from its only neighbour.
+    """
+    near = ordered_scan(members, ["run_id"], ["seq"], chunk_of("seq", 1000.0), lag={"before": F.struct("x", "y")}, lead={"behind": F.struct("x", "y")})
+    from_ = F.when(F.col("before").isNull(), F.col("behind")).when(F.col("behind").isNull(), F.col("before"))
+    step = near.join(runs.select("run_id", F.coalesce("pitch_m", F.lit(0.0)).alias("pitch")), "run_id").withColumn("near", from_)
+    dist = F.nullif(geo.distance("near.x", "near.y", "x", "y"), F.lit(0.0))
+    moved = {c: F.col(c) + F.coalesce((F.col(c) - F.col(f"near.{c}")) / dist * F.col("pitch") / 2, F.lit(0.0)) for c in ("x", "y")}
+    pts = step.select("run_id", "seq", *[e.alias(c) for c, e in moved.items()]).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
+    return runs.join(pts, "run_id").withColumn("line", F.transform("v", lambda p: geo.point(p.x, p.y))).drop("v")
 
 
 def shift_lateral(line, delta):

@@ -242,6 +242,15 @@ def clu03b(spark, sf):
     return runs.build_runs(b, runs.chain_bays(b))[1].select("run_id", "seq", "bay_id", r(F.col("s"), 3).alias("s"))
 
 
+@query("CLU03_run_lines", f"""with {BUILT}, e as (select label, count(*) n, min(x) x0, max(x) x1, min(y) y from m group by label)
+select concat('run_', cast(label as varchar)) run_id, cast(n as int) points, round(x0 - h, 3) x0, round(y, 3) y0, round(x1 + h, 3) x1 from (select *, case when n>1 then 2.95e0 else 0.0e0 end h from e) t""")
+def clu03c(spark, sf):
+    b = bays_u(spark, sf)
+    out, members = runs.build_runs(b, runs.chain_bays(b))
+    line = runs.run_lines(members, out)
+    return line.select("run_id", F.size("line").alias("points"), *[r(F.get("line", at)[c], 3).alias(n) for n, at, c in (("x0", F.lit(0), "x"), ("y0", F.lit(0), "y"), ("x1", F.size("line") - 1, "x"))])
+
+
 MISSION = "concat('m', cast(cast(floor((day(observed_at)-1)/5) as bigint) as varchar))"
 
 

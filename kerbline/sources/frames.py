@@ -32,44 +32,53 @@ def usable_poses(poses: DataFrame) -> DataFrame:
     return poses.filter("x is not null and yaw is not null")
 
 
-# Spellings of the telemetry fields.
-_NUM = r"\s*:\s*([-\d.]+)"
+# Spellings of the telemetry fields, lower case.
 TELEMETRY_FIELDS = {
-    "lat": r"(?i)\[?latitude" + _NUM, "lon": r"(?i)\[?long?itude" + _NUM, "alt": r"(?i)\[?(?:rel_alt|altitude)" + _NUM,
-    "abs_alt": r"(?i)\[?abs_alt" + _NUM, "gb_yaw": r"(?i)\[?gb_yaw" + _NUM, "gb_pitch": r"(?i)\[?gb_pitch" + _NUM, "gb_roll": r"(?i)\[?gb_roll" + _NUM,
-    "baro": r"(?i)BAROMETER\s*:?\s*([-\d.]+)",
+    "lat": ["latitude"],
+    "lon": ["longitude", "longtitude"],
+    "alt": ["rel_alt", "altitude"],
+    "abs_alt": ["abs_alt"],
+    "gb_yaw": ["gb_yaw"],
+    "gb_pitch": ["gb_pitch"],
+    "gb_roll": ["gb_roll"],
+    "baro": ["barometer"],
+    "frame": ["framecnt"],
 }
-_GPS = r"GPS\s*\(\s*([-\d.]+)\s*,\s*([-\d.]+)\s*,\s*([-\d.]+)\s*\)"
-_CLOCK = r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(?:[.,](\d{1,6}))?"
-_TIMECODE = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->"
+# A word and the number behind it; a time code's shape; a date with a time of day.
+_PAIR = r"([A-Za-z_]+)\s*:?\s*([+-]?\d*\.?\d+)"
+_CODE = r"^\d\d:\d\d:\d\d[.,]\d\d\d$"
+_MOMENT = r"\d{4}(?:-\d\d){2}[T ]\d\d(?::\d\d){2}(?:[.,]\d+)?"
 
 
-def _find(text: Column, pattern: str, group: int = 1) -> Column:
-    """Matched group, NULL when the pattern is not there."""
-    got = F.regexp_extract(text, pattern, group)
-    return F.when(got != "", got)
+def _time_code(block: Column) -> Column:
+    """The twelve characters before the arrow."""
+    return F.right(F.rtrim(F.substring_index(block, "-->", 1)), F.lit(12))
 
 
 def parse_telemetry(texts: DataFrame, text: str = "value", source: str = "source") -> DataFrame:
     """Subtitle-style telemetry to one row per block that carries a time code.
 
-    A GPS triple (longitude first) stands in for missing coordinates; the wall clock is kept apart
-    from the time code.
+    Every word with a number is read once per block and fields are looked up by their spellings, the first in the block
+    winning.  A GPS triple (longitude first) stands in for missing coordinates; the wall clock is kept apart from the time code.
     """
-    blocks = texts.select(source, F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(_TIMECODE)).alias("bs")).select(source, F.posexplode("bs").alias("block", "raw"))
-    flat = F.replace(F.col("raw"), F.lit("\n"), F.lit(" "))
-    b = blocks.withColumn("flat", flat)
-    c = F.col("flat")
-    num = {k: _find(c, p).try_cast("double") for k, p in TELEMETRY_FIELDS.items()}
-    no_fix = num["lat"].isNull() | num["lon"].isNull()
-    gps = [_find(c, _GPS, i).try_cast("double") for i in (1, 2, 3)]
-    day, clock, frac = _find(c, _CLOCK, 1), _find(c, _CLOCK, 2), _find(c, _CLOCK, 3)
-    stamp = F.concat(day, F.lit(" "), clock, F.coalesce(F.concat(F.lit("."), frac), F.lit("")))
-    return b.select(
-        source, "block", F.coalesce(_find(c, r"FrameCnt\s*:?\s*(\d+)").try_cast("int"), F.col("block")).alias("frame"), _find(c, _TIMECODE).alias("t"),
-        F.expr("null").cast("timestamp_ntz").alias("__n"), stamp.try_cast("timestamp_ntz").alias("captured_at"),
-        F.when(no_fix, F.coalesce(gps[1], num["lat"])).otherwise(num["lat"]).alias("lat"), F.when(no_fix, F.coalesce(gps[0], num["lon"])).otherwise(num["lon"]).alias("lon"),
-        F.coalesce(num["alt"], F.when(no_fix, gps[2])).alias("alt"), *[num[k].alias(k) for k in ("abs_alt", "gb_yaw", "gb_pitch", "gb_roll", "baro")]).drop("__n")
+    coded = F.filter(F.split(text, r"\n\s*\n"), lambda b: b.contains("-->") & _time_code(b).rlike(_CODE))
+    blocks = texts.select(source, F.posexplode(coded).alias("block", "raw"))
+    flat = F.translate("raw", "\n\r", "  ")
+    read = blocks.select(
+        source, "block", _time_code(F.col("raw")).alias("t"),
+        F.arrays_zip(F.regexp_extract_all(flat, F.lit(_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(flat, F.lit(_PAIR), F.lit(2)).alias("v")).alias("pairs"),
+        F.transform(F.split(F.regexp_extract(flat, r"GPS\s*\(([^)]*)\)", 1), ","), lambda v: F.trim(v).try_cast("double")).alias("gps"),
+        F.replace(F.regexp_extract(flat, _MOMENT, 0), F.lit(","), F.lit(".")).try_cast("timestamp_ntz").alias("captured_at"))
+
+    def field(name: str) -> Column:
+        return F.get(F.filter("pairs", lambda p: F.lower(p["k"]).isin(TELEMETRY_FIELDS[name])), F.lit(0))["v"].try_cast("double")
+
+    named = read.withColumns({k: field(k) for k in TELEMETRY_FIELDS})
+    triple = F.when((F.col("lat").isNull() | F.col("lon").isNull()) & (F.size("gps") == 3), F.col("gps"))
+    return named.select(
+        source, "block", F.coalesce(F.col("frame").cast("int"), F.col("block")).alias("frame"), "t", "captured_at",
+        F.coalesce(F.get(triple, F.lit(1)), "lat").alias("lat"), F.coalesce(F.get(triple, F.lit(0)), "lon").alias("lon"),
+        F.coalesce("alt", F.get(triple, F.lit(2))).alias("alt"), "abs_alt", "gb_yaw", "gb_pitch", "gb_roll", "baro")
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
