@@ -172,7 +172,7 @@ def match_drawings(drawn: DataFrame, bays: DataFrame, max_m: float = 6.0) -> tup
     keyed = near.select("drawing_id", "bay_id", "dist", F.struct((-F.col("votes")).alias("v"), F.col("drawing_id").alias("d")).alias("priority"))
     got = claim_in_order(keyed, "drawing_id", "bay_id", "dist", "priority").join(near.select("drawing_id", "bay_id", "dist"), ["drawing_id", "bay_id"])
     rest = drawn.join(got, "drawing_id", "left_anti")
-    far = nearest(rest, bays, "drawing_id", "bay_id", "x", "y", "x", "y", 2 * max_m).select("drawing_id", F.col("dist").alias("nearest_m"))
+    far = nearest(rest, bays, "drawing_id", "bay_id", "x", "y", "x", "y", size=2 * max_m).select("drawing_id", F.col("dist").alias("nearest_m"))
     return got, rest.join(far, "drawing_id", "left")
 
 

@@ -85,7 +85,7 @@ def unassigned(dets: DataFrame, views: DataFrame, bays: DataFrame, radius: float
     """Detections no visible bay took, with the nearest bay of all."""
     taken = _in_range(dets, views, radius).select("event_id").distinct()
     left = cut(dets.join(taken, "event_id", "left_anti"))
-    near = nearest(left, bays, "event_id", "bay_id", "x", "y", "x", "y", size)
+    near = nearest(left, bays, "event_id", "bay_id", "x", "y", "x", "y", size=size)
     return left.join(near.select("event_id", F.col("bay_id").alias("nearest_bay"), F.col("dist").alias("nearest_m")), "event_id", "left")
 
 

@@ -111,7 +111,7 @@ def rect_vs_ring_error(bays: DataFrame, tolerance_m: float = 0.05) -> DataFrame:
 
 def pair_by_position(a: DataFrame, b: DataFrame, max_m: float = 6.0) -> DataFrame:
     """Outlines of one pass paired with the nearest of another, offset split along and across the bay."""
-    near = nearest(a, b, "bay_id", "other_id", "x", "y", "x", "y", max_m, limit=max_m)
+    near = nearest(a, b, "bay_id", "other_id", "x", "y", "x", "y", limit=max_m)
     th = F.radians(geo.long_axis_deg(F.col("ring")))
     j = near.join(a.select("bay_id", "x", "y", "ring"), "bay_id").join(b.select("other_id", F.col("x").alias("ox"), F.col("y").alias("oy")), "other_id")
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
@@ -169,7 +169,7 @@ def offset_grid_search(dets: DataFrame, bays: DataFrame, reach: float = 8.0, ste
     ticks = F.array(*[F.lit(i * step) for i in range(-n, n + 1)])
     moved = (dets.select("event_id", "x", "y").withColumn("dx", F.explode(ticks)).withColumn("dy", F.explode(ticks))
              .withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy"), "pid": F.struct("event_id", "dx", "dy")}))
-    near = nearest(moved, bays, "pid", "bay_id", "x", "y", "x", "y", size).select("pid.dx", "pid.dy", "dist")
+    near = nearest(moved, bays, "pid", "bay_id", "x", "y", "x", "y", size=size).select("pid.dx", "pid.dy", "dist")
     hits = near.groupBy("dx", "dy").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("dist") <= radius).alias("hits"))
     return hits.join(percentiles(near, ["dx", "dy"], "dist", {"median_m": (0.5, "upper_median")}, 0.5), ["dx", "dy"])
 

@@ -173,7 +173,7 @@ def nearest_gap(points: DataFrame, gaps: DataFrame, states: DataFrame, lines: Da
         bare = states.filter("free > 0").join(gaps.select("run_id").distinct(), "run_id", "left_anti").join(lines.select("run_id", "line"), "run_id")
         spots = bare.select(F.concat("run_id", F.lit("@run")).alias("target"), "run_id", (polyline_length(F.col("line")) / 2).alias("s"), "line")
     spots = spots.withColumn("p", point_at(F.col("line"), F.col("s"))).select("target", "run_id", "s", F.col("p.x").alias("gx"), F.col("p.y").alias("gy"))
-    near = nearest(points, spots, "point_id", "target", "x", "y", "gx", "gy", size)
+    near = nearest(points, spots, "point_id", "target", "x", "y", "gx", "gy", size=size)
     return near.join(spots.select("target", "run_id", "s"), "target").select("point_id", "target", "run_id", "s", "dist")
 
 

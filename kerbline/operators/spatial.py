@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geo
 from ..functions.numeric import col
 from ..session import cut
+from .scan import top_per_key
+from .search import closest
 
 
 def cell(value, size: float) -> Column:
@@ -43,48 +45,30 @@ def near_pairs(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple
     return out.drop("__cx", "__cy")
 
 
-def nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, px: str, py: str, ix: str, iy: str,
-            size: float, metric=None, max_rounds: int = 24, limit: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, px: str, py: str, ix: str, iy: str, limit: float | None = None, size: float | None = None) -> DataFrame:
     """``(point_id, item_id, dist)``: the closest item by position, ties to the least id.
 
-    Round ``k`` looks at the 3x3 cells of side ``size*2^k``: a hit no farther than one side is
-    final, the rest go on with doubled cells.  Copies at one position are reduced to the least
-    id beforehand, so a pile of copies costs one candidate.  ``limit`` stops the search early and
-    leaves points without an item inside it out.  ``metric(px, py, ix, iy)`` may rank differently
-    from planar distance (it is applied to the same candidates).
+    ``size`` is a distance at which most points have an item: those are settled by one look at the cells around them, and
+    only the rest descend.
+
+    Copies at one position are reduced to the least id, equal points to one, beforehand.  Without ``limit`` every point with a
+    position finds an item, however far; with it, points without an item inside are left out.
     """
-    metric = metric or geo.distance
-    sites = (items.select(F.col(ix).alias("__ix"), F.col(iy).alias("__iy"), F.col(item_id).alias("__item"))
-             .filter("__ix is not null and __iy is not null")
-             .groupBy("__ix", "__iy").agg(F.min("__item").alias("__item")))
-    todo = points.select(F.col(point_id).alias("__pid"), F.col(px).alias("__px"), F.col(py).alias("__py")).filter("__px is not null and __py is not null")
-    spots = todo.select("__px", "__py").distinct()
-    done = None
-    side = float(size)
-    last = limit is not None and side >= limit
-    for k in range(max_rounds):
-        cand = near_pairs(spots, sites, "__px", "__py", ("__ix", "__iy", "__ix", "__iy"), side, side)
-        best = (cand.withColumn("__d", metric("__px", "__py", "__ix", "__iy"))
-                .withColumn("__plain", geo.distance("__px", "__py", "__ix", "__iy"))
-                .filter(F.col("__plain") <= side)
-                .groupBy("__px", "__py").agg(F.min(F.struct("__d", "__item")).alias("__best")))
-        if last:
-            found = best
-        else:
-            best = cut(spots.join(best, ["__px", "__py"], "left"))
-            found = best.filter("__best is not null")
-            spots = best.filter("__best is null").select("__px", "__py")
-        done = found if done is None else done.unionByName(found)
-        if last or spots.isEmpty():
-            break
-        side *= 2
-        if limit is not None and side >= limit:
-            last = True
-        elif k == 0 and sites.isEmpty():
-            break
-    out = todo.join(done, ["__px", "__py"]).select(
-        F.col("__pid").alias(point_id), F.col("__best.__item").alias(item_id), F.col("__best.__d").alias("dist"))
-    return out.filter(F.col("dist") <= limit) if limit is not None else out
+    sites = items.groupBy(F.col(ix).alias("lo0"), F.col(iy).alias("lo1")).agg(F.min(item_id).alias("__item")).withColumns({"hi0": F.col("lo0"), "hi1": F.col("lo1")})
+    todo = points.select(F.col(point_id).alias("__pid"), F.col(px).cast("double").alias("p0"), F.col(py).cast("double").alias("p1"))
+    spots = todo.select("p0", "p1").distinct().withColumn("point", F.struct("p0", "p1"))
+    around = None
+    if size is not None and (limit is None or size < limit):
+        close = near_pairs(spots.drop("point"), sites.drop("hi0", "hi1"), "p0", "p1", ("lo0", "lo1", "lo0", "lo1"), size, size)
+        close = close.withColumn("dist", geo.distance("p0", "p1", "lo0", "lo1")).filter(F.col("dist") <= size)
+        looked = cut(spots.join(close.groupBy("p0", "p1").agg(F.min(F.struct("dist", "__item")).alias("b")), ["p0", "p1"], "left"))
+        around = looked.filter("b is not null").select("point", "b.__item", "b.dist")
+        spots = looked.filter("b is null").drop("b")
+    found = closest(spots, sites, 2, lambda: geo.distance("p0", "p1", "lo0", "lo1"), "__item", limit=limit).select("point", "__item", "dist")
+    if around is not None:
+        found = found.unionByName(around)
+    return (todo.join(found.select(F.col("point.p0").alias("q0"), F.col("point.p1").alias("q1"), "__item", "dist"), (F.col("p0") == F.col("q0")) & (F.col("p1") == F.col("q1")))
+            .select(F.col("__pid").alias(point_id), F.col("__item").alias(item_id), "dist"))
 
 
 def polyline_segments(lines: DataFrame, key: str, line: str) -> DataFrame:
@@ -165,29 +149,13 @@ def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple, rbox: tuple, size:
     return out.drop(*[f"__{s}{c}" for s in "lr" for c in ("x0", "y0", "x1", "y1")], "__cx", "__cy")
 
 
-def k_nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, k: int, size: float, on: str, max_rounds: int = 24) -> DataFrame:
-    """The ``k`` closest items sharing the ``on`` key: ``(point_id, item_id, ix, iy, dist)``.
-
-    The search radius doubles until a point has ``k`` items inside it or all its key has.
-    """
-    have = items.groupBy(on).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("__want"))
-    todo = points.select(point_id, on, "x", "y").join(have, on)
-    its = items.select(F.col(item_id), on, F.col("x").alias("ix"), F.col("y").alias("iy"))
-    done, side = None, float(size)
-    for _ in range(max_rounds):
-        cand = near_pairs(todo, its, "x", "y", ("ix", "iy", "ix", "iy"), side, side, on=[on])
-        cand = cand.withColumn("dist", geo.distance("x", "y", "ix", "iy")).filter(F.col("dist") <= side)
-        from .scan import top_per_key
-
-        top = top_per_key(cand, [point_id], [F.col("dist"), F.col(item_id)], k, F.struct("ix", "iy"))
-        full = top.groupBy(point_id).agg(F.count(F.lit(1)).alias("__n"), F.max("__want").alias("__w")).filter("__n >= __w").select(point_id)
-        got = cut(top.join(full, point_id).select(point_id, item_id, "ix", "iy", "dist"))
-        done = got if done is None else done.unionByName(got)
-        todo = cut(todo.join(got.select(point_id).distinct(), point_id, "left_anti"))
-        if todo.isEmpty():
-            break
-        side *= 2
-    return done
+def k_nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, k: int, on: str) -> DataFrame:
+    """The ``k`` closest items sharing the ``on`` key: ``(point_id, item_id, ix, iy, dist)``; of a pile its ``k`` least ids are enough."""
+    few = top_per_key(items.select(item_id, on, "x", "y"), [on, "x", "y"], [F.col(item_id)], k, F.col(item_id)).drop("rank")
+    boxes = few.select(F.col(item_id), F.col(on), *[F.col(c).alias(n) for c, n in (("x", "lo0"), ("x", "hi0"), ("y", "lo1"), ("y", "hi1"))])
+    pts = points.select(F.col(point_id).alias("point"), on, F.col("x").alias("p0"), F.col("y").alias("p1"))
+    found = closest(pts, boxes, 2, lambda: geo.distance("p0", "p1", "lo0", "lo1"), item_id, k=k, keys=[on])
+    return found.select(F.col("point").alias(point_id), item_id, F.col("lo0").alias("ix"), F.col("lo1").alias("iy"), "dist")
 
 
 # Fixed value: a bay farther than this from every centre line is not on one.
@@ -226,11 +194,11 @@ def street_bearing(bays: DataFrame, roads: DataFrame, snap_m: float = MAX_SNAP_M
     rest = cut(bays.select("bay_id", "street", "x", "y").join(on_road, "bay_id", "left_anti"))
     out = on_road
     if not rest.isEmpty():
-        near = k_nearest(rest, bays.select(F.col("bay_id").alias("other"), "street", "x", "y"), "bay_id", "other", 6, 25.0, "street")
+        near = k_nearest(rest, bays.select(F.col("bay_id").alias("other"), "street", "x", "y"), "bay_id", "other", 6, "street")
         fit = near.groupBy("bay_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("ix").alias("vx"), F.var_pop("iy").alias("vy"), F.covar_pop("ix", "iy").alias("cxy"))
         axis = fit.filter("n >= 3").select("bay_id", F.degrees(F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")) / 2).alias("bearing_deg"))
         lone = rest.join(axis, "bay_id", "left_anti")
-        twin = k_nearest(lone.withColumn("__k", F.lit(1)), bays.select(F.col("bay_id").alias("other"), "x", "y").withColumn("__k", F.lit(1)), "bay_id", "other", 2, 25.0, "__k")
+        twin = k_nearest(lone.withColumn("__k", F.lit(1)), bays.select(F.col("bay_id").alias("other"), "x", "y").withColumn("__k", F.lit(1)), "bay_id", "other", 2, "__k")
         toward = (twin.filter(F.col("bay_id") != F.col("other")).join(lone.select("bay_id", "x", "y"), "bay_id").groupBy("bay_id")
                   .agg(F.min(F.struct("dist", (F.col("ix") - F.col("x")).alias("dx"), (F.col("iy") - F.col("y")).alias("dy"))).alias("b")))
         out = out.unionByName(axis).unionByName(toward.select("bay_id", F.degrees(F.atan2(F.col("b.dy"), F.col("b.dx"))).alias("bearing_deg")))
@@ -259,43 +227,27 @@ def overlapping(bays: DataFrame, size: float = 12.0) -> DataFrame:
     return p.filter((F.col("oa") < F.col("ob")) & geo.rings_overlap(F.col("ra"), F.col("rb"))).select("a", "b")
 
 
-def off_route(points: DataFrame, segments: DataFrame, point_id: str, px: str, py: str, size: float = 50.0, max_rounds: int = 20) -> DataFrame:
-    """``(point_id, dist)`` to the closest segment; the search box doubles until every point has one."""
-    segs = segments.select("ax", "ay", "bx", "by", F.least("ax", "bx").alias("__x0"), F.least("ay", "by").alias("__y0"),
-                           F.greatest("ax", "bx").alias("__x1"), F.greatest("ay", "by").alias("__y1"))
-    todo = points.select(F.col(point_id), F.col(px).alias("__px"), F.col(py).alias("__py")).filter("__px is not null and __py is not null")
-    done, side = None, float(size)
-    for _ in range(max_rounds):
-        cand = near_pairs(todo, segs, "__px", "__py", ("__x0", "__y0", "__x1", "__y1"), side, side)
-        d = geo.segment_distance("__px", "__py", "ax", "ay", "bx", "by")
-        got = cut(cand.withColumn("dist", d).filter(F.col("dist") <= side).groupBy(point_id).agg(F.min("dist").alias("dist")))
-        done = got if done is None else done.unionByName(got)
-        todo = cut(todo.join(got, point_id, "left_anti"))
-        if todo.isEmpty():
-            break
-        side *= 2
-    return done
-
-
-def nearest_geo(points: DataFrame, items: DataFrame, point_id: str, item_id: str, size: float) -> DataFrame:
+def off_route(points: DataFrame, segments: DataFrame, point_id: str, px: str, py: str) -> DataFrame:
+    """``(point_id, dist)`` to the closest segment, however far."""
+    segs = segments.select("ax", "ay", "bx", "by").distinct().select("*", F.least("ax", "bx").alias("lo0"), F.least("ay", "by").alias("lo1"), F.greatest("ax", "bx").alias("hi0"), F.greatest("ay", "by").alias("hi1"))
+    pts = points.select(F.col(point_id).alias("point"), F.col(px).alias("p0"), F.col(py).alias("p1"))
+    return closest(pts, segs, 2, lambda: geo.segment_distance("p0", "p1", "ax", "ay", "bx", "by"), "ax").select(F.col("point").alias(point_id), "dist")
+
+
+def nearest_geo(points: DataFrame, items: DataFrame, point_id: str, item_id: str) -> DataFrame:
     """Closest item by great-circle distance for tables with ``lon`` and ``lat``.
 
-    Searched in a local metric frame; candidates up to one part in a hundred beyond the planar winner
-    are kept and ranked by the true distance, which covers the frame's distortion over a city.
+    Searched on the sphere itself: chords between unit vectors grow with the distance along it.
     """
-    def flat(df):
-        x, y = geo.to_enu("lon", "lat")
-        return df.withColumns({"__ex": x, "__ey": y})
+    def vector(df: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        lon, lat = F.radians("lon"), F.radians("lat")
+        return df.withColumns(dict(zip(names, (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)))))
 
-    p, i = flat(points), flat(items)
-    near = nearest(p, i, point_id, item_id, "__ex", "__ey", "__ex", "__ey", size).select(point_id, F.col("dist").alias("__r"))
-    q = p.select(point_id, F.col("__ex").alias("px"), F.col("__ey").alias("py"), F.col("lon").alias("plon"), F.col("lat").alias("plat")).join(near, point_id)
-    grow = F.col("__r") * 1.02 + 1.0
-    q = q.withColumns({"__a": F.col("px") - grow, "__b": F.col("py") - grow, "__c": F.col("px") + grow, "__d": F.col("py") + grow})
-    sites = i.groupBy("lon", "lat", "__ex", "__ey").agg(F.min(item_id).alias(item_id))
-    cand = near_pairs(sites, q, "__ex", "__ey", ("__a", "__b", "__c", "__d"), 0.0, 2 * size)
-    best = cand.groupBy(point_id).agg(F.min(F.struct(geo.haversine("plon", "plat", "lon", "lat").alias("d"), F.col(item_id).alias("i"))).alias("b"))
-    return best.select(point_id, F.col("b.i").alias(item_id), F.col("b.d").alias("dist"))
+    sites = vector(items.groupBy("lon", "lat").agg(F.min(item_id).alias(item_id)), ("lo0", "lo1", "lo2"))
+    sites = sites.select(item_id, F.col("lon").alias("ilon"), F.col("lat").alias("ilat"), *[F.col(f"lo{d}") for d in range(3)], *[F.col(f"lo{d}").alias(f"hi{d}") for d in range(3)])
+    pts = vector(points.select(F.col(point_id).alias("point"), "lon", "lat"), ("p0", "p1", "p2")).withColumnsRenamed({"lon": "plon", "lat": "plat"})
+    found = closest(pts, sites, 3, lambda: geo.haversine("plon", "plat", "ilon", "ilat"), item_id)
+    return found.select(F.col("point").alias(point_id), item_id, "dist")
 
 
 def airspace_conflicts(points: DataFrame, zones: DataFrame, px: str, py: str, alt: float | None = None, size: float = 250.0) -> DataFrame:
@@ -334,22 +286,10 @@ def route_hazards(structures: DataFrame, route: DataFrame, level_m: float = FLIG
     return best.select("osm_id", F.round("top", 1).alias("height_m"), F.round("d", 1).alias("min_route_dist_m"))
 
 
-def min_separation(a: DataFrame, b: DataFrame, key: str, size: float = 25.0, max_rounds: int = 24) -> DataFrame:
-    """Least distance between two point sets.
-
-    The search distance doubles until some pair is inside it; only the cell neighbourhoods of that
-    round are compared, each row of ``a`` reduced to its closest candidate map-side.
-    """
-    pa = a.select("x", "y").distinct()
-    pb = b.select(F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
-    side = float(size)
-    for _ in range(max_rounds):
-        cand = near_pairs(pa, pb, "x", "y", ("bx", "by", "bx", "by"), side, side)
-        best = cut(cand.agg(F.min(geo.distance("x", "y", "bx", "by")).alias("min_m")))
-        if not best.filter(F.col("min_m") <= side).isEmpty():
-            break
-        side *= 2
-    return best
+def min_separation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Least distance between two point sets (``min_m``, NULL when one is empty)."""
+    found = nearest(a.select("x", "y").distinct().withColumn("p", F.struct("x", "y")), b.withColumn("i", F.struct("x", "y")), "p", "i", "x", "y", "x", "y")
+    return found.agg(F.min("dist").alias("min_m"))
 
 
 def buffer_exclude(train: DataFrame, val: DataFrame, key: str, metres: float) -> DataFrame:

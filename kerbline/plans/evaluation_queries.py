@@ -37,7 +37,7 @@ NEAR_BAY = "(select d.event_id, b.bay_id, sqrt(pow(d.x-b.x,2)+pow(d.y-b.y,2)) di
 
 @query("JON04_nearest_bay", f"select event_id, bay_id, round(dist,6) dist from {NEAR_BAY} t where rn=1")
 def jon04(spark, sf):
-    out = spatial.nearest(view(spark, sf, "v_detection"), view(spark, sf, "v_bay"), "event_id", "bay_id", "x", "y", "x", "y", 12.0)
+    out = spatial.nearest(view(spark, sf, "v_detection"), view(spark, sf, "v_bay"), "event_id", "bay_id", "x", "y", "x", "y", size=12.0)
     return out.withColumn("dist", r(F.col("dist"), 6))
 
 
@@ -51,7 +51,7 @@ def jon05(spark, sf):
     def ll(df):
         return df.withColumns({"lon": F.lit(23.33) + F.col("x") * 1.2e-5, "lat": F.lit(42.67) + F.col("y") * 9e-6})
     free = ll(view(spark, sf, "v_bay")).join(view(spark, sf, "v_state").filter("occupied = false").select("bay_id"), "bay_id")
-    return spatial.nearest_geo(ll(view(spark, sf, "v_detection")), free, "event_id", "bay_id", 50.0).select("event_id", r(F.col("dist"), 3).alias("dist"))
+    return spatial.nearest_geo(ll(view(spark, sf, "v_detection")), free, "event_id", "bay_id").select("event_id", r(F.col("dist"), 3).alias("dist"))
 
 
 SHOT = f"""k as (select p.frame_idx, g.bay_id, g.x, g.y, {FPX}/30.0e0 f, g.x-p.x wx, g.y-p.y wy, g.l, g.w, g.c, g.s, sin(p.yaw) sy, cos(p.yaw) cy from v_pose p join v_ring g
@@ -238,7 +238,7 @@ def jon22(spark, sf):
 @query("JON23_min_separation", """with a as (select x, y from v_bay where floor(ord/40)<10), b as (select x, y from v_bay where floor(ord/40)>=14) select round(min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))),4) min_m from a, b""")
 def jon23(spark, sf):
     b = view(spark, sf, "v_bay").withColumn("row", F.floor(F.col("ord") / 40))
-    return spatial.min_separation(b.filter("row<10"), b.filter("row>=14"), "bay_id").select(r(F.col("min_m")).alias("min_m"))
+    return spatial.min_separation(b.filter("row<10"), b.filter("row>=14")).select(r(F.col("min_m")).alias("min_m"))
 
 
 @query("JON23_buffer_exclude", """select a.bay_id from v_bay a where floor(ord/40)<10 and not exists (select 1 from v_bay b where floor(b.ord/40)>=10 and pow(a.x-b.x,2)+pow(a.y-b.y,2) < 625.0e0)""")

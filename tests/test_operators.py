@@ -82,9 +82,9 @@ def test_components_long_chain(spark):
 def test_nearest_far_points_and_ties(spark):
     items = spark.createDataFrame([("b", 0.0, 0.0), ("a", 0.0, 0.0), ("c", 1000.0, 0.0)], "iid string, x double, y double")
     pts = spark.createDataFrame([(1, 0.1, 0.0), (2, 700.0, 0.0), (3, 499.0, 10.0), (4, -5000.0, 3.0)], "pid int, x double, y double")
-    got = spatial.nearest(pts, items, "pid", "iid", "x", "y", "x", "y", 5.0)
+    got = spatial.nearest(pts, items, "pid", "iid", "x", "y", "x", "y")
     assert rows(got, "pid", "iid") == [(1, "a"), (2, "c"), (3, "a"), (4, "a")]
-    assert rows(spatial.nearest(pts, items, "pid", "iid", "x", "y", "x", "y", 5.0, limit=20.0), "pid", "iid") == [(1, "a")]
+    assert rows(spatial.nearest(pts, items, "pid", "iid", "x", "y", "x", "y", limit=20.0), "pid", "iid") == [(1, "a")]
 
 
 def boxes(spark, items, conf=True):
@@ -232,3 +232,53 @@ def test_hot_key_vote_is_whole(spark):
                                    (F.col("id") % 2 == 0).alias("occupied"), F.lit("m").alias("mission_id"), F.lit("b").alias("backend"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("observed_at"))
     hot = vote.vote_states(obs, "2024-01-01 01:00:00").filter("bay_id = 'hot'").first()
     assert (hot.n, hot.occ, hot.occupied) == (1000, 500, False)
+
+
+def test_closest_far_sets_and_piles(spark):
+    """Two sets far apart, a pile and a point very far away: every point is answered, without all pairs."""
+    rnd = random.Random(11)
+    items = [(f"i{k:04d}", rnd.uniform(0, 100), rnd.uniform(0, 100)) for k in range(800)] + [(f"p{k}", 3.0, 4.0) for k in range(400)]
+    pts = [(k, rnd.uniform(2900, 3000), rnd.uniform(0, 100)) for k in range(300)] + [(1000, 1e9, -5.0), (1001, 3.0, 4.0), (1002, None, 1.0)]
+    got = spatial.nearest(spark.createDataFrame(pts, "pid int, x double, y double"), spark.createDataFrame(items, "iid string, x double, y double"), "pid", "iid", "x", "y", "x", "y")
+    want = {}
+    for p, x, y in pts:
+        if x is not None:
+            want[p] = min((math.hypot(x - a, y - b), i) for i, a, b in items)
+    assert {r.pid: r.iid for r in got.collect()} == {p: i for p, (_, i) in want.items()}
+    assert spatial.nearest(spark.createDataFrame([(1, 0.0, 0.0)], "pid int, x double, y double"), spark.createDataFrame([], "iid string, x double, y double"), "pid", "iid", "x", "y", "x", "y").count() == 0
+    a, b = spark.createDataFrame([(x, y) for _, x, y in items], "x double, y double"), spark.createDataFrame([(x, y) for _, x, y in pts if x is not None and x < 1e6], "x double, y double")
+    assert spatial.min_separation(a, b).first().min_m == 0.0
+    assert spatial.min_separation(a, b.filter("x > 100")).first().min_m == pytest.approx(min(d for p, (d, _) in want.items() if p < 1000))
+
+
+def test_closest_segments_and_k(spark):
+    rnd = random.Random(12)
+    segs = [(rnd.uniform(0, 500), rnd.uniform(0, 500), rnd.uniform(0, 500), rnd.uniform(0, 500)) for _ in range(60)]
+    pts = [(k, rnd.uniform(-3000, 3000), rnd.uniform(-3000, 3000)) for k in range(50)]
+
+    def d(x, y, s):
+        ax, ay, bx, by = s
+        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    p = spark.createDataFrame(pts, "pid int, x double, y double")
+    got = {r.pid: r.dist for r in spatial.off_route(p, spark.createDataFrame(segs, "ax double, ay double, bx double, by double"), "pid", "x", "y").collect()}
+    assert all(got[k] == pytest.approx(min(d(x, y, s) for s in segs)) for k, x, y in pts)
+    items = [(i, i % 2, rnd.uniform(0, 50), rnd.uniform(0, 50)) for i in range(300)] + [(1000 + i, 0, 7.0, 7.0) for i in range(200)]
+    near = spatial.k_nearest(p.withColumn("g", F.col("pid") % 3), spark.createDataFrame(items, "iid int, g int, x double, y double"), "pid", "iid", 4, "g")
+    want = {(k, i) for k, x, y in pts for _, i in sorted((math.hypot(x - a, y - b), i) for i, g, a, b in items if g == k % 3)[:4]}
+    assert set(rows(near, "pid", "iid")) == want
+
+
+def test_closest_on_the_sphere(spark):
+    """At latitude 45 and at the date line, against the haversine of all pairs."""
+    rnd = random.Random(13)
+    items = [(f"i{k:03d}", rnd.choice([23.0, 179.99, -179.99]) + rnd.uniform(-0.01, 0.01) / 2, 45.0 + rnd.uniform(-0.2, 0.2)) for k in range(200)]
+    pts = [(k, rnd.choice([23.0, 179.995, -179.995]), 45.0 + rnd.uniform(-0.3, 0.3)) for k in range(60)]
+    got = spatial.nearest_geo(spark.createDataFrame(pts, "pid int, lon double, lat double"), spark.createDataFrame(items, "iid string, lon double, lat double"), "pid", "iid")
+
+    def h(lon, lat, lon2, lat2):
+        a, b = math.radians(lat), math.radians(lat2)
+        return math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon) / 2) ** 2
+
+    assert {r.pid: r.iid for r in got.collect()} == {k: min((h(x, y, a, b), i) for i, a, b in items)[1] for k, x, y in pts}
