@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from .numeric import col
+from .text import parking_kind
 
 # Metres per degree and earth radius used for distances.
 METRES_PER_DEGREE = 111320.0
@@ -200,7 +201,7 @@ BAY_TURN_DEG = {"parallel": 0.0, "perpendicular": 90.0, "angled": 45.0}
 
 def bay_rectangle(cx, cy, street_deg, kind) -> Column:
     """Bay outline for a street bearing and a parking kind (unknown kinds lie parallel)."""
-    k = col(kind)
+    k = parking_kind(kind)
 
     def pick(values):
         out = F.lit(values["parallel"])

@@ -243,3 +243,16 @@ def key_hash(secret) -> Column:
 def rebase_time(ts, first_ts, start) -> Column:
     """Shift a flight so that its first record falls on ``start``."""
     return col(start) + (col(ts) - col(first_ts))
+
+
+# Beginnings of the source's words for how cars stand, and the kinds they name.
+PARKING_KINDS = {"надлъж": "parallel", "напреч": "perpendicular", "кос": "angled"}
+
+
+def parking_kind(value) -> Column:
+    """``parallel``, ``perpendicular`` or ``angled`` for the source's wording; other words stay as they are."""
+    word = col(value)
+    out = word
+    for start, kind in PARKING_KINDS.items():
+        out = F.when(F.lower(F.trim(word)).startswith(start), F.lit(kind)).otherwise(out)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import col
+from ..functions.text import parking_kind
 from ..session import cut
 from .scan import chunk_of
 
@@ -197,7 +198,7 @@ def segments(runs: DataFrame, piece_m: float = 18.0) -> DataFrame:
 def plausibility_gate(counted: DataFrame, runs: DataFrame, parallel_m: float = 4.0, across_m: float = 2.2) -> tuple[DataFrame, DataFrame]:
     """``(kept, dropped)``: counts denser than cars can stand are dropped; skipped and uncounted ones are neither."""
     scored = counted.filter(~F.coalesce(F.col("skip"), F.lit(False)) & F.col("count").isNotNull()).join(runs.select("run_id", "park_txt"), "run_id", "left")
-    floor = F.when(F.col("park_txt") == "perpendicular", across_m).otherwise(parallel_m)
+    floor = F.when(parking_kind("park_txt") == "perpendicular", across_m).otherwise(parallel_m)
     dense = F.col("park_txt").isNotNull() & (F.col("count") > 0) & ((F.col("s1") - F.col("s0")) / F.nullif(F.col("count"), F.lit(0)) < floor)
     tagged = scored.withColumn("dense", F.coalesce(dense, F.lit(False)))
     return tagged.filter(~F.col("dense")).drop("dense"), tagged.filter("dense").drop("dense")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
 from ..functions.numeric import axis_diff, count_if, ratio
-from ..functions.text import norm_street
+from ..functions.text import norm_street, parking_kind
 from ..session import cut
 from .components import link_points
-from .spatial import box_pairs, cell, near_pairs, nearest, nearest_road
+from .spatial import box_pairs, cell, closest_road, near_pairs, nearest
 from .stats import percentiles
 
 
@@ -21,7 +21,7 @@ def view_scatter(points: DataFrame, r: float = 2.0, min_views: int = 3) -> DataF
     mid = looks.groupBy("label").agg(F.count(F.lit(1)).alias("views"), (F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my")).filter(F.col("views") >= min_views)
     off = m.join(mid, "label").withColumn("sq", (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2)
     rms = off.groupBy("label").agg(F.sqrt(F.avg("sq")).alias("rms"))
-    return percentiles(rms, [], "rms", {"median_m": (0.5, "upper_median"), "p90_m": (0.9, "nearest")}, 0.05, extra=[F.max("size").cast("bigint").alias("clusters")])
+    return percentiles(rms, [], "rms", {"median_m": (0.5, "upper_median"), "p90_m": (0.9, "nearest")}, extra=[F.max("size").cast("bigint").alias("clusters")])
 
 
 # ---- street graph ------------------------------------------------------------
@@ -59,13 +59,13 @@ FAR_M, SKEW_DEG = 15.0, 25.0
 def bay_audit(bays: DataFrame, roads: DataFrame, buildings: DataFrame, far_m: float = FAR_M, skew_deg: float = SKEW_DEG, size: float = 40.0) -> DataFrame:
     """Each bay against the map: distance to and angle with the nearest road, building below it, name agreement."""
     axis = geo.long_axis_deg(F.col("ring"))
-    road = nearest_road(bays.withColumn("street", F.lit(None).cast("string")), roads, 320.0).select("bay_id", F.col("dist").alias("road_m"), "bearing_deg", F.col("name").alias("road"))
+    road = closest_road(bays, roads).select("bay_id", F.col("dist").alias("road_m"), "bearing_deg", F.col("name").alias("road"))
     under = near_pairs(bays.select("bay_id", "x", "y"), buildings.select(F.col("ring").alias("__bring"), geo.bbox(F.col("ring")).alias("bb")),
                        "x", "y", ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), 0.0, size)
     under = under.filter(geo.point_in_ring("x", "y", F.col("__bring"))).select("bay_id").distinct().withColumn("__in", F.lit(True))
     j = bays.join(road, "bay_id", "left").join(under, "bay_id", "left")
     diff = axis_diff(axis, F.pmod(F.col("bearing_deg"), F.lit(180.0)))
-    skew = F.when(F.col("park_txt") == "parallel", diff).otherwise(axis_diff(diff, F.lit(90.0)))
+    skew = F.when(parking_kind("park_txt") == "parallel", diff).otherwise(axis_diff(diff, F.lit(90.0)))
     ls = geo.long_short(geo.open_ring(F.col("ring")))
     out = j.select("bay_id", "street", "park_txt", F.round("road_m", 2).alias("road_m"), "road", F.round(skew, 1).alias("skew_deg"),
                    F.round(ls.long_m, 2).alias("long_m"), F.round(ls.short_m, 2).alias("short_m"), F.coalesce("__in", F.lit(False)).alias("in_building"),
@@ -79,15 +79,15 @@ def audit_report(audit: DataFrame, by: str = "street", min_group: int = 10) -> D
     """Per group: bays, road distance median and p90, skew median, flagged share; worst first, small groups out."""
     n = audit.groupBy(by).agg(F.count(F.lit(1)).alias("bays"), count_if(F.col("in_building")).alias("in_building"), count_if(F.col("flagged")).alias("flagged"))
     n = n.filter(F.col("bays") >= min_group)
-    d = percentiles(audit, [by], "road_m", {"road_p50": (0.5, "nearest"), "road_p90": (0.9, "nearest")}, 2.0)
-    s = percentiles(audit, [by], "skew_deg", {"skew_p50": (0.5, "nearest")}, 5.0)
+    d = percentiles(audit, [by], "road_m", {"road_p50": (0.5, "nearest"), "road_p90": (0.9, "nearest")})
+    s = percentiles(audit, [by], "skew_deg", {"skew_p50": (0.5, "nearest")})
     out = n.join(d, by, "left").join(s, by, "left").withColumn("flag_share", F.col("flagged") / F.col("bays"))
     return out.orderBy(F.col("flag_share").desc(), F.col("bays").desc(), F.col(by))
 
 
 def distance_histogram(audit: DataFrame, column: str = "road_m", width: float = 5.0, last: int = 7) -> DataFrame:
-    """Bays per ``width`` metres, everything from ``last`` widths on in one bin."""
-    return audit.filter(F.col(column).isNotNull()).groupBy(F.least(F.floor(F.col(column) / width), F.lit(last)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("bays"))
+    """Bays per ``width`` metres, everything from ``last`` widths on, and what has no distance, in one bin."""
+    return audit.groupBy(F.coalesce(F.least(F.floor(F.col(column) / width), F.lit(last)), F.lit(last)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("bays"))
 
 
 def geometry_diff(old: DataFrame, new: DataFrame, turned_deg: float = 5.0, moved_m: float = 1e-6) -> DataFrame:
@@ -123,7 +123,7 @@ def pair_agreement(pairs: DataFrame) -> DataFrame:
     n = pairs.agg(F.count(F.lit(1)).alias("pairs"), count_if(F.col("same_id")).alias("same_id"))
     from .serve import side_by_side
 
-    p = [percentiles(pairs, [], c, {f"{c}_p50": (0.5, "nearest"), f"{c}_p90": (0.9, "nearest")}, 0.25) for c in ("along_m", "across_m")]
+    p = [percentiles(pairs, [], c, {f"{c}_p50": (0.5, "nearest"), f"{c}_p90": (0.9, "nearest")}) for c in ("along_m", "across_m")]
     return side_by_side(n, *p)
 
 
@@ -142,14 +142,14 @@ def unassigned_report(dets: DataFrame, rejected: DataFrame, bays: DataFrame, rad
     counts = rejected.agg(F.count(F.lit(1)).alias("unmatched"), count_if(F.col("nearest_m") <= 2 * radius).alias("within_2r"),
                           count_if(F.col("nearest_m") <= 3.0).alias("within_3m"), count_if(F.col("nearest_m") <= 5.0).alias("within_5m"))
     inside = points_in_areas(rejected.select("event_id", "x", "y"), bays.select("ring"), "x", "y", size=size).select("event_id").distinct().agg(F.count(F.lit(1)).alias("inside"))
-    p = percentiles(rejected, [], "nearest_m", {"nearest_p10": (0.1, "truncate"), "nearest_p50": (0.5, "truncate"), "nearest_p90": (0.9, "truncate")}, 0.5)
+    p = percentiles(rejected, [], "nearest_m", {"nearest_p10": (0.1, "truncate"), "nearest_p50": (0.5, "truncate"), "nearest_p90": (0.9, "truncate")})
     return side_by_side(total, counts, inside, p).withColumn("unmatched_share", F.round(ratio("unmatched", "detections"), 4))
 
 
 def class_breakdown(dets: DataFrame, top: int = 12) -> DataFrame:
     """Most frequent classes with median and greatest confidence."""
     n = dets.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf_max"))
-    p = percentiles(dets, ["cls"], "conf", {"conf_p50": (0.5, "upper_median")}, 0.05)
+    p = percentiles(dets, ["cls"], "conf", {"conf_p50": (0.5, "upper_median")})
     return n.join(p, "cls").orderBy(F.col("n").desc(), F.col("cls")).limit(top)
 
 
@@ -160,7 +160,7 @@ def frame_overview(frames: DataFrame, dets: DataFrame) -> DataFrame:
     per = frames.select("frame").distinct().join(dets.groupBy("frame").agg(F.count(F.lit(1)).alias("n")), "frame", "left")
     a = per.agg(F.count(F.lit(1)).alias("frames"), count_if(F.col("n").isNull()).alias("empty_frames"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("detections"))
     b = dets.withColumns({"__w": F.col("x1") - F.col("x0"), "__h": F.col("y1") - F.col("y0")})
-    return side_by_side(a, percentiles(b, [], "__w", {"w_p50": (0.5, "upper_median")}, 8.0), percentiles(b, [], "__h", {"h_p50": (0.5, "upper_median")}, 8.0))
+    return side_by_side(a, percentiles(b, [], "__w", {"w_p50": (0.5, "upper_median")}), percentiles(b, [], "__h", {"h_p50": (0.5, "upper_median")}))
 
 
 def offset_grid_search(dets: DataFrame, bays: DataFrame, reach: float = 8.0, step: float = 0.5, radius: float = 3.0, size: float = 12.0) -> DataFrame:
@@ -171,7 +171,7 @@ def offset_grid_search(dets: DataFrame, bays: DataFrame, reach: float = 8.0, ste
              .withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy"), "pid": F.struct("event_id", "dx", "dy")}))
     near = nearest(moved, bays, "pid", "bay_id", "x", "y", "x", "y", size=size).select("pid.dx", "pid.dy", "dist")
     hits = near.groupBy("dx", "dy").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("dist") <= radius).alias("hits"))
-    return hits.join(percentiles(near, ["dx", "dy"], "dist", {"median_m": (0.5, "upper_median")}, 0.5), ["dx", "dy"])
+    return hits.join(percentiles(near, ["dx", "dy"], "dist", {"median_m": (0.5, "upper_median")}), ["dx", "dy"])
 
 
 def raster_shift_search(paint: DataFrame, marks: DataFrame, cell_m: float, reach: float) -> DataFrame:

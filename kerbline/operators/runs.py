@@ -69,7 +69,7 @@ def build_runs(bays: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame
     seq = ordered_scan(placed, ["label"], ["proj", "ord"], chunk, lag={"px": "x", "py": "y"}, row_number="seq")
     gap = F.when(F.col("px").isNotNull(), geo.distance("px", "py", "x", "y"))
     seq = cut(seq.withColumn("gap", gap))
-    pitch = percentiles(seq.filter("gap is not null"), ["label"], "gap", {"pitch": (0.5, "upper_median")}, 1.0)
+    pitch = percentiles(seq.filter("gap is not null"), ["label"], "gap", {"pitch": (0.5, "upper_median")})
     along = ordered_scan(seq, ["label"], ["proj", "ord"], chunk, running_sum={"run_s": F.coalesce("gap", F.lit(0.0))})
     ids = F.concat(F.lit("run_"), F.col("label").cast("string"))
     total = along.groupBy("label").agg(F.max("run_s").alias("len"))
@@ -118,9 +118,9 @@ def lateral_fit(points: DataFrame, segments: DataFrame, runs: DataFrame, max_m:
     Median and spread are upper medians; fewer than ``min_n`` points give 0 and no spread.
     """
     near = cut(locate(points, segments, "event_id", "x", "y", "run_id", max_m))
-    med = percentiles(near, ["run_id"], "lateral", {"med": (0.5, "upper_median")}, 0.1, extra=[F.max("size").alias("n")])
+    med = percentiles(near, ["run_id"], "lateral", {"med": (0.5, "upper_median")}, extra=[F.max("size").alias("n")])
     dev = near.join(med.select("run_id", "med"), "run_id").withColumn("dev", F.abs(F.col("lateral") - F.col("med")))
-    mad = percentiles(dev, ["run_id"], "dev", {"mad": (0.5, "upper_median")}, 0.1)
+    mad = percentiles(dev, ["run_id"], "dev", {"mad": (0.5, "upper_median")})
     j = runs.select("run_id").join(med, "run_id", "left").join(mad, "run_id", "left")
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     return j.select("run_id", F.when(n >= min_n, F.col("med")).otherwise(0.0).alias("delta"), n.alias("n"), F.when(n >= min_n, F.col("mad")).alias("mad"))

@@ -149,7 +149,7 @@ def classify_latency(jobs: DataFrame, as_of, window_s: float) -> DataFrame:
     counts = done.agg(
         F.count(F.lit(1)).alias("finished_in_window"), F.round(F.avg("took"), 3).alias("avg_s"),
         failed.alias("failed_in_window"), F.round(ratio(failed, F.count(F.lit(1))), 4).alias("failure_rate"))
-    ranks = percentiles(done, [], "took", {"p50_s": (0.5, "continuous"), "p95_s": (0.95, "continuous")}, width=60.0)
+    ranks = percentiles(done, [], "took", {"p50_s": (0.5, "continuous"), "p95_s": (0.95, "continuous")})
     return side_by_side(counts, ranks.select(F.round("p50_s", 3).alias("p50_s"), F.round("p95_s", 3).alias("p95_s")))
 
 

@@ -187,6 +187,16 @@ def nearest_road(bays: DataFrame, roads: DataFrame, snap_m: float = MAX_SNAP_M)
                        b["name"].alias("name"), F.col("own").isNotNull().alias("named"))
 
 
+def closest_road(bays: DataFrame, roads: DataFrame) -> DataFrame:
+    """``(bay_id, dist, bearing_deg, name)``: the closest road of all, however far."""
+    segs = roads.filter(geo.distance("ax", "ay", "bx", "by") > 0).select(
+        F.degrees(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))).alias("bearing_deg"), "name", "ax", "ay", "bx", "by",
+        F.least("ax", "bx").alias("lo0"), F.least("ay", "by").alias("lo1"), F.greatest("ax", "bx").alias("hi0"), F.greatest("ay", "by").alias("hi1")).distinct()
+    pts = bays.select(F.col("bay_id").alias("point"), F.col("x").alias("p0"), F.col("y").alias("p1"))
+    found = closest(pts, segs, 2, lambda: geo.segment_distance("p0", "p1", "ax", "ay", "bx", "by"), "bearing_deg")
+    return found.select(F.col("point").alias("bay_id"), "dist", "bearing_deg", "name")
+
+
 def street_bearing(bays: DataFrame, roads: DataFrame, snap_m: float = MAX_SNAP_M) -> DataFrame:
     """``(bay_id, bearing_deg)`` in [0, 180): road direction, else the axis of the six nearest bays of the
     street, else the direction to the nearest bay of all."""

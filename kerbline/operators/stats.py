@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import count_if, ratio
 from ..session import cut
-from .scan import chunk_of, ordered_scan
+from .scan import ordered_scan
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, picks: dict[str, tuple[float, str]], width: float = 1.0,
+def percentiles(df: DataFrame, by: list[str], value: str, picks: dict[str, tuple[float, str]],
                 extra: list[Column] | None = None) -> DataFrame:
     """Exact percentiles per group without gathering a group in one task.
 
-    Values are counted (combined map-side), ranked chunk by chunk along the value axis and picked
-    by rank.  Methods: ``continuous`` interpolates; ``nearest`` takes rank ``round((n-1)q)`` half
+    Values are counted (combined map-side), dealt by range into as many chunks as their number asks for, ranked chunk by
+    chunk and picked by rank.  Methods: ``continuous`` interpolates; ``nearest`` takes rank ``round((n-1)q)`` half
     to even; ``truncate`` takes ``floor(n q)``; ``upper_median`` takes ``floor(n/2)``.
     A global call (``by`` empty) gives one row even without data.
     """
@@ -23,8 +23,8 @@ def percentiles(df: DataFrame, by: list[str], value: str, picks: dict[str, tuple
     if not by:
         src = src.withColumn("__all", F.lit(0))
     hist = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("cnt"))
-    hist = cut(hist)
-    ranked = ordered_scan(hist, keys, ["__v"], chunk_of("__v", width), running_sum={"upto": F.col("cnt")}, total={"size": F.col("cnt")})
+    hist = cut(hist.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
+    ranked = ordered_scan(hist, keys, ["__v"], F.col("__range"), running_sum={"upto": F.col("cnt")}, total={"size": F.col("cnt")})
 
     def at(idx: Column) -> Column:
         return F.max(F.when((idx >= F.col("upto") - F.col("cnt")) & (idx < F.col("upto")), F.col("__v")))
@@ -67,7 +67,7 @@ def fit_translation(pairs: DataFrame, by: list[str], min_n: int = 3, width: floa
                                     F.avg(F.col("by_") - F.col("ay")).alias("dy")).filter(F.col("n") >= min_n))
     rest = pairs.join(shift.select(*by, "dx", "dy"), by).withColumn(
         "resid", F.hypot(F.col("ax") + F.col("dx") - F.col("bx"), F.col("ay") + F.col("dy") - F.col("by_")))
-    p = percentiles(rest, by, "resid", {"resid_p50": (0.5, "nearest"), "resid_p90": (0.9, "nearest")}, width)
+    p = percentiles(rest, by, "resid", {"resid_p50": (0.5, "nearest"), "resid_p90": (0.9, "nearest")})
     return shift.join(p, by)
 
 
@@ -85,7 +85,7 @@ def fit_similarity(pairs: DataFrame, by: list[str], min_n: int = 3, width: float
     c, s = F.cos("theta") * F.col("scale"), F.sin("theta") * F.col("scale")
     rest = pairs.join(fit.drop("n"), by).withColumn(
         "resid", F.hypot(ux * c - uy * s + F.col("mbx") - F.col("bx"), ux * s + uy * c + F.col("mby") - F.col("by_")))
-    p = percentiles(rest, by, "resid", {"resid_p50": (0.5, "nearest"), "resid_p90": (0.9, "nearest")}, width)
+    p = percentiles(rest, by, "resid", {"resid_p50": (0.5, "nearest"), "resid_p90": (0.9, "nearest")})
     return fit.withColumn("rotation_deg", F.degrees("theta")).drop("theta", "max", "may", "mbx", "mby").join(p, by)
 
 

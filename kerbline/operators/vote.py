@@ -222,7 +222,7 @@ def retention_sweep(frames: DataFrame, jobs: DataFrame, deltas: DataFrame, as_of
     Frames whose job never finished stay and are counted as stuck.
     """
     old = F.col("received_at") < minus_seconds(as_time(as_of), keep_s)
-    expired = F.col("created_at") < minus_seconds(as_time(as_of), delta_keep_s)
+    expired = F.coalesce(F.col("created_at") < minus_seconds(as_time(as_of), delta_keep_s), F.lit(False))
     aged = frames.filter(old).join(jobs.select("frame_id", "status"), "frame_id")
     gone = aged.filter(F.col("status").isin("processed", "failed")).select("frame_id")
     kept = frames.join(gone, "frame_id", "left_anti")

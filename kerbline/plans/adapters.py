@@ -43,11 +43,11 @@ VIEWS: dict[str, str] = {
  concat('a',cast(user_id%3 as string)) survey_area, cast(event_id%400 as int) frame_idx, ts received_at from events""",
     "v_gt_box": """select l_orderkey%500 frame, l_orderkey*10+l_linenumber box_id, (l_partkey%20)*90.0e0 x0,
  (cast(floor(l_partkey/20) as bigint)%10)*100.0e0 y0, (l_partkey%20)*90.0e0+80.0e0 x1,
- (cast(floor(l_partkey/20) as bigint)%10)*100.0e0+60.0e0 y1 from lineitem where l_linenumber=1""",
+ (cast(floor(l_partkey/20) as bigint)%10)*100.0e0+60.0e0 y1 from lineitem""",
     "v_det_box": """select l_orderkey%500 frame, l_orderkey*10+l_linenumber box_id, (l_partkey%20)*90.0e0+(l_quantity-25.0e0)*2 x0,
  (cast(floor(l_partkey/20) as bigint)%10)*100.0e0 y0, (l_partkey%20)*90.0e0+80.0e0+(l_quantity-25.0e0)*2 x1,
  (cast(floor(l_partkey/20) as bigint)%10)*100.0e0+60.0e0 y1, 1.0e0-l_discount*5 conf
- from lineitem where l_linenumber=1 and l_tax<0.06e0""",
+ from lineitem""",
     # bay state as stored: one row per bay, some stale, some without a verdict
     "v_state": """select bay_id, case when cast(bay_id as int)%10=9 then null else 2*occ>n end occupied,
  greatest(occ,n-occ)/cast(n as double) confidence, earlier_days(seen, cast(bay_id as int)%15) updated_at,

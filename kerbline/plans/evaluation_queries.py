@@ -235,10 +235,10 @@ def jon22(spark, sf):
     return evidence.best_view(shots(spark, sf)).withColumn("off", r(F.col("off"), 3))
 
 
-@query("JON23_min_separation", """with a as (select x, y from v_bay where floor(ord/40)<10), b as (select x, y from v_bay where floor(ord/40)>=14) select round(min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))),4) min_m from a, b""")
+@query("JON23_min_separation", """with a as (select x, y from v_bay where floor(ord/40)<10), b as (select x, y from v_bay where floor(ord/40)>=10) select round(min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))),4) min_m from a, b""")
 def jon23(spark, sf):
     b = view(spark, sf, "v_bay").withColumn("row", F.floor(F.col("ord") / 40))
-    return spatial.min_separation(b.filter("row<10"), b.filter("row>=14")).select(r(F.col("min_m")).alias("min_m"))
+    return spatial.min_separation(b.filter("row<10"), b.filter("row>=10")).select(r(F.col("min_m")).alias("min_m"))
 
 
 @query("JON23_buffer_exclude", """select a.bay_id from v_bay a where floor(ord/40)<10 and not exists (select 1 from v_bay b where floor(b.ord/40)>=10 and pow(a.x-b.x,2)+pow(a.y-b.y,2) < 625.0e0)""")
@@ -299,7 +299,7 @@ def agg17(spark, sf):
  select event_id, coalesce("count">0 and (s1-s0)/nullif("count",0) < case when park_txt='perpendicular' then 2.2e0 else 4.0e0 end and park_txt is not null, false) dropped from s left join r using (run_id) where not skip and "count" is not null""")
 def agg18(spark, sf):
     s = view(spark, sf, "v_span").select("event_id", "run_id", "s0", "s1", F.expr("case when event_id%7=0 then null else event_id%5 end").alias("count"), F.expr("event_id%11=0").alias("skip"))
-    rr = view(spark, sf, "v_run").select("run_id", F.expr("case when cast(substr(run_id,5) as int)%2=0 then 'perpendicular' else 'parallel' end").alias("park_txt"))
+    rr = view(spark, sf, "v_run").select("run_id", F.expr("case when cast(substr(run_id,5) as int)%2=0 then 'Напречно' else 'Надлъжно' end").alias("park_txt"))
     kept, dropped = intervals.plausibility_gate(s, rr)
     return kept.select("event_id", F.lit(False).alias("dropped")).unionByName(dropped.select("event_id", F.lit(True).alias("dropped")))
 
@@ -309,11 +309,14 @@ def buildings(spark, sf):
     return b.select(F.col("bay_id").alias("osm_id"), geo.rectangle(F.col("x") + 1.0, F.col("y") + 1.5, F.lit(1.0), F.lit(0.0), F.lit(9.0), F.lit(5.0)).alias("ring"))
 
 
-@query("AGG20_bay_audit", """with a as (select b.bay_id, b.street, b.park_txt, s.name, sqrt(dd) d, degrees(atan2(s.by_-s.ay,260.0e0)) brg, b.deg + case b.park_txt when 'perpendicular' then 90.0e0 when 'angled' then 45.0e0 else 0.0e0 end ax, b.x, b.y,
+AUDIT = """with a as (select b.bay_id, b.street, b.park_txt, s.name, sqrt(dd) d, degrees(atan2(s.by_-s.ay,260.0e0)) brg, b.deg + case b.park_txt when 'perpendicular' then 90.0e0 when 'angled' then 45.0e0 else 0.0e0 end ax, b.x, b.y,
  row_number() over (partition by b.bay_id order by dd) rn from v_ring b join (select *, 260.0e0 dx, by_-ay dy from v_road) s on abs(b.y-s.ay)<=30, lateral (select greatest(0.0e0,least(1.0e0,((b.x-s.ax)*s.dx+(b.y-s.ay)*s.dy)/(s.dx*s.dx+s.dy*s.dy))) t) q,
  lateral (select pow(b.x-s.ax-q.t*s.dx,2)+pow(b.y-s.ay-q.t*s.dy,2) dd) z),
  f as (select *, least(abs(ax-brg)%180, 180-abs(ax-brg)%180) df from a where rn=1), g as (select *, case when park_txt='parallel' then df else 90-df end sk, exists (select 1 from v_bay h where h.ord%50<3 and abs(f.x-h.x-1)<4.5 and abs(f.y-h.y-1.5)<2.5) inb from f)
- select bay_id, round(d,2) road_m, round(sk,1) skew_deg, inb in_building, coalesce(name=street,false) name_ok, inb or round(d,2)>15 or round(sk,1)>25 flagged from g""")
+ select bay_id, round(d,2) road_m, round(sk,1) skew_deg, inb in_building, coalesce(name=street,false) name_ok, inb or round(d,2)>15 or round(sk,1)>25 flagged from g"""
+
+
+@query("AGG20_bay_audit", AUDIT)
 def agg20(spark, sf):
     return audit(spark, sf).select("bay_id", "road_m", "skew_deg", "in_building", F.coalesce("name_ok", F.lit(False)).alias("name_ok"), "flagged")
 
@@ -322,12 +325,14 @@ def audit(spark, sf):
     return reports.bay_audit(ringed(spark, sf), roads(spark, sf), buildings(spark, sf))
 
 
-@query("AGG21_audit_report")
+@query("AGG21_audit_report", f"""with z as (select q.*, v.street from ({AUDIT}) q join v_bay v using (bay_id)), g as (select street, count(*) bays, count(case when in_building then 1 end) in_building, count(case when flagged then 1 end) flagged,
+ list_sort(list(road_m)) r, list_sort(list(skew_deg)) s from z group by 1 having count(*)>=10)
+select street, bays, in_building, flagged, r[cast(round_even((bays-1)*0.5,0) as int)+1] road_p50, r[cast(round_even((bays-1)*0.9,0) as int)+1] road_p90, s[cast(round_even((bays-1)*0.5,0) as int)+1] skew_p50, flagged/bays flag_share from g""")
 def agg21(spark, sf):
     return reports.audit_report(audit(spark, sf))
 
 
-@query("AGG21_distance_histogram")
+@query("AGG21_distance_histogram", f"select cast(least(floor(road_m/5.0e0),7) as int) bin, count(*) bays from ({AUDIT}) q group by 1")
 def agg21b(spark, sf):
     return reports.distance_histogram(audit(spark, sf))
 

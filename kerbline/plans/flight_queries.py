@@ -134,10 +134,10 @@ def win22b(spark, sf):
     return datasets.split_by_range(ev(spark, sf, "select event_id from events"), "event_id", F.col("event_id") >= 7000, [(100, 250), (8000, 8010)])
 
 
-@query("WIN23_suggest_splits", """with p as (select ord n, x+(ord%3)*0.1e0 x, y from v_bay where ord%3=0), c as (select unnest(range(0, (select cast(max(n) as int)+1 from p), 60)) cut) select cast(cut as bigint) cut, (select count(*) from p where n<cut) train, (select count(*) from p where n>=cut) val,
+@query("WIN23_suggest_splits", """with p as (select ord n, x+(ord%3)*0.1e0 x, y from v_bay), c as (select unnest(range(0, (select cast(max(n) as int)+1 from p), 60)) cut) select cast(cut as bigint) cut, (select count(*) from p where n<cut) train, (select count(*) from p where n>=cut) val,
  round((select min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) from p a, p b where a.n<cut and b.n>=cut),4) min_m, (select min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) from p a, p b where a.n<cut and b.n>=cut)>=25 ok from c where (select count(*) from p where n<cut)>=5 and (select count(*) from p where n>=cut)>=3""")
 def win23(spark, sf):
-    p = view(spark, sf, "v_bay").filter("ord%3=0").withColumn("x", F.col("x") + F.col("ord") % 3 * F.lit(0.1))
+    p = view(spark, sf, "v_bay").withColumn("x", F.col("x") + F.col("ord") % 3 * F.lit(0.1))
     return datasets.suggest_splits(p, "ord", 60).withColumn("min_m", r(F.col("min_m")))
 
 
@@ -179,14 +179,14 @@ def src01(spark, sf):
     return back.select("id", "zona", r(geo.vertex_centroid(geo.open_ring(features.as_points(F.get("coords", F.lit(0))))).x).alias("x"))
 
 
-@query("SRC02_load_bays", """select bay_id, case when ord%5=0 then null else zona end zona, street, is_public, case when ord%4=0 then null else ord%90*1.0e0 end bearing_deg, round(x,4) x, round(y,4) y from v_bay""")
+@query("SRC02_load_bays", """select bay_id, case when ord%5=0 then null else zona end zona, street, park_txt, is_public, case when ord%4=0 then null else ord%90*1.0e0 end bearing_deg, round(x,4) x, round(y,4) y from v_bay""")
 def src02(spark, sf):
     b = ringed(spark, sf).select(F.col("ord").alias("id"), F.expr("case when ord%5=0 then ' - ' else zona end").alias("zona"), F.col("street").alias("mestopoloz"), "park_txt",
                                  F.when(F.col("is_public"), text.PUBLIC_ZONE).otherwise("друго").alias("vid_txt_20"), F.expr("case when ord%4=0 then 'n/a' else cast(ord%90 as string) end").alias("bearing_deg"), "ring")
     path = scratch_path(spark, "bays")
     sinks.write_features(b, path, "Polygon", "ring", ["id", "zona", "mestopoloz", "park_txt", "vid_txt_20", "bearing_deg"])
     out = features.load_bays(features.read_features(spark, path, "Polygon", features.BAY_PROPS))
-    return out.select("bay_id", "zona", "street", "is_public", "bearing_deg", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"))
+    return out.select("bay_id", "zona", "street", "park_txt", "is_public", "bearing_deg", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"))
 
 
 @query("SRC03_load_curb_runs", "select run_id, street, case when capacity%3=0 then 0 else capacity end capacity, cast(3 as int) vertices, capacity%2=0 verified from v_run")

@@ -16,8 +16,12 @@ CAM = Camera()
 FPX = repr(CAM.f) + "e0"
 
 
+# The source's own words, as files carry them.
+RAW_KIND = F.expr("case park_txt when 'perpendicular' then 'Напречно' when 'angled' then 'Косо' else 'Надлъжно' end")
+
+
 def ringed(spark, sf) -> DataFrame:
-    b = view(spark, sf, "v_bay").withColumn("deg", F.col("ord") % 7 * F.lit(3.0) + 1.0)
+    b = view(spark, sf, "v_bay").withColumn("park_txt", RAW_KIND).withColumn("deg", F.col("ord") % 7 * F.lit(3.0) + 1.0)
     return b.withColumn("ring", geo.bay_rectangle("x", "y", "deg", "park_txt"))
 
 
@@ -369,7 +373,7 @@ def sca10(spark, sf):
  round(quantile_cont(v, 0.9),6) continuous from r group by 1""")
 def sca11(spark, sf):
     p = stats.percentiles(table(spark, sf, "events"), ["event_type"], "value",
-                          {"nearest": (0.9, "nearest"), "truncated": (0.9, "truncate"), "upper_median": (0.5, "upper_median"), "continuous": (0.9, "continuous")}, 5.0)
+                          {"nearest": (0.9, "nearest"), "truncated": (0.9, "truncate"), "upper_median": (0.5, "upper_median"), "continuous": (0.9, "continuous")})
     return p.withColumn("continuous", r(F.col("continuous"), 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geo
-from ..functions.text import PUBLIC_ZONE, blank_to_null
+from ..functions.text import PUBLIC_ZONE, blank_to_null, parking_kind
 from ..operators.scan import latest_per_key
 
 _GEOM = {
@@ -48,7 +48,7 @@ def load_bays(features: DataFrame, order: Column | None = None) -> DataFrame:
     bearing = F.when(F.col("bearing_deg").rlike(r"^[+-]?\\d+(\\.\\d+)?([eE][+-]?\\d+)?$".replace("\\\\", "\\")), F.col("bearing_deg").cast("double"))
     out = features.filter((F.col("gtype") == "Polygon") & F.col("id").isNotNull() & F.col("coords").isNotNull()).select(
         F.col("id").cast("string").alias("bay_id"), blank_to_null("zona").alias("zona"), blank_to_null("mestopoloz").alias("street"),
-        blank_to_null("park_txt").alias("park_txt"), F.coalesce(F.col("vid_txt_20") == PUBLIC_ZONE, F.lit(False)).alias("is_public"),
+        parking_kind(blank_to_null("park_txt")).alias("park_txt"), F.coalesce(F.col("vid_txt_20") == PUBLIC_ZONE, F.lit(False)).alias("is_public"),
         bearing.alias("bearing_deg"), geo.open_ring(ring).alias("ring"), *([order.alias("__o")] if order is not None else [F.monotonically_increasing_id().alias("__o")]))
     last = latest_per_key(out, ["bay_id"], F.col("__o")).drop("__o")
     return last.withColumn("__c", geo.vertex_centroid(F.col("ring"))).withColumns({"x": F.col("__c.x"), "y": F.col("__c.y")}).drop("__c")
@@ -60,7 +60,7 @@ RUN_PROPS = "run_id:string,street:string,zona:string,park_txt:string,capacity:bi
 def load_curb_runs(features: DataFrame) -> DataFrame:
     """Kerb rows from line features; only an explicit ``false`` makes a run unverified, missing capacity is 0."""
     return features.filter((F.col("gtype") == "LineString") & F.col("run_id").isNotNull()).select(
-        "run_id", blank_to_null("street").alias("street"), blank_to_null("zona").alias("zona"), blank_to_null("park_txt").alias("park_txt"),
+        "run_id", blank_to_null("street").alias("street"), blank_to_null("zona").alias("zona"), parking_kind(blank_to_null("park_txt")).alias("park_txt"),
         F.coalesce("capacity", F.lit(0)).cast("bigint").alias("capacity"), "pitch_m", "length_m", "bearing_deg",
         F.coalesce("verified", F.lit(True)).alias("verified"), "bay_ids", as_points(F.col("coords")).alias("line"))
 

@@ -69,7 +69,7 @@ def compare(spark, con, name: str, sf_dir: str = SF_DIR) -> str:
 def main() -> int:
     from kerbline.session import build_session
 
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+    spark = build_session("oracle", "local[4]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
                           spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck()

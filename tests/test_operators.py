@@ -38,7 +38,7 @@ def test_global_number_and_top_per_key(spark):
 def test_percentiles(spark):
     vals = [1.0, 2.0, 2.0, 5.0, 9.0, 9.5, 11.0]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    got = stats.percentiles(df, [], "v", {"c": (0.3, "continuous"), "n": (0.9, "nearest"), "t": (0.9, "truncate"), "u": (0.5, "upper_median")}, 2.0).first()
+    got = stats.percentiles(df, [], "v", {"c": (0.3, "continuous"), "n": (0.9, "nearest"), "t": (0.9, "truncate"), "u": (0.5, "upper_median")}).first()
     assert got.c == pytest.approx(1.8 * 0 + 2.0) and got.n == 9.5 and got.t == 11.0 and got.u == 5.0
 
 
