@@ -246,10 +246,13 @@ def src08(spark, sf):
     return frames.detections_for(poses, dets).groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("conf"), 6).alias("conf"))
 
 
-@query("SNK01_feature_collection", "select count(*) features from v_bay")
+@query("SNK01_feature_collection", "select bay_id, zona, round(x,4) x, cast(4 as int) corners from v_bay")
 def snk01(spark, sf):
-    doc = sinks.to_feature_collection(ringed(spark, sf), "Polygon", "ring", ["bay_id", "zona"])
-    return doc.select(F.size(F.from_json("value", "struct<features:array<struct<type:string>>>").features).cast("bigint").alias("features"))
+    path = scratch_path(spark, "collection")
+    sinks.write_feature_collection(ringed(spark, sf), path, "Polygon", "ring", ["bay_id", "zona"])
+    back = features.read_features(spark, path, "Polygon", "bay_id:string,zona:string")
+    ring = geo.open_ring(features.as_points(F.get("coords", F.lit(0))))
+    return back.select("bay_id", "zona", r(geo.vertex_centroid(ring).x).alias("x"), F.size(ring).alias("corners"))
 
 
 @query("SNK07_yolo_labels", "select frame, count(case when k then 1 end) boxes, count(*) lines from (select frame, frame%4<>0 k from v_gt_box where frame%4<>0 union all select distinct frame, false from v_gt_box where frame%4=0) t group by 1")

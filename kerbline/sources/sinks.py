@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scan import global_number
+
 
 def geojson_geometry(kind: str, points: Column) -> Column:
     """Geometry object of a point array: ``Polygon`` (closed here), ``LineString`` or ``Point`` (first one)."""
@@ -29,17 +31,22 @@ def write_features(df: DataFrame, path: str, kind: str, points: str, props: list
     features(df, kind, points, props).write.mode("overwrite").text(path)
 
 
-def to_feature_collection(df: DataFrame, kind: str, points: str, props: list[str], max_features: int = 50_000) -> DataFrame:
-    """A single FeatureCollection document for a map client.
+def to_feature_collection(df: DataFrame, kind: str, points: str, props: list[str]) -> DataFrame:
+    """``(n, value)``: the lines of one FeatureCollection document, in the order of ``n``, for a set of any size.
 
-    The set must be a map view: more than ``max_features`` rows raise an error instead of being cut, as
-    one document is one row.  An empty set gives ``"features": []``.
+    A comma and a line feed part a feature from the one before, so features are also lines of their own; an empty set gives an
+    empty list.
     """
-    rows = features(df, kind, points, props)
-    if rows.limit(max_features + 1).count() > max_features:
-        raise ValueError("too many features for one document; use write_features")
-    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}"))
-    return rows.agg(body.alias("value"))
+    spark = df.sparkSession
+    body = global_number(features(df, kind, points, props), ["value"], "n")
+    body = body.select("n", F.concat(F.when(F.col("n") > 1, ",\n").otherwise(""), F.col("value")).alias("value"))
+    frame = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2**62, "]}")], "n bigint, value string")
+    return frame.unionByName(body)
+
+
+def write_feature_collection(df: DataFrame, path: str, kind: str, points: str, props: list[str]) -> None:
+    """The document as text files whose names sort in its order."""
+    to_feature_collection(df, kind, points, props).repartitionByRange("n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
 
 
 def yolo_lines(boxes: DataFrame, frames: DataFrame) -> DataFrame:

@@ -28,16 +28,18 @@ def test_feature_collection_file(spark, tmp_path):
     assert got["1"].street is None and got["1"].is_public and (got["1"].x, got["1"].y) == (2.0, 1.0)
 
 
-def test_empty_feature_collection(spark):
-    df = spark.createDataFrame([], "id int, ring array<struct<x:double,y:double>>")
-    assert json.loads(sinks.to_feature_collection(df, "Polygon", "ring", ["id"]).first().value) == {"type": "FeatureCollection", "features": []}
-
-
-def test_feature_collection_refuses_what_is_too_big(spark):
-    df = spark.range(5).select("id", F.array(geo.point(F.lit(1.0), F.lit(2.0))).alias("p"))
-    with pytest.raises(ValueError):
-        sinks.to_feature_collection(df, "Point", "p", ["id"], max_features=4)
-    assert len(json.loads(sinks.to_feature_collection(df, "Point", "p", ["id"]).first().value)["features"]) == 5
+def document(df):
+    return json.loads("\n".join(r.value for r in df.orderBy("n").collect()))
+
+
+def test_feature_collection_document(spark, tmp_path):
+    empty = spark.createDataFrame([], "id int, ring array<struct<x:double,y:double>>")
+    assert document(sinks.to_feature_collection(empty, "Polygon", "ring", ["id"])) == {"type": "FeatureCollection", "features": []}
+    df = spark.range(50).select("id", F.array(geo.point(F.lit(1.0), F.lit(2.0))).alias("p"))
+    assert sorted(f["properties"]["id"] for f in document(sinks.to_feature_collection(df, "Point", "p", ["id"]))["features"]) == list(range(50))
+    path = tmp_path / "doc"
+    sinks.write_feature_collection(df, str(path), "Point", "p", ["id"])
+    assert len(json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))["features"]) == 50
 
 
 def test_coco_and_vgg(spark, tmp_path):
