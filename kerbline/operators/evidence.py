@@ -35,9 +35,9 @@ def frame_bay_views(poses: DataFrame, bays: DataFrame, cam: Camera, mode: str =
     p = p.withColumns({"__a": F.col("p.x") - reach, "__b": F.col("p.y") - reach, "__c": F.col("p.x") + reach, "__d": F.col("p.y") + reach})
     b = bays.select("bay_id", "x", "y", geo.open_ring(F.col("ring")).alias("open"), geo.bbox(F.col("ring")).alias("bb"))
     pair = box_pairs(p, b, ("__a", "__b", "__c", "__d"), ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), size)
-    # the outline is projected once per candidate and reduced to its extent
+    # the outline is projected once per candidate and reduced to its extent; what a generator makes is not copied into later uses
     ring_px = F.transform("open", lambda v: geo.project(v.x, v.y, _pose(), F.col("p.axes"), cam))
-    shot = pair.withColumn("px", geo.extent(ring_px)).withColumn("fully", geo.fully_in_shot(F.col("px"), cam))
+    shot = pair.select("frame_idx", "bay_id", "x", "y", F.explode(F.array(geo.extent(ring_px))).alias("px")).withColumn("fully", geo.fully_in_shot(F.col("px"), cam))
     shot = shot.filter(F.col("fully") if mode == "full" else geo.overlaps_frame(F.col("px"), cam))
     mid_u, mid_v = F.col("px.sx") / F.col("px.n"), F.col("px.sy") / F.col("px.n")
     return shot.select("frame_idx", "bay_id", "x", "y", F.struct("px.x0", "px.y0", "px.x1", "px.y1").alias("px"),

@@ -45,7 +45,10 @@ def _pieces(line: Column) -> Column:
         F.slice(line, F.lit(1), F.greatest(n - 1, F.lit(0))),
         lambda p, i: F.struct(p.x.alias("ax"), p.y.alias("ay"), F.get(line, i + 1).x.alias("bx"), F.get(line, i + 1).y.alias("by"),
                               geo.distance(p.x, p.y, F.get(line, i + 1).x, F.get(line, i + 1).y).alias("len"))), lambda e: e.len > 0)
-    return F.transform(segs, lambda e, i: F.struct(e.ax, e.ay, e.bx, e.by, e.len, geo.fold(F.slice(segs, F.lit(1), i), lambda q: q.len).alias("s0")))
+    none = F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double,len:double,s0:double>>")
+    start = F.struct(F.lit(0.0).alias("s"), none.alias("done"))
+    return F.aggregate(segs, start, lambda a, e: F.struct(
+        (a.s + e.len).alias("s"), F.concat(a.done, F.array(F.struct(e.ax, e.ay, e.bx, e.by, e.len, a.s.alias("s0")))).alias("done")), lambda a: a.done)
 
 
 def _on(e: Column, s: Column) -> Column:

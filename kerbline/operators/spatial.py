@@ -81,12 +81,10 @@ def polyline_segments(lines: DataFrame, key: str, line: str) -> DataFrame:
     )
     with_len = F.transform(pairs, lambda e: F.struct(e.ax.alias("ax"), e.ay.alias("ay"), e.bx.alias("bx"), e.by.alias("by"),
                                                      geo.distance(e.ax, e.ay, e.bx, e.by).alias("seg_len")))
-    placed = lines.select(key, F.posexplode(F.transform(
-        with_len,
-        lambda e, i: F.struct(e.ax, e.ay, e.bx, e.by, e.seg_len,
-                              geo.fold(F.slice(with_len, F.lit(1), i), lambda q: q.seg_len).alias("s0")),
-    )).alias("seg", "e"))
-    return placed.select(key, "seg", "e.ax", "e.ay", "e.bx", "e.by", "e.s0", "e.seg_len").filter("seg_len > 0")
+    # one running sum; it is zipped to the pieces, as an expression inside a lambda would be computed for every piece
+    before = F.aggregate(with_len, F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e.seg_len)))
+    placed = lines.select(key, F.posexplode(F.arrays_zip(with_len.alias("e"), before.alias("s0"))).alias("seg", "z")).filter("z.e is not null")
+    return placed.select(key, "seg", "z.e.ax", "z.e.ay", "z.e.bx", "z.e.by", "z.s0", "z.e.seg_len").filter("seg_len > 0")
 
 
 def locate(points: DataFrame, segments: DataFrame, point_id: str, px: str, py: str, key: str, max_m: float,
