@@ -209,6 +209,27 @@ def manual_override(states: DataFrame, orders: DataFrame) -> DataFrame:
     return upsert(mine, manual, ["bay_id"], monotonic="updated_at")
 
 
+def resolve_orders(orders: DataFrame, bays: DataFrame, x: float, y: float) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, refused)`` operator orders: one without a bay means the bay closest to ``(x, y)``, one that names
+    an unknown bay is refused."""
+    from .spatial import nearest
+
+    spark = orders.sparkSession
+    centre = spark.createDataFrame([(0, float(x), float(y))], "p int, x double, y double")
+    closest = nearest(centre, bays, "p", "bay_id", "x", "y", "x", "y").select(F.col("bay_id").alias("__closest"), F.lit(True).alias("__blank"))
+    known = bays.select(F.col("bay_id").alias("__known")).distinct()
+    asked = orders.withColumn("__asked", F.nullif(F.trim(F.coalesce("bay_id", F.lit(""))), F.lit(""))).withColumn("__blank", F.col("__asked").isNull())
+    named = asked.join(known, F.col("__asked") == F.col("__known"), "left").join(closest, "__blank", "left")
+    out = named.withColumn("bay_id", F.when(F.col("__blank"), F.col("__closest")).otherwise(F.col("__known")))
+    keep = [c for c in orders.columns]
+    return out.filter("bay_id is not null").select(keep), named.filter("not __blank and __known is null").select(keep)
+
+
+def override_messages(accepted: DataFrame, order: list, base: int | Column = 0) -> DataFrame:
+    """Change-log rows of accepted orders: every order is announced, with full confidence."""
+    return delta_log(accepted.withColumn("confidence", F.lit(1.0)), order, base)
+
+
 def compare_results(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Per expected bay: ``match``, ``mismatch`` or ``missing``."""
     g = got.select("bay_id", F.col("occupied").alias("__got"), F.lit(True).alias("__has"))

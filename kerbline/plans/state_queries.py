@@ -456,6 +456,20 @@ def str10(spark, sf):
     return vote.manual_override(view(spark, sf, "v_state"), orders)
 
 
+ORDERS = "select event_id, case when event_id%3=0 then ' ' when event_id%5=0 then concat('x', bay_id) else bay_id end bay_id, occupied, observed_at from v_observation where occupied is not null"
+
+
+@query("STR10_override_messages", f"""with o as ({ORDERS}), c as (select bay_id cb from v_bay order by sqrt(pow(x-100.0e0,2)+pow(y-30.0e0,2)), bay_id limit 1),
+ r as (select o.event_id, case when trim(o.bay_id)='' then c.cb else b.bay_id end target, o.occupied from o cross join c left join v_bay b on b.bay_id=trim(o.bay_id))
+ select row_number() over (order by event_id) "cursor", target bay_id, occupied from r where target is not null""")
+def str10b(spark, sf):
+    bays = view(spark, sf, "v_bay")
+    orders = view(spark, sf, "v_observation").filter("occupied is not null").select("event_id", F.expr("case when event_id%3=0 then ' ' when event_id%5=0 then concat('x', bay_id) else bay_id end").alias("bay_id"), "occupied")
+    accepted, _ = vote.resolve_orders(orders, bays, 100.0, 30.0)
+    log = vote.override_messages(accepted, ["event_id"])
+    return log.select("cursor", "bay_id", F.get_json_object("payload", "$.occupied").cast("boolean").alias("occupied"))
+
+
 @query("STR11_flight_sessions", """with g as (select *, case when received_at >= lag(received_at) over w + interval '30 minutes' then 1 else 0 end brk from v_frame window w as (partition by drone_id order by received_at)),
  i as (select *, sum(brk) over (partition by drone_id order by received_at) sid from g)
  select drone_id, min(received_at) started, max(received_at) last_at, count(*) frames from i group by drone_id, sid""")
