@@ -123,7 +123,7 @@ def test_warc_skips_what_is_not_asked_for(spark, tmp_path):
     ship_code(spark)
     df = spark.createDataFrame(pages(spark)[:8], "page_id bigint, url string, html string")
     path = str(tmp_path / "w")
-    warc.write_warc(warc.with_revisits(df), path)
+    warc.write_warc(warc.with_revisits(df), path, compression="none")
     reader = warc.WarcReader(warc.read_warc(spark, path, payload=False).schema, {"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
 
