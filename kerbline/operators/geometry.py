@@ -74,10 +74,15 @@ def slice_by_arclength(line: Column, s0: Column, s1: Column) -> Column:
 
 def densify(lines: DataFrame, key: str, line: str, step: float) -> DataFrame:
     """A point every ``step`` metres: ``(key, k, s, x, y)``."""
-    total = lines.select(key, line, polyline_length(F.col(line)).alias("__len"))
-    ks = total.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("__len") / step).cast("bigint"))))
-    pts = ks.withColumn("s", F.col("k") * F.lit(float(step))).withColumn("p", point_at(F.col(line), F.col("s")))
-    return pts.select(key, "k", "s", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    from .spatial import polyline_segments
+
+    # every piece makes the samples behind its start up to its end, the first one its start as well
+    first = F.when(F.col("s0") == 0, F.lit(0)).otherwise(F.floor(F.col("s0") / step) + 1).cast("bigint")
+    last = F.floor((F.col("s0") + F.col("seg_len")) / step).cast("bigint")
+    ks = F.when(last >= first, F.sequence(first, F.greatest(first, last)))
+    t = F.least(F.lit(1.0), (F.col("s") - F.col("s0")) / F.col("seg_len"))
+    return (polyline_segments(lines, key, line).withColumn("k", F.explode(ks)).withColumn("s", F.col("k") * F.lit(float(step)))
+            .select(key, "k", "s", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y")))
 
 
 def clip_lines(lines: DataFrame, key: str, line: str, lim: float) -> DataFrame:
@@ -110,9 +115,10 @@ def clip_lines(lines: DataFrame, key: str, line: str, lim: float) -> DataFrame:
     marked = F.transform(k, lambda e, i: F.struct(e.ax, e.ay, e.bx, e.by, F.coalesce(breaks(i), F.lit(False)).alias("brk")))
     work = work.withColumn("__m", marked)
     m = F.col("__m")
-    numbered = F.transform(m, lambda e, i: F.struct(
-        F.size(F.filter(F.slice(m, F.lit(1), i + 1), lambda q: q.brk)).cast("bigint").alias("part"), e.ax, e.ay, e.bx, e.by))
-    return work.select(key, F.posexplode(numbered).alias("seg", "e")).select(key, "e.part", "seg", "e.ax", "e.ay", "e.bx", "e.by")
+    zero = F.array(F.lit(0).cast("bigint"))
+    parts = F.aggregate(m, zero, lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e.brk.cast("bigint"))))
+    zipped = F.arrays_zip(m.alias("e"), F.slice(parts, F.lit(2), F.size(m)).alias("part"))
+    return work.select(key, F.posexplode(zipped).alias("seg", "z")).select(key, "z.part", "seg", "z.e.ax", "z.e.ay", "z.e.bx", "z.e.by")
 
 
 def _per_ring(df: DataFrame, ring: str, fn) -> DataFrame:
