@@ -246,21 +246,21 @@ def agg33(spark, sf):
 @query("SNK03_upsert", """select bay_id, occupied, confidence, updated_at from (select *, row_number() over (partition by bay_id order by updated_at desc, src) rn from (
  select bay_id, occupied, confidence, updated_at, 0 src from v_state union all
  select bay_id, occupied, conf, observed_at, 1 from (select bay_id, occupied, 1.0e0 conf, observed_at, row_number() over (partition by bay_id order by observed_at desc, event_id desc) rn
- from v_observation where event_id%5=0) u where rn=1) t) z where rn=1""")
+ from v_observation) u where rn=1) t) z where rn=1""")
 def snk03(spark, sf):
-    obs = view(spark, sf, "v_observation").filter("event_id%5=0")
+    obs = view(spark, sf, "v_observation")
     newest = scan.latest_per_key(obs, ["bay_id"], F.struct("observed_at", "event_id"))
     updates = newest.select("bay_id", "occupied", F.lit(1.0).alias("confidence"), F.col("observed_at").alias("updated_at"))
     return vote.upsert(view(spark, sf, "v_state").select(*updates.columns), updates, ["bay_id"], monotonic="updated_at")
 
 
-@query("SNK04_append_observations", """with old as (select * from v_observation where event_id%2=0), fresh as (select * from v_observation where event_id%3=0)
+@query("SNK04_append_observations", """with old as (select * from v_observation where event_id%2=0), fresh as (select * from v_observation where event_id%2=1)
  select event_id, frame_id, bay_id from (select *, row_number() over (partition by frame_id, bay_id order by event_id) rn from fresh where frame_id is not null) f
  where rn=1 and not exists (select 1 from old o where o.frame_id=f.frame_id and o.bay_id=f.bay_id)
  union all select event_id, frame_id, bay_id from fresh where frame_id is null""")
 def snk04(spark, sf):
     obs = view(spark, sf, "v_observation")
-    return vote.append_observations(obs.filter("event_id%2=0"), obs.filter("event_id%3=0"), F.col("event_id")).select("event_id", "frame_id", "bay_id")
+    return vote.append_observations(obs.filter("event_id%2=0"), obs.filter("event_id%2=1"), F.col("event_id")).select("event_id", "frame_id", "bay_id")
 
 
 @query("SNK05_ingest_frames", """with k as (select *, coalesce(mission_id, concat('area:',survey_area)) mk, cast(substr(frame_id,2) as bigint) n from v_frame),
@@ -272,13 +272,13 @@ def snk05(spark, sf):
     return vote.ingest_frames(f.filter("n%2=0"), f.filter("n%2=1"), F.col("n"))
 
 
-@query("SNK06_replace_frame_evidence", """with old as (select * from v_observation where event_id%2=0), fresh as (select * from v_observation where event_id%5=1)
+@query("SNK06_replace_frame_evidence", """with old as (select * from v_observation where event_id%2=0), fresh as (select * from v_observation where event_id%2=1)
  select event_id, frame_id, 'old' src from old where frame_id is null or frame_id not in (select frame_id from fresh where frame_id is not null)
  union all select event_id, frame_id, 'new' from fresh""")
 def snk06(spark, sf):
     obs = view(spark, sf, "v_observation").select("event_id", "frame_id")
     return vote.replace_frame_evidence(obs.filter("event_id%2=0").withColumn("src", F.lit("old")),
-                                       obs.filter("event_id%5=1").withColumn("src", F.lit("new")))
+                                       obs.filter("event_id%2=1").withColumn("src", F.lit("new")))
 
 
 def _area_tables(spark, sf):
@@ -351,11 +351,11 @@ def jon03b(spark, sf):
 
 
 @query("JON25_merge_live", """with d as (select bay_id, case when event_id%7=0 then null else occupied end occupied, observed_at tm, row_number() over (partition by bay_id order by event_id desc) rn
- from v_observation where cast(bay_id as bigint)%2=0)
+ from v_observation)
  select s.bay_id, case when d.bay_id is not null then d.occupied else s.occupied end occupied, case when d.bay_id is not null then d.tm else s.updated_at end updated_at
  from v_state s left join d on d.bay_id=s.bay_id and d.rn=1""")
 def jon25(spark, sf):
-    d = view(spark, sf, "v_observation").filter("cast(bay_id as bigint)%2=0").select(
+    d = view(spark, sf, "v_observation").select(
         "bay_id", F.expr("case when event_id%7=0 then null else occupied end").alias("occupied"), F.col("observed_at").alias("updated_at"), "event_id")
     return vote.merge_live(view(spark, sf, "v_state").select("bay_id", "occupied", "updated_at"), d, "event_id")
 
