@@ -168,8 +168,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     """
     marked = cut(fingerprints(docs, key, text))
     distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    labels = connected_components(distinct.select("fp"), link_fingerprints(distinct.select("fp"), max_bits), node="fp")
-    named = distinct.join(labels, "fp")
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    per = named.select("fp", "label").join(ids, "label").select(F.col("fp").alias("f"), "component_id")
+    # a node is named by its least key (then its bits), so a component's least node carries the component's id
+    name = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    links = link_fingerprints(distinct.select("fp"), max_bits)
+    for end in ("a", "b"):
+        links = links.join(distinct.select(F.col("fp").alias(end), name.alias(f"{end}_node")), end)
+    labels = connected_components(distinct.select(name.alias("node")), links, node="node", a="a_node", b="b_node")
+    per = labels.select(F.col("node.fp").alias("f"), F.col("label.least").alias("component_id"))
     return marked.join(per, F.col("fp") == F.col("f")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
