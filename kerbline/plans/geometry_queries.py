@@ -17,11 +17,11 @@ FPX = repr(CAM.f) + "e0"
 
 
 # The source's own words, as files carry them.
-RAW_KIND = F.expr("case park_txt when 'perpendicular' then 'Напречно' when 'angled' then 'Косо' else 'Надлъжно' end")
+RAW_KIND = "case park_txt when 'perpendicular' then 'Напречно' when 'angled' then 'Косо' else 'Надлъжно' end"
 
 
 def ringed(spark, sf) -> DataFrame:
-    b = view(spark, sf, "v_bay").withColumn("park_txt", RAW_KIND).withColumn("deg", F.col("ord") % 7 * F.lit(3.0) + 1.0)
+    b = view(spark, sf, "v_bay").withColumn("park_txt", F.expr(RAW_KIND)).withColumn("deg", F.col("ord") % 7 * F.lit(3.0) + 1.0)
     return b.withColumn("ring", geo.bay_rectangle("x", "y", "deg", "park_txt"))
 
 

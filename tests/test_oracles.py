@@ -1,6 +1,8 @@
 """Registered queries against their SQL twins (a spread of them; all with ORACLE_ALL=1)."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -29,5 +31,10 @@ def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_need_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__))).returncode == 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
