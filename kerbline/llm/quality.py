@@ -32,16 +32,24 @@ def shape(word: str) -> str:
     return re.sub(r"([xX0c])\1+", r"\1", re.sub(r"([^xX0c])\1{2,}", r"\1\1", s))
 
 
+#: Bits of a word's facts in one number: bucket of its shape, then counts, then flags.
+FIELD, COUNT_BITS = 12, 15
+
+
 class Words(dict):
-    """Word -> (bucket of its shape, signs, capitals, letters, is lower, has a run of signs, is all signs, ends a sentence)."""
+    """Word -> its facts packed in a number: a whole text is then one array."""
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
         letters = sum(c.isalpha() for c in word)
-        got = (xxhash.xxh64_intdigest(shape(word).encode("utf-8", "surrogatepass")) % BUCKETS,
-               sum(not c.isalnum() and c not in PUNCTUATION for c in word), sum(c.isupper() for c in word), letters,
-               word.islower(), re.search(r"[^\w\s]{2}", word.rstrip("\"')»”’")) is not None, letters == 0 and not any(c.isdigit() for c in word), word[-1] in ".!?")
+        counts = sum(not c.isalnum() and c not in PUNCTUATION for c in word), sum(c.isupper() for c in word), letters
+        flags = (word.islower(), re.search(r"[^\w\s]{2}", word.rstrip("\"')»”’")) is not None, letters == 0 and not any(c.isdigit() for c in word), word[-1] in ".!?")
+        got = xxhash.xxh64_intdigest(shape(word).encode("utf-8", "surrogatepass")) % BUCKETS
+        for k, n in enumerate(counts):
+            got |= min(n, (1 << COUNT_BITS) - 1) << FIELD + k * COUNT_BITS
+        for k, f in enumerate(flags):
+            got |= bool(f) << FIELD + len(counts) * COUNT_BITS + k
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_SIZE:
                 self.clear()
@@ -61,11 +69,12 @@ def look(text: str | None, memo: Words) -> tuple[dict[str, float], np.ndarray, i
     n = len(ws)
     if not n:
         return {}, np.empty(0, dtype=np.int64), 0
-    a = np.array([memo[w] for w in ws], dtype=np.int64)
-    signs, capitals, letters, lower, runs, alone, ends = a[:, 1:].sum(axis=0).tolist()
+    a = np.fromiter(map(memo.__getitem__, ws), np.int64, n)
+    signs, capitals, letters = (int((a >> FIELD + k * COUNT_BITS & (1 << COUNT_BITS) - 1).sum()) for k in range(3))
+    lower, runs, alone, ends = (int((a >> FIELD + 3 * COUNT_BITS + k & 1).sum()) for k in range(4))
     size = len(text)
     return {"symbols": signs / size, "capitals": capitals / max(1, letters), "repeats": sum(map(operator.eq, ws, ws[1:])) / n, "sign_runs": runs / n,
-            "sign_words": alone / n, "variety": len(set(ws)) / n, "lower": lower / n, "length": abs(size / n - 6.0) / 12.0, "sentences": ends / n}, a[:, 0], n
+            "sign_words": alone / n, "variety": len(set(ws)) / n, "lower": lower / n, "length": abs(size / n - 6.0) / 12.0, "sentences": ends / n}, a & BUCKETS - 1, n
 
 
 def votes(stats: dict[str, float], n: int) -> str:
