@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a graph built by NN-descent, searched greedily.
 
-Equal vectors are one node.  The graph starts from blocks of nodes that are close along random directions; then every node compares
+Vectors of equal direction are one node.  Nodes are compared by squared distance of unit vectors held as floats, so that those
+very close to each other are still told apart (1 - cosine of floats would round to nothing).  The graph starts from blocks of nodes that are close along random directions; then every node compares
 the nodes around it with each other (neighbours of neighbours), whatever is better than a node's worst neighbour travels to it,
 and the rounds end when few neighbours change.  A query walks the graph with a beam of its best nodes until none of
-them leads on; its best nodes are ranked by the exact cosine.  Each round is cut in shared storage.
+them leads on; its best nodes, and all of the beam that the floats cannot tell from them, are ranked by the exact cosine.  Each round is cut in shared storage.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from ..session import cut
 DEGREE, OFFERS = 32, 8
 # Rows of a starting block, directions of them, share of changed neighbours at which the graph is good.
 BLOCK, DIRECTIONS, SETTLED = 1024, 3, 0.12
-# Nodes in a query's beam, followed at once, ranked exactly.
+# Nodes in a query's beam, followed at once, ranked exactly besides ties.
 BEAM, STRIDE, EXACT = 192, 48, 48
+# Nodes in a row of the search table: a batch of rows stays small.
+PIECE = 16
 # Bytes of query vectors searched together: what is broadcast is bounded by it, not by the table.
 QUERY_BYTES = 16 << 20
-SCALE = 127.0
+# Directions that agree to so many parts of one are equal; a distance is off by less than ROUNDING, as either end is rounded to floats.
+STEPS, ROUNDING = 1e12, 2.0**-22
 
 
 def group_numbers(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +47,17 @@ def best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - np.repeat(first, size) < k]
 
 
-def floats(column: pa.Array, dim: int) -> np.ndarray:
-    """Binary cells of ``dim`` signed bytes as rows of unit-length floats."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(-1, dim).astype(np.float32) / SCALE
+def floats(cells: list[bytes], dim: int) -> np.ndarray:
+    """Binary cells of unit vectors of ``dim`` floats as rows."""
+    return np.frombuffer(b"".join(cells), dtype=np.float32).reshape(-1, dim).astype(np.float64)
+
+
+def closeness(x: np.ndarray) -> np.ndarray:
+    """Negative squared distances between the rows, -9 of a row to itself."""
+    n = np.einsum("ij,ij->i", x, x)
+    d = np.minimum(2 * (x @ x.T) - n[:, None] - n[None, :], 0)
+    np.fill_diagonal(d, -9)
+    return d
 
 
 def lists(values: np.ndarray, owner: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -71,32 +83,49 @@ def whole_groups(batches: Iterator[pa.RecordBatch], shrink) -> Iterator[pa.Table
         yield held
 
 
-def index_nodes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """``(node, vec, ids, q, p0..)`` per distinct vector: its least ids, its bytes, its places along random directions; the dimension."""
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(id, vec)`` of the rows that take part, whatever their length."""
     v = F.col(vector)
     good = v.isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(key).alias("id"), v.cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    return vectors.filter(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(key).alias("id"), v.cast("array<double>").alias("vec"))
+
+
+def directed(rows: DataFrame, dim: int) -> DataFrame:
+    """``(id, vec, dir)`` of the rows with ``dim`` parts: the direction is the same for a vector and its multiples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                steps = np.rint(unit(b.column(1)) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in steps], pa.binary())], ["id", "vec", "dir"])
+
+    return rows.filter(F.size("vec") == dim).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vec array<double>, dir binary")
+
+
+def index_nodes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """``(node, dir, vec, ids, q, p0..)`` per distinct direction: its least ids, the least one's vector, its floats, its places along random directions; the dimension."""
+    rows = usable(vectors, key, vector)
     common = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("d").desc()).first()
     dim = common.d if common else 1
-    rows = rows.filter(F.size("vec") == dim)
+    rows = directed(rows, dim)
     # the least ids of a vector are gathered in parts first: it may be any share of the rows
     parts = max(16, -(-(common.n if common else 0) // 10_000))
     few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, 6)
-    some = rows.groupBy("vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, 6).alias("ids"))
-    distinct = some.groupBy("vec").agg(few.alias("ids"))
+    first = F.min(F.struct("id", "vec"))
+    some = rows.groupBy("dir", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(first.alias("first"), F.slice(F.array_sort(F.collect_set("id")), 1, 6).alias("ids"))
+    distinct = some.groupBy("dir").agg(F.min("first").alias("first"), few.alias("ids"))
     directions = np.random.default_rng(7).standard_normal((dim, DIRECTIONS)).astype(np.float32)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = unit(b.column(1))
-                q = np.round(x * SCALE).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in q], pa.binary()), *[pa.array(p) for p in (x.astype(np.float32) @ directions).T]],
-                                                 ["node", "vec", "ids", "q", *[f"p{i}" for i in range(DIRECTIONS)]])
+                q = unit(b.column(2)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in q], pa.binary()), *[pa.array(p) for p in (q @ directions).T]],
+                                                 ["node", "dir", "vec", "ids", "q", *[f"p{i}" for i in range(DIRECTIONS)]])
 
     kind = dict(vectors.dtypes)[key]
-    numbered = distinct.select(F.monotonically_increasing_id().alias("node"), "vec", "ids")
-    return cut(numbered.mapInArrow(mark, f"node bigint, vec array<double>, ids array<{kind}>, q binary, {', '.join(f'p{i} float' for i in range(DIRECTIONS))}")), dim
+    numbered = distinct.select(F.monotonically_increasing_id().alias("node"), "dir", F.col("first.vec").alias("vec"), "ids")
+    return cut(numbered.mapInArrow(mark, f"node bigint, dir binary, vec array<double>, ids array<{kind}>, q binary, {', '.join(f'p{i} float' for i in range(DIRECTIONS))}")), dim
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -119,12 +148,10 @@ def start_offers(nodes: DataFrame, dim: int, degree: int, block: int) -> DataFra
             for a in range(0, len(node), block):
                 me = node[a:a + block]
                 if len(me) > 1:
-                    x = np.frombuffer(b"".join(q[a:a + block]), dtype=np.int8).reshape(-1, dim).astype(np.float32) / SCALE
-                    d = x @ x.T
-                    np.fill_diagonal(d, -9)
+                    d = closeness(floats(q[a:a + block], dim))
                     k = min(degree, len(me) - 1)
                     at = np.argpartition(-d, k - 1, axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(me), lists(me[at].ravel(), np.repeat(np.arange(len(me)), k), pa.int64()), lists(np.take_along_axis(d, at, 1).ravel(), np.repeat(np.arange(len(me)), k), pa.float32())], ["u", "vs", "sims"])
+                    yield pa.RecordBatch.from_arrays([pa.array(me), lists(me[at].ravel(), np.repeat(np.arange(len(me)), k), pa.int64()), lists(np.take_along_axis(d, at, 1).ravel().astype(np.float32), np.repeat(np.arange(len(me)), k), pa.float32())], ["u", "vs", "sims"])
 
         for b in batches:
             held_n.append(b.column(0).to_numpy())
@@ -214,7 +241,7 @@ def meet_around(graph: DataFrame, dim: int, degree: int, offers: int, turn: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, thin):
             t = thin(t).combine_chunks()
-            x, m = floats(t.column(5), dim), t.column(1).to_numpy()
+            x, m = floats(t.column(5).to_pylist(), dim), t.column(1).to_numpy()
             fresh, worst = t.column(3).to_numpy(), t.column(6).to_numpy()
             us, vs, ss, rows = [], [], [], []
             for a, n in zip(*group_numbers(t.column(0).to_numpy())):
@@ -224,9 +251,8 @@ def meet_around(graph: DataFrame, dim: int, degree: int, offers: int, turn: int)
                 k = min(offers, len(at) - 1)
                 if k < 1 or not f.any():
                     continue
-                d = x[at] @ x[at].T
+                d = closeness(x[at])
                 d[~(f[:, None] | f[None, :])] = -9
-                np.fill_diagonal(d, -9)
                 top = np.argpartition(-d, k - 1, axis=1)[:, :k]
                 sim = np.take_along_axis(d, top, 1)
                 ok = sim > np.maximum(worst[at], -8)[:, None]
@@ -258,7 +284,7 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, offers: int =
 
 
 def search_table(graph: DataFrame, dim: int, degree: int = DEGREE) -> DataFrame:
-    """``(node, vs, qs)``: the most similar nodes around each, with their bytes, so that a step needs one row."""
+    """``(node, vs, qs)``: the most similar nodes around each, with their floats, so that a step needs no other rows; a row has ``PIECE`` of them."""
 
     def closest(t: pa.Table) -> pa.Table:
         if t.num_rows <= 2 * degree:
@@ -270,7 +296,9 @@ def search_table(graph: DataFrame, dim: int, degree: int = DEGREE) -> DataFrame:
             c, m, q = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(3).to_pylist()
             at = best(c, m, t.column(2).to_numpy(), 2 * degree)
             first, size = group_numbers(c[at])
-            yield pa.RecordBatch.from_arrays([pa.array(c[at][first]), lists(m[at], c[at], pa.int64()), pa.array([b"".join([q[i] for i in at[a:a + n]]) for a, n in zip(first, size)], pa.binary())], ["node", "vs", "qs"])
+            row = np.cumsum((np.arange(len(at)) - np.repeat(first, size)) % PIECE == 0)
+            first, size = group_numbers(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c[at][first]), lists(m[at], row, pa.int64()), pa.array([b"".join([q[i] for i in at[a:a + n]]) for a, n in zip(first, size)], pa.binary())], ["node", "vs", "qs"])
 
     return cut(around(graph).select("c", "m", "sim", "q").repartition("c").sortWithinPartitions("c").mapInArrow(run, "node bigint, vs array<bigint>, qs binary"))
 
@@ -280,7 +308,7 @@ _STATE = "query bigint, ids array<bigint>, sims array<float>, done array<boolean
 
 def walk(spark: SparkSession, table: DataFrame, nodes: np.ndarray, vectors: np.ndarray, dim: int, beam: int, stride: int) -> DataFrame:
     """``(query, ids, sims)``: the beam of each query node after greedy search from itself; ``nodes`` is sorted."""
-    shared = spark.sparkContext.broadcast((nodes, vectors.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((nodes, vectors))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, x = shared.value
@@ -290,8 +318,11 @@ def walk(spark: SparkSession, table: DataFrame, nodes: np.ndarray, vectors: np.n
             q, worst = b.column(0).to_numpy(), b.column(1).to_numpy()
             mine = x[np.searchsorted(known, q)]
             size = np.diff(b.column(2).offsets.to_numpy())
-            near, owner = floats(b.column(3), dim), np.repeat(np.arange(len(q)), size)
-            sim = np.einsum("ij,ij->i", near, mine[owner])
+            owner, cells, sim = np.repeat(np.arange(len(q)), size), b.column(3), []
+            for a in range(0, len(q), 256):
+                apart = floats(cells.slice(a, 256).to_pylist(), dim) - np.repeat(mine[a:a + 256], size[a:a + 256], axis=0)
+                sim.append(-np.einsum("ij,ij->i", apart, apart))
+            sim = np.concatenate(sim).astype(np.float32)
             ok = sim > worst[owner]
             first, _ = group_numbers(owner[ok])
             yield pa.RecordBatch.from_arrays([pa.array(q[owner[ok][first]]), lists(b.column(2).flatten().to_numpy()[ok], owner[ok], pa.int64()), lists(sim[ok], owner[ok], pa.float32())], ["query", "ids", "sims"])
@@ -314,10 +345,10 @@ def walk(spark: SparkSession, table: DataFrame, nodes: np.ndarray, vectors: np.n
             ahead = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(v[go], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(q[first]), lists(v, q, pa.int64()), lists(s, q, pa.float32()), lists(d | go, q, pa.bool_()), ahead, pa.array(worst)], ["query", "ids", "sims", "done", "ahead", "worst"])
 
-    state = spark.createDataFrame(pa.table({"query": nodes})).select("query", F.array("query").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("done"), F.array("query").alias("ahead"), F.lit(-9.0).cast("float").alias("worst"))
+    state = spark.createDataFrame(pa.table({"query": nodes})).select("query", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("done"), F.array("query").alias("ahead"), F.lit(-9.0).cast("float").alias("worst"))
     while True:
         front = state.select("query", "worst", F.explode("ahead").alias("node"))
-        # at most `stride` short rows for each query of the block
+        # at most `stride` short rows for each query of the block are broadcast
         offers = F.broadcast(front).join(table, "node").select("query", "worst", "vs", "qs").mapInArrow(step, "query bigint, ids array<bigint>, sims array<float>")
         both = state.select("query", "ids", "sims", "done").unionByName(offers.withColumn("done", F.lit(None).cast("array<boolean>")))
         state = cut(both.repartition("query").sortWithinPartitions("query").mapInArrow(keep, _STATE))
@@ -328,7 +359,10 @@ def walk(spark: SparkSession, table: DataFrame, nodes: np.ndarray, vectors: np.n
 def rank_exactly(nodes: DataFrame, found: DataFrame, query_nodes: np.ndarray, query_vectors: np.ndarray, exact: int, most: int) -> DataFrame:
     """``(query, near)``: for each query node the ``most`` nearest ids with their exact cosine, nearest first, then least id."""
     shared = nodes.sparkSession.sparkContext.broadcast((query_nodes, query_vectors))
-    pairs = found.select("query", F.explode(F.slice("ids", 1, exact)).alias("node"))
+    # with the first of the beam go all that are no farther than the last of them but for rounding
+    last = F.sqrt(-F.get("sims", F.least(F.size("sims"), F.lit(exact)) - 1).cast("double")) + 2 * ROUNDING
+    tied = F.filter(F.arrays_zip("ids", "sims"), lambda e: F.sqrt(-e["sims"].cast("double")) <= last)
+    pairs = found.select("query", F.explode(tied["ids"]).alias("node"))
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, x = shared.value
@@ -350,7 +384,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     """``(query_id, rank, <key>, score)``: the ``k`` nearest other rows found for each row with ``is_query``.
 
     Vectors that are null or zero or hold a null, a NaN or an infinite part take no part, nor do rows with a null key or with
-    another length than most.  Equal vectors are told apart by the least key; a row given twice is one row.  With ``k`` candidates or
+    another length than most.  Vectors of equal direction are told apart by the least key; a row given twice is one row.  With ``k`` candidates or
     fewer all are returned; an empty table gives an empty result.  Other columns are ignored.
     """
     if k > 5:
@@ -359,8 +393,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     nodes, dim = index_nodes(vectors, key, vector)
     graph = build_graph(nodes, dim, degree)
     table = search_table(graph, dim, degree)
-    asked = (vectors.filter(is_query).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vec")).distinct()
-             .join(nodes.select("node", "vec"), "vec").select("query_id", "node"))
+    asked = (directed(usable(vectors.filter(is_query), key, vector), dim).select(F.col("id").alias("query_id"), "dir").distinct()
+             .join(nodes.select("node", "dir"), "dir").select("query_id", "node"))
     asked = cut(asked)
     targets = cut(asked.select("node").distinct().join(nodes.select("node", "vec"), "node"))
     n = targets.count()

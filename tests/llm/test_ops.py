@@ -278,6 +278,28 @@ def test_neighbours_find_nearly_all(spark):
     assert hit >= 0.95 * 5 * len(got)
 
 
+def test_neighbours_among_near_and_scaled_copies(spark):
+    """Groups of other vectors than the beam holds: near copies at three distances, multiples of one vector."""
+    ship_code(spark)
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((5, 64))
+    near = [base[g] / np.linalg.norm(base[g]) + rng.standard_normal((400, 64)) / 8 * d for g, d in enumerate((0.15, 0.014, 1e-4))]
+    scaled = base[3] * rng.uniform(0.01, 100, (400, 1))
+    x = np.concatenate([*near, scaled, rng.standard_normal((400, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = [0] * 5
+    for q, ids in got.items():
+        far = np.linalg.norm(unit - unit[q], axis=1)
+        far[q] = 9
+        want = np.argsort(far)[:5].tolist() if not 1200 <= q < 1600 else [i for i in range(1200, 1206) if i != q][:5]
+        hit[q // 400] += len(set(ids) & set(want))
+    assert len(got) == 100 and min(hit) >= 0.95 * 5 * 20, hit
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [(r["rank"], r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
