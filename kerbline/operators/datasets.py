@@ -94,20 +94,20 @@ def merge_drawings(rings: DataFrame, r: float = 2.0) -> DataFrame:
     return mean.groupBy("label", "drawings").agg(ring.alias("ring"))
 
 
-def cover_frames(views: DataFrame, limit: int = 0) -> DataFrame:
+def cover_frames(views: DataFrame) -> DataFrame:
     """``(step, frame_idx, gained)``: frames that together show every bay, greedily the one that adds most.
 
-    Ties go to the least frame.  Each step is one aggregate over what is still uncovered.
+    Ties go to the least frame.  A round takes every frame that comes before all others showing one of its uncovered
+    bays: none of those can change what it adds, so the greedy choice takes it too, with the same gain.
     """
-    spark = views.sparkSession
-    todo = cut(views.select("frame_idx", "bay_id").distinct())
-    picked = []
-    while not limit or len(picked) < limit:
-        best = todo.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("gained")).orderBy(F.col("gained").desc(), "frame_idx").limit(1).collect()
-        if not best:
-            break
-        frame = best[0]["frame_idx"]
-        picked.append((len(picked) + 1, frame, best[0]["gained"]))
-        seen = todo.filter(F.col("frame_idx") == frame).select("bay_id")
-        todo = cut(todo.join(seen, "bay_id", "left_anti"))
-    return spark.createDataFrame(picked, f"step int, frame_idx {dict(views.dtypes)['frame_idx']}, gained bigint")
+    todo = cut(views.select("frame_idx", "bay_id").filter("frame_idx is not null and bay_id is not null").distinct())
+    picked = cut(todo.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("gained")).limit(0))
+    while not todo.isEmpty():
+        gain = todo.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("gained"))
+        first = F.min(F.struct((-F.col("gained")).alias("less"), "frame_idx")).alias("first")
+        won = cut(todo.join(gain, "frame_idx").groupBy("bay_id").agg(first).select("bay_id", "first.frame_idx", (-F.col("first.less")).alias("gained")))
+        new = cut(won.groupBy("frame_idx", "gained").agg(F.count(F.lit(1)).alias("n")).filter("n = gained").drop("n"))
+        picked = picked.unionByName(new)
+        shown = won.join(new.select("frame_idx"), "frame_idx", "left_semi").select("bay_id")
+        todo = cut(todo.join(shown, "bay_id", "left_anti"))
+    return global_number(picked, [F.col("gained").desc(), "frame_idx"], "step").select(F.col("step").cast("int").alias("step"), "frame_idx", "gained")

@@ -165,7 +165,7 @@ def clu04(spark, sf):
 
 @query("CLU06_cover_frames")
 def clu06(spark, sf):
-    return datasets.cover_frames(shots(spark, sf), limit=12)
+    return datasets.cover_frames(shots(spark, sf))
 
 
 

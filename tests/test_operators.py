@@ -212,6 +212,27 @@ def test_cover_frames(spark):
     assert rows(datasets.cover_frames(views), "step", "frame_idx", "gained") == [(1, 1, 3), (2, 2, 2), (3, 4, 1)]
 
 
+def test_cover_frames_shows_every_bay_as_the_greedy_choice_does(spark):
+    rnd = random.Random(4)
+    shows = {f: {rnd.randrange(120) for _ in range(rnd.randint(1, 6))} for f in range(90)}
+    left, want = {f: set(b) for f, b in shows.items()}, []
+    while any(left.values()):
+        f = min(left, key=lambda k: (-len(left[k]), k))
+        seen = left[f]
+        want.append((len(want) + 1, f, len(seen)))
+        left = {k: b - seen for k, b in left.items()}
+    views = spark.createDataFrame([(f, b) for f, bs in shows.items() for b in bs], "frame_idx int, bay_id int")
+    assert len(want) > 12 and rows(datasets.cover_frames(views), "step", "frame_idx", "gained") == want
+
+
+def test_cover_query_leaves_no_bay_out(spark):
+    from kerbline.plans import flight_queries
+
+    small = "/root/testdata/sf0.001"
+    shots = flight_queries.shots(spark, small)
+    assert flight_queries.clu06(spark, small).agg({"gained": "sum"}).first()[0] == shots.select("bay_id").distinct().count()
+
+
 def test_street_bearing_falls_back_to_neighbours(spark):
     bays = spark.createDataFrame([(str(i), "s", 10.0 * i, 5.0 * i) for i in range(5)] + [("x", "t", 0.0, 3.0)], "bay_id string, street string, x double, y double")
     roads = spark.createDataFrame([("far", 9e3, 9e3, 9.1e3, 9e3)], "name string, ax double, ay double, bx double, by double")
