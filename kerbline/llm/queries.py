@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_code
-from . import decontam, html_text, neighbours, packing, quality, sharding, simhash, token_count, toxicity, warc
+from . import centroids, decontam, hard_negatives, harmonic, html_text, neighbours, packing, quality, sharding, simhash, token_count, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,44 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_label_quality")
 def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """with v as (select vec_id, case when vec_id % 7 = 0 then (label+1) % 10 else label end label, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) v from embeddings
+  where label is not null and embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x)))=0),
+ s as (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]*z[2])) as bigint) score from v a join v b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
+ p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as int) rank, s.vec_id negative_id, positive_score, s.score negative_score
+ from p join s on s.anchor_id = p.anchor_id and not same and 80*positive_score <= 100*s.score and s.score <= positive_score
+ window w as (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) qualify row_number() over w <= 5"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op12_harmonic_packing")
+def harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def _rounds_sql() -> str:
+    """Assignment and means written out round by round."""
+    near = """a{n} as (select v.vec_id, v, arg_min(c, (d, c)) c, min(d) d from (select v.vec_id, v.v, c.c, cast(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1]-z[2])*(z[1]-z[2]))) as bigint) d from v, c{n} c) v group by all)"""
+    mean = """m{n} as (select c, i, cast(sum(x) as hugeint) s, count(*) k from (select c, unnest(v) x, unnest(range(len(v))) i from a{p}) group by c, i),
+ c{n} as (select o.c, coalesce(m.v, o.v) v from c{p} o left join (select c, list(cast((s - ((s % k) + k) % k) // k as bigint) order by i) v from m{n} group by c) m on m.c = o.c)"""
+    steps = [near.format(n=0)]
+    for n in range(1, 4):
+        steps += [mean.format(n=n, p=n - 1), near.format(n=n)]
+    return f"""with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64*cast(x as double)) as bigint)) v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x)))=0),
+ c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 c, v from v where vec_id is not null order by c limit 16),
+ {", ".join(steps)}
+select a.vec_id, cast(a.c as int) "cluster", d distance, cast(sum(d) over (partition by a.c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(c3.v, ',')) centroid_sha256
+ from a3 a join c3 on c3.c = a.c"""
+
+
+@query("op13_ptolemaic_centroids", _rounds_sql())
+def ptolemaic_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
