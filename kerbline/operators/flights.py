@@ -49,12 +49,12 @@ def gsd_gate(headings: DataFrame, expected_gsd: float | Column, tol: float = GSD
     return headings.filter(F.abs(F.col("gsd") / exp - 1) <= tol)
 
 
-def circ_median(rows: DataFrame, by: list[str], angle: str) -> DataFrame:
+def circ_median(rows: DataFrame, by: list[str], angle: str, weight: str | None = None) -> DataFrame:
     """Per group the member angle with the least total wrapped distance to all members; ties to the least angle.
 
-    Groups are counted by angle first; a group must be a bounded window (here: neighbours in a track).
+    Groups are counted by angle first (each row as often as ``weight`` says); a group must be a bounded window (here: neighbours in a track).
     """
-    n = rows.groupBy(*by, angle).agg(F.count(F.lit(1)).alias("n"))
+    n = rows.groupBy(*by, angle).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     packed = n.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(angle).alias("a"), "n"))).alias("v"))
     cost = F.transform("v", lambda c: F.struct(
         F.round(F.aggregate("v", F.lit(0.0), lambda s, e: s + F.abs(wrap_angle(e.a - c.a)) * e.n), 6).alias("cost"), c.a.alias("a")))
@@ -69,7 +69,7 @@ def course_median(good: DataFrame, bins: int = 3600) -> DataFrame:
     width = 6.283185307179586 / bins
     b = F.pmod(F.bround(F.col("course") / width), F.lit(float(bins))).cast("int")
     hist = good.groupBy("flight", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return circ_median(hist.select("flight", (F.col("bin") * width).alias("a"), "n").withColumn("a", wrap_angle("a")).select("flight", "a", "n"), ["flight"], "a")
+    return circ_median(hist.select("flight", (F.col("bin") * width).alias("a"), "n").withColumn("a", wrap_angle("a")).select("flight", "a", "n"), ["flight"], "a", "n")
 
 
 def smooth_heading(poses: DataFrame, good: DataFrame, smooth: int = SMOOTH) -> DataFrame:

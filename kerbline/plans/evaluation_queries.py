@@ -138,10 +138,23 @@ def jon13(spark, sf):
     return spatial.row_side(view(spark, sf, "v_bay"), roads(spark, sf))
 
 
-@query("JON12_street_bearing")
+# Beside the bays: copies far from every road, those of a street together, and copies that are alone in their street.
+STRAY = """select bay_id, street, x, y from v_bay union all
+ select concat('far ', bay_id), concat('far ', street), x+(ord*ord%13)*0.21e0, y+1000.0e0+x*0.5e0+(ord*ord%17)*0.13e0 from v_bay union all
+ select concat('lone ', bay_id), concat('lone ', bay_id), x+(ord*ord%13)*0.21e0, y+900000.0e0+x*0.7e0+(ord*ord%17)*0.13e0 from v_bay"""
+
+
+@query("JON12_street_bearing", f"""with {ROADD}, st as ({STRAY}), far as (select * from st where bay_id like 'far %'), lone as (select * from st where bay_id like 'lone %'),
+ six as (select a.bay_id, b.x, b.y from far a join far b on a.street=b.street qualify row_number() over (partition by a.bay_id order by sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), b.bay_id) <= 6),
+ ax as (select bay_id, degrees(atan2(2*covar_pop(x,y), var_pop(x)-var_pop(y))/2) d from six group by 1 having count(*)>=3),
+ rest as (select * from lone union all select * from far where bay_id not in (select bay_id from ax)),
+ tw as (select a.bay_id, degrees(atan2(b.y-a.y, b.x-a.x)) d from rest a join st b on a.bay_id<>b.bay_id qualify row_number() over (partition by a.bay_id order by sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), b.bay_id) = 1),
+ al as (select bay_id, degrees(atan2(by_-ay, 260.0e0)) d from rd where rn=1 union all select * from ax union all select * from tw)
+ select bay_id, round(d-180*floor(d/180),3) bearing_deg from al""")
 def jon12b(spark, sf):
-    far = roads(spark, sf).filter("ay < 60")
-    out = spatial.street_bearing(view(spark, sf, "v_bay"), far)
+    bays = view(spark, sf, "v_bay")
+    bays.createOrReplaceTempView("stray_bays")
+    out = spatial.street_bearing(spark.sql(STRAY.replace("v_bay", "stray_bays")), roads(spark, sf))
     return out.select("bay_id", r(F.col("bearing_deg"), 3).alias("bearing_deg"))
 
 
@@ -195,11 +208,11 @@ def jon16(spark, sf):
     return got.select("drawing_id", "bay_id", r(F.col("dist")).alias("dist")).unionByName(rest.select("drawing_id", F.lit(None).cast("string").alias("bay_id"), r(F.col("nearest_m")).alias("dist")))
 
 
-@query("JON17_pair_by_position", """with a as (select g.*, g.x+1.1e0 ax, g.y+(ord%5)*0.3e0 ay from v_ring g where ord%2=0), d as (select a.bay_id, b.bay_id other_id, sqrt(pow(ax-b.x,2)+pow(ay-b.y,2)) dist, ax-b.x dx, ay-b.y dy, a.c, a.s,
+@query("JON17_pair_by_position", """with a as (select g.*, g.x+1.1e0 ax, g.y+(ord%5)*0.3e0 ay from v_ring g), d as (select a.bay_id, b.bay_id other_id, sqrt(pow(ax-b.x,2)+pow(ay-b.y,2)) dist, ax-b.x dx, ay-b.y dy, a.c, a.s,
  row_number() over (partition by a.bay_id order by sqrt(pow(ax-b.x,2)+pow(ay-b.y,2)), b.bay_id) rn from a join v_bay b on abs(ax-b.x)<=6 and abs(ay-b.y)<=6)
  select bay_id, other_id, round(dist,4) dist, round(abs(dx*c+dy*s),4) along_m, round(abs(dy*c-dx*s),4) across_m, bay_id=other_id same_id from d where rn=1 and dist<=6""")
 def jon17(spark, sf):
-    a = ringed(spark, sf).filter("ord%2=0").withColumns({"x": F.col("x") + 1.1, "y": F.col("y") + F.col("ord") % 5 * F.lit(0.3)})
+    a = ringed(spark, sf).withColumns({"x": F.col("x") + 1.1, "y": F.col("y") + F.col("ord") % 5 * F.lit(0.3)})
     out = reports.pair_by_position(a, view(spark, sf, "v_bay").withColumnRenamed("bay_id", "other_id"))
     return out.withColumns({c: r(F.col(c)) for c in ("dist", "along_m", "across_m")})
 

@@ -61,14 +61,22 @@ def win19(spark, sf):
     return h.select("flight", "idx", r(F.col("yaw"), 6).alias("yaw"), r(F.col("gsd"), 6).alias("gsd"))
 
 
-@query("WIN20_circ_median", f"""with {HEAD}, g as (select flight, n, round(yaw,4) yaw from h), c as (select p.flight, p.n, g.yaw from s p join g on g.flight=p.flight and abs(g.n-p.n)<=5),
- k as (select a.flight, a.n, a.yaw, round(sum(abs((b.yaw-a.yaw+pi())-2*pi()*floor((b.yaw-a.yaw+pi())/(2*pi()))-pi())),6) cost from (select distinct flight, n, yaw from c) a join c b on a.flight=b.flight and a.n=b.n group by a.flight, a.n, a.yaw, a.rowid_), z as (select 1)
- select flight, n idx, round(yaw,6) yaw from (select *, row_number() over (partition by flight, n order by cost, yaw) rn from k) t where rn=1""".replace(", a.rowid_", "").replace("c as (select p.flight, p.n, g.yaw from", "c as (select p.flight, p.n, g.yaw from"))
+WRAP = "({0}+pi())-2*pi()*floor(({0}+pi())/(2*pi()))-pi()"
+BIN = f"{2 * math.pi / 3600!r}e0"
+
+
+# Poses before the flight's first one have no heading near them and take the flight's middle course.
+@query("WIN20_circ_median", f"""with {HEAD}, g as (select flight, n, round(yaw,4) yaw from h), po as (select flight, n from s union all select flight, -n from s), c as (select p.flight, p.n, g.yaw from po p join g on g.flight=p.flight and abs(g.n-p.n)<=5),
+ k as (select a.flight, a.n, a.yaw, round(sum(abs({WRAP.format('(b.yaw-a.yaw)')})),6) cost from (select distinct flight, n, yaw from c) a join c b on a.flight=b.flight and a.n=b.n group by a.flight, a.n, a.yaw),
+ fl as (select flight, n, yaw from k qualify row_number() over (partition by flight, n order by cost, yaw) = 1),
+ hb as (select flight, b, count(*) n from (select flight, cast(round_even(course/{BIN},0) as bigint) rb, ((rb%3600)+3600)%3600 b from h) t group by 1,2), ha as (select flight, n, {WRAP.format(f'(b*{BIN})')} a from hb),
+ kc as (select x.flight, x.a, round(sum(abs({WRAP.format('(y.a-x.a)')})*y.n),6) cost from ha x join ha y on x.flight=y.flight group by 1,2), co as (select flight, a from kc qualify row_number() over (partition by flight order by cost, a) = 1)
+ select po.flight, po.n idx, round(coalesce(fl.yaw, co.a),6) yaw, case when fl.yaw is not null then 'flow' when co.a is not null then 'course' end yaw_src from po left join fl on fl.flight=po.flight and fl.n=po.n left join co on co.flight=po.flight""")
 def win20(spark, sf):
     s = shifts(spark, sf)
     good = flights.heading_from_shift(s).select("flight", F.col("n").alias("idx"), r(F.col("yaw")).alias("yaw"), "course")
-    out = flights.smooth_heading(s.select("flight", F.col("n").alias("idx")), good)
-    return out.filter("yaw_src = 'flow'").select("flight", "idx", "yaw")
+    poses = s.select("flight", F.col("n").alias("idx"))
+    return flights.smooth_heading(poses.unionByName(poses.withColumn("idx", -F.col("idx"))), good)
 
 
 @query("WIN21_speed_profile")
@@ -124,9 +132,9 @@ def agg38(spark, sf):
 
 # ---- label sets ------------------------------------------------------------------
 
-@query("WIN22_every_nth", "select event_id from (select event_id, row_number() over (order by event_id) n from events where event_type<>'view') t where (n-1)%7=0")
+@query("WIN22_every_nth", "select event_id from (select event_id, row_number() over (order by event_id) n from events) t where (n-1)%7=0")
 def win22(spark, sf):
-    return datasets.every_nth(ev(spark, sf, "select event_id from events where event_type<>'view'"), ["event_id"], 7)
+    return datasets.every_nth(ev(spark, sf, "select event_id from events"), ["event_id"], 7)
 
 
 @query("WIN22_split_by_range", "select event_id, case when event_id>=7000 then 'val' else 'train' end split from events where not (event_id between 100 and 250) and not (event_id between 8000 and 8010)")

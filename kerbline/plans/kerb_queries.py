@@ -147,18 +147,20 @@ def win06(spark, sf):
     return intervals.car_intervals(pts, ["run_id"]).select("run_id", r(F.col("s0")).alias("s0"), r(F.col("s1")).alias("s1"))
 
 
-SPARSE = "(select run_id, s+0.0013e0 s from " + OWN_RUN + " t where event_id%23=0)"
-WIN7 = f"""c as (select run_id, s-2.2e0 s0, s+2.2e0 s1 from {SPARSE} t), {merged('c', 'run_id', '1.5e0', 'occ')}, {merged(SPAN_OK, 'run_id', '0.0e0', 'obm')},
+# Every car, drawn into the first half of its stretch of eight places, so that gaps stay between them.
+SPREAD = "floor(s/47.2e0)*47.2e0+(s-floor(s/47.2e0)*47.2e0)*0.4937e0+0.0013e0"
+SPREAD_CARS = f"(select run_id, {SPREAD} s from {OWN_RUN} t)"
+WIN7 = f"""c as (select run_id, s-2.2e0 s0, s+2.2e0 s1 from {SPREAD_CARS} t), {merged('c', 'run_id', '1.5e0', 'occ')}, {merged(SPAN_OK, 'run_id', '0.0e0', 'obm')},
  ob as (select * from obm union all select run_id, 0.0e0, length_m from v_run where run_id not in (select run_id from obm)), {gaps_sql('occ', 'ob', 'g')}"""
 
 
-def sparse_cars(spark, sf):
-    return spatial.assign_runs(view(spark, sf, "v_detection").filter("event_id%23=0"), segs(spark, sf), "event_id", "x", "y").select("run_id", (F.col("s") + 0.0013).alias("s"))
+def spread_cars(spark, sf):
+    return spatial.assign_runs(view(spark, sf, "v_detection"), segs(spark, sf), "event_id", "x", "y").select("run_id", F.expr(SPREAD).alias("s"))
 
 
 @query("WIN07_free_gaps", f"with {WIN7} select run_id, round(s0,2) s0, round(s1,2) s1, round(s1-s0,2) len_m, spaces from g where spaces>0")
 def win07(spark, sf):
-    cars = sparse_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
+    cars = spread_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
     return intervals.free_gaps(view(spark, sf, "v_run"), cars, spans(spark, sf))[1]
 
 
@@ -166,7 +168,7 @@ def win07(spark, sf):
  select r.run_id, capacity, cast(least(coalesce(f,0), capacity) as bigint) as "free", coalesce(f,0) > capacity capped, round(coalesce(oc.o,0.0e0),2) occupied_len_m, round(coalesce(ol.o,0.0e0),2) observed_len_m,
  round(coalesce(ol.o,0.0e0)/length_m,3) observed_fraction, round(length_m,2) length_m, round(pitch_m,2) space_m from v_run r left join f using (run_id) left join oc using (run_id) left join ol using (run_id)""")
 def win07b(spark, sf):
-    cars = sparse_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
+    cars = spread_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
     return intervals.free_gaps(view(spark, sf, "v_run"), cars, spans(spark, sf))[0]
 
 
@@ -185,9 +187,9 @@ def summary_sql(cars: str, runs_: str, spans_: str) -> str:
 KEEP = ["run_id", "capacity", "capacity_observed", "cars", "cars_off_observed", "free", "free_by_subtraction", "observed_fraction"]
 
 
-@query("WIN08_run_summary", f"with {summary_sql(SPARSE, 'v_run', SPAN_OK)} select * from summ")
+@query("WIN08_run_summary", f"with {summary_sql(SPREAD_CARS, 'v_run', SPAN_OK)} select * from summ")
 def win08(spark, sf):
-    return intervals.run_summary(view(spark, sf, "v_run"), sparse_cars(spark, sf), spans(spark, sf))[0].select(*KEEP)
+    return intervals.run_summary(view(spark, sf, "v_run"), spread_cars(spark, sf), spans(spark, sf))[0].select(*KEEP)
 
 
 def clustered(src: str, by: str, view_col: str, out: str) -> str:
@@ -290,7 +292,7 @@ def win14(spark, sf):
  d as (select b.bay_id, t.*, sqrt(pow(b.x-least(t.s,230.1e0),2)+pow(b.y-t.y,2)) dist, row_number() over (partition by b.bay_id order by sqrt(pow(b.x-least(t.s,230.1e0),2)+pow(b.y-t.y,2)), target) rn from v_bay b, t)
  select bay_id point_id, run_id, round(s,3) s, round(dist,3) dist from d where rn=1""")
 def win15(spark, sf):
-    cars = sparse_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
+    cars = spread_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
     per, gaps = intervals.free_gaps(view(spark, sf, "v_run"), cars, spans(spark, sf))
     pts = view(spark, sf, "v_bay").select(F.col("bay_id").alias("point_id"), "x", "y")
     out = runs.nearest_gap(pts, gaps, per, lines(spark, sf))
@@ -300,7 +302,7 @@ def win15(spark, sf):
 @query("WIN15_gap_still_free", f"""with {WIN7}, gg as (select run_id, round(s0,2) s0, round(s1,2) s1 from g where spaces>0), t as (select event_id point_id, concat('run_', cast(user_id//40 as varchar)) run_id, (event_id%240)*1.0e0+0.013e0 s from events)
  select point_id, t.run_id, case when r.run_id is null then true else exists (select 1 from gg where gg.run_id=t.run_id and gg.s0<=t.s and t.s<=gg.s1) end still_free from t left join v_run r using (run_id)""")
 def win15b(spark, sf):
-    cars = sparse_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
+    cars = spread_cars(spark, sf).select("run_id", (F.col("s") - 2.2).alias("s0"), (F.col("s") + 2.2).alias("s1"))
     per, gaps = intervals.free_gaps(view(spark, sf, "v_run"), cars, spans(spark, sf))
     t = spark.sql(f"select event_id point_id, concat('run_', cast(floor(user_id/40) as string)) run_id, (event_id%240)*1.0e0+0.013e0 s from parquet.`{sf}/events.parquet`")
     return runs.gap_still_free(t, gaps, per)
