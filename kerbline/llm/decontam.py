@@ -81,7 +81,13 @@ def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
     if not ranges:
         return []
     places = [m.span() for m in WORD.finditer(text)]
-    return [(len(text[:places[a][0]].decode("utf-8", "replace")), len(text[:places[b - 1][1]].decode("utf-8", "replace"))) for a, b in ranges]
+    out, at, n = [], 0, 0
+    for start, end in ((places[a][0], places[b - 1][1]) for a, b in ranges):  # in order and apart: each byte is read once
+        n += len(text[at:start].decode("utf-8", "replace"))
+        m = n + len(text[start:end].decode("utf-8", "replace"))
+        out.append((n, m))
+        at, n = end, m
+    return out
 
 
 _built: dict[int, tuple] = {}

@@ -1,13 +1,16 @@
 """Main text of a web page by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, shares shrink with distance, and a container's sum is
-discounted by the share of its text that is links.  The best container and its siblings that look alike are kept.
+Paragraphs pass points for their length and commas to their ancestors, halved at each step, and a container's sum is
+discounted by the share of its text that is links.  An element that is marked as an article keeps the points of all that is in it
+undivided, so it stands for its parts, unless links make up too much of it.  The best container and its siblings that look alike are kept.
+A page is read once: all steps take time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +35,11 @@ DROP_WORDS = set("""ad ads adv advert advertisement advertising adsense alert ba
 HEADER_WORDS = set("header head top site page global".split())
 KEEP_WORDS = set("article body content entry main post story text".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>|<[!?/][^>]*>""", re.S)
+COMMENT = re.compile(r"<!--.*?(?:--!?>|\Z)", re.S)
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>""", re.S)
+TAG_OF_OPEN_QUOTES = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>", re.S)
+OTHER = re.compile(r"<[!?/][^>]*>", re.S)
+TAG_START = re.compile(r"</?[A-Za-z]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I | re.S)
 COMMAS = ",،、，"
 
@@ -41,13 +48,14 @@ TAG_POINTS = {"div": 5, "article": 10, "main": 10, "section": 3, "pre": 3, "td":
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "attrs", "dropped", "score", "length", "link", "commas")
+    __slots__ = ("tag", "parent", "parts", "attrs", "dropped", "score", "whole", "articles", "length", "link", "commas")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.parts: list[Node | str] = []
         self.score: float | None = None
-        self.length = self.link = self.commas = 0
+        self.whole = 0.0
+        self.length = self.link = self.commas = self.articles = 0
         self.dropped = tag in DROP_TAGS or bool(attrs) and unwanted(tag, attrs)
 
 
@@ -66,52 +74,82 @@ def unwanted(tag: str, attrs: str) -> bool:
     return bool(words & DROP_WORDS) or ("header" in words and bool(words & (HEADER_WORDS - {"header"}) or words <= {"header", ""}))
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """``(start, end, tag or None)`` of tags, comments and declarations in order.
+
+    A quote that is never closed makes its tag, and every one after it, end at the next ``>``; what is left of an unfinished tag
+    reaches to the end of the page.
+    """
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        m = tag = None
+        if page.startswith("<!--", at):
+            m = COMMENT.match(page, at)
+        elif at < last:
+            if TAG_START.match(page, at):
+                tag = m = TAG.match(page, at) if quotes else None
+                if m is None:  # scanned to the end in vain: not once more
+                    quotes = False
+                    tag = m = TAG_OF_OPEN_QUOTES.match(page, at)
+            else:
+                m = OTHER.match(page, at)
+        elif at + 1 < size and (page[at + 1] in "/!?" or page[at + 1].isascii() and page[at + 1].isalpha()):
+            yield at, size, None
+            return
+        if m:
+            resume = yield at, m.end(), tag
+            at = resume or m.end()
+            if resume:
+                yield at, at, None  # answers send()
+        else:
+            at += 1
+
+
 def parse(page: str) -> Node:
     """A tree with implied ends; what no rule ends stays open to the end of its parent."""
     root = node = Node("html", None)
+    opened: Counter = Counter()
+    body = False
 
-    def close(kinds: set[str], until: set[str]) -> None:
+    def leave(to: Node) -> None:
         nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def close(kinds: set[str], until: set[str]) -> None:
         at = node
-        while at is not root and at.tag not in until:
+        while at is not root and at.tag not in until and any(opened[k] for k in kinds):
             if at.tag in kinds:
-                node = at.parent
-                at = node
-            else:
-                at = at.parent
-
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else size
-        if m is None:  # an unfinished tag is no text
-            cut = re.search(r"<[/!?A-Za-z]", page[at:])
-            end = at + cut.start() if cut else size
-        if end > at:
-            node.parts.append(html.unescape(page[at:end]))
+                leave(at.parent)
+            at = at.parent
+
+    at, found = 0, tokens(page)
+    for start, end, m in found:
+        if start > at:
+            node.parts.append(html.unescape(page[at:start]))
+        at = end
         if m is None:
-            break
-        at = m.end()
-        if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
                 node.parts.append(" ")
             up = node
-            while up is not root and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
+            while up is not root and opened[tag] and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
                 up = up.parent
             if up is not root and up.tag == tag:
-                node = up.parent
+                leave(up.parent)
             continue
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(p, Node) and p.tag == "body" for p in root.parts)):
+        if tag == "html" or tag == "body" and body:
             continue
         if tag in CLOSES_P:
             close({"p"}, {"article", "aside", "blockquote", "body", "button", "div", "main", "section", "table", "td", "th"})
         if tag in ENDS:
             close(*ENDS[tag])
         if tag == "body" or node.tag == "head" and tag not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
-            node = root
+            leave(root)
+            body = body or tag == "body"
         if tag in VOID:
             if tag in ("br", "hr"):
                 node.parts.append(Node("hr", node) if tag == "hr" else " ")
@@ -120,34 +158,31 @@ def parse(page: str) -> Node:
         node.parts.append(child)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else size
+            at = stop.end() if stop else len(page)
+            found.send(at)
             continue
         if not (m[3].endswith("/") and tag in ("path", "circle", "rect", "use")):
             node = child
+            opened[tag] += 1
+    if at < len(page):
+        node.parts.append(html.unescape(page[at:]))
     return root
 
 
 def walk(root: Node) -> list[Node]:
     """Nodes outside dropped parts, parents before children, without recursion."""
-    out, todo = [], [root]
+    out, todo = [], [(root, False)]
     while todo:
-        n = todo.pop()
-        if n.dropped or (n.tag == "header" and not inside(n, ("article", "main"))):
+        n, marked = todo.pop()
+        if n.dropped or (n.tag == "header" and not marked):
             n.dropped = True
             continue
         out.append(n)
-        todo.extend(p for p in reversed(n.parts) if isinstance(p, Node))
+        marked = marked or n.tag in ("article", "main")
+        todo.extend((p, marked) for p in reversed(n.parts) if isinstance(p, Node))
     return out
 
 
-def inside(n: Node, tags: tuple[str, ...]) -> bool:
-    while n.parent is not None:
-        n = n.parent
-        if n.tag in tags:
-            return True
-    return False
-
-
 def commas(text: str) -> int:
     return text.count(",") if text.isascii() else sum(map(text.count, COMMAS))
 
@@ -195,28 +230,32 @@ def main_text(page: str | None) -> str:
                 n.commas += p.commas
         if n.tag == "a":
             n.link = n.length
-    for n in nodes:
+    for n in reversed(nodes):
+        points, size, stops = 0.0, 0, 0
         if n.tag in PARAGRAPHS:
             size, stops = n.length, n.commas
         elif n.tag in BLOCK and n.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and any(isinstance(p, str) and not p.isspace() for p in n.parts):
             runs = [p for p in n.parts if isinstance(p, str) or p.tag not in BLOCK and not p.dropped]
             size = sum(len(p.strip()) if isinstance(p, str) else p.length for p in runs)
             stops = sum(commas(p) if isinstance(p, str) else p.commas for p in runs)
-        else:
-            continue
-        if not size:
-            continue
-        points = 1 + stops + min(size / 100, 3)
-        # text straight inside a container counts for the container itself
-        up, share = (n.parent, 1.0) if n.tag in PARAGRAPHS else (n, 1.0)
-        level = 0
-        while up is not None:
-            if up.score is None:
-                up.score = TAG_POINTS.get(up.tag, 0) + (10 if names(up.attrs)[1] & KEEP_WORDS else 0)
-            up.score += points * share
-            level += 1
-            share = 0.5 if level == 1 else 1 / (3 * level)
-            up = up.parent
+        if size:
+            points = 1 + stops + min(size / 100, 3)
+        below = n.score  # what children passed on
+        if n.tag not in PARAGRAPHS and points:  # text straight inside a container counts for the container itself
+            below = (below or 0.0) + points
+        n.whole += points
+        n.articles += n.tag == "article"
+        up = n.parent
+        if up is not None:
+            up.whole += n.whole
+            up.articles += n.articles
+            if n.tag in PARAGRAPHS and points:
+                up.score = (up.score or 0.0) + points
+            if below is not None:
+                up.score = (up.score or 0.0) + below / 2
+        if below is not None:
+            marked = n.tag == "article" or n.tag == "main" and not n.articles
+            n.score = (n.whole if marked else below) + TAG_POINTS.get(n.tag, 0) + (10 if names(n.attrs)[1] & KEEP_WORDS else 0)
     scored = [n for n in nodes if n.score is not None]
     if not scored:
         return "\n\n".join(blocks(root))
@@ -225,12 +264,6 @@ def main_text(page: str | None) -> str:
         return (n.score or 0) * (1 - n.link / n.length if n.length else 0)
 
     best = max(scored, key=value)
-    up = best
-    while up.parent is not None:  # a part of a marked article stands for the whole
-        up = up.parent
-        if up.tag in ("article", "main"):
-            best = up
-            break
     if best.parent is None or best.tag in ("body", "main"):
         return "\n\n".join(blocks(best))
     least = max(10, 0.2 * value(best))

@@ -28,12 +28,18 @@ PUNCTUATION = set(".,;:'\"()-!?’‘“”«»¿¡…–—")
 
 def shape(word: str) -> str:
     """Letters as X and x, digits as 0, equal neighbours once (signs twice)."""
-    s = "".join("x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else "c" if c.isalpha() else c for c in word[:64])
+    s = "".join("x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else "c" if c.isalpha() else c for c in word)
     return re.sub(r"([xX0c])\1+", r"\1", re.sub(r"([^xX0c])\1{2,}", r"\1\1", s))
 
 
-#: Bits of a word's facts in one number: bucket of its shape, then counts, then flags.
+#: Bits of a word's facts in one number: bucket of its shape, then counts, then flags.  A count that needs more is counted apart.
 FIELD, COUNT_BITS = 12, 15
+MOST = (1 << COUNT_BITS) - 1
+
+
+def counts_of(word: str) -> tuple[int, int, int]:
+    """Signs, capitals and letters of a word."""
+    return sum(not c.isalnum() and c not in PUNCTUATION for c in word), sum(c.isupper() for c in word), sum(c.isalpha() for c in word)
 
 
 class Words(dict):
@@ -42,12 +48,12 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        letters = sum(c.isalpha() for c in word)
-        counts = sum(not c.isalnum() and c not in PUNCTUATION for c in word), sum(c.isupper() for c in word), letters
+        counts = counts_of(word)
+        letters = counts[2]
         flags = (word.islower(), re.search(r"[^\w\s]{2}", word.rstrip("\"')»”’")) is not None, letters == 0 and not any(c.isdigit() for c in word), word[-1] in ".!?")
         got = xxhash.xxh64_intdigest(shape(word).encode("utf-8", "surrogatepass")) % BUCKETS
         for k, n in enumerate(counts):
-            got |= min(n, (1 << COUNT_BITS) - 1) << FIELD + k * COUNT_BITS
+            got |= min(n, MOST) << FIELD + k * COUNT_BITS
         for k, f in enumerate(flags):
             got |= bool(f) << FIELD + len(counts) * COUNT_BITS + k
         if len(word) <= MEMO_CHARS:
@@ -70,7 +76,11 @@ def look(text: str | None, memo: Words) -> tuple[dict[str, float], np.ndarray, i
     if not n:
         return {}, np.empty(0, dtype=np.int64), 0
     a = np.fromiter(map(memo.__getitem__, ws), np.int64, n)
-    signs, capitals, letters = (int((a >> FIELD + k * COUNT_BITS & (1 << COUNT_BITS) - 1).sum()) for k in range(3))
+    counts = [int((a >> FIELD + k * COUNT_BITS & MOST).sum()) for k in range(3)]
+    if len(text) > MOST:
+        for w in (w for w in ws if len(w) > MOST):
+            counts = [have + max(0, true - MOST) for have, true in zip(counts, counts_of(w))]
+    signs, capitals, letters = counts
     lower, runs, alone, ends = (int((a >> FIELD + 3 * COUNT_BITS + k & 1).sum()) for k in range(4))
     size = len(text)
     return {"symbols": signs / size, "capitals": capitals / max(1, letters), "repeats": sum(map(operator.eq, ws, ws[1:])) / n, "sign_runs": runs / n,
@@ -161,8 +171,9 @@ def fit_scorer(at: np.ndarray, value: np.ndarray, row: np.ndarray, target: np.nd
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, DataFrame]:
     """Weights of the scorer, and the described documents that it was learned from."""
     seen = cut(describe(docs, key, text))
+    # votes need no label, so all documents count; the scorer leaves fold 0 out
     learn = seen.filter(fold(F.col("key")) != 0)
-    posterior = learn_votes({r.votes: r.n for r in learn.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()})
+    posterior = learn_votes({r.votes: r.n for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()})
     sample = sample_below(learn.filter("n_words > 0"), sample_rows, "key", "n_words").select("votes", "at", "value").toArrow()
     lists = sample.column("at").combine_chunks()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) if len(lists) else np.empty(0, dtype=np.int64)
@@ -188,10 +199,10 @@ def score_column(spark: SparkSession, weights: np.ndarray, text: Column) -> Colu
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(key, held_out, score, predicted)`` for every row; no given label is used, and fold 0 is left out of the fitting.
+    """``(key, held_out, score, predicted)`` for every row; no given label is used, votes are counted over all rows, and fold 0 is left out of fitting the scorer.
 
     A null or empty text and one of a few words carry no sign against them and score as the intercept says.  Repeated rows and
-    null keys are scored like others; other columns are ignored; an empty table gives an empty result.
+    null keys are scored like others; other columns are ignored; an empty table gives an empty result; of very long texts and words every character counts.
     """
     weights, seen = fit(docs, key, text, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(weights)

@@ -41,25 +41,25 @@ def buckets(token: str) -> list[int]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (start, end, score), end exclusive; one pass over the positive scores.
+    """All maximal scoring segments as (start, end, score), end exclusive, in linear time.
 
-    Each new segment looks back along the kept ones for one that starts lower; if that one ends lower too, all between
-    are one segment, and the search goes on from it.
+    Each new segment looks back for the nearest kept one that starts lower; if that one ends lower too, all between are one
+    segment, and the search goes on from it.  A kept segment remembers its own nearest lower one, so that a search passes over those
+    that an earlier one has passed.
     """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    kept: list[tuple[int, int, float, float]] = []  # start, end, sums before and after
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, nearest that starts lower
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, low, high = i, i + 1, float(total[i]), float(total[i + 1])
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= low:
-                j -= 1
-            if j < 0 or kept[j][3] >= high:
-                kept.append((start, end, low, high))
-                break
-            start, low = kept[j][0], kept[j][2]
+        j = len(kept) - 1
+        while j >= 0 and kept[j][2] >= low:
+            j = kept[j][4]
+        while j >= 0 and kept[j][3] < high:
+            start, _, low, _, lower = kept[j]
             del kept[j:]
-    return [(a, b, high - low) for a, b, low, high in kept]
+            j = lower
+        kept.append((start, end, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in kept]
 
 
 def damped(scores: np.ndarray, tokens: list[str]) -> np.ndarray:
