@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geo, text
 from ..functions.geo import Camera
 from ..operators import images
-from ..operators.serve import side_by_side
 from ..session import scratch_path
 from ..sources import features, frames, sinks
-from ..streaming import jobs
+from ..streaming import jobs, processors
 from .adapters import AS_OF, WINDOW_S, view
 from .geometry_queries import ringed
 from .registry import query
-from .state_queries import VOTED
+from .state_queries import CUT, VOTED
 
 SMALL = Camera(100, 60, 0.7854)
 
@@ -25,15 +24,30 @@ def r(c, n=4):
     return F.round(c, n)
 
 
-def run_states(spark, sf) -> jobs.Store:
-    """All observations through the stream in four parts, a fifth of them delivered twice."""
-    obs = view(spark, sf, "v_observation")
-    src = scratch_path(spark, "obs")
-    twice = obs.unionByName(obs.filter("frame_id is not null and event_id%5=0"))
-    twice.repartitionByRange(4, "event_id").write.parquet(src)
-    store = jobs.Store(spark, scratch_path(spark, "states"))
-    jobs.stream_states(jobs.tail(spark, src, obs.schema, files_per_batch=1), store, AS_OF, WINDOW_S).awaitTermination()
-    return store
+PARTS = 5
+
+
+def deliver(spark, rows: DataFrame, build, schema: str) -> DataFrame:
+    """What a stream makes of ``rows`` that arrive in the order of ``part``; it is stopped and started again after every part."""
+    src, out = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    for part in range(PARTS):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(src)
+        jobs.start(build(jobs.tail(spark, src, rows.drop("part").schema)), out).awaitTermination()
+    return jobs.written(spark, out, schema)
+
+
+def arrivals(spark, rows: DataFrame, number: str = "event_id") -> DataFrame:
+    """Rows in four parts by their number, every seventh a part late; every fifth with a frame comes again in the next part."""
+    most = rows.agg(F.max(number)).first()[0] or 0
+    when = F.floor(F.col(number) * 4 / F.lit(most + 1)).cast("int")
+    late = F.when(F.col(number) % 7 == 0, 1).otherwise(0)
+    once = rows.withColumn("part", when + late)
+    again = once.filter((F.col(number) % 5 == 0) & F.col("frame_id").isNotNull()).withColumn("part", F.least("part", F.lit(PARTS - 2)) + 1)
+    return once.unionByName(again)
+
+
+def verdicts(spark, sf) -> DataFrame:
+    return deliver(spark, arrivals(spark, view(spark, sf, "v_observation")), lambda s: jobs.bay_verdicts(s, WINDOW_S, AS_OF), processors.VERDICT)
 
 
 ONCE = f"once as (select * exclude (rn) from (select *, row_number() over (partition by frame_id, bay_id order by observed_at, event_id) rn from v_observation) t where frame_id is null or rn=1), {VOTED.replace('v_observation', 'once')}"
@@ -41,26 +55,38 @@ ONCE = f"once as (select * exclude (rn) from (select *, row_number() over (parti
 
 @query("STR02_stream_states", f"with {ONCE} select bay_id, occupied, confidence, backend from voted")
 def str02(spark, sf):
-    return run_states(spark, sf).latest("state", jobs.STATE).select("bay_id", "occupied", "confidence", "backend")
+    return jobs.current_states(verdicts(spark, sf))
 
 
-@query("STR03_stream_deltas", f"with {ONCE} select bay_id, occupied from voted")
+# The vote after every part, and where it differs from the one before.
+@query("STR03_stream_deltas", f"""with arr as (select *, cast(floor(event_id*4/((select max(event_id) from v_observation)+1)) as int) + case when event_id%7=0 then 1 else 0 end part from v_observation),
+ sofar as (select b, arr.* from arr join (select unnest(range({PARTS})) b) t on part <= b),
+ once as (select * from sofar where frame_id is null union all select * exclude (rn) from (select *, row_number() over (partition by b, frame_id, bay_id order by observed_at, event_id) rn from sofar where frame_id is not null) t where rn=1),
+ latest as (select b, bay_id, mission_id from once where observed_at > {CUT} qualify row_number() over (partition by b, bay_id order by observed_at desc, event_id desc) = 1),
+ agg as (select b, o.bay_id, count(*) n, count(case when o.occupied then 1 end) occ from once o join latest l using (b, bay_id) where l.mission_id is not distinct from o.mission_id and observed_at > {CUT} group by 1, 2),
+ v as (select *, occ*2>n occupied, lag(occ*2>n) over (partition by bay_id order by b) was from agg)
+ select bay_id, row_number() over (partition by bay_id order by b) change_no, occupied, round(greatest(occ,n-occ)/cast(n as double),3) confidence from v where was is distinct from occupied""")
 def str03(spark, sf):
-    # the last announcement of every bay must be its final state
-    log = run_states(spark, sf).log("deltas", jobs.DELTA)
-    last = log.groupBy("bay_id").agg(F.max_by("payload", "cursor").alias("p"))
-    return last.select("bay_id", F.get_json_object("p", "$.occupied").cast("boolean").alias("occupied"))
+    return verdicts(spark, sf).filter("flipped").select("bay_id", "change_no", "occupied", r(F.col("confidence"), 3).alias("confidence"))
+
+
+# Every frame in four parts by the time it was received; every fifth comes again a part later.
+FIRSTS = "firsts as (select * from v_frame qualify row_number() over (partition by drone_id, coalesce(mission_id, concat('area:',survey_area)), frame_idx order by received_at, frame_id) = 1)"
+
+
+def ledger(spark, sf) -> DataFrame:
+    f = view(spark, sf, "v_frame").withColumn("us", jobs.micros("received_at"))
+    span = f.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
+    part = F.floor((F.col("us") - F.lit(span.a)) * 4 / F.lit(span.b - span.a + 1)).cast("int")
+    once = f.withColumn("part", part).drop("us")
+    again = once.filter("frame_idx%5=0").withColumn("part", F.col("part") + 1)
+    return deliver(spark, once.unionByName(again), jobs.frame_ledger, processors.NUMBERED)
 
 
-@query("STR01_stream_frames", "select count(distinct concat(drone_id, coalesce(mission_id, concat('area:',survey_area)), '/', cast(frame_idx as varchar))) frames, count(distinct concat(drone_id, coalesce(mission_id, concat('area:',survey_area)), '/', cast(frame_idx as varchar))) jobs from v_frame")
+@query("STR01_stream_frames", f"""with {FIRSTS} select frame_id, drone_id, frame_idx, cast(sum(b) over (partition by drone_id order by received_at, frame_id) as bigint) flight_no, 'queued' status
+ from (select *, case when frame_idx < lag(frame_idx) over (partition by drone_id order by received_at, frame_id) then 1 else 0 end b from firsts) t""")
 def str01(spark, sf):
-    f = view(spark, sf, "v_frame")
-    src = scratch_path(spark, "frames")
-    f.repartitionByRange(3, "received_at").write.parquet(src)
-    store = jobs.Store(spark, scratch_path(spark, "ledger"))
-    jobs.stream_frames(jobs.tail(spark, src, f.schema, files_per_batch=1), store).awaitTermination()
-    ledger = store.log("frames", f.schema).agg(F.count(F.lit(1)).alias("frames"))
-    return side_by_side(ledger, store.log("jobs", "frame_id string, status string").agg(F.count(F.lit(1)).alias("jobs")))
+    return ledger(spark, sf)
 
 
 @query("STR01_number_missions", """select frame_id, cast(sum(b) over (partition by drone_id order by received_at, frame_id) as bigint) flight_no from (select *, case when frame_idx < lag(frame_idx) over (partition by drone_id order by received_at, frame_id) then 1 else 0 end b from v_frame) t""")
@@ -68,6 +94,41 @@ def str01b(spark, sf):
     return jobs.number_missions(view(spark, sf, "v_frame")).select("frame_id", "flight_no")
 
 
+def late_frames(spark, sf) -> DataFrame:
+    """Frames in four parts by time, every seventh a part late, and at last a beat from far ahead that closes all windows."""
+    f = view(spark, sf, "v_frame").select("frame_id", "drone_id", "received_at").withColumn("us", jobs.micros("received_at"))
+    span = f.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
+    part = F.floor((F.col("us") - F.lit(span.a)) * 3 / F.lit(span.b - span.a + 1)).cast("int")
+    late = F.when(F.pmod(F.xxhash64("frame_id"), F.lit(7)) == 0, 1).otherwise(0)
+    beat = f.sparkSession.sql(f"select 'beat' frame_id, 'beat' drone_id, timestamp_ntz '{BEAT}' received_at, {PARTS - 1} part")
+    return f.withColumn("part", part + late).drop("us").unionByName(beat)
+
+
+BEAT = "2100-01-01 00:00:00"
+# Long enough for a part that is late by a whole one.
+DELAY = "40 days"
+
+
+@query("STR08_stream_series", "select date_trunc('minute', received_at) started, count(*) frames from v_frame group by 1 order by 1 desc limit 180")
+def str08(spark, sf):
+    rows = deliver(spark, late_frames(spark, sf), lambda s: jobs.ingest_series(s, "1 minute", DELAY), jobs.SERIES)
+    return rows.orderBy(F.col("started").desc()).limit(180).select(F.col("started").cast("timestamp_ntz").alias("started"), "frames")
+
+
+@query("STR11_stream_sessions", """with g as (select *, case when received_at >= lag(received_at) over w + interval '30 minutes' then 1 else 0 end brk from v_frame window w as (partition by drone_id order by received_at)),
+ n as (select *, sum(brk) over (partition by drone_id order by received_at rows unbounded preceding) s from g) select drone_id, min(received_at) started, max(received_at) last_at, count(*) frames from n group by drone_id, s""")
+def str11(spark, sf):
+    rows = deliver(spark, late_frames(spark, sf), lambda s: jobs.flight_sessions(s, "30 minutes", DELAY), jobs.SESSIONS)
+    return rows.filter("drone_id <> 'beat'").select("drone_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "last_at")], "frames")
+
+
+@query("STR09_stream_tones", """with t as (select distinct drone_id who, epoch_ms(received_at) at from v_frame), g as (select *, lag(at) over w was, lead(at) over w nxt from t window w as (partition by who order by at))
+ select who, 'good' tone, at at_ms from g where was is null or at-was >= 600000 union all select who, 'warn', at+600000 from g where nxt is null or nxt-at >= 600000""")
+def str09(spark, sf):
+    rows = deliver(spark, late_frames(spark, sf), lambda s: jobs.tone_changes(s, "drone_id", "received_at", 600, DELAY), processors.TONES)
+    return rows.filter("who <> 'beat'")
+
+
 # ---- pictures --------------------------------------------------------------------
 
 def pictures(spark, sf) -> DataFrame:

@@ -1,20 +1,22 @@
-"""Frames and observations as streams.
+"""Frames and observations as streams: file source, keyed state, file sink.
 
-Input is at-least-once and may arrive out of order, so a micro-batch never increments anything: it adds
-its new evidence to a table and re-derives the state of the bays it touched with the batch operators.
-Everything a batch writes lives in a folder named by its id, so a repeated batch replaces itself.
+Input is at-least-once and may arrive out of order.  What must be remembered lives in the engine's state store
+(``processors.py``); outputs are append-only files written exactly once, so a restarted stream goes on where it stopped and a batch reads
+nothing but its new files and the state of the keys in them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.numeric import as_time, within_window
+from ..functions.text import MISSION_IDLE_S
 from ..operators import vote
 from ..operators.scan import chunk_of_time, ordered_scan
+from ..session import ship_code
+from . import processors
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tail(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -25,87 +27,53 @@ def tail(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per
     return r.load(path)
 
 
-class Store:
-    """Tables of one stream below a shared folder: a folder per batch for logs, a version per batch for state."""
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self, name: str) -> list[int]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        fs = self._fs()
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        found = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(v for v in found if fs.exists(done(f"{self.base}/{name}/batch={v}/_SUCCESS")))
+def start(out: DataFrame, path: str, once: bool = True) -> StreamingQuery:
+    """Append a stream to ``path``; its checkpoint lies beside the data.  ``once``: all that has arrived so far, then stop."""
+    spark = out.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state with timers needs it
+    ship_code(spark)
+    w = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_checkpoint")
+    return (w.trigger(availableNow=True) if once else w).start(f"{path}/rows")
 
-    def write(self, name: str, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}/batch={batch}")
 
-    def log(self, name: str, schema, before: int | None = None) -> DataFrame:
-        """All rows appended by batches before ``before``."""
-        paths = [f"{self.base}/{name}/batch={v}" for v in self._versions(name) if before is None or v < before]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+def written(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``start`` has appended so far."""
+    return spark.read.schema(schema).parquet(f"{path}/rows")
 
-    def latest(self, name: str, schema, before: int | None = None) -> DataFrame:
-        """The newest state version older than batch ``before``."""
-        vs = [v for v in self._versions(name) if before is None or v < before]
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}/batch={vs[-1]}") if vs else self.spark.createDataFrame([], schema)
 
+def micros(ts: str):
+    """A zone-less timestamp as microseconds since 1970."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', {ts})")
 
-STATE = "bay_id string, occupied boolean, confidence double, backend string, updated_at timestamp_ntz"
-DELTA = "cursor bigint, bay_id string, payload string"
 
+def bay_verdicts(observations: DataFrame, window_s: float = vote.BAY_WINDOW_S, as_of: str | None = None) -> DataFrame:
+    """Observations to verdict changes (``processors.VERDICT``), as the batch vote would give them after every batch.
 
-def stream_states(observations: DataFrame, store: Store, as_of: Callable[[DataFrame], object] | str, window_s: float = vote.BAY_WINDOW_S) -> StreamingQuery:
-    """Observations to bay state and change log, exactly as the batch vote would give them.
-
-    ``as_of`` is a fixed time or a function of the batch.  No watermark is used: a late look of the
-    newest mission still counts while it is inside the window, and evidence older than the window is
-    never read.  Start it with ``.start()`` semantics already applied; the query is returned.
+    The last row per bay is its state, the rows with ``flipped`` are what subscribers are told.  ``as_of`` fixes the time for a
+    replay; without it the clock moves the window.
     """
-    schema = observations.schema
-
-    def step(batch: DataFrame, no: int) -> None:
-        now = as_time(as_of(batch) if callable(as_of) else as_of)
-        stored = store.log("evidence", schema, before=no)
-        known = stored.filter(within_window("observed_at", now, window_s))
-        store.write("evidence", no, vote.append_observations(stored, batch, F.struct("observed_at", "event_id")))
-        fresh = store.spark.read.schema(schema).parquet(f"{store.base}/evidence/batch={no}")
-        touched = fresh.select("bay_id").distinct()
-        voted = vote.vote_states(known.unionByName(fresh).join(touched, "bay_id", "left_semi"), now, window_s)
-        prior = store.latest("state", STATE, before=no)
-        rows = voted.select("bay_id", "occupied", "confidence", "backend", now.alias("updated_at"))
-        base = store.log("deltas", DELTA, before=no).agg(F.coalesce(F.max("cursor"), F.lit(0))).first()[0]
-        store.write("deltas", no, vote.delta_log(vote.state_changes(prior, voted), ["bay_id"], base))
-        store.write("state", no, vote.upsert(prior, rows, ["bay_id"]))
-
-    return (observations.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.base}/checkpoint")
-            .trigger(availableNow=True).start())
-
+    fixed = None if as_of is None else observations.sparkSession.range(1).select(micros(f"timestamp_ntz '{as_of}'")).first()[0]
+    looks = observations.select("bay_id", micros("observed_at").alias("at"), F.col("event_id").alias("event"), F.col("frame_id").alias("frame"), F.col("mission_id").alias("mission"), "occupied", "backend")
+    votes = processors.BayVotes(int(window_s * 1e6), fixed)
+    return looks.groupBy("bay_id").transformWithState(votes, processors.VERDICT, "Append", "None" if fixed is not None else "ProcessingTime")
 
-FRAME_KEY = ["drone_id", "mission_id", "survey_area", "frame_idx"]
 
+def current_states(verdicts: DataFrame) -> DataFrame:
+    """State table from the verdict changes: the last one of every bay."""
+    last = F.max_by(F.struct("occupied", "confidence", "backend"), F.col("seq")).alias("s")
+    return verdicts.groupBy("bay_id").agg(last).select("bay_id", "s.*")
 
-def stream_frames(frames: DataFrame, store: Store) -> StreamingQuery:
-    """Frames to an idempotent ledger: a re-sent frame adds nothing, a new one also queues a job."""
-    schema = frames.schema
 
-    def step(batch: DataFrame, no: int) -> None:
-        held = store.log("frames", schema, before=no)
-        seen = vote.ingest_frames(held, batch, F.struct("received_at", "frame_id"))
-        new = batch.join(seen.filter(~F.col("duplicate")).select("frame_id"), "frame_id", "left_semi")
-        store.write("frames", no, new)
-        store.write("jobs", no, vote.new_jobs(seen))
+def frame_ledger(frames: DataFrame, keep_s: float | None = None) -> DataFrame:
+    """Frames to a ledger with flight numbers (``processors.NUMBERED``): a re-sent frame adds nothing, a new one queues a job.
 
-    return (frames.writeStream.foreachBatch(step).option("checkpointLocation", f"{store.base}/checkpoint")
-            .trigger(availableNow=True).start())
+    Two keyed states in one stream: the first frame per ingest key, then the numbering per drone.  Within a batch the order is that of
+    ``received_at``; over batches that of arrival.
+    """
+    keyed = frames.select("drone_id", vote.frame_key().alias("mission"), "frame_idx", "frame_id", micros("received_at").alias("at"))
+    mode = "None" if keep_s is None else "ProcessingTime"
+    first = keyed.groupBy("drone_id", "mission", "frame_idx").transformWithState(processors.FirstFrame(None if keep_s is None else int(keep_s * 1000)), processors.FIRST, "Append", mode)
+    return first.groupBy("drone_id").transformWithState(processors.FlightNumbers(), processors.NUMBERED, "Append", mode)
 
 
 def number_missions(frames: DataFrame, order: list | None = None, chunk_s: float = 86400.0) -> DataFrame:
@@ -116,7 +84,28 @@ def number_missions(frames: DataFrame, order: list | None = None, chunk_s: float
     return ordered_scan(prev, ["drone_id"], order, chunk_of_time(order[0], chunk_s), running_sum={"flight_no": again}).drop("__last")
 
 
-def ingest_series_stream(frames: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Frames per window with late frames accepted for ``delay``; ``received_at`` must be a TIMESTAMP."""
-    w = frames.withWatermark("received_at", delay).groupBy(F.window("received_at", width)).agg(F.count(F.lit(1)).alias("frames"))
+SERIES = "started timestamp, frames bigint"
+
+
+def ingest_series(frames: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """Frames per window, each row sent once: when no frame of it can come any more, ``delay`` behind the newest."""
+    timed = frames.select(F.col("received_at").cast("timestamp").alias("received_at")).withWatermark("received_at", delay)
+    w = timed.groupBy(F.window("received_at", width)).agg(F.count(F.lit(1)).alias("frames"))
     return w.select(F.col("window.start").alias("started"), "frames")
+
+
+SESSIONS = "drone_id string, started timestamp, last_at timestamp, frames bigint"
+
+
+def flight_sessions(frames: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Activity sessions per drone, merged in state as frames arrive in any order, each sent once when it is over."""
+    timed = frames.select("drone_id", F.col("received_at").cast("timestamp").alias("received_at")).withWatermark("received_at", delay)
+    s = timed.groupBy("drone_id", F.session_window("received_at", gap).alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.max("received_at").alias("last_at"))
+    return s.select("drone_id", F.col("w.start").alias("started"), "last_at", "frames")
+
+
+def tone_changes(signs: DataFrame, who: str, seen: str, limit_s: float = MISSION_IDLE_S, delay: str = "10 minutes") -> DataFrame:
+    """``(who, tone, at_ms)`` whenever a sender falls silent for ``limit_s`` or is heard again (``processors.TONES``)."""
+    timed = signs.select(F.col(who).cast("string").alias("who"), F.col(seen).cast("timestamp").alias("seen")).withWatermark("seen", delay)
+    timed = timed.filter("who is not null").withColumn("at_ms", F.unix_millis("seen"))
+    return timed.groupBy("who").transformWithState(processors.Silence(int(limit_s * 1000)), processors.TONES, "Append", "EventTime")
