@@ -122,8 +122,8 @@ def str11(spark, sf):
     return rows.filter("drone_id <> 'beat'").select("drone_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "last_at")], "frames")
 
 
-@query("STR09_stream_tones", """with t as (select distinct drone_id who, epoch_ms(received_at) at from v_frame), g as (select *, lag(at) over w was, lead(at) over w nxt from t window w as (partition by who order by at))
- select who, 'good' tone, at at_ms from g where was is null or at-was >= 600000 union all select who, 'warn', at+600000 from g where nxt is null or nxt-at >= 600000""")
+@query("STR09_stream_tones", """with t as (select distinct drone_id who, epoch_us(received_at)//1000 ms from v_frame), g as (select *, lag(ms) over w was, lead(ms) over w nxt from t window w as (partition by who order by ms))
+ select who, 'good' tone, ms at_ms from g where was is null or ms-was >= 600000 union all select who, 'warn', ms+600000 from g where nxt is null or nxt-ms >= 600000""")
 def str09(spark, sf):
     rows = deliver(spark, late_frames(spark, sf), lambda s: jobs.tone_changes(s, "drone_id", "received_at", 600, DELAY), processors.TONES)
     return rows.filter("who <> 'beat'")

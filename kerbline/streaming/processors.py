@@ -138,8 +138,8 @@ class Silence(StatefulProcessor):
         waiting = {r["at_ms"] for r in rows} | {x[0] for x in (self.pending.get() if self.pending.exists() else ())}
         yield from self.advance(key, waiting, timers)
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator[Row]:
-        yield from self.advance(key, {x[0] for x in (self.pending.get() if self.pending.exists() else ())}, timers)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.advance(key, {x[0] for x in (self.pending.get() if self.pending.exists() else ())}, timerValues)
 
     def advance(self, key, waiting: set[int], timers) -> Iterator[Row]:
         now = timers.getCurrentWatermarkInMs()
