@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
-from ..session import cut
+from ..session import cut, scratch_path
 from .components import link_points
 from .scan import chunk_of, global_number, latest_per_key, ordered_scan
 from .spatial import near_pairs
@@ -94,20 +94,47 @@ def merge_drawings(rings: DataFrame, r: float = 2.0) -> DataFrame:
     return mean.groupBy("label", "drawings").agg(ring.alias("ring"))
 
 
-def cover_frames(views: DataFrame) -> DataFrame:
-    """``(step, frame_idx, gained)``: frames that together show every bay, greedily the one that adds most.
+# Frames whose gain is within this share of the best one are as good as the best.
+COVER_SLACK = 0.25
 
-    Ties go to the least frame.  A round takes every frame that comes before all others showing one of its uncovered
-    bays: none of those can change what it adds, so the greedy choice takes it too, with the same gain.
+
+def cover_frames(views: DataFrame, slack: float | None = None) -> DataFrame:
+    """``(step, frame_idx, gained)``: frames that together show every bay.
+
+    ``slack=None`` is the greedy choice, always the frame that adds most, ties to the least frame: a round takes every frame that comes
+    before all others showing one of its uncovered bays, as none of those can change what it adds.  Where frames that add
+    alike overlap in long rows that is one frame a round.
+
+    With ``slack`` a frame may also be taken that adds at least ``1/(1+slack)`` of what the best one adds, so at most ``1+slack`` times as
+    many frames as the greedy bound allows are taken.  Such frames get a random rank, new in each round, and those that come first among all that show one of
+    their uncovered bays are taken: few rounds per class of gains, as of a random maximal independent set, and
+    ``log(largest gain) / log(1+slack)`` classes, so rounds grow with logarithms alone.
     """
+    spark = views.sparkSession
     todo = cut(views.select("frame_idx", "bay_id").filter("frame_idx is not null and bay_id is not null").distinct())
-    picked = cut(todo.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("gained")).limit(0))
+    kind = dict(todo.dtypes)["frame_idx"]
+    path, turn = scratch_path(spark, "cover"), 0
     while not todo.isEmpty():
         gain = todo.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("gained"))
-        first = F.min(F.struct((-F.col("gained")).alias("less"), "frame_idx")).alias("first")
-        won = cut(todo.join(gain, "frame_idx").groupBy("bay_id").agg(first).select("bay_id", "first.frame_idx", (-F.col("first.less")).alias("gained")))
-        new = cut(won.groupBy("frame_idx", "gained").agg(F.count(F.lit(1)).alias("n")).filter("n = gained").drop("n"))
-        picked = picked.unionByName(new)
+        if slack is None:
+            rank = (-F.col("gained")).alias("less")
+        else:
+            gain = cut(gain)
+            best = gain.agg(F.max("gained")).first()[0]
+            gain = gain.filter(F.col("gained") * (1 + slack) >= best)
+            rank = F.xxhash64("frame_idx", F.lit(turn)).alias("less")
+        first = F.min(F.struct(rank, "frame_idx", "gained")).alias("first")
+        won = cut(todo.join(gain, "frame_idx").groupBy("bay_id").agg(first).select("bay_id", "first.frame_idx", "first.gained"))
+        new = cut(won.groupBy("frame_idx", "gained").agg(F.count(F.lit(1)).alias("n")).filter("n = gained").select("frame_idx", "gained", F.lit(turn).alias("turn")))
+        new.write.mode("append").parquet(path)
         shown = won.join(new.select("frame_idx"), "frame_idx", "left_semi").select("bay_id")
         todo = cut(todo.join(shown, "bay_id", "left_anti"))
-    return global_number(picked, [F.col("gained").desc(), "frame_idx"], "step").select(F.col("step").cast("int").alias("step"), "frame_idx", "gained")
+        turn += 1
+    picked = spark.read.schema(f"frame_idx {kind}, gained bigint, turn int").parquet(path) if turn else spark.createDataFrame([], f"frame_idx {kind}, gained bigint, turn int")
+    order = [F.col("gained").desc(), "frame_idx"]
+    return global_number(picked, order if slack is None else ["turn", *order], "step").select(F.col("step").cast("int").alias("step"), "frame_idx", "gained")
+
+
+def unreachable(bays: DataFrame, views: DataFrame) -> DataFrame:
+    """``(bay_id,)`` of the bays that no frame shows: what no cover can reach."""
+    return bays.select("bay_id").join(views.select("bay_id").distinct(), "bay_id", "left_anti")

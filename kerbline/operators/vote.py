@@ -210,8 +210,8 @@ def manual_override(states: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def resolve_orders(orders: DataFrame, bays: DataFrame, x: float, y: float) -> tuple[DataFrame, DataFrame]:
-    """``(accepted, refused)`` operator orders: one without a bay means the bay closest to ``(x, y)``, one that names
-    an unknown bay is refused."""
+    """``(accepted, refused)`` operator orders: one without a bay means the bay closest to ``(x, y)``; one that names
+    an unknown bay is refused, and so is one without a bay where there is none to fall back on."""
     from .spatial import nearest
 
     spark = orders.sparkSession
@@ -222,7 +222,7 @@ def resolve_orders(orders: DataFrame, bays: DataFrame, x: float, y: float) -> tu
     named = asked.join(known, F.col("__asked") == F.col("__known"), "left").join(closest, "__blank", "left")
     out = named.withColumn("bay_id", F.when(F.col("__blank"), F.col("__closest")).otherwise(F.col("__known")))
     keep = [c for c in orders.columns]
-    return out.filter("bay_id is not null").select(keep), named.filter("not __blank and __known is null").select(keep)
+    return out.filter("bay_id is not null").select(keep), named.filter(F.when(F.col("__blank"), F.col("__closest")).otherwise(F.col("__known")).isNull()).select(keep)
 
 
 def override_messages(accepted: DataFrame, order: list, base: int | Column = 0) -> DataFrame:

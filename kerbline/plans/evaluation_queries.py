@@ -208,15 +208,25 @@ def jon16(spark, sf):
     return got.select("drawing_id", "bay_id", r(F.col("dist")).alias("dist")).unionByName(rest.select("drawing_id", F.lit(None).cast("string").alias("bay_id"), r(F.col("nearest_m")).alias("dist")))
 
 
-@query("JON17_pair_by_position", """with a as (select g.*, g.x+1.1e0 ax, g.y+(ord%5)*0.3e0 ay from v_ring g), d as (select a.bay_id, b.bay_id other_id, sqrt(pow(ax-b.x,2)+pow(ay-b.y,2)) dist, ax-b.x dx, ay-b.y dy, a.c, a.s,
+MATED = """with a as (select g.*, g.x+1.1e0 ax, g.y+(ord%5)*0.3e0 ay from v_ring g), d as (select a.bay_id, b.bay_id other_id, sqrt(pow(ax-b.x,2)+pow(ay-b.y,2)) dist, ax-b.x dx, ay-b.y dy, a.c, a.s,
  row_number() over (partition by a.bay_id order by sqrt(pow(ax-b.x,2)+pow(ay-b.y,2)), b.bay_id) rn from a join v_bay b on abs(ax-b.x)<=6 and abs(ay-b.y)<=6)
- select bay_id, other_id, round(dist,4) dist, round(abs(dx*c+dy*s),4) along_m, round(abs(dy*c-dx*s),4) across_m, bay_id=other_id same_id from d where rn=1 and dist<=6""")
+ select bay_id, other_id, round(dist,4) dist, round(abs(dx*c+dy*s),4) along_m, round(abs(dy*c-dx*s),4) across_m, bay_id=other_id same_id from d where rn=1 and dist<=6"""
+
+
+@query("JON17_pair_by_position", MATED)
 def jon17(spark, sf):
     a = ringed(spark, sf).withColumns({"x": F.col("x") + 1.1, "y": F.col("y") + F.col("ord") % 5 * F.lit(0.3)})
     out = reports.pair_by_position(a, view(spark, sf, "v_bay").withColumnRenamed("bay_id", "other_id"))
     return out.withColumns({c: r(F.col(c)) for c in ("dist", "along_m", "across_m")})
 
 
+@query("JON17_pair_agreement", f"""with p as ({MATED}), k as (select *, row_number() over (order by along_m) - 1 i, row_number() over (order by across_m) - 1 j, count(*) over () n from p)
+ select max(n) pairs, count(case when same_id then 1 end) same_id, max(case when i=round_even((n-1)*0.5e0,0) then along_m end) along_m_p50, max(case when i=round_even((n-1)*0.9e0,0) then along_m end) along_m_p90,
+ max(case when j=round_even((n-1)*0.5e0,0) then across_m end) across_m_p50, max(case when j=round_even((n-1)*0.9e0,0) then across_m end) across_m_p90 from k""")
+def jon17b(spark, sf):
+    return reports.pair_agreement(jon17(spark, sf))
+
+
 @query("JON18_overlapping_bays", """select a.bay_id a, b.bay_id b from v_bay a join v_bay b on a.ord<b.ord and abs(a.x-b.x)<3.0e0+(b.ord%4)*1.0e0+(a.ord%4)*1.0e0 and abs(a.y-b.y)<2.2e0+(b.ord%3)*4.0e0+(a.ord%3)*4.0e0""")
 def jon18(spark, sf):
     b = view(spark, sf, "v_bay").withColumn("ring", geo.rectangle("x", "y", F.lit(1.0), F.lit(0.0), F.col("ord") % 4 * 2.0 + 3.0, F.col("ord") % 3 * 8.0 + 2.2))
@@ -293,15 +303,23 @@ def agg14(spark, sf):
     return stats.confusion(voted(spark, sf), labels(spark, sf), view(spark, sf, "v_bay").filter("ord%17=0"))
 
 
-@query("AGG15_radius_sweep", f"""with {RANGE.replace('<= 9.0e0', '<= 16.0e0')}, {OWN}, {LABELS}, na as (select frame_idx, bay_id, min(dist) m from rg group by 1,2), no as (select frame_idx, bay_id, min(dist) m from own group by 1,2),
+SWEEP = f"""with {RANGE.replace('<= 9.0e0', '<= 16.0e0')}, {OWN}, {LABELS}, na as (select frame_idx, bay_id, min(dist) m from rg group by 1,2), no as (select frame_idx, bay_id, min(dist) m from own group by 1,2),
  t(radius) as (values (1.0e0),(2.0e0),(4.0e0)), e as (select s.bay_id, radius, 'inclusive' as rule, coalesce(na.m<=radius,false) hit from shot s left join na using (frame_idx,bay_id), t union all select s.bay_id, radius, 'nearest', coalesce(no.m<=radius,false) from shot s left join no using (frame_idx,bay_id), t),
  v as (select bay_id, radius, rule, count(case when hit then 1 end)*2>count(*) occupied from e group by 1,2,3), j as (select v.*, gt from v join lb using (bay_id) where gt is not null),
  c as (select radius, rule, count(case when occupied and gt then 1 end) tp, count(case when not occupied and not gt then 1 end) tn, count(case when occupied and not gt then 1 end) fp, count(case when not occupied and gt then 1 end) fn from j group by 1,2)
- select *, round((tp+tn)/nullif(cast(tp+tn+fp+fn as double),0),4) accuracy, round(tp/nullif(cast(tp+fp as double),0),4) "precision", round(tp/nullif(cast(tp+fn as double),0),4) recall from c""")
+ select *, round((tp+tn)/nullif(cast(tp+tn+fp+fn as double),0),4) accuracy, round(tp/nullif(cast(tp+fp as double),0),4) "precision", round(tp/nullif(cast(tp+fn as double),0),4) recall from c"""
+
+
+@query("AGG15_radius_sweep", SWEEP)
 def agg15(spark, sf):
     return evaluate.radius_sweep(dets(spark, sf), shots(spark, sf), labels(spark, sf), [1.0, 2.0, 4.0])
 
 
+@query("AGG15_best_setting", SWEEP + " order by accuracy desc, radius, rule limit 1")
+def agg15b(spark, sf):
+    return evaluate.best_setting(agg15(spark, sf))
+
+
 @query("AGG17_count_errors", """with s as (select run_id, cast(floor(s0/18) as int) seg, count(*) pred, count(distinct frame_idx)-1 gt from v_span group by 1,2) select count(*) segments, cast(sum(pred) as bigint) predicted, cast(sum(gt) as bigint) counted, round(avg(abs(pred-gt)),3) mae, round(avg(pred-gt),3) bias, count(case when abs(pred-gt)<=1 then 1 end) within_1 from s""")
 def agg17(spark, sf):
     s = view(spark, sf, "v_span").groupBy("run_id", F.floor(F.col("s0") / 18).alias("seg")).agg(F.count(F.lit(1)).alias("pred"), (F.count_distinct("frame_idx") - 1).alias("gt"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import datasets, flights, stats
+from ..operators.serve import side_by_side
 from ..session import scratch_path
 from ..sources import features, frames, sinks
 from .adapters import table, view
-from .evaluation_queries import shots
+from .evaluation_queries import SHOT, shots
 from .geometry_queries import ringed
 from .kerb_queries import lines
 from .registry import query
@@ -173,9 +174,22 @@ def clu04(spark, sf):
 
 @query("CLU06_cover_frames")
 def clu06(spark, sf):
-    return datasets.cover_frames(shots(spark, sf))
+    return datasets.cover_frames(shots(spark, sf), datasets.COVER_SLACK)
 
 
+# A cover shows every bay that any frame shows, and gains add up to each bay once.
+@query("CLU06_cover_totals", f"with {SHOT} select count(distinct bay_id) shown, count(distinct bay_id) gained, true as least_gain_positive from shot")
+def clu06b(spark, sf):
+    picks, views = clu06(spark, sf), shots(spark, sf)
+    shown = views.join(picks, "frame_idx", "left_semi").agg(F.count_distinct("bay_id").alias("shown"))
+    return side_by_side(shown, picks.agg(F.sum("gained").alias("gained"), (F.min("gained") > 0).alias("least_gain_positive")))
+
+
+@query("CLU06_unreachable", f"with {SHOT} select bay_id from v_bay where bay_id not in (select bay_id from shot) union all select concat('hidden ', bay_id) from v_bay")
+def clu06c(spark, sf):
+    bays = view(spark, sf, "v_bay").select("bay_id")
+    return datasets.unreachable(bays.unionByName(bays.select(F.concat(F.lit("hidden "), "bay_id").alias("bay_id"))), shots(spark, sf))
+
 
 # ---- files: written from the tables, read back ------------------------------------
 

@@ -308,16 +308,24 @@ def win15b(spark, sf):
     return runs.gap_still_free(t, gaps, per)
 
 
-@query("AGG41_run_layer_report", f"""with {CELLS}, vo as (select run_id, k*0.5e0 s0, least((k+1)*0.5e0,230.1e0) s1 from votes where looks>=3 and hits*2>looks), vb as (select run_id, k*0.5e0 s0, least((k+1)*0.5e0,230.1e0) s1 from votes where looks>=3),
+LAYER = f"""with {CELLS}, vo as (select run_id, k*0.5e0 s0, least((k+1)*0.5e0,230.1e0) s1 from votes where looks>=3 and hits*2>looks), vb as (select run_id, k*0.5e0 s0, least((k+1)*0.5e0,230.1e0) s1 from votes where looks>=3),
  {merged('vo', 'run_id', '1.5e0', 'occ')}, {merged('vb', 'run_id', '0.0000001e0', 'obs')}, {gaps_sql('occ', 'obs', 'g')}, f as (select run_id, sum(spaces) f from g where spaces>0 group by 1),
  ol as (select run_id, sum(s1-s0) o from obs group by 1), ocl as (select run_id, sum(s1-s0) o from occ group by 1), n as (select run_id, count(*) n from {OWN_RUN} t group by 1)
  select r.run_id, capacity, cast(least(coalesce(f,0),capacity) as bigint) as "free", round(coalesce(ocl.o,0.0e0),2) occupied_len_m, coalesce(n,0) dets_seen, round(ol.o/length_m,3) observed_fraction,
- coalesce(n,0)>0 and round(coalesce(ocl.o,0.0e0),2)=0 outvoted from v_run r join ol using (run_id) left join f using (run_id) left join ocl using (run_id) left join n using (run_id) where round(ol.o/length_m,3) > 0.05""")
+ coalesce(n,0)>0 and round(coalesce(ocl.o,0.0e0),2)=0 outvoted from v_run r join ol using (run_id) left join f using (run_id) left join ocl using (run_id) left join n using (run_id) where round(ol.o/length_m,3) > 0.05"""
+
+
+@query("AGG41_run_layer_report", LAYER)
 def agg41(spark, sf):
     own = spatial.assign_runs(view(spark, sf, "v_detection"), segs(spark, sf), "event_id", "x", "y")
     return runs.run_layer_report(view(spark, sf, "v_run"), cell_votes(spark, sf), own)
 
 
+@query("AGG41_layer_totals", f"""with t as ({LAYER}) select count(*) runs, cast(coalesce(sum(capacity),0) as bigint) capacity, cast(coalesce(sum("free"),0) as bigint) "free", cast(coalesce(sum(dets_seen),0) as bigint) dets_seen, count(case when outvoted then 1 end) outvoted from t""")
+def agg41b(spark, sf):
+    return runs.layer_totals(agg41(spark, sf))
+
+
 @query("CLU05_street_graph", """with s as (select cast(user_id%40 as bigint) a, cast(least(39, user_id%40+1+event_id%2) as bigint) b, cast(user_id//40 as bigint) y, event_id from events), e as (select least(a,b)*1000+y u, greatest(a,b)*1000+y v, abs(b-a)*5.9e0 len from s where a<>b),
  m as (select u, v, min(len) len from e group by 1,2), d as (select n, count(*) deg from (select u n from m union all select v from m) t group by 1)
  select (select count(*) from d) nodes, (select count(*) from m) edges, (select count(*) from d where deg%2=1) odd_nodes, (select max(deg) from d) max_degree, (select round(sum(len),3) from m) length_m""")

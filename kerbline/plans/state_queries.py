@@ -160,6 +160,15 @@ def agg11b(spark, sf):
     return serve.open_missions(missions, frames, AS_OF)
 
 
+@query("AGG11_fleet_health", f"""with {FLEET}, o as (select m.mission_id, m.started_at from missions m where ended_at is null order by started_at desc, m.mission_id limit 20)
+ select (select count(*) from drones) drones_total, (select count(case when last_seen > {CUT} then 1 end) from drones) drones_active, (select count(*) from o) missions_active, (select string_agg(mission_id, ',' order by started_at desc, mission_id) from o) missions""")
+def agg11c(spark, sf):
+    drones, missions, frames = fleet(spark, sf)
+    out = serve.fleet_health(drones, missions, frames, AS_OF, WINDOW_S)
+    listed = F.array_sort("missions", lambda a, b: F.when(a["started_at"] != b["started_at"], F.when(a["started_at"] > b["started_at"], -1).otherwise(1)).when(a["mission_id"] < b["mission_id"], -1).when(a["mission_id"] > b["mission_id"], 1).otherwise(0))
+    return out.withColumn("missions", F.array_join(F.transform(listed, lambda m: m["mission_id"]), ","))
+
+
 @query("AGG12_model_accuracy", f"""with l as (select bay_id, gt from (select *, row_number() over (partition by bay_id order by observed_at desc, event_id desc) rn
  from v_observation where gt is not null) t where rn=1),
  v as (select count(*) vs, count(case when occupied=gt then 1 end) vc from v_observation where gt is not null),
@@ -459,17 +468,26 @@ def str10(spark, sf):
 ORDERS = "select event_id, case when event_id%3=0 then ' ' when event_id%5=0 then concat('x', bay_id) else bay_id end bay_id, occupied, observed_at from v_observation where occupied is not null"
 
 
-@query("STR10_override_messages", f"""with o as ({ORDERS}), c as (select bay_id cb from v_bay order by sqrt(pow(x-100.0e0,2)+pow(y-30.0e0,2)), bay_id limit 1),
- r as (select o.event_id, case when trim(o.bay_id)='' then c.cb else b.bay_id end target, o.occupied from o cross join c left join v_bay b on b.bay_id=trim(o.bay_id))
- select row_number() over (order by event_id) "cursor", target bay_id, occupied from r where target is not null""")
+def orders(spark, sf):
+    return view(spark, sf, "v_observation").filter("occupied is not null").select("event_id", F.expr("case when event_id%3=0 then ' ' when event_id%5=0 then concat('x', bay_id) else bay_id end").alias("bay_id"), "occupied")
+
+
+RESOLVED = f"""o as ({ORDERS}), c as (select bay_id cb from v_bay order by sqrt(pow(x-100.0e0,2)+pow(y-30.0e0,2)), bay_id limit 1),
+ r as (select o.event_id, o.bay_id asked, case when trim(o.bay_id)='' then c.cb else b.bay_id end target, o.occupied from o cross join c left join v_bay b on b.bay_id=trim(o.bay_id))"""
+
+
+@query("STR10_override_messages", f"""with {RESOLVED} select row_number() over (order by event_id) "cursor", target bay_id, occupied from r where target is not null""")
 def str10b(spark, sf):
-    bays = view(spark, sf, "v_bay")
-    orders = view(spark, sf, "v_observation").filter("occupied is not null").select("event_id", F.expr("case when event_id%3=0 then ' ' when event_id%5=0 then concat('x', bay_id) else bay_id end").alias("bay_id"), "occupied")
-    accepted, _ = vote.resolve_orders(orders, bays, 100.0, 30.0)
+    accepted, _ = vote.resolve_orders(orders(spark, sf), view(spark, sf, "v_bay"), 100.0, 30.0)
     log = vote.override_messages(accepted, ["event_id"])
     return log.select("cursor", "bay_id", F.get_json_object("payload", "$.occupied").cast("boolean").alias("occupied"))
 
 
+@query("STR10_refused_orders", f"with {RESOLVED} select event_id, asked bay_id from r where target is null")
+def str10c(spark, sf):
+    return vote.resolve_orders(orders(spark, sf), view(spark, sf, "v_bay"), 100.0, 30.0)[1].select("event_id", "bay_id")
+
+
 @query("STR11_flight_sessions", """with g as (select *, case when received_at >= lag(received_at) over w + interval '30 minutes' then 1 else 0 end brk from v_frame window w as (partition by drone_id order by received_at)),
  i as (select *, sum(brk) over (partition by drone_id order by received_at) sid from g)
  select drone_id, min(received_at) started, max(received_at) last_at, count(*) frames from i group by drone_id, sid""")

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from kerbline.functions import geo
 from kerbline.functions.geo import Camera
-from kerbline.operators import components, datasets, evaluate, evidence, flights, intervals, scan, spatial, stats
+from kerbline.operators import components, datasets, evaluate, evidence, flights, intervals, scan, spatial, stats, vote
 
 
 def rows(df, *cols):
@@ -225,6 +225,33 @@ def test_cover_frames_shows_every_bay_as_the_greedy_choice_does(spark):
     assert len(want) > 12 and rows(datasets.cover_frames(views), "step", "frame_idx", "gained") == want
 
 
+def test_cover_of_long_overlapping_rows_takes_few_rounds(spark, monkeypatch):
+    """Ten thousand frames, each showing its own bays and its neighbours', that all add alike."""
+    df = spark.range(10_000).select(F.col("id").alias("frame_idx"), F.explode(F.sequence(F.col("id"), F.col("id") + 4)).alias("bay_id"))
+    rounds, real = [], datasets.cut
+    monkeypatch.setattr(datasets, "cut", lambda d: (rounds.append(d.columns == ["frame_idx", "gained", "turn"]), real(d))[1])
+    got = datasets.cover_frames(df, 0.25).collect()
+    assert sum(rounds) < 60
+    assert sum(r.gained for r in got) == 10_004 and min(r.gained for r in got) > 0
+    assert len({r.frame_idx for r in got}) == len(got) < 1.25 * (1 + math.log(5)) * 10_004 / 5
+    assert df.join(spark.createDataFrame(got).select("frame_idx"), "frame_idx", "left_semi").select("bay_id").distinct().count() == 10_004
+
+
+def test_orders_without_a_bay_to_fall_back_on_are_refused(spark):
+    orders = spark.createDataFrame([(1, " ", True), (2, None, False), (3, "a", True), (4, "zz", True)], "event_id int, bay_id string, occupied boolean")
+    bays = spark.createDataFrame([("a", 1.0, 2.0)], "bay_id string, x double, y double")
+    for held, accepted, refused in ((bays, [(1, "a"), (2, "a"), (3, "a")], [4]), (bays.limit(0), [], [1, 2, 3, 4])):
+        yes, no = vote.resolve_orders(orders, held, 0.0, 0.0)
+        assert rows(yes, "event_id", "bay_id") == accepted and sorted(r.event_id for r in no.collect()) == refused
+
+
+def test_unreachable_bays(spark):
+    bays = spark.createDataFrame([("a",), ("b",), ("c",)], "bay_id string")
+    views = spark.createDataFrame([(1, "a"), (2, "a"), (2, "c")], "frame_idx int, bay_id string")
+    assert [r.bay_id for r in datasets.unreachable(bays, views).collect()] == ["b"]
+    assert datasets.cover_frames(views.limit(0), 0.25).count() == 0
+
+
 def test_cover_query_leaves_no_bay_out(spark):
     from kerbline.plans import flight_queries
 
