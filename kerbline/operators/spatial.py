@@ -31,6 +31,50 @@ def over_cells(df: DataFrame, x0, y0, x1, y1, size: float, margin: float = 0.0,
     return df.withColumn(cx, F.explode(xs)).withColumn(cy, F.explode(ys))
 
 
+# Parts in which the points of one large cell are dealt, and the level of nesting from which a cell is large.
+DEALT, LARGE = 8, 3
+
+
+def with_level(df: DataFrame, box: tuple, size: float, name: str = "__level") -> DataFrame:
+    """Add the level of a box: cells of side ``size * 2^level`` are as wide as the box, so it touches four of them at the most."""
+    x0, y0, x1, y1 = (col(c) for c in box)
+    extent = F.greatest(x1 - x0, y1 - y0) / F.lit(float(size))
+    return df.withColumn(name, F.when(extent <= 1, F.lit(0)).otherwise(F.ceil(F.log2(extent)).cast("int")))
+
+
+def levels_of(*leveled: DataFrame, name: str = "__level") -> list[int]:
+    """Levels that occur: as many as box sizes have powers of two."""
+    return sorted({r[0] for df in leveled for r in df.select(name).filter(F.col(name).isNotNull()).distinct().collect()})
+
+
+def nested_cell(value, size: float, level) -> Column:
+    return F.floor(col(value) / (F.lit(float(size)) * F.pow(F.lit(2.0), level))).cast("bigint")
+
+
+def over_nested_cells(df: DataFrame, x0, y0, x1, y1, size: float, level) -> DataFrame:
+    """One row per cell of ``level`` that a box touches, in ``__cx, __cy``."""
+    xs, ys = (F.sequence(nested_cell(a, size, level), nested_cell(b, size, level)) for a, b in ((x0, x1), (y0, y1)))
+    return df.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
+
+
+def points_in_boxes(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple, size: float) -> DataFrame:
+    """Points joined with every box that holds them, each pair once, whatever the sizes of the boxes.
+
+    A box lies in cells of its own size: four rows at the most, ``DEALT`` times as many where a cell is large, as its points are then
+    dealt in parts.  A point has one cell per level that occurs.
+    """
+    leveled = with_level(items, box, size)
+    found = levels_of(leveled)
+    at = points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in found]).cast("array<int>")))
+    at = at.withColumns({"__cx": nested_cell(px, size, F.col("__level")), "__cy": nested_cell(py, size, F.col("__level")),
+                         "__part": F.when(F.col("__level") >= LARGE, F.pmod(F.xxhash64(px, py), F.lit(DEALT)).cast("int")).otherwise(F.lit(0))})
+    parts = F.explode(F.sequence(F.lit(0), F.when(F.col("__level") >= LARGE, F.lit(DEALT - 1)).otherwise(F.lit(0))))
+    lain = over_nested_cells(leveled, *box, size, F.col("__level")).withColumn("__part", parts)
+    x0, y0, x1, y1 = (col(c) for c in box)
+    inside = col(px).between(x0, x1) & col(py).between(y0, y1)
+    return at.join(lain, ["__level", "__cx", "__cy", "__part"]).filter(inside).drop("__level", "__cx", "__cy", "__part")
+
+
 def near_pairs(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple, reach: float, size: float | None = None,
                on: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Points joined with every item whose box, grown by ``reach``, may hold them.
@@ -126,7 +170,7 @@ def points_in_areas(points: DataFrame, areas: DataFrame, px: str, py: str, ring:
     """Inner join of points with the polygons that hold them."""
     boxed = areas.withColumn("__b", geo.bbox(F.col(ring))).withColumns(
         {f"__{k}": F.col(f"__b.{k}") for k in ("x0", "y0", "x1", "y1")}).drop("__b")
-    cand = near_pairs(points, boxed, px, py, ("__x0", "__y0", "__x1", "__y1"), 0.0, size)
+    cand = points_in_boxes(points, boxed, px, py, ("__x0", "__y0", "__x1", "__y1"), size)
     return cand.filter(geo.point_in_ring(px, py, F.col(ring))).drop("__x0", "__y0", "__x1", "__y1")
 
 
@@ -134,17 +178,22 @@ def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple, rbox: tuple, size:
               reach: float = 0.0) -> DataFrame:
     """Pairs of rows whose boxes, the left grown by ``reach``, touch; each pair once.
 
-    Both sides are laid over cells; a pair is kept only in the first cell the boxes share.
+    A box is laid over cells of its own size and of the larger sizes that occur, four rows for each; two boxes meet in cells
+    of the larger one's size, and are kept only in the first cell they share.
     """
     m = F.lit(float(reach))
     lm = left.withColumns({"__lx0": col(lbox[0]) - m, "__ly0": col(lbox[1]) - m, "__lx1": col(lbox[2]) + m, "__ly1": col(lbox[3]) + m})
     rm = right.withColumns({"__rx0": col(rbox[0]), "__ry0": col(rbox[1]), "__rx1": col(rbox[2]), "__ry1": col(rbox[3])})
-    a = over_cells(lm, "__lx0", "__ly0", "__lx1", "__ly1", size, 0.0, "__cx", "__cy")
-    b = over_cells(rm, "__rx0", "__ry0", "__rx1", "__ry1", size, 0.0, "__cx", "__cy")
-    out = a.join(b, [*(on or []), "__cx", "__cy"]).filter(
-        (F.col("__lx0") <= F.col("__rx1")) & (F.col("__rx0") <= F.col("__lx1")) & (F.col("__ly0") <= F.col("__ry1")) & (F.col("__ry0") <= F.col("__ly1"))
-        & (F.col("__cx") == cell(F.greatest("__lx0", "__rx0"), size)) & (F.col("__cy") == cell(F.greatest("__ly0", "__ry0"), size)))
-    return out.drop(*[f"__{s}{c}" for s in "lr" for c in ("x0", "y0", "x1", "y1")], "__cx", "__cy")
+    lm = with_level(lm, ("__lx0", "__ly0", "__lx1", "__ly1"), size, "__ll")
+    rm = with_level(rm, ("__rx0", "__ry0", "__rx1", "__ry1"), size, "__rl")
+    found = F.array(*[F.lit(n) for n in sorted({*levels_of(lm, name="__ll"), *levels_of(rm, name="__rl")})]).cast("array<int>")
+    a = over_nested_cells(lm.withColumn("__level", F.explode(F.filter(found, lambda n: n >= F.col("__ll")))), "__lx0", "__ly0", "__lx1", "__ly1", size, F.col("__level"))
+    b = over_nested_cells(rm.withColumn("__level", F.explode(F.filter(found, lambda n: n >= F.col("__rl")))), "__rx0", "__ry0", "__rx1", "__ry1", size, F.col("__level"))
+    out = a.join(b, [*(on or []), "__level", "__cx", "__cy"]).filter(
+        (F.col("__level") == F.greatest("__ll", "__rl"))
+        & (F.col("__lx0") <= F.col("__rx1")) & (F.col("__rx0") <= F.col("__lx1")) & (F.col("__ly0") <= F.col("__ry1")) & (F.col("__ry0") <= F.col("__ly1"))
+        & (F.col("__cx") == nested_cell(F.greatest("__lx0", "__rx0"), size, F.col("__level"))) & (F.col("__cy") == nested_cell(F.greatest("__ly0", "__ry0"), size, F.col("__level"))))
+    return out.drop(*[f"__{s}{c}" for s in "lr" for c in ("x0", "y0", "x1", "y1", "l")], "__level", "__cx", "__cy")
 
 
 def k_nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, k: int, on: str) -> DataFrame:

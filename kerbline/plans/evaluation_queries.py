@@ -482,7 +482,12 @@ def win11(spark, sf):
     return evidence.run_extents(quads, segs(spark, sf)).select("event_id", "frame_idx", "run_id", r(F.col("s0"), 3).alias("s0"), r(F.col("s1"), 3).alias("s1"))
 
 
-@query("PRJ20_car_boxes")
+# Ground outline at 30 m below the camera and roof at 28.5 m, projected corner by corner.
+@query("PRJ20_car_boxes", f"""with k as (select p.frame_idx, b.bay_id car_id, b.x, b.y, (ord%10)*0.3e0 ang, p.x px, p.y py, sin(p.yaw) sy, cos(p.yaw) cy from v_pose p join v_bay b on b.x between p.x-60 and p.x+60 and b.y between p.y-60 and p.y+60),
+ g as (select *, x+a*2.25e0*cos(ang)-b*0.9e0*sin(ang)-px wx, y+a*2.25e0*sin(ang)+b*0.9e0*cos(ang)-py wy, {FPX}/h f from k, (values (1,1),(1,-1),(-1,-1),(-1,1)) t(a,b), (values (30.0e0),(28.5e0)) z(h)),
+ bb as (select frame_idx, car_id, min(200.0e0+f*(wx*sy-wy*cy)) bx0, max(200.0e0+f*(wx*sy-wy*cy)) bx1, min(120.0e0+f*(-wx*cy-wy*sy)) by0, max(120.0e0+f*(-wx*cy-wy*sy)) by1 from g group by 1,2),
+ o as (select *, greatest(0.0e0,bx0) x0, greatest(0.0e0,by0) y0, least(400.0e0,bx1) x1, least(240.0e0,by1) y1, (bx1-bx0)*(by1-by0) whole from bb)
+ select frame_idx, car_id, round(x0,1) x0, round(y0,1) y0, round(x1,1) x1, round(y1,1) y1 from o where x1-x0>=8 and y1-y0>=8 and whole>0 and (x1-x0)*(y1-y0)/whole>=0.55e0""")
 def prj20(spark, sf):
     cars = view(spark, sf, "v_bay").select(F.col("bay_id").alias("car_id"), "x", "y", (F.col("ord") % 10 * F.lit(0.3)).alias("ang"), F.lit(4.5).alias("len"), F.lit(1.8).alias("wid"), F.lit(1.5).alias("height"))
     return evidence.car_boxes(cars, view(spark, sf, "v_pose"), CAM)

@@ -80,7 +80,12 @@ def win20(spark, sf):
     return flights.smooth_heading(poses.unionByName(poses.withColumn("idx", -F.col("idx"))), good)
 
 
-@query("WIN21_speed_profile")
+# Braking ahead of every later point at once: v^2 is the least of corner^2 + 2aD over the rest of the way, less 2aD here.
+@query("WIN21_speed_profile", f"""with p as (select flight, idx, x, y, lag(x) over w px, lag(y) over w py, lead(x) over w nx, lead(y) over w ny from v_track window w as (partition by flight order by idx)),
+ q as (select *, coalesce(px,0.0e0) x0, coalesce(py,0.0e0) y0, case when px is null then 0.0e0 else sqrt(pow(x-px,2)+pow(y-py,2)) end st from p), t as (select *, abs({WRAP.format('(atan2(ny-y,nx-x)-atan2(y-y0,x-x0))')}) turn from q),
+ c as (select *, case when nx is null or (x0=x and y0=y) then 2.0e0 when turn<=1.2e0 then 5.0e0-greatest(0.0e0,least(1.0e0,(turn-0.3e0)/(1.2e0-0.3e0)))*3.0e0 else 2.0e0-greatest(0.0e0,least(1.0e0,(turn-1.2e0)/(2.6e0-1.2e0)))*1.2e0 end corner,
+ sum(st) over (partition by flight order by idx) d from t)
+ select flight, idx, round(corner,4) corner, round(sqrt(greatest(0.0e0, min(corner*corner+0.44e0*d) over (partition by flight order by idx rows between current row and unbounded following) - 0.44e0*d)),4) speed from c""")
 def win21(spark, sf):
     return flights.speed_profile(view(spark, sf, "v_track").select("flight", "idx", "x", "y"), ["flight"], chunk=1000).select("flight", "idx", r(F.col("corner")).alias("corner"), r(F.col("speed")).alias("speed"))
 

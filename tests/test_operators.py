@@ -245,6 +245,24 @@ def test_orders_without_a_bay_to_fall_back_on_are_refused(spark):
         assert rows(yes, "event_id", "bay_id") == accepted and sorted(r.event_id for r in no.collect()) == refused
 
 
+def test_areas_of_all_sizes_hold_the_points_in_them(spark):
+    """From half a metre to 400 km: the pairs of a full search, and under a hundred rows for the largest."""
+    rnd = random.Random(8)
+    pts = [(i, rnd.uniform(-500, 500), rnd.uniform(-500, 500)) for i in range(300)] + [(1000, 0.0, 0.0), (1001, 150_000.0, -90_000.0)]
+    boxes = [(n, (x := rnd.uniform(-500, 400)), (y := rnd.uniform(-500, 400)), x + w, y + w * rnd.uniform(0.1, 1)) for n, w in enumerate([0.5, 3, 20, 60, 130, 400, 900, 5000] * 6)]
+    boxes += [(900, -200_000.0, -200_000.0, 200_000.0, 200_000.0), (901, 0.0, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(pts, "id int, x double, y double")
+    b = spark.createDataFrame(boxes, "n int, x0 double, y0 double, x1 double, y1 double")
+    want = sorted((i, n) for i, x, y in pts for n, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
+    assert rows(spatial.points_in_boxes(p, b, "x", "y", ("x0", "y0", "x1", "y1"), 50.0), "id", "n") == want
+    lain = spatial.over_nested_cells(spatial.with_level(b, ("x0", "y0", "x1", "y1"), 50.0), "x0", "y0", "x1", "y1", 50.0, F.col("__level"))
+    assert lain.groupBy("n").count().agg({"count": "max"}).first()[0] * spatial.DEALT < 100
+    c = b.select(*[F.col(k).alias(f"r{k}") for k in b.columns])
+    got = rows(spatial.box_pairs(b, c, ("x0", "y0", "x1", "y1"), ("rx0", "ry0", "rx1", "ry1"), 50.0, reach=7.0), "n", "rn")
+    assert got == sorted((m, n) for m, x0, y0, x1, y1 in boxes for n, a0, b0, a1, b1 in boxes if x0 - 7 <= a1 and a0 <= x1 + 7 and y0 - 7 <= b1 and b0 <= y1 + 7)
+    assert spatial.points_in_boxes(p, b.limit(0), "x", "y", ("x0", "y0", "x1", "y1"), 50.0).count() == 0
+
+
 def test_unreachable_bays(spark):
     bays = spark.createDataFrame([("a",), ("b",), ("c",)], "bay_id string")
     views = spark.createDataFrame([(1, "a"), (2, "a"), (2, "c")], "frame_idx int, bay_id string")
