@@ -28,13 +28,15 @@ MEMO_SIZE, MEMO_CHARS = 500_000, 48
 
 # Between two signs that are no white space, a single blank always starts a new pre-token.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
+# Where no other blank stands, every blank is such a one.
+OTHER_BLANKS = re.compile(r"\A | \Z| [ \n]|\n |[^\S \n]")
 PLAIN = re.compile(r"[\t\n\r -~ÀÖØ-öø-ÿ]+")
 # Fixed value: how this vocabulary's pre-tokenizer splits such characters.
 RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9ÀÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
 
 class ByteIds(dict):
-    """Chunk of a text (with the blank before it) -> its ids as little-endian unsigned 32-bit bytes.
+    """Chunk of a text, less the blank before it -> its ids as little-endian unsigned 32-bit bytes.
 
     Chunks are remembered; a new one of plain characters is put together from its pre-tokens, which repeat more often; any other is asked of the library.
     """
@@ -49,13 +51,14 @@ class ByteIds(dict):
         # the model sees bytes as printable characters: those that are none stand behind the last byte, in order
         odd = iter(range(256, 512))
         self.letters = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(odd) for b in range(256)}
+        self.blank = chr(self.letters[32])
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.little.__getitem__, self.tok.encode(text, add_special_tokens=False).ids))
 
     def merge(self, run: str) -> bytes:
-        """Ids of one pre-token, by the library's merges alone."""
-        return b"".join([self.little[t.id] for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))])
+        """Ids of one pre-token, its bytes as the model sees them, by the library's merges alone."""
+        return b"".join([self.little[t.id] for t in self.model.tokenize(run)])
 
     def remember(self, memo: dict, text: str, ids: bytes) -> bytes:
         if len(text) <= MEMO_CHARS:
@@ -64,20 +67,26 @@ class ByteIds(dict):
             memo[text] = ids
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
+    def fresh(self, chunk: str) -> bytes:
+        """Ids of a chunk with its blank, if it has one."""
         if "<|" in chunk or not PLAIN.fullmatch(chunk):
-            return self.remember(self, chunk, self.encode(chunk))
+            return self.encode(chunk)
         parts = []
         for run in RUN.findall(chunk):
             ids = self.runs.get(run)
-            parts.append(self.remember(self.runs, run, self.merge(run)) if ids is None else ids)
-        return self.remember(self, chunk, b"".join(parts))
+            parts.append(self.remember(self.runs, run, self.merge(run.encode().decode("latin-1").translate(self.letters))) if ids is None else ids)
+        return b"".join(parts)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # one pre-token of letters
+            return self.remember(self, chunk, self.merge(self.blank + chunk))
+        return self.remember(self, chunk, self.fresh(" " + chunk))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *rest = BREAK.split(text)
-        return self[first] + b"".join([self[" " + c] for c in rest])
+        first, *rest = BREAK.split(text) if OTHER_BLANKS.search(text) else text.split(" ")
+        return self.fresh(first) + b"".join(map(self.__getitem__, rest))
 
 
 _loaded: dict[str, ByteIds] = {}
