@@ -9,14 +9,17 @@ from .spatial import cell
 
 # Direct point comparisons allowed per undecided cell pair before it is split further.
 PAIR_BUDGET = 1024
+# Neighbours from which a node is a hub, and the parts its neighbours are dealt in.
+HUB, HUB_PARTS = 128, 16
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """``(node, label)`` with the least node id of the component as label.
 
     Edges are rewired to stars: first every greater neighbour of a node to the least of its neighbourhood, then
-    every lesser one.  The least node of a neighbourhood is a map-side combined aggregate, so a hub is one small row, and
-    edges inside a finished star stay as they are.  Rounds run until nothing changes; each is cut in shared storage.
+    every lesser one.  The least node of a neighbourhood is a map-side combined aggregate, so a hub is one small row; its neighbours
+    meet that row in parts, so no task's rows follow the size of a component.  Edges inside a finished star stay as they are.
+    Rounds run until nothing changes; each is cut in shared storage.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     star = cut(pairs)
@@ -27,9 +30,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
             break
         before = tuple(state)
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        upward = star.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
-        upward = cut(upward.distinct())
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        upward = cut(_meet_least(star.select(F.col("v").alias("u"), F.col("u").alias("far")), least).distinct())
         low = upward.groupBy("u").agg(F.min("v").alias("m"))
         down = upward.join(low, "u")
         star = cut(down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
@@ -38,6 +40,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
             .select(F.col("id").alias(node), F.coalesce("label", "id").alias("label")))
 
 
+def _meet_least(outer: DataFrame, least: DataFrame) -> DataFrame:
+    """``(far, m)`` as ``(u, v)``: what lies around each node with the least of its neighbourhood; hubs apart from the rest.
+
+    The list of hubs is shorter than the edges by a factor of ``HUB``; Spark broadcasts it where it measures it as small.
+    """
+    hubs = least.filter(F.col("n") >= HUB).select(F.col("u").alias("hub"), "m")
+    plain = outer.join(hubs.select("hub"), F.col("u") == F.col("hub"), "left_anti").join(least.filter(F.col("n") < HUB).select("u", "m"), "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
+    parts = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
+    dealt = outer.withColumn("deal", F.pmod(F.xxhash64("far"), F.lit(HUB_PARTS)).cast("int"))
+    around = dealt.join(parts, (F.col("u") == F.col("hub")) & (F.col("deal") == F.col("part"))).select(F.col("far").alias("u"), F.col("m").alias("v"))
+    return plain.unionByName(around)
+
+
 def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
                                      F.count(F.lit(1)).alias("n"))
