@@ -20,6 +20,8 @@ from ..session import scratch_path
 VERSION = "WARC/1.1"
 # Payloads below this size are stored again; it is not worth a reference.
 REVISIT_BYTES = 100
+# Parts in which the pages of one digest meet it.
+DIGEST_PARTS = 32
 # Bytes of files in one partition, and of payloads in one batch.
 PARTITION_BYTES, BATCH_BYTES, BATCH_ROWS = 64 << 20, 8 << 20, 4096
 
@@ -167,16 +169,20 @@ def _header(name: str, value: Column) -> Column:
 def with_revisits(pages: DataFrame, key: str = "page_id", body: str = "html", at_least: int = REVISIT_BYTES) -> DataFrame:
     """Add ``payload_digest``, ``payload_bytes``, ``record_type`` and ``refers_to``.
 
-    Only digests that occur again are joined, one row each; the join splits a digest that many pages share.
+    Only digests that occur again are joined, one row for each part in which their pages are dealt; small payloads have
+    nothing to meet and are dealt by key.
     """
     text = F.coalesce(F.col(body), F.lit(""))
     marked = pages.withColumns({body: text, "payload_digest": F.sha2(text.cast("binary"), 256), "payload_bytes": F.octet_length(text).cast("bigint")})
     again = (marked.filter(F.col("payload_bytes") >= at_least).groupBy("payload_digest").agg(F.min(key).alias("__first"), F.count(F.lit(1)).alias("__n"))
-             .filter("__n > 1").select(F.col("payload_digest").alias("__digest"), "__first"))
+             .filter("__n > 1").select(F.col("payload_digest").alias("__digest"), "__first", F.explode(F.sequence(F.lit(0), F.lit(DIGEST_PARTS - 1))).alias("__part")))
+    dealt = F.xxhash64(F.col(key))
+    meets = F.when(F.col("payload_bytes") >= at_least, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), dealt.cast("string")))
+    marked = marked.withColumns({"__meets": meets, "__deal": F.pmod(dealt, F.lit(DIGEST_PARTS)).cast("int")})
     revisit = F.coalesce(F.col(key) != F.col("__first"), F.col("__first").isNotNull())
-    return (marked.join(again, F.col("payload_digest") == F.col("__digest"), "left")
+    return (marked.join(again, (F.col("__meets") == F.col("__digest")) & (F.col("__deal") == F.col("__part")), "left")
             .withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("__first"))})
-            .drop("__digest", "__first"))
+            .drop("__digest", "__first", "__part", "__meets", "__deal"))
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:

@@ -191,3 +191,26 @@ def test_votes_of_all_folds_count(spark):
     finally:
         quality.learn_votes = real
     assert sum(seen.values()) == 400
+
+
+# op2
+def test_a_digest_of_most_pages_is_dealt(spark):
+    """Nine tenths of the pages are equal: their rows meet the digest in many partitions, no task has over three times the median."""
+    from kerbline.llm import warc
+
+    same = "x" * 300
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("y" * 200), F.col("id").cast("string"))).when(F.col("id") % 40 == 1, F.lit("s")).otherwise(F.lit(same)).alias("html"))
+    hint, adaptive = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = warc.with_revisits(df)
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    types = {(r.page_id % 10 == 0 or r.page_id % 40 == 1): set() for r in out.collect()}
+    for r in out.collect():
+        types[r.page_id % 10 == 0 or r.page_id % 40 == 1].add((r.record_type, r.refers_to))
+    assert types[True] == {("response", None)} and types[False] == {("response", None), ("revisit", 2)}
