@@ -20,13 +20,13 @@ VIEWS: dict[str, str] = {
  concat('street ', cast(cast(floor(c_custkey/40) as bigint) as string)) street,
  case when c_custkey%11=0 then 'perpendicular' when c_custkey%11=5 then 'angled' else 'parallel' end park_txt,
  c_custkey%7<>0 is_public, (c_custkey%40)*5.9e0 x, floor(c_custkey/40)*12.1e0 y
- from customer where c_custkey%13<>0""",
+ from customer""",
     "v_observation": f"""select event_id, cast(user_id as string) bay_id, value>35.0e0 occupied, cast(event_id%200 as int) frame_idx,
  case when event_id%17=0 then null else concat('f',cast(cast(floor(event_id/3) as bigint) as string)) end frame_id,
  case when event_id%19=0 then null else concat('m',cast(cast(floor((day(ts)-1)/5) as bigint) as string)) end mission_id,
  case when k%10<3 then null else value>40.0e0 end gt, case when k%2=0 then 'heuristic' else 'detector' end backend,
  concat('a',cast(user_id%3 as string)) survey_area, concat('d',cast(user_id%5 as string)) drone_id, ts observed_at
- from {_EV} where event_type<>'signup'""",
+ from {_EV}""",
     "v_detection": f"""select event_id, cast(event_id%200 as int) frame_idx, (user_id%40)*5.9e0+((k%10)-4.5e0)*0.35e0 x,
  floor(user_id/40)*12.1e0+(floor(k/10)-4.5e0)*0.3e0 y, value/(value+20.0e0) conf, ts observed_at
  from {_EV} where event_type in ('view','click')""",
