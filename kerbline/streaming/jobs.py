@@ -27,9 +27,14 @@ def tail(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per
     return r.load(path)
 
 
-def start(out: DataFrame, path: str, once: bool = True) -> StreamingQuery:
-    """Append a stream to ``path``; its checkpoint lies beside the data.  ``once``: all that has arrived so far, then stop."""
+def start(out: DataFrame, path: str, once: bool = True, idle_batches: bool = True) -> StreamingQuery:
+    """Append a stream to ``path``; its checkpoint lies beside the data.  ``once``: all that has arrived so far, then stop.
+
+    Batches without new rows let watermarks close windows and fire timers.  State that expires by the clock asks for ever more of
+    them, so a stream of that kind that shall stop needs ``idle_batches=False``.
+    """
     spark = out.sparkSession
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state with timers needs it
     ship_code(spark)
     w = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_checkpoint")
