@@ -10,7 +10,7 @@ from .spatial import cell
 # Direct point comparisons allowed per undecided cell pair before it is split further.
 PAIR_BUDGET = 1024
 # Neighbours from which a node is a hub, and the parts its neighbours are dealt in.
-HUB, HUB_PARTS = 128, 16
+HUB, HUB_PARTS = 512, 128
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
