@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..functions.numeric import count_if, ratio
 from ..session import cut
 from .evidence import view_distances
+from .scan import global_number, ordered_scan
 from .spatial import box_pairs, nearest
 from .stats import confusion_counts, score
 
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
-def overlap_pairs(dets: DataFrame, gts: DataFrame, iou: float = 0.5, size: float = 128.0) -> DataFrame:
-    """``(frame, det, gt, iou)`` of boxes in the same frame with at least ``iou`` overlap.
+def _distinct(df: DataFrame, side: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Boxes of a frame with their number ``<side>_n`` and what ``extra`` gathers over the copies."""
+    one = df.groupBy("frame", *CORNERS).agg(F.count(F.lit(1)).alias(f"{side}_n"), *[e.alias(n) for n, e in (extra or {}).items()])
+    return one.withColumnsRenamed({c: f"{side}_{c}" for c in CORNERS})
 
-    Copies of a box are compared once and expanded afterwards, so they cost no extra overlap tests.
-    """
-    def unique(df, name):
-        return df.groupBy("frame", *CORNERS).agg(F.count(F.lit(1)).alias("n")).select("frame", *[F.col(c).alias(f"{name}_{c}") for c in CORNERS])
 
-    d, g = unique(dets, "d"), unique(gts, "g")
+def overlap_pairs(dets: DataFrame, gts: DataFrame, iou: float = 0.5, size: float = 128.0, of_dets: dict[str, Column] | None = None,
+                  of_gts: dict[str, Column] | None = None) -> DataFrame:
+    """Pairs of distinct boxes of a frame with at least ``iou`` overlap: ``frame, d_*, g_*, d_n, g_n, iou``.
+
+    Copies of a box are one row that carries their number and the given aggregates, so nothing grows with the product of copies.
+    """
+    d, g = _distinct(dets, "d", of_dets), _distinct(gts, "g", of_gts)
     p = box_pairs(d, g, tuple(f"d_{c}" for c in CORNERS), tuple(f"g_{c}" for c in CORNERS), size, on=["frame"])
     v = geo.iou({c: F.col(f"d_{c}") for c in CORNERS}, {c: F.col(f"g_{c}") for c in CORNERS})
     return p.withColumn("iou", v).filter(F.col("iou") >= iou)
 
 
-def _with_ids(pairs: DataFrame, df: DataFrame, side: str, name: str, extra: list[str] | None = None) -> DataFrame:
-    ids = df.select("frame", F.col("box_id").alias(name), *[F.col(c).alias(f"{side}_{c}") for c in CORNERS], *(extra or []))
-    return pairs.join(ids, ["frame", *[f"{side}_{c}" for c in CORNERS]])
+def _reached(pairs: DataFrame, side: str, **aggs: Column) -> DataFrame:
+    """Distinct boxes of one side that any other overlaps, with their number ``n``."""
+    return pairs.groupBy("frame", *[F.col(f"{side}_{c}").alias(c) for c in CORNERS]).agg(F.max(f"{side}_n").alias("n"), *[e.alias(k) for k, e in aggs.items()])
+
+
+def _copies(when: Column) -> Column:
+    """How many boxes, copies counted, hold ``when``."""
+    return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
 
 
 def claim_in_order(pairs: DataFrame, who: str, what: str, prefer: str, priority: str) -> DataFrame:
@@ -52,13 +62,44 @@ def claim_in_order(pairs: DataFrame, who: str, what: str, prefer: str, priority:
     return done if done is not None else left.select(who, what)
 
 
+# Numbers per chunk when suitors of one box are ranked.
+CHUNK = 1 << 16
+
+
+def _fill(pairs: DataFrame) -> DataFrame:
+    """``(turn, kind)``: who come in the order of ``turn`` take a place of the ``kind`` they prefer that has one free.
+
+    ``pairs`` is ``turn, kind, prefer, room`` (places of the kind).  A claim is final once everybody earlier who could still want the
+    kind leaves a place, so all such claims settle together, copies too; the rounds are the longest chain of rivals.
+    """
+    left, done = cut(pairs), None
+    first = Window.partitionBy("turn").orderBy("prefer", "kind")
+    while True:
+        ranked = ordered_scan(left, ["kind"], ["turn"], F.floor(F.col("turn") / CHUNK).cast("bigint"), row_number="rank")
+        won = cut(ranked.withColumn("choice", F.row_number().over(first)).filter((F.col("choice") == 1) & (F.col("rank") <= F.col("room"))).select("turn", "kind"))
+        if won.isEmpty():
+            return won if done is None else done
+        done = won if done is None else done.unionByName(won)
+        taken = cut(won.groupBy("kind").agg(F.count(F.lit(1)).alias("taken")))
+        rest = left.join(won.select("turn"), "turn", "left_anti").join(taken, "kind", "left")
+        left = cut(rest.withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0))).filter("room > 0").drop("taken"))
+
+
 def match_boxes_greedy(dets: DataFrame, gts: DataFrame, iou: float = 0.5) -> DataFrame:
-    """``(frame, det, gt)`` of detections, most confident first, taking their best unused truth box."""
-    p = _with_ids(_with_ids(overlap_pairs(dets, gts, iou), dets, "d", "det", ["conf"]), gts, "g", "gt")
-    keyed = p.select(F.struct("frame", "det").alias("who"), F.struct("frame", "gt").alias("what"), (-F.col("iou")).alias("prefer"),
-                     F.struct((-F.col("conf")).alias("c"), F.col("det").alias("d")).alias("priority"))
-    m = claim_in_order(keyed, "who", "what", "prefer", "priority")
-    return m.select("who.frame", "who.det", F.col("what.gt").alias("gt"))
+    """``(frame, det, gt)`` of detections, most confident first, taking their best unused truth box.
+
+    Copies of a truth box are one kind with as many places; its takers get the copies in the order of their ids.  Of kinds that overlap
+    alike the one with the least id comes first.
+    """
+    kinds = gts.groupBy("frame", *CORNERS).agg(F.min("box_id").alias("first")).select("frame", *CORNERS, F.struct("frame", F.col("first").alias("kind")).alias("kind"))
+    turns = cut(global_number(dets.select("frame", "box_id", "conf", *CORNERS), [-F.col("conf"), "frame", "box_id"], "turn"))
+    p = overlap_pairs(dets, gts, iou, of_gts={"first": F.min("box_id")})
+    wish = p.select("frame", *[F.col(f"d_{c}").alias(c) for c in CORNERS], F.struct("frame", F.col("first").alias("kind")).alias("kind"), (-F.col("iou")).alias("prefer"), F.col("g_n").alias("room"))
+    got = _fill(turns.join(wish, ["frame", *CORNERS]).select("turn", "kind", "prefer", "room"))
+    takers = ordered_scan(got, ["kind"], ["turn"], F.floor(F.col("turn") / CHUNK).cast("bigint"), row_number="place").join(turns.select("turn", F.col("box_id").alias("det")), "turn")
+    copies = global_number(gts.select("frame", "box_id", *CORNERS), ["frame", "box_id", *CORNERS], "n").join(cut(kinds), ["frame", *CORNERS])
+    places = ordered_scan(copies, ["kind"], ["n"], F.floor(F.col("n") / CHUNK).cast("bigint"), row_number="place").select("kind", "place", F.col("box_id").alias("gt"))
+    return takers.join(places, ["kind", "place"]).select("kind.frame", "det", "gt")
 
 
 def greedy_score(dets: DataFrame, gts: DataFrame, matches: DataFrame) -> DataFrame:
@@ -70,33 +111,31 @@ def greedy_score(dets: DataFrame, gts: DataFrame, matches: DataFrame) -> DataFra
 
 
 def match_boxes_any(dets: DataFrame, gts: DataFrame, labelled: DataFrame, iou: float = 0.5, classes: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per class set: truth boxes any detection reaches, detections made, recall and precision.
+    """Per class set: truth boxes any detection reaches, detections made, recall and precision; one pass for all sets.
 
     Frames without a label file take no part.
     """
+    from .serve import side_by_side
+
     frames = labelled.select("frame").distinct()
     d, g = dets.join(frames, "frame", "left_semi"), gts.join(frames, "frame", "left_semi")
-    sets = classes or {"any": None}
-    out = None
-    for name, members in sets.items():
-        dd = d if members is None else d.filter(F.col("cls").isin(members))
-        hit = _with_ids(overlap_pairs(dd, g, iou), g, "g", "gt").select("frame", "gt").distinct()
-        from .serve import side_by_side
-
-        one = side_by_side(hit.agg(F.count(F.lit(1)).alias("hits")), g.agg(F.count(F.lit(1)).alias("truth")), dd.agg(F.count(F.lit(1)).alias("made")))
-        one = one.select(F.lit(name).alias("classes"), "hits", "truth", "made", F.round(ratio("hits", "truth"), 4).alias("recall"), F.round(ratio("hits", "made"), 4).alias("precision"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    sets = list((classes or {"any": None}).items())
+    holds = [F.lit(True) if members is None else F.coalesce(F.col("cls").isin(members), F.lit(False)) for _, members in sets]
+    pairs = overlap_pairs(d, g, iou, of_dets={f"s{i}": F.bool_or(h) for i, h in enumerate(holds)})
+    hits = _reached(pairs, "g", **{f"s{i}": F.bool_or(f"s{i}") for i in range(len(sets))}).agg(*[_copies(F.col(f"s{i}")).alias(f"h{i}") for i in range(len(sets))])
+    row = side_by_side(hits, g.agg(F.count(F.lit(1)).alias("truth")), d.agg(*[count_if(h).alias(f"m{i}") for i, h in enumerate(holds)]))
+    cells = F.array(*[F.struct(F.lit(name).alias("classes"), F.col(f"h{i}").alias("hits"), F.col(f"m{i}").alias("made")) for i, (name, _) in enumerate(sets)])
+    out = row.select("truth", F.explode(cells).alias("c")).select("c.classes", "c.hits", "truth", "c.made")
+    return out.withColumns({"recall": F.round(ratio("hits", "truth"), 4), "precision": F.round(ratio("hits", "made"), 4)})
 
 
 def conf_sweep(dets: DataFrame, gts: DataFrame, thresholds: list[float], iou: float = 0.5) -> DataFrame:
     """Precision and recall at every confidence threshold from one set of overlap pairs."""
     from .serve import side_by_side
 
-    pairs = _with_ids(overlap_pairs(dets, gts, iou), dets, "d", "det", ["conf"])
-    best = _with_ids(pairs, gts, "g", "gt").groupBy("frame", "gt").agg(F.max("conf").alias("conf"))
+    best = _reached(overlap_pairs(dets, gts, iou, of_dets={"conf": F.max("conf")}), "g", conf=F.max("conf"))
     steps = list(enumerate(thresholds))
-    hits = best.agg(*[count_if(F.col("conf") >= t).alias(f"h{i}") for i, t in steps])
+    hits = best.agg(*[_copies(F.col("conf") >= t).alias(f"h{i}") for i, t in steps])
     made = dets.agg(*[count_if(F.col("conf") >= t).alias(f"m{i}") for i, t in steps])
     row = side_by_side(hits, made, gts.agg(F.count(F.lit(1)).alias("truth")))
     cells = F.array(*[F.struct(F.lit(float(t)).alias("conf"), F.col(f"h{i}").alias("hits"), F.col(f"m{i}").alias("made")) for i, t in steps])
@@ -109,13 +148,13 @@ def correction_stats(pred: DataFrame, corrected: DataFrame, iou: float = 0.5, nu
 
     Both tables carry ``frame, split, box_id`` and corners.
     """
-    p = cut(_with_ids(_with_ids(overlap_pairs(pred.withColumn("conf", F.lit(0.0)), corrected, iou), pred, "d", "det"), corrected, "g", "gt"))
-    keep = p.groupBy("frame", "gt").agg(F.max("iou").alias("iou"))
-    truth = corrected.select("frame", "split", F.col("box_id").alias("gt")).join(keep, ["frame", "gt"], "left")
-    made = pred.select("frame", "split", F.col("box_id").alias("det")).join(p.select("frame", "det").distinct().withColumn("hit", F.lit(True)), ["frame", "det"], "left")
-    a = truth.groupBy("split").agg(F.count(F.lit(1)).alias("cars"), count_if(F.col("iou").isNotNull()).alias("kept"),
-                                   count_if(F.col("iou") < nudged).alias("nudged"), count_if(F.col("iou").isNull()).alias("drawn"))
-    b = made.groupBy("split").agg(F.count(F.lit(1)).alias("predicted"), count_if(F.col("hit").isNull()).alias("deleted"))
+    p = cut(overlap_pairs(pred, corrected, iou))
+    box = ["frame", *CORNERS]
+    truth = corrected.groupBy("split", *box).agg(F.count(F.lit(1)).alias("n")).join(_reached(p, "g", iou=F.max("iou")).drop("n"), box, "left")
+    made = pred.groupBy("split", *box).agg(F.count(F.lit(1)).alias("n")).join(_reached(p, "d", iou=F.max("iou")).drop("n"), box, "left")
+    a = truth.groupBy("split").agg(F.sum("n").alias("cars"), _copies(F.col("iou").isNotNull()).alias("kept"), _copies(F.col("iou") < nudged).alias("nudged"),
+                                   _copies(F.col("iou").isNull()).alias("drawn"))
+    b = made.groupBy("split").agg(F.sum("n").alias("predicted"), _copies(F.col("iou").isNull()).alias("deleted"))
     frames = pred.select("frame", "split").unionByName(corrected.select("frame", "split")).distinct().groupBy("split").agg(F.count(F.lit(1)).alias("frames"))
     j = frames.join(a, "split", "left").join(b, "split", "left").na.fill(0)
     return j.withColumns({"edits_per_frame": F.round(ratio(F.col("drawn") + F.col("deleted"), F.col("frames")), 3),

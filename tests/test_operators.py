@@ -119,6 +119,42 @@ def test_greedy_matching_equals_one_by_one(spark):
     assert rows(got, "det", "gt") == sorted(want)
 
 
+def test_greedy_matching_of_copies_equals_one_by_one(spark):
+    """Boxes on a coarse lattice, so that many are equal and many overlap alike."""
+    rnd = random.Random(11)
+
+    def pile(n):
+        at = [(rnd.randrange(6) * 10.0, rnd.randrange(2) * 10.0) for _ in range(n)]
+        return [((x, y, x + 50, y + 40), rnd.randrange(4) / 4) for x, y in at]
+
+    d, g = pile(60), pile(45)
+    first = {}
+    for j, (b, _) in enumerate(g):
+        first.setdefault(b, j)
+    used, want = set(), []
+    for i in sorted(range(len(d)), key=lambda i: (-d[i][1], i)):
+        free = [((py_iou(d[i][0], g[j][0]), -first[g[j][0]], -j)) for j in range(len(g)) if j not in used]
+        best = max(free, default=(0, 0, 0))
+        if best[0] >= 0.5:
+            used.add(-best[2])
+            want.append((i, -best[2]))
+    assert rows(evaluate.match_boxes_greedy(boxes(spark, d), boxes(spark, g)), "det", "gt") == sorted(want)
+
+
+def test_ten_thousand_equal_boxes_stay_linear(spark):
+    same = "0L frame, id box_id, 0d x0, 0d y0, 10d x1, 10d y1"
+    d = spark.range(10_000).selectExpr(*same.split(", "), "(id % 100) / 100d conf", "'all' split", "if(id % 2 = 0, 'car', 'van') cls")
+    g = spark.range(6_000).selectExpr(*same.split(", "), "'all' split")
+    assert evaluate.overlap_pairs(d, g).count() == 1
+    m = evaluate.match_boxes_greedy(d, g)
+    got = m.join(d.select("conf", F.col("box_id").alias("det")), "det").agg(F.count("*"), F.countDistinct("det"), F.countDistinct("gt"), F.min("conf")).first()
+    assert tuple(got) == (6_000, 6_000, 6_000, 0.4)
+    assert rows(evaluate.conf_sweep(d, g, [0.5, 1.0]), "conf", "hits", "made", "truth") == [(0.5, 6_000, 5_000, 6_000), (1.0, 0, 0, 6_000)]
+    assert rows(evaluate.correction_stats(d, g), "cars", "kept", "nudged", "drawn", "predicted", "deleted") == [(6_000, 6_000, 0, 0, 10_000, 0)]
+    sets = {"any": None, "vans": ["van"], "none": ["bus"]}
+    assert rows(evaluate.match_boxes_any(d, g, g, classes=sets), "classes", "hits", "made") == [("any", 6_000, 10_000), ("none", 0, 0), ("vans", 6_000, 5_000)]
+
+
 def test_nms_equals_one_by_one(spark):
     d = crowd(3, 60) + [((10.0, 10.0, 60.0, 50.0), 0.5)] * 3
     kept = []
