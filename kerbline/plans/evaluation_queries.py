@@ -158,7 +158,14 @@ def jon12b(spark, sf):
     return out.select("bay_id", r(F.col("bearing_deg"), 3).alias("bearing_deg"))
 
 
-@query("JON14_match_boxes_greedy")
+# The detections of all frames step by step, each frame with the list of the boxes it has given away.
+@query("JON14_match_boxes_greedy", f"""with recursive {PAIRS}, gk as (select frame, box_id, min(box_id) over (partition by frame, x0, y0, x1, y1) kind from gt), tn as (select frame, box_id, row_number() over (partition by frame order by conf desc, box_id) k from dt),
+ w as (select pr.frame, tn.k, pr.gt, gk.kind, i/(t-i) v from pr join tn on tn.frame=pr.frame and tn.box_id=pr.det join gk on gk.frame=pr.frame and gk.box_id=pr.gt),
+ st as (select frame, cast(0 as bigint) k, cast([] as bigint[]) used from (select distinct frame from dt) f union all
+  select st.frame, st.k+1, case when count(w.gt)=0 then any_value(used) else list_append(any_value(used), arg_min(w.gt, row(-w.v, w.kind, w.gt))) end
+  from st left join w on w.frame=st.frame and w.k=st.k+1 and not list_contains(used, w.gt) where st.k < (select max(k) from tn) group by st.frame, st.k),
+ n as (select cast((select sum(len(used)) from st where k=(select max(k) from tn)) as bigint) tp, (select count(*) from dt) d, (select count(*) from gt) g)
+ select tp, d-tp fp, g-tp fn, round(tp/cast(d as double),4) "precision", round(tp/cast(g as double),4) recall from n""")
 def jon14(spark, sf):
     d, g = one_box(spark, sf, "v_det_box"), one_box(spark, sf, "v_gt_box")
     return evaluate.greedy_score(d, g, evaluate.match_boxes_greedy(d, g))
@@ -188,7 +195,14 @@ def agg37(spark, sf):
     return evaluate.correction_stats(one_box(spark, sf, "v_det_box").withColumn("split", split), one_box(spark, sf, "v_gt_box").withColumn("split", split))
 
 
-@query("UDF04_nms")
+# The boxes of all frames step by step, each frame with the list of those it keeps.
+@query("UDF04_nms", f"""with recursive {DT}, tn as (select *, row_number() over (partition by frame order by conf desc, box_id) k from dt),
+ cp as (select frame, k, hi from (select a.frame, a.k, b.box_id hi, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) i,
+  (a.x1-a.x0)*(a.y1-a.y0)+(b.x1-b.x0)*(b.y1-b.y0) t from tn a join tn b on a.frame=b.frame and b.k<a.k) z where i/(t-i) > 0.4e0),
+ st as (select frame, cast(0 as bigint) k, cast([] as bigint[]) kept from (select distinct frame from dt) f union all
+  select st.frame, st.k+1, case when count(cp.hi)=0 then list_append(any_value(kept), any_value(tn.box_id)) else any_value(kept) end
+  from st join tn on tn.frame=st.frame and tn.k=st.k+1 left join cp on cp.frame=st.frame and cp.k=st.k+1 and list_contains(kept, cp.hi) group by st.frame, st.k),
+ ids as (select frame, unnest(kept) box_id from (select frame, arg_max(kept, k) kept from st group by frame) t) select frame, box_id, conf from ids join dt using (frame, box_id)""")
 def udf04(spark, sf):
     return evaluate.nms(one_box(spark, sf, "v_det_box"), 0.4).select("frame", "box_id", "conf")
 
