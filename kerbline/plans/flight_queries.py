@@ -259,18 +259,38 @@ def src07(spark, sf):
     return stats.field_presence(frames.parse_telemetry(ev(spark, sf, SRT)), ["lat", "gb_yaw", "baro"])
 
 
-@query("SRC08_read_detections", "select frame%97 frame_idx, count(*) n, round(sum(conf),6) conf from v_det_box group by 1")
+@query("SRC01_read_collections", "select ord id, zona, round(x,4) x from v_bay")
+def src01b(spark, sf):
+    """Collections of a thousand features, a document per file, read by ranges of bytes."""
+    path = scratch_path(spark, "collections")
+    f = sinks.features(ringed(spark, sf).withColumn("id", F.col("ord")), "Polygon", "ring", ["id", "zona"], keep=[F.floor(F.col("ord") / 1000).alias("d")])
+    docs = f.groupBy("d").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = features.read_features(spark, path, "Polygon", "id:bigint,zona:string", whole_files=True)
+    return back.select("id", "zona", r(geo.vertex_centroid(geo.open_ring(features.as_points(F.get("coords", F.lit(0))))).x).alias("x"))
+
+
+@query("SRC08_read_detections", "select box_id//10 frame_idx, count(*) n, round(sum(conf),6) conf, round(sum(x0+y1),4) corners from v_det_box group by 1")
 def src08(spark, sf):
+    """Every order a frame; documents of a thousand frames, a file each, in the three forms and under the four kinds of key."""
     path = scratch_path(spark, "dets")
-    d = view(spark, sf, "v_det_box").withColumn("f", F.col("frame") % 97)
+    d = view(spark, sf, "v_det_box").withColumn("f", F.floor(F.col("box_id") / 10))
     per = d.groupBy("f").agg(F.collect_list(F.struct(F.array("x0", "y0", "x1", "y1").alias("box"), "conf")).alias("ds"))
-    name = F.when(F.col("f") % 3 == 0, F.concat(F.lit("frame_"), F.col("f").cast("string"), F.lit(".jpg"))).when(F.col("f") % 3 == 1, F.concat(F.lit("frame_"), F.col("f").cast("string"))).otherwise(F.col("f").cast("string"))
-    per.select(F.to_json(F.struct(F.create_map(name, F.col("ds")).alias("frames"))).alias("value")).repartition(8).write.text(path)
-    # one document per line here; files of one document each read the same way
-    cache = spark.read.text(path).select(F.from_json("value", "struct<frames:map<string,array<struct<box:array<double>,conf:double>>>>").frames.alias("m")).select(F.explode("m").alias("key", "d"))
-    dets = cache.select("key", F.posexplode("d").alias("n", "e")).select("key", "n", "e.conf")
-    poses = d.select(F.col("f").alias("frame_idx")).distinct().select("frame_idx", F.concat(F.lit("frame_"), F.col("frame_idx").cast("string"), F.lit(".jpg")).alias("file"), F.lit(None).cast("int").alias("video_frame"))
-    return frames.detections_for(poses, dets).groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("conf"), 6).alias("conf"))
+    name, number = F.concat(F.lit("frame_"), F.col("f").cast("string")), F.col("f") % 4
+    key = F.when(number == 0, F.concat(name, F.lit(".jpg"))).when(number == 1, name).when(number == 2, (F.col("f") + 10**9).cast("string")).otherwise(F.col("f").cast("string"))
+    pose = F.struct(F.when(number < 2, key).alias("file"), F.when(number == 2, F.col("f") + 10**9).alias("video_frame"), F.when(number == 3, F.col("f")).alias("frame_idx"))
+    pairs = F.array_join(F.transform("ds", lambda e: F.concat(F.lit("["), F.to_json(e.box), F.lit(","), e.conf.cast("string"), F.lit("]"))), ",")
+    per = per.select(F.floor(F.col("f") / 1000).alias("doc"), F.struct(key.alias("key"), F.col("ds").alias("value")).alias("entry"),
+                     F.concat(F.lit('{"pose":'), F.to_json(pose), F.lit(',"dets":['), pairs, F.lit("]}")).alias("posed"))
+    named = F.map_from_entries(F.collect_list("entry"))
+    form = F.col("doc") % 3
+    docs = per.groupBy("doc").agg(F.when(form == 0, F.to_json(F.struct(named.alias("frames")))).when(form == 1, F.to_json(named))
+                                  .otherwise(F.concat(F.lit("["), F.array_join(F.collect_list("posed"), ","), F.lit("]"))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    poses = d.select(F.col("f").alias("frame_idx")).distinct().select("frame_idx", F.concat(F.lit("flight/frame_"), F.col("frame_idx").cast("string"), F.lit(".jpg")).alias("file"), (F.col("frame_idx") + 10**9).alias("video_frame"))
+    dets = frames.read_detections(spark, path).withColumn("key", F.when(F.col("key").endswith(".jpg"), F.concat(F.lit("flight/"), "key")).otherwise(F.col("key")))
+    got = frames.detections_for(poses, dets)
+    return got.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("conf"), 6).alias("conf"), F.round(F.sum(F.col("x0") + F.col("y1")), 4).alias("corners"))
 
 
 @query("SNK01_feature_collection", "select bay_id, zona, round(x,4) x, cast(4 as int) corners from v_bay")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import geo
 from ..functions.text import PUBLIC_ZONE, blank_to_null, parking_kind
 from ..operators.scan import latest_per_key
+from .documents import read_elements
 
 _GEOM = {
     "Point": "array<double>", "MultiPoint": "array<array<double>>", "LineString": "array<array<double>>",
@@ -22,14 +23,14 @@ def as_points(coords: Column) -> Column:
 def read_features(spark: SparkSession, path: str, geom: str, props: str, whole_files: bool = False) -> DataFrame:
     """One row per feature: ``gtype``, ``coords`` and the typed properties (a DDL string).
 
-    Line-delimited features split freely; ``whole_files`` reads classic one-document collections, a
-    task per file.  Features of other geometry types keep their type but have no coordinates.
+    Line-delimited features split freely; ``whole_files`` reads classic one-document collections, by ranges of
+    bytes.  Features of other geometry types keep their type but have no coordinates.
     """
     # coordinates stay text until the type is known, as their nesting differs by type
     one = f"type string, properties struct<{props}>, geometry struct<type:string,coordinates:string>"
     if whole_files:
-        ddl = ", ".join(f"{p}" for p in [f"features array<struct<{one.replace(' string', ':string').replace(' struct', ':struct')}>>"])
-        rows = spark.read.schema(ddl).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*")
+        parts = read_elements(spark, path, {("{", "[features"): "{"})
+        rows = parts.select(F.from_json("value", one).alias("f")).select("f.*")
     else:
         rows = spark.read.schema(one).json(path)
     coords = F.from_json(F.when(F.col("geometry.type") == geom, F.col("geometry.coordinates")), _GEOM[geom])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geo
+from .documents import RANGE_BYTES, read_elements
 
 _POSE = """frame_idx int, i int, file string, video_frame int, t_s double, x double, y double, alt double, lat double, lon double, captured_at string,
  yaw double, yaw_src string, roll double, pitch double, cam_pitch double, cam_roll double, cam_yaw double, wp array<double>, standoff boolean, standoff_m double, avoiding boolean, steering boolean"""
@@ -98,12 +99,24 @@ def telemetry_to_poses(records: DataFrame) -> DataFrame:
 _DET = "array<struct<box:array<double>,conf:double>>"
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, x0, y0, x1, y1, conf)`` of a detection cache ``{frames: {key: [{box, conf}]}}``."""
-    doc = spark.read.text(path, wholetext=True).select(F.coalesce(
-        F.from_json("value", f"struct<frames:map<string,{_DET}>>").frames, F.from_json("value", f"map<string,{_DET}>")).alias("m"))
-    d = doc.select(F.explode("m").alias("key", "ds")).select("key", F.posexplode("ds").alias("n", "d"))
-    return d.select("key", "n", *[F.get("d.box", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], "d.conf")
+# Where a detection cache keeps its frames: lists under names, the same under ``frames``, or a list of pose and detections.
+_CACHES = {("{",): "[", ("{", "{frames"): "[", ("[",): "{"}
+
+
+def read_detections(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(key, n, x0, y0, x1, y1, conf)`` of detection caches, each file in one of three forms, read by ranges of bytes.
+
+    ``{key: [{box, conf}]}``, the same below ``frames``, or ``[{pose, dets: [[box, conf]]}]``, where the key is the pose's file or
+    else its video frame or frame number.  Entries without a box are skipped.
+    """
+    parts = read_elements(spark, path, _CACHES, range_bytes)
+    listed = parts.filter("section <> '['").select(F.from_json(F.concat(F.lit('{"'), "name", F.lit('":'), "value", F.lit("}")), f"map<string,{_DET}>").alias("m"))
+    named = listed.select(F.explode("m").alias("key", "ds")).select("key", F.posexplode("ds").alias("n", "d")).select("key", "n", "d.box", "d.conf")
+    posed = parts.filter("section = '['").select(F.from_json("value", "pose struct<file:string,video_frame:int,frame_idx:int,i:int>, dets array<array<string>>").alias("f"))
+    key = F.coalesce("f.pose.file", F.col("f.pose.video_frame").cast("string"), F.coalesce("f.pose.frame_idx", "f.pose.i").cast("string"))
+    pairs = posed.select(key.alias("key"), F.posexplode("f.dets").alias("n", "d"))
+    pairs = pairs.select("key", "n", F.from_json(F.get("d", F.lit(0)), "array<double>").alias("box"), F.get("d", F.lit(1)).cast("double").alias("conf"))
+    return named.unionByName(pairs).filter("box is not null").select("key", "n", *[F.get("box", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], "conf")
 
 
 def detections_for(poses: DataFrame, dets: DataFrame) -> DataFrame:

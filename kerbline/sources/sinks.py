@@ -20,10 +20,10 @@ def geojson_geometry(kind: str, points: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), coords.alias("coordinates"))
 
 
-def features(df: DataFrame, kind: str, points: str, props: list[str]) -> DataFrame:
-    """One GeoJSON feature per row in ``value``; properties keep their NULLs."""
+def features(df: DataFrame, kind: str, points: str, props: list[str], keep: list[Column] | None = None) -> DataFrame:
+    """One GeoJSON feature per row in ``value``, beside the columns to ``keep``; properties keep their NULLs."""
     f = F.struct(F.lit("Feature").alias("type"), geojson_geometry(kind, F.col(points)).alias("geometry"), F.struct(*props).alias("properties"))
-    return df.select(F.to_json(f, {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(*(keep or []), F.to_json(f, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_features(df: DataFrame, path: str, kind: str, points: str, props: list[str]) -> None:

@@ -3,12 +3,13 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, text
 from kerbline.operators import images
-from kerbline.sources import features, frames, sinks
+from kerbline.sources import documents, features, frames, sinks
 
 
 def put(path, doc):
@@ -42,6 +43,51 @@ def test_feature_collection_document(spark, tmp_path):
     assert len(json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))["features"]) == 50
 
 
+HARD = [{"type": "Feature", "properties": {"id": i, "zona": z}, "geometry": {"type": "Point", "coordinates": [i + 0.5, -i]}} for i, z in enumerate(
+    ["plain", 'a "quoted" ]} name', "back\\slash\\", "\\\"", "[{", "}]", "ж" * 40, "", '{"features":[{"id":9}]}', '"features":[{', "x" * 500] * 3)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1000, 1 << 20])
+@pytest.mark.parametrize("ascii_only", [True, False])
+def test_elements_of_any_cut(tmp_path, size, ascii_only, monkeypatch):
+    """Whatever the ranges, the elements of the wanted list come out once each."""
+    doc = {"note": {"features": [{"no": 1}]}, "skip": [[{"no": 2}]], "features": HARD, "after": [{"no": 3}, "]}"], "a\"b": {"c": []}}
+    p = put(tmp_path / "d.json", json.dumps(doc, ensure_ascii=ascii_only, indent=None if size % 2 else 1))
+    data = open(p, "rb").read()
+    rows = []
+    for a in range(0, len(data), size):
+        base = max(0, a - documents.NAME_BYTES)
+        buf = data[base:a + size]
+        rows.append((p, a, min(len(data), a + size), *documents.brackets(buf, a - base, False), *documents.brackets(buf, a - base, True)))
+    at = documents._carry(pd.DataFrame(rows[::-1], columns="path start stop out_ends out_closed out_opened in_ends in_closed in_opened".split()))
+    with documents.open_file(p) as f:
+        got = [json.loads(v) for r in at.itertuples() for _, _, v in documents.elements(f, r.start, r.stop, r.inside, r.stack, {("{", "[features"): "{"})]
+    assert got == HARD
+
+
+def test_large_collection_is_read_by_many_tasks(spark, tmp_path):
+    put(tmp_path / "a.json", {"features": HARD * 40})
+    put(tmp_path / "b.json", {"type": "FeatureCollection", "features": []})
+    put(tmp_path / "c.json", "")
+    parts = documents.read_elements(spark, str(tmp_path), {("{", "[features"): "{"}, range_bytes=20_000)
+    assert sorted(json.loads(r.value)["properties"]["id"] for r in parts.collect()) == sorted(f["properties"]["id"] for f in HARD * 40)
+    assert parts.rdd.getNumPartitions() > 10 and parts.select("path", F.spark_partition_id().alias("t")).distinct().count() > 5
+
+
+def test_detection_caches_of_three_forms(spark, tmp_path):
+    a, b, c = tmp_path / "a", tmp_path / "b", tmp_path / "c"
+    for d in (a, b, c):
+        d.mkdir()
+    one, two = {"box": [0, 1, 2, 3], "conf": 0.5}, {"box": [4, 5, 6, 7], "conf": 0.25}
+    put(a / "x.json", {"frames": {"f_1": [one, two], "f\"2": [], "f_3": [two]}, "model": "m"})
+    put(b / "x.json", {"f_1": [one, two], "f_3": [two]})
+    put(c / "x.json", [{"pose": {"file": "f_1", "i": 9}, "dets": [[one["box"], 0.5], [two["box"], 0.25]]}, {"pose": {"i": 7}, "dets": []}, {"pose": {"frame_idx": 3}, "dets": [[two["box"], 0.25]]}])
+    want = [("f_1", 0, 0.0, 3.0, 0.5), ("f_1", 1, 4.0, 7.0, 0.25), ("f_3", 0, 4.0, 7.0, 0.25)]
+    for d, third in ((a, "f_3"), (b, "f_3"), (c, "3")):
+        got = sorted((r.key, r.n, r.x0, r.y1, r.conf) for r in frames.read_detections(spark, str(d), range_bytes=40).collect())
+        assert got == sorted([*want[:2], (third, *want[2][1:])])
+
+
 def test_coco_and_vgg(spark, tmp_path):
     coco = {"images": [{"id": 1, "file_name": "d/a.jpg"}], "annotations": [
         {"image_id": 1, "segmentation": [[0, 0, 2, 0, 2, 2]], "bbox": [0, 0, 9, 9]}, {"image_id": 1, "segmentation": [], "bbox": [1, 1, 3, 2]}, {"image_id": 1, "segmentation": {"counts": [1]}, "bbox": [0, 0, 1, 1]}]}
