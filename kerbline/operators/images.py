@@ -1,7 +1,7 @@
 """Jobs on frame pictures: statistics, bay features and scoring.
 
-Pictures come as ``frame_idx, content`` (the ``binaryFile`` source gives ``content``); a decoder turns
-bytes into a height x width x 3 array.  Every job streams Arrow batches, so a task holds a few pictures.
+Pictures come as ``frame_idx, path``: a scan lists the files, joins and shuffles move names, and the bytes are opened one picture
+at a time in the task that looks at them.  ``frame_idx, content`` is taken too.  A decoder turns bytes into a height x width x 3 array.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo
 from ..functions.geo import Camera
-from ..functions.text import classify_core
+from ..functions.text import classify_core, frame_no
+from ..session import ship_code
+from ..sources.documents import MOST_TASKS, Opener, locate, open_file
 from .evidence import _pose, with_axes
 from .spatial import box_pairs
 
@@ -35,6 +37,53 @@ def encode_ppm(px: np.ndarray) -> bytes:
 
 Decoder = Callable[[bytes], np.ndarray]
 
+PICTURES_PER_TASK = 64
+
+
+def read_pictures(spark: SparkSession, folder: str, glob: str = "*.ppm", per_task: int = PICTURES_PER_TASK) -> DataFrame:
+    """``(frame_idx, path)`` of the pictures below a folder, numbered by their names; no picture is opened.
+
+    They are dealt to tasks by number, as a few names would otherwise end in one task with all their pictures.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path")
+    tasks = min(MOST_TASKS, -(-max(1, found.count()) // per_task))
+    named = found.select(frame_no("path").alias("frame_idx"), "path")
+    return named.filter("frame_idx >= 0").repartition(tasks, "frame_idx")
+
+
+def write_pictures(images: DataFrame, folder: str) -> None:
+    """A file ``frame_<number>.ppm`` per row of ``frame_idx, content``, written by the tasks; one that runs again writes the same files."""
+    def run(batches):
+        system, name = locate(folder)
+        system.create_dir(name, recursive=True)
+        for pdf in batches:
+            for k, content in zip(pdf["frame_idx"], pdf["content"]):
+                with system.open_output_stream(f"{name}/frame_{k:06d}.ppm") as f:
+                    f.write(content)
+            yield pdf[["frame_idx"]]
+
+    ship_code(images.sparkSession)
+    images.select("frame_idx", "content").mapInPandas(run, "frame_idx bigint").write.format("noop").mode("overwrite").save()
+
+
+def _source(images: DataFrame) -> str:
+    """The column pictures come from."""
+    ship_code(images.sparkSession)
+    return "path" if "path" in images.columns else "content"
+
+
+def _look(source: str, decode: Decoder, opener: Opener) -> Callable[[str | bytes], np.ndarray]:
+    """From a name or bytes to pixels."""
+    if source == "content":
+        return decode
+
+    def look(path: str) -> np.ndarray:
+        with opener(path) as f:
+            return decode(f.read())
+
+    return look
+
+
 TOP_STRIP = 0.12
 
 
@@ -43,10 +92,13 @@ def _mode(channel: np.ndarray) -> float:
     return float(np.bincount(channel.ravel() // 2, minlength=128).argmax() * 2 + 1)
 
 
-def image_stats(images: DataFrame, decode: Decoder = decode_ppm) -> DataFrame:
+def image_stats(images: DataFrame, decode: Decoder = decode_ppm, opener: Opener = open_file) -> DataFrame:
     """Top-strip brightness and blue-minus-red, grey mode/median/60th percentile and per-channel modes."""
-    def one(content) -> dict:
-        px = decode(content)
+    source = _source(images)
+    look = _look(source, decode, opener)
+
+    def one(picture) -> dict:
+        px = look(picture)
         top = px[: int(px.shape[0] * TOP_STRIP)].reshape(-1, 3).astype(float)
         grey = np.rint(px.astype(float) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
         return {"top_brightness": top.mean(), "top_blue_red": (top[:, 2] - top[:, 0]).mean(), "f_mode": _mode(grey),
@@ -54,11 +106,11 @@ def image_stats(images: DataFrame, decode: Decoder = decode_ppm) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.concat([pdf[["frame_idx"]].reset_index(drop=True), pd.DataFrame([one(c) for c in pdf["content"]])], axis=1)
+            yield pd.concat([pdf[["frame_idx"]].reset_index(drop=True), pd.DataFrame([one(c) for c in pdf[source]])], axis=1)
 
     cols = "top_brightness top_blue_red f_mode f_median f_p60 mode_r mode_g mode_b".split()
     kind = dict(images.dtypes)["frame_idx"]
-    return images.select("frame_idx", "content").mapInPandas(run, f"frame_idx {kind}, " + ", ".join(f"{c} double" for c in cols))
+    return images.select("frame_idx", source).mapInPandas(run, f"frame_idx {kind}, " + ", ".join(f"{c} double" for c in cols))
 
 
 # Core share across and along the bay, least visible share, ignored picture border (px),
@@ -127,13 +179,16 @@ def rings_in_frames(poses: DataFrame, bays: DataFrame, cam: Camera, size: float
 _FEATURES = "core_chroma core_dark_frac core_paint_frac core_brightness core_std vis".split()
 
 
-def core_features(images: DataFrame, framed: DataFrame, cam: Camera, decode: Decoder = decode_ppm) -> DataFrame:
+def core_features(images: DataFrame, framed: DataFrame, cam: Camera, decode: Decoder = decode_ppm, opener: Opener = open_file) -> DataFrame:
     """``(frame_idx, bay_id, off, core_*, vis)`` of four-cornered bays visible enough to judge."""
+    source = _source(images)
+    look = _look(source, decode, opener)
+
     def run(batches):
         for pdf in batches:
             rows = []
-            for frame, content, bays in zip(pdf["frame_idx"], pdf["content"], pdf["bays"]):
-                px = decode(content)
+            for frame, picture, bays in zip(pdf["frame_idx"], pdf[source], pdf["bays"]):
+                px = look(picture)
                 for b in bays:
                     ring = np.array([(q["x"], q["y"]) for q in b["ring"]], dtype=float)
                     st = bay_stats(px, ring) if len(ring) == 4 else None
@@ -143,29 +198,32 @@ def core_features(images: DataFrame, framed: DataFrame, cam: Camera, decode: Dec
             yield pd.DataFrame(rows, columns=["frame_idx", "bay_id", "off", *_FEATURES])
 
     kind = dict(images.dtypes)["frame_idx"]
-    src = images.select("frame_idx", "content").join(framed, "frame_idx")
+    src = images.select("frame_idx", source).join(framed, "frame_idx")
     return src.mapInPandas(run, f"frame_idx {kind}, bay_id string, off double, " + ", ".join(f"{c} double" for c in _FEATURES))
 
 
 def score_frames(images: DataFrame, poses: DataFrame, bays: DataFrame, cam: Camera, model: Callable[[], Callable[[np.ndarray], list]] | None = None,
-                 decode: Decoder = decode_ppm, radius: float = 3.0) -> DataFrame:
+                 decode: Decoder = decode_ppm, radius: float = 3.0, opener: Opener = open_file) -> DataFrame:
     """``(frame_idx, bay_id, occupied, off, det_score)`` from the tone test or a detector.
 
     ``model`` builds a detector once per Python worker; the detector maps a picture to
     ``[(x0, y0, x1, y1, conf), ...]``.  Both ways return the same columns.
     """
     if model is None:
-        f = core_features(images, rings_in_frames(poses, bays, cam), cam, decode)
+        f = core_features(images, rings_in_frames(poses, bays, cam), cam, decode, opener)
         return f.select("frame_idx", "bay_id", classify_core().alias("occupied"), "off", F.lit(None).cast("double").alias("det_score"))
     from .evidence import assign_inclusive, frame_bay_views, ground_points
 
+    source = _source(images)
+    look = _look(source, decode, opener)
+
     def run(batches):
         detect = model()
         for pdf in batches:
-            rows = [(f, i, *map(float, d)) for f, c in zip(pdf["frame_idx"], pdf["content"]) for i, d in enumerate(detect(decode(c)))]
+            rows = [(f, i, *map(float, d)) for f, c in zip(pdf["frame_idx"], pdf[source]) for i, d in enumerate(detect(look(c)))]
             yield pd.DataFrame(rows, columns=["frame_idx", "n", "x0", "y0", "x1", "y1", "conf"])
 
     kind = dict(images.dtypes)["frame_idx"]
-    d = images.select("frame_idx", "content").mapInPandas(run, f"frame_idx {kind}, n bigint, x0 double, y0 double, x1 double, y1 double, conf double")
+    d = images.select("frame_idx", source).mapInPandas(run, f"frame_idx {kind}, n bigint, x0 double, y0 double, x1 double, y1 double, conf double")
     g = ground_points(d.withColumn("event_id", F.struct("frame_idx", "n")), poses, cam)
     return assign_inclusive(g, frame_bay_views(poses, bays, cam), radius).select("frame_idx", "bay_id", "occupied", "off", "det_score")

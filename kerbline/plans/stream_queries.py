@@ -132,7 +132,7 @@ def str09(spark, sf):
 # ---- pictures --------------------------------------------------------------------
 
 def pictures(spark, sf) -> DataFrame:
-    """A small picture per pose: asphalt with a frame-dependent tone and a bright or dark block."""
+    """Files with a small picture per pose: asphalt with a frame-dependent tone and a bright or dark block."""
     def paint(batches):
         y, x = np.mgrid[0:SMALL.h, 0:SMALL.w]
         for pdf in batches:
@@ -144,7 +144,9 @@ def pictures(spark, sf) -> DataFrame:
                 out.append(images.encode_ppm(px))
             yield pd.DataFrame({"frame_idx": pdf["frame_idx"], "content": out})
 
-    return view(spark, sf, "v_pose").select("frame_idx").mapInPandas(paint, "frame_idx int, content binary")
+    folder = scratch_path(spark, "pictures")
+    images.write_pictures(view(spark, sf, "v_pose").select("frame_idx").mapInPandas(paint, "frame_idx int, content binary"), folder)
+    return images.read_pictures(spark, folder)
 
 
 @query("UDF01_score_frames")
@@ -175,9 +177,20 @@ def udf02(spark, sf):
     return images.core_features(pictures(spark, sf), framed, SMALL)
 
 
-@query("UDF03_image_stats")
+# The painted pixels again: channels of every picture counted by tone.
+PIXELS = """px as (select k, y, case when hit then 200-k%60 else v end r, case when hit then 40+k%50 else v end g, case when hit then 120 else v end b from (select k, y, 88+k%9+(x*3+y*5+k)%7 v,
+ x>=(k*7)%70 and x<(k*7)%70+24 and y>=(k*3)%40 and y<(k*3)%40+14 hit from (select frame_idx k from v_pose) f, range(100) a(x), range(60) c(y)) t),
+ tone as (select k, 'f' c, cast(round_even(0.299e0*r+0.587e0*g+0.114e0*b, 0) as int) v from px union all select k, 'r', r from px union all select k, 'g', g from px union all select k, 'b', b from px),
+ mode as (select k, c, bin*2+1.0e0 m from (select k, c, v//2 bin, count(*) n from tone group by 1,2,3) t qualify row_number() over (partition by k, c order by n desc, bin) = 1)"""
+
+
+@query("UDF03_image_stats", f"""with {PIXELS}, top as (select k, round(avg((r+g+b)/3.0e0),6) top_brightness, round(avg(b-r),6) top_blue_red from px where y<7 group by 1),
+ mid as (select k, quantile_cont(cast(v as double),0.5) f_median, quantile_cont(cast(v as double),0.6) f_p60 from tone where c='f' group by 1),
+ m as (select k, max(case when c='f' then m end) f_mode, max(case when c='r' then m end) mode_r, max(case when c='g' then m end) mode_g, max(case when c='b' then m end) mode_b from mode group by 1)
+ select k frame_idx, top_brightness, top_blue_red, f_mode, f_median, round(f_p60,6) f_p60, mode_r, mode_g, mode_b, top_brightness>180 and top_blue_red>10 oblique from top join mid using (k) join m using (k)""")
 def udf03(spark, sf):
     st = images.image_stats(pictures(spark, sf))
+    st = st.withColumns({c: r(F.col(c), 6) for c in ("top_brightness", "top_blue_red", "f_p60")})
     return st.withColumn("oblique", text.is_oblique("top_brightness", "top_blue_red"))
 
 

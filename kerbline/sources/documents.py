@@ -28,15 +28,20 @@ _STRING_END = re.compile(rb'(?:[^"\\]|\\.)*+"', re.S)
 Opener = Callable[[str], BinaryIO]
 
 
-def open_file(path: str) -> BinaryIO:
-    """A file for reading at any offset, on whatever file system its name tells."""
+def locate(path: str):
+    """``(file system, name)`` of a path, whatever file system its name tells."""
     from pyarrow import fs
 
     if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
-    system, name = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str) -> BinaryIO:
+    """A file for reading at any offset."""
+    system, name = locate(path)
     return system.open_input_file(name)
 
 

@@ -140,3 +140,27 @@ def test_picture_statistics():
     assert car["core_chroma"] == 140 and car["core_std"] > 50 and car["vis"] > 0.9
     assert road is None or road["core_chroma"] < 1
     assert images.bay_stats(px, ring + (90, 0)) is None
+
+
+def test_pictures_are_opened_where_they_are_looked_at(spark, tmp_path):
+    """Files give what bytes give, and nothing but names is shuffled."""
+    rng = np.random.default_rng(5)
+    shots = [(k, images.encode_ppm(rng.integers(0, 256, (60, 100, 3), dtype=np.uint8))) for k in range(300)]
+    held = spark.createDataFrame(shots, "frame_idx int, content binary")
+    images.write_pictures(held, str(tmp_path / "shots"))
+    (tmp_path / "shots" / "notes.ppm").write_bytes(b"no number in its name")
+    files = images.read_pictures(spark, str(tmp_path / "shots"), per_task=20)
+    assert files.rdd.getNumPartitions() == 16 and sorted(r.frame_idx for r in files.collect()) == list(range(300))
+    ring = F.array(*[geo.point(F.lit(x), F.lit(y)) for x, y in ((30.0, 20.0), (70.0, 20.0), (70.0, 40.0), (30.0, 40.0))])
+    framed = spark.range(300).select(F.col("id").cast("int").alias("frame_idx"), F.array(F.struct(F.lit("a").alias("bay_id"), ring.alias("ring"))).alias("bays"))
+    cam = geo.Camera(100, 60, 0.7854)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = images.core_features(files, framed.filter("frame_idx % 3 = 0"), cam)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got, want = found.collect(), images.core_features(held, framed.filter("frame_idx % 3 = 0"), cam).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 100 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert plan.count("Exchange") >= 2 and "content" not in plan
+    assert sorted(map(tuple, images.image_stats(files).collect())) == sorted(map(tuple, images.image_stats(held).collect()))
