@@ -468,12 +468,26 @@ def agg35(spark, sf):
     return reports.rect_vs_ring_error(b).withColumn("worst_m", r(F.col("worst_m")))
 
 
-@query("AGG40_error_by_cause")
+# Buildings stand upright; outlines overlap when none of their four axes parts them.
+CAUSES = f"""with {LABELS}, vw as (select bay_id, count(case when occupied then 1 end)*2>count(*) occupied from v_observation group by 1), res as (select bay_id, gt, occupied from lb join vw using (bay_id)),
+ bd as (select b.bay_id, min(sqrt(pow(greatest(abs(b.x-h.x-1)-4.5e0,0),2)+pow(greatest(abs(b.y-h.y-1.5e0)-2.5e0,0),2))) bd from v_bay b join v_bay h on h.ord%50<3 and abs(b.x-h.x-1)<=7.5e0 and abs(b.y-h.y-1.5e0)<=5.5e0 group by 1),
+ tk as (select r.* from v_ring r join res using (bay_id) where gt),
+ hit as (select distinct a.bay_id from v_ring a join tk b on a.bay_id<>b.bay_id and abs(a.x-b.x)<6 and abs(a.y-b.y)<6, lateral (select abs(a.c*b.c+a.s*b.s) p, abs(a.c*b.s-a.s*b.c) q, b.x-a.x dx, b.y-a.y dy) z
+  where 2*abs(dx*a.c+dy*a.s) < a.l+b.l*p+b.w*q and 2*abs(dy*a.c-dx*a.s) < a.w+b.l*q+b.w*p and 2*abs(dx*b.c+dy*b.s) < b.l+a.l*p+a.w*q and 2*abs(dy*b.c-dx*b.s) < b.w+a.l*q+a.w*p),
+ cs as (select case when bd=0 then 'inside building' when bd<=3 then 'near building' when hit.bay_id is not null then 'overlaps occupied' else 'ordinary' end cause, occupied<>gt wrong from res left join bd using (bay_id) left join hit using (bay_id) where gt is not null)"""
+
+
+@query("AGG40_error_by_cause", f"{CAUSES} select cause, count(*) bays, count(case when wrong then 1 end) errors, round(count(case when wrong then 1 end)/cast(count(*) as double),4) error_rate from cs group by 1")
 def agg40(spark, sf):
     res = labels(spark, sf).join(vote.vote_views(view(spark, sf, "v_observation")).select("bay_id", "occupied"), "bay_id")
     return reports.error_by_cause(res, ringed(spark, sf), buildings(spark, sf))
 
 
+@query("AGG40_accuracy_outside", f"{CAUSES} select count(*) bays, round(1-count(case when wrong then 1 end)/cast(count(*) as double),4) accuracy from cs where cause<>'inside building'")
+def agg40b(spark, sf):
+    return reports.accuracy_outside(agg40(spark, sf))
+
+
 @query("WIN10_observed_spans")
 def win10(spark, sf):
     out = evidence.observed_spans(evidence.run_samples(lines(spark, sf)), view(spark, sf, "v_pose"), CAM)

@@ -247,6 +247,15 @@ def src05(spark, sf):
     return out.select("source", "frame", "captured_at", "lat", r(F.col("lon")).alias("lon"), "alt", "gb_yaw")
 
 
+@query("SRC05_read_telemetry", """select concat('u',cast(user_id%50 as varchar)) source, count(*) n, count(case when event_id%4=0 then 1 end) aimed, min(event_id) first_frame, max(event_id) last_frame from events group by 1""")
+def src05b(spark, sf):
+    """A file per flight, named by its folder."""
+    path = scratch_path(spark, "telemetry")
+    ev(spark, sf, SRT).write.partitionBy("source").text(path)
+    out = frames.parse_telemetry(frames.read_telemetry(spark, path))
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("gb_yaw").alias("aimed"), F.min("frame").cast("bigint").alias("first_frame"), F.max("frame").cast("bigint").alias("last_frame"))
+
+
 @query("SRC06_telemetry_to_poses", f"""select cast(event_id as int) frame_idx, round((round(23+(1000+event_id%1000)/10000.0e0,4)-23.3298956e0)*{111320.0 * math.cos(math.radians(42.6747105))!r}e0,-1) x, round(case when event_id%4=0 then radians(45.0e0) end,6) yaw, round(case when event_id%4=0 then radians(90.0e0) end,6) cam_pitch,
  case when event_id%3=0 then 61.5e0 else 30.5e0 end alt from events""")
 def src06(spark, sf):
@@ -313,13 +322,12 @@ def snk07(spark, sf):
 
 @query("SRC11_read_labels", "select survey_area area, bay_id, bool_or(occupied) gt from v_observation group by 1,2")
 def src11(spark, sf):
+    """Files of a thousand bays at most, in a folder per area."""
     o = view(spark, sf, "v_observation").groupBy("survey_area", "bay_id").agg(F.bool_or("occupied").alias("gt"))
     path = scratch_path(spark, "truth")
-    docs = o.groupBy("survey_area").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("bay_id", "gt")))).alias("value"))
-    docs.write.partitionBy("survey_area").text(path)
-    # a label file is named after its area; here the partition folder carries the name
-    back = spark.read.text(path).select(F.col("survey_area").cast("string").alias("area"), F.explode(F.from_json("value", "map<string,boolean>")).alias("bay_id", "gt"))
-    return back.filter(F.col("area").rlike(frames.AREA_NAME))
+    docs = o.groupBy(F.col("survey_area").alias("area"), F.floor(F.col("bay_id").cast("bigint") / 1000).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("bay_id", "gt")))).alias("value"))
+    docs.drop("part").write.option("maxRecordsPerFile", 1).partitionBy("area").text(path)
+    return frames.read_labels(spark, path)
 
 
 @query("SRC12_read_flight_log", "select count(*) n, count(case when k%5=0 then 1 end) obst, round(sum(x),2) sx from v_track")

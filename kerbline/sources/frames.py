@@ -15,6 +15,12 @@ def _source_name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def _named_by(key: str, name: Column) -> Column:
+    """What a file is named after: its folder ``<key>=<name>`` when written by us, else ``name``."""
+    folder = F.regexp_extract("_metadata.file_path", rf"/{key}=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(name)
+
+
 def _stem(c) -> Column:
     base = F.element_at(F.split(c if isinstance(c, Column) else F.col(c), "/"), -1)
     return F.regexp_replace(base, r"\.[^.]*$", "")
@@ -83,8 +89,9 @@ def parse_telemetry(texts: DataFrame, text: str = "value", source: str = "source
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Whole telemetry files with their name (one flight is one file)."""
-    return spark.read.text(path, wholetext=True).select(_source_name().alias("source"), "value")
+    """Whole telemetry files (one flight is one file) with their name, or that of their folder ``source=<name>``."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return text.select(_named_by("source", _source_name()).alias("source"), "value")
 
 
 def telemetry_to_poses(records: DataFrame) -> DataFrame:
@@ -196,13 +203,17 @@ AREA_NAME = r"^[A-Za-z0-9_-]{1,64}$"
 
 
 def read_labels(spark: SparkSession, folder: str, area: str | None = None) -> DataFrame:
-    """``(area, bay_id, gt)`` from ``<area>.ground_truth.json`` files; odd area names are not read, absent ones are empty."""
+    """``(area, bay_id, gt)`` from ``<area>.ground_truth.json`` files, or any below a folder ``area=<name>``.
+
+    Odd area names are not read, absent ones are empty.
+    """
     import re
 
     if area is not None and not re.fullmatch(AREA_NAME.strip("^$"), area):
         raise ValueError("area name")
-    rows = spark.read.option("pathGlobFilter", "*.ground_truth.json").text(folder, wholetext=True).select(
-        F.regexp_replace(_source_name(), r"\.ground_truth\.json$", "").alias("area"), F.explode(F.from_json("value", "map<string,boolean>")).alias("bay_id", "gt"))
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    files = files.filter(_source_name().endswith(".ground_truth.json") | F.col("_metadata.file_path").contains("/area="))
+    rows = files.select(_named_by("area", F.regexp_replace(_source_name(), r"\.ground_truth\.json$", "")).alias("area"), F.explode(F.from_json("value", "map<string,boolean>")).alias("bay_id", "gt"))
     rows = rows.filter(F.col("area").rlike(AREA_NAME))
     return rows if area is None else rows.filter(F.col("area") == area)
 
