@@ -58,17 +58,18 @@ FAR_M, SKEW_DEG = 15.0, 25.0
 
 def bay_audit(bays: DataFrame, roads: DataFrame, buildings: DataFrame, far_m: float = FAR_M, skew_deg: float = SKEW_DEG, size: float = 40.0) -> DataFrame:
     """Each bay against the map: distance to and angle with the nearest road, building below it, name agreement."""
-    axis = geo.long_axis_deg(F.col("ring"))
+    # outlines are read by every part below, so they are written once
+    bays = cut(bays.withColumns({"__axis": geo.long_axis_deg(F.col("ring")), "__ls": geo.long_short(geo.open_ring(F.col("ring")))}))
+    buildings = cut(buildings.select(F.col("ring").alias("__bring"), geo.bbox(F.col("ring")).alias("bb")))
     road = closest_road(bays, roads).select("bay_id", F.col("dist").alias("road_m"), "bearing_deg", F.col("name").alias("road"))
-    under = near_pairs(bays.select("bay_id", "x", "y"), buildings.select(F.col("ring").alias("__bring"), geo.bbox(F.col("ring")).alias("bb")),
+    under = near_pairs(bays.select("bay_id", "x", "y"), buildings,
                        "x", "y", ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), 0.0, size)
     under = under.filter(geo.point_in_ring("x", "y", F.col("__bring"))).select("bay_id").distinct().withColumn("__in", F.lit(True))
     j = bays.join(road, "bay_id", "left").join(under, "bay_id", "left")
-    diff = axis_diff(axis, F.pmod(F.col("bearing_deg"), F.lit(180.0)))
+    diff = axis_diff(F.col("__axis"), F.pmod(F.col("bearing_deg"), F.lit(180.0)))
     skew = F.when(parking_kind("park_txt") == "parallel", diff).otherwise(axis_diff(diff, F.lit(90.0)))
-    ls = geo.long_short(geo.open_ring(F.col("ring")))
     out = j.select("bay_id", "street", "park_txt", F.round("road_m", 2).alias("road_m"), "road", F.round(skew, 1).alias("skew_deg"),
-                   F.round(ls.long_m, 2).alias("long_m"), F.round(ls.short_m, 2).alias("short_m"), F.coalesce("__in", F.lit(False)).alias("in_building"),
+                   F.round("__ls.long_m", 2).alias("long_m"), F.round("__ls.short_m", 2).alias("short_m"), F.coalesce("__in", F.lit(False)).alias("in_building"),
                    (F.coalesce(norm_street("road"), F.lit("")) != F.lit("")).alias("__named"),
                    (norm_street("road") == norm_street("street")).alias("__same"))
     flag = F.col("in_building") | F.coalesce(F.col("road_m") > far_m, F.lit(True)) | F.coalesce(F.col("skew_deg") > skew_deg, F.lit(False))
@@ -191,7 +192,9 @@ def error_by_cause(results: DataFrame, bays: DataFrame, buildings: DataFrame, ne
 
     Causes in order: inside a building, near one, outline shared with an occupied bay, ordinary.
     """
-    bb = buildings.select(F.col("ring").alias("__bring"), geo.bbox(F.col("ring")).alias("bb"))
+    # outlines are read by every test below, so they are written once
+    bays = cut(bays.select("bay_id", "x", "y", "ring"))
+    bb = cut(buildings.select(F.col("ring").alias("__bring"), geo.bbox(F.col("ring")).alias("bb")))
     close = near_pairs(bays.select("bay_id", "x", "y"), bb, "x", "y", ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), near_m, size)
     d = close.groupBy("bay_id").agg(F.min(geo.ring_distance("x", "y", F.col("__bring"))).alias("bd"))
     boxed = bays.select("bay_id", "ring", geo.bbox(F.col("ring")).alias("bx"))

@@ -174,6 +174,13 @@ def points_in_areas(points: DataFrame, areas: DataFrame, px: str, py: str, ring:
     return cand.filter(geo.point_in_ring(px, py, F.col(ring))).drop("__x0", "__y0", "__x1", "__y1")
 
 
+def _once(df: DataFrame, side: str, *corners: Column) -> DataFrame:
+    """Add corners as ``__<side>x0`` and so on; what a generator makes is not copied into every later use of it."""
+    names = [f"__{side}{c}" for c in ("x0", "y0", "x1", "y1")]
+    box = F.explode(F.array(F.struct(*[e.alias(n) for e, n in zip(corners, names)])))
+    return df.withColumn("__box", box).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"__box.{n}") for n in names])
+
+
 def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple, rbox: tuple, size: float, on: list[str] | None = None,
               reach: float = 0.0) -> DataFrame:
     """Pairs of rows whose boxes, the left grown by ``reach``, touch; each pair once.
@@ -182,8 +189,8 @@ def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple, rbox: tuple, size:
     of the larger one's size, and are kept only in the first cell they share.
     """
     m = F.lit(float(reach))
-    lm = left.withColumns({"__lx0": col(lbox[0]) - m, "__ly0": col(lbox[1]) - m, "__lx1": col(lbox[2]) + m, "__ly1": col(lbox[3]) + m})
-    rm = right.withColumns({"__rx0": col(rbox[0]), "__ry0": col(rbox[1]), "__rx1": col(rbox[2]), "__ry1": col(rbox[3])})
+    lm = _once(left, "l", col(lbox[0]) - m, col(lbox[1]) - m, col(lbox[2]) + m, col(lbox[3]) + m)
+    rm = _once(right, "r", *[col(c) for c in rbox])
     lm = with_level(lm, ("__lx0", "__ly0", "__lx1", "__ly1"), size, "__ll")
     rm = with_level(rm, ("__rx0", "__ry0", "__rx1", "__ry1"), size, "__rl")
     found = F.array(*[F.lit(n) for n in sorted({*levels_of(lm, name="__ll"), *levels_of(rm, name="__rl")})]).cast("array<int>")
