@@ -184,7 +184,8 @@ def raster_shift_search(paint: DataFrame, marks: DataFrame, cell_m: float, reach
 
     ticks = F.array(*[F.lit(i).cast("bigint") for i in range(-n, n + 1)])
     moved = cells(marks).withColumn("di", F.explode(ticks)).withColumn("dj", F.explode(ticks)).select("di", "dj", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    return moved.join(cells(paint), ["i", "j"]).groupBy("di", "dj").agg(F.count(F.lit(1)).alias("overlap"))
+    # dealt by cell after the shifts, so that Spark measures all of them before it chooses a join
+    return moved.repartition("i", "j").join(cells(paint), ["i", "j"]).groupBy("di", "dj").agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def error_by_cause(results: DataFrame, bays: DataFrame, buildings: DataFrame, near_m: float = 3.0, size: float = 40.0) -> DataFrame:

@@ -69,7 +69,7 @@ def points_in_boxes(points: DataFrame, items: DataFrame, px: str, py: str, box:
     at = at.withColumns({"__cx": nested_cell(px, size, F.col("__level")), "__cy": nested_cell(py, size, F.col("__level")),
                          "__part": F.when(F.col("__level") >= LARGE, F.pmod(F.xxhash64(px, py), F.lit(DEALT)).cast("int")).otherwise(F.lit(0))})
     parts = F.explode(F.sequence(F.lit(0), F.when(F.col("__level") >= LARGE, F.lit(DEALT - 1)).otherwise(F.lit(0))))
-    lain = over_nested_cells(leveled, *box, size, F.col("__level")).withColumn("__part", parts)
+    lain = over_nested_cells(leveled, *box, size, F.col("__level")).withColumn("__part", parts).repartition("__level", "__cx", "__cy", "__part")
     x0, y0, x1, y1 = (col(c) for c in box)
     inside = col(px).between(x0, x1) & col(py).between(y0, y1)
     return at.join(lain, ["__level", "__cx", "__cy", "__part"]).filter(inside).drop("__level", "__cx", "__cy", "__part")
@@ -84,8 +84,10 @@ def near_pairs(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple
     """
     size = size or reach
     left = at_cell(points, px, py, size, "__cx", "__cy")
-    right = over_cells(items, *box, size, reach, "__cx", "__cy")
-    out = left.join(right, [*(on or []), "__cx", "__cy"], how)
+    # dealt by the join's own keys, so that Spark measures the rows of all cells and not the few bytes they were made from
+    keys = [*(on or []), "__cx", "__cy"]
+    right = over_cells(items, *box, size, reach, "__cx", "__cy").repartition(*keys)
+    out = left.join(right, keys, how)
     return out.drop("__cx", "__cy")
 
 
@@ -196,7 +198,8 @@ def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple, rbox: tuple, size:
     found = F.array(*[F.lit(n) for n in sorted({*levels_of(lm, name="__ll"), *levels_of(rm, name="__rl")})]).cast("array<int>")
     a = over_nested_cells(lm.withColumn("__level", F.explode(F.filter(found, lambda n: n >= F.col("__ll")))), "__lx0", "__ly0", "__lx1", "__ly1", size, F.col("__level"))
     b = over_nested_cells(rm.withColumn("__level", F.explode(F.filter(found, lambda n: n >= F.col("__rl")))), "__rx0", "__ry0", "__rx1", "__ry1", size, F.col("__level"))
-    out = a.join(b, [*(on or []), "__level", "__cx", "__cy"]).filter(
+    keys = [*(on or []), "__level", "__cx", "__cy"]
+    out = a.repartition(*keys).join(b.repartition(*keys), keys).filter(
         (F.col("__level") == F.greatest("__ll", "__rl"))
         & (F.col("__lx0") <= F.col("__rx1")) & (F.col("__rx0") <= F.col("__lx1")) & (F.col("__ly0") <= F.col("__ry1")) & (F.col("__ry0") <= F.col("__ly1"))
         & (F.col("__cx") == nested_cell(F.greatest("__lx0", "__rx0"), size, F.col("__level"))) & (F.col("__cy") == nested_cell(F.greatest("__ly0", "__ry0"), size, F.col("__level"))))
