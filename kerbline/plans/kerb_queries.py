@@ -326,7 +326,7 @@ def agg41b(spark, sf):
     return runs.layer_totals(agg41(spark, sf))
 
 
-@query("CLU05_street_graph", """with s as (select cast(user_id%40 as bigint) a, cast(least(39, user_id%40+1+event_id%2) as bigint) b, cast(user_id//40 as bigint) y, event_id from events), e as (select least(a,b)*1000+y u, greatest(a,b)*1000+y v, abs(b-a)*5.9e0 len from s where a<>b),
+@query("CLU05_street_graph", """with s as (select cast(user_id%40 as bigint) a, cast(least(39, user_id%40+1+event_id%2) as bigint) b, cast(user_id//40 as bigint) y, event_id from events), e as (select y*40+least(a,b) u, y*40+greatest(a,b) v, abs(b-a)*5.9e0 len from s where a<>b),
  m as (select u, v, min(len) len from e group by 1,2), d as (select n, count(*) deg from (select u n from m union all select v from m) t group by 1)
  select (select count(*) from d) nodes, (select count(*) from m) edges, (select count(*) from d where deg%2=1) odd_nodes, (select max(deg) from d) max_degree, (select round(sum(len),3) from m) length_m""")
 def clu05(spark, sf):
@@ -336,7 +336,7 @@ def clu05(spark, sf):
     return graph_summary(nodes, edges).withColumn("length_m", r(F.col("length_m"), 3))
 
 
-@query("CLU05_components", """with recursive s as (select cast(user_id%40 as bigint) a, cast(least(39, user_id%40+1+event_id%2) as bigint) b, cast(user_id//40 as bigint) y from events), e as (select distinct a*1000+y u, b*1000+y v from s where a<>b),
+@query("CLU05_components", """with recursive s as (select cast(user_id%40 as bigint) a, cast(least(39, user_id%40+1+event_id%2) as bigint) b, cast(user_id//40 as bigint) y from events), e as (select distinct y*40+a u, y*40+b v from s where a<>b),
  bth as (select u,v from e union select v,u from e), r(n, root) as (select distinct u, u from bth union select b.v, r.root from r join bth b on b.u=r.n and b.v>r.root), l as (select n, min(root) c from r group by 1)
  select count(*) nodes, count(distinct c) components from l""")
 def clu05b(spark, sf):
