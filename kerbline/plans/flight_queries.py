@@ -30,7 +30,7 @@ TRACK = "(select flight, idx, x, y, t from v_track)"
 
 
 @query("WIN18_track_motion", """select flight, idx, round(sqrt(pow(x-px,2)+pow(y-py,2)),4) step_m, case when pow(x-px,2)+pow(y-py,2)>0 then round(atan2(y-py,x-px),6) end course,
- round(sqrt(pow(x-px,2)+pow(y-py,2))/((epoch_us(t)-epoch_us(pt))/1e6),6) speed from (select *, lag(x) over w px, lag(y) over w py, lag(t) over w pt from v_track window w as (partition by flight order by idx)) q""")
+ round(sqrt(pow(x-px,2)+pow(y-py,2))/nullif((epoch_us(t)-epoch_us(pt))/1e6,0.0e0),6) speed from (select *, lag(x) over w px, lag(y) over w py, lag(t) over w pt from v_track window w as (partition by flight order by idx)) q""")
 def win18(spark, sf):
     m = flights.track_motion(view(spark, sf, "v_track").select("flight", "idx", "x", "y", "t"), ["flight"], t="t", chunk=1000)
     return m.select("flight", "idx", r(F.col("step_m")).alias("step_m"), r(F.col("course"), 6).alias("course"), r(F.col("speed"), 6).alias("speed"))
