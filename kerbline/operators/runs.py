@@ -54,17 +54,20 @@ def build_runs(bays: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame
     start of the extended line.  Capacity is the number of bays, never length over pitch; the line is
     half a pitch longer at both ends; attributes are the most common ones.
     """
-    m = bays.join(chains, "bay_id")
+    m = cut(bays.join(chains, "bay_id"))
+    # positions count from the first bay: far from the origin the spread of a straight row would drown in rounding and turn its axis round
+    first = m.groupBy("label").agg(F.min_by(F.struct("x", "y"), "ord").alias("o"))
+    m = m.join(first, "label").withColumns({"rx": F.col("x") - F.col("o.x"), "ry": F.col("y") - F.col("o.y")}).drop("o")
     axis = m.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"),
-        F.covar_pop("x", "y").alias("cxy"), F.min_by(F.struct("ux", "uy"), "ord").alias("own"))
+        F.count(F.lit(1)).alias("n"), F.avg("rx").alias("mx"), F.avg("ry").alias("my"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"),
+        F.covar_pop("rx", "ry").alias("cxy"), F.min_by(F.struct("ux", "uy"), "ord").alias("own"))
     # the direction of greatest spread is half the angle of the doubled covariance; it points to positive y
     turn = F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")) / 2
     up = F.when(F.sin(turn) < 0, -1.0).otherwise(1.0)
     axis = axis.withColumns({"ax": F.when(F.col("n") == 1, F.col("own.ux")).otherwise(up * F.cos(turn)), "ay": F.when(F.col("n") == 1, F.col("own.uy")).otherwise(up * F.sin(turn))})
     m, axis = cut(m), cut(axis)
     placed = m.join(axis.select("label", "mx", "my", "ax", "ay"), "label").withColumn(
-        "proj", (F.col("x") - F.col("mx")) * F.col("ax") + (F.col("y") - F.col("my")) * F.col("ay"))
+        "proj", (F.col("rx") - F.col("mx")) * F.col("ax") + (F.col("ry") - F.col("my")) * F.col("ay"))
     chunk = chunk_of("proj", 200.0)
     seq = ordered_scan(placed, ["label"], ["proj", "ord"], chunk, lag={"px": "x", "py": "y"}, row_number="seq")
     gap = F.when(F.col("px").isNotNull(), geo.distance("px", "py", "x", "y"))
@@ -79,7 +82,7 @@ def build_runs(bays: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame
     out = runs.select(
         ids.alias("run_id"), "label", "street", "zona", "park_txt", F.col("n").alias("capacity"), F.round("pitch", 3).alias("pitch_m"),
         F.round(F.col("len") + F.coalesce("pitch", F.lit(0.0)), 2).alias("length_m"),
-        F.round(F.pmod(F.degrees(F.atan2("ay", "ax")), F.lit(180.0)), 1).alias("bearing_deg"), (F.col("n") >= MIN_RUN).alias("verified"))
+        F.pmod(F.round(F.degrees(F.atan2("ay", "ax")), 1), F.lit(180.0)).alias("bearing_deg"), (F.col("n") >= MIN_RUN).alias("verified"))
     members = along.join(pitch, "label", "left").select(
         ids.alias("run_id"), "seq", "bay_id", "x", "y", (F.col("run_s") + F.coalesce("pitch", F.lit(0.0)) / 2).alias("s"))
     return out, members
