@@ -60,13 +60,18 @@ def mercator_px(lon, lat, zoom) -> tuple[Column, Column]:
 
 # ---- rings ---------------------------------------------------------------
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` for a value that is computed once; an expression repeated in a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _next(ring: Column, i: Column) -> Column:
     return F.get(ring, (i + 1) % F.size(ring))
 
 
 def edges(ring: Column) -> Column:
     """Consecutive vertex pairs of a ring, wrapping at the end."""
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), _next(ring, i).alias("b")))
+    return let(ring, lambda rg: F.transform(rg, lambda p, i: F.struct(p.alias("a"), _next(rg, i).alias("b"))))
 
 
 def fold(items: Column, term, zero: float = 0.0) -> Column:
@@ -81,14 +86,20 @@ def signed_area(ring: Column) -> Column:
 
 def open_ring(ring: Column) -> Column:
     """Drop the closing vertex when it repeats the first one."""
-    n = F.size(ring)
-    closed = (n > 1) & (F.get(ring, F.lit(0)) == F.get(ring, n - 1))
-    return F.when(closed, F.slice(ring, F.lit(1), n - 1)).otherwise(ring)
+    def opened(rg):
+        n = F.size(rg)
+        closed = (n > 1) & (F.get(rg, F.lit(0)) == F.get(rg, n - 1))
+        return F.when(closed, F.slice(rg, F.lit(1), n - 1)).otherwise(rg)
+
+    return let(ring, opened)
 
 
 def vertex_centroid(ring: Column) -> Column:
-    n = F.size(ring).cast("double")
-    return point(fold(ring, lambda p: p.x) / n, fold(ring, lambda p: p.y) / n)
+    def mean(rg):
+        n = F.size(rg).cast("double")
+        return point(fold(rg, lambda p: p.x) / n, fold(rg, lambda p: p.y) / n)
+
+    return let(ring, mean)
 
 
 def area_centroid(ring: Column, eps: float = 1e-9) -> Column:
@@ -105,8 +116,7 @@ def area_centroid(ring: Column, eps: float = 1e-9) -> Column:
 
 def circumradius(ring: Column) -> Column:
     """Largest vertex distance from the vertex centroid."""
-    c = vertex_centroid(ring)
-    return F.array_max(F.transform(ring, lambda p: distance(c.x, c.y, p.x, p.y)))
+    return let(ring, lambda rg: let(vertex_centroid(rg), lambda c: F.array_max(F.transform(rg, lambda p: distance(c.x, c.y, p.x, p.y)))))
 
 
 def _longest_edge(ring: Column) -> Column:
@@ -115,31 +125,33 @@ def _longest_edge(ring: Column) -> Column:
         lambda e: F.struct(distance(e.a.x, e.a.y, e.b.x, e.b.y).alias("len"), (e.b.x - e.a.x).alias("dx"), (e.b.y - e.a.y).alias("dy")),
     )
     # the first of equally long edges wins
-    return F.aggregate(
-        F.slice(ranked, 2, F.greatest(F.size(ranked) - 1, F.lit(0))),
-        F.get(ranked, F.lit(0)),
+    return let(ranked, lambda v: F.aggregate(
+        F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
+        F.get(v, F.lit(0)),
         lambda best, e: F.when(e.len > best.len + 1e-9, e).otherwise(best),
-    )
+    ))
 
 
 def long_axis_deg(ring: Column) -> Column:
     """Bearing of the longest edge, folded to [0, 180)."""
-    e = _longest_edge(ring)
-    return F.pmod(F.degrees(F.atan2(e.dy, e.dx)), F.lit(180.0))
+    return let(_longest_edge(ring), lambda e: F.pmod(F.degrees(F.atan2(e.dy, e.dx)), F.lit(180.0)))
 
 
 def long_short(ring: Column) -> Column:
     """Longest and shortest edge length of an open ring."""
     lens = F.transform(edges(ring), lambda e: distance(e.a.x, e.a.y, e.b.x, e.b.y))
-    return F.struct(F.array_max(lens).alias("long_m"), F.array_min(lens).alias("short_m"))
+    return let(lens, lambda v: F.struct(F.array_max(v).alias("long_m"), F.array_min(v).alias("short_m")))
 
 
 def bbox(ring: Column) -> Column:
-    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
-    return F.struct(
-        F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
-        F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"),
-    )
+    def box(rg):
+        xs, ys = F.transform(rg, lambda p: p.x), F.transform(rg, lambda p: p.y)
+        return F.struct(
+            F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
+            F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"),
+        )
+
+    return let(ring, box)
 
 
 def point_in_ring(x, y, ring: Column) -> Column:
@@ -179,8 +191,11 @@ def segment_param(x, y, ax, ay, bx, by) -> Column:
 
 def ring_distance(x, y, ring: Column) -> Column:
     """Zero inside the ring, else the distance to its boundary."""
-    near = F.array_min(F.transform(edges(ring), lambda e: segment_distance(x, y, e.a.x, e.a.y, e.b.x, e.b.y)))
-    return F.when(point_in_ring(x, y, ring), F.lit(0.0)).otherwise(near)
+    def far(rg):
+        near = F.array_min(F.transform(edges(rg), lambda e: segment_distance(x, y, e.a.x, e.a.y, e.b.x, e.b.y)))
+        return F.when(point_in_ring(x, y, rg), F.lit(0.0)).otherwise(near)
+
+    return let(ring, far)
 
 
 def rectangle(cx, cy, ux, uy, length, width) -> Column:
@@ -190,8 +205,10 @@ def rectangle(cx, cy, ux, uy, length, width) -> Column:
     # half the long side (lx, ly) and half the short side (wx, wy); no factor of -1, because a
     # literal -0.0 it could fold to breaks Spark's common-subexpression matching
     lx, ly, wx, wy = a * ux, a * uy, b * uy, b * ux
-    return F.array(point(cx + lx - wx, cy + ly + wy), point(cx + lx + wx, cy + ly - wy),
-                   point(cx - lx + wx, cy - ly - wy), point(cx - lx - wx, cy - ly + wy))
+    parts = F.struct(*[e.cast("double").alias(n) for n, e in (("x", cx), ("y", cy), ("lx", lx), ("ly", ly), ("wx", wx), ("wy", wy))])
+    return let(parts, lambda v: F.array(
+        point(v.x + v.lx - v.wx, v.y + v.ly + v.wy), point(v.x + v.lx + v.wx, v.y + v.ly - v.wy),
+        point(v.x - v.lx + v.wx, v.y - v.ly - v.wy), point(v.x - v.lx - v.wx, v.y - v.ly + v.wy)))
 
 
 # Bay sizes in metres (along the long side, across it) and the angled turn.
@@ -220,10 +237,11 @@ def rotate_ring(ring: Column, cx, cy, deg, dx, dy) -> Column:
     """Rigid move: turn about ``(cx, cy)`` then shift."""
     c, s = F.cos(F.radians(col(deg))), F.sin(F.radians(col(deg)))
     cx, cy, dx, dy = col(cx), col(cy), col(dx), col(dy)
-    return F.transform(
+    move = F.struct(*[e.cast("double").alias(n) for n, e in (("cx", cx), ("cy", cy), ("dx", dx), ("dy", dy), ("c", c), ("s", s))])
+    return let(move, lambda m: F.transform(
         ring,
-        lambda p: point(cx + (p.x - cx) * c - (p.y - cy) * s + dx, cy + (p.x - cx) * s + (p.y - cy) * c + dy),
-    )
+        lambda p: point(m.cx + (p.x - m.cx) * m.c - (p.y - m.cy) * m.s + m.dx, m.cy + (p.x - m.cx) * m.s + (p.y - m.cy) * m.c + m.dy),
+    ))
 
 
 def rings_overlap(a: Column, b: Column) -> Column:
@@ -231,9 +249,8 @@ def rings_overlap(a: Column, b: Column) -> Column:
     def separated(src, dst):
         def gap(e):
             nx, ny = e.a.y - e.b.y, e.b.x - e.a.x
-            pa = F.transform(src, lambda p: p.x * nx + p.y * ny)
-            pb = F.transform(dst, lambda p: p.x * nx + p.y * ny)
-            return (F.array_max(pa) <= F.array_min(pb)) | (F.array_max(pb) <= F.array_min(pa))
+            along = F.struct(*[F.transform(rg, lambda p: p.x * nx + p.y * ny).alias(n) for n, rg in (("a", src), ("b", dst))])
+            return let(along, lambda v: (F.array_max(v.a) <= F.array_min(v.b)) | (F.array_max(v.b) <= F.array_min(v.a)))
 
         return F.exists(edges(src), gap)
 

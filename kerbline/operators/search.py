@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..functions.geo import let
+from ..session import cut, spread
 
 # Items that a last cell may hold, and the levels at which cells are as small as doubles tell apart.
 LEAF_ITEMS, DEEPEST = 16, 20
@@ -83,7 +84,7 @@ def closest(points: DataFrame, items: DataFrame, dims: int, exact: Callable[[],
     tree, leaves, depth, span = built
     at = [f"c{d}" for d in range(dims)]
     mine = [c for c in points.columns]
-    state = points.select(*mine, *[F.lit(0).cast("bigint").alias(c) for c in at])
+    state = spread(points, "point").select(*mine, *[F.lit(0).cast("bigint").alias(c) for c in at])
     per = Window.partitionBy("point")
     slack = 1e-12
     for level in range(depth + 1):
@@ -97,10 +98,10 @@ def closest(points: DataFrame, items: DataFrame, dims: int, exact: Callable[[],
             _norm([_gap(p[d], x[f"lo{d}"], x[f"hi{d}"]) for d in range(dims)]).alias("low"),
             F.least(_norm([_far(p[d], x[f"lo{d}"], x[f"hi{d}"]) for d in range(dims)]),
                     _norm([_far(p[d], x["one"][f"lo{d}"], x["one"][f"hi{d}"]) for d in range(dims)]) if k == 1 else F.lit(math.inf)).alias("high"))).alias("kids"))
-        if k == 1:  # what a sibling rules out need not leave the row
-            opened = opened.withColumn("least", F.array_min(F.transform("kids", lambda x: x["high"])))
-            opened = opened.withColumn("kids", F.filter("kids", lambda x: x["low"] <= F.col("least") + (F.col("least") + span) * slack)).drop("least")
-        flat = opened.select(*mine, F.explode("kids").alias("kid")).select(*mine, "kid.*")
+        kept = F.col("kids")
+        if k == 1:  # what a sibling rules out need not leave the row; distances and the least of them are computed once a row
+            kept = let(kept, lambda v: let(F.array_min(F.transform(v, lambda x: x["high"])), lambda least: F.filter(v, lambda x: x["low"] <= least + (least + span) * slack)))
+        flat = opened.select(*mine, F.explode(kept).alias("kid")).select(*mine, "kid.*")
         if k == 1:
             bound = F.min("high").over(per)
         else:

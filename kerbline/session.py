@@ -60,6 +60,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over as many tasks as a shuffle has; a table of few bytes is one or two splits, whatever work a row is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors once per application, for functions that run in Python workers there."""
     context = spark.sparkContext
