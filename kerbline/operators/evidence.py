@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..functions.geo import Camera
-from ..session import cut
+from ..session import cut, spread
 from .scan import latest_per_key
 from .spatial import box_pairs, near_pairs, nearest
 
@@ -17,7 +17,7 @@ ASSIGN_M = 3.0
 def with_axes(poses: DataFrame) -> DataFrame:
     """Camera axes once per pose, before any join multiplies the rows."""
     have = [a if a in poses.columns else None for a in ATTITUDE]
-    return poses.filter("x is not null and y is not null and yaw is not null").withColumn("axes", geo.camera_axes("yaw", *have))
+    return spread(poses.filter("x is not null and y is not null and yaw is not null"), "frame_idx").withColumn("axes", geo.camera_axes("yaw", *have))
 
 
 def _pose(prefix: str = "p") -> dict[str, Column]:
@@ -131,13 +131,14 @@ def car_boxes(cars: DataFrame, poses: DataFrame, cam: Camera, min_visible: float
     # a roof leans outwards, so look one car height farther than the ground footprint
     reach = cam.reach(F.col("p.alt")) * 1.3 + 6.0
     p = p.withColumns({"__a": F.col("p.x") - reach, "__b": F.col("p.y") - reach, "__c": F.col("p.x") + reach, "__d": F.col("p.y") + reach})
-    pair = near_pairs(cars, p, "x", "y", ("__a", "__b", "__c", "__d"), 0.0, size)
-    ring = geo.rectangle("x", "y", F.cos("ang"), F.sin("ang"), "len", "wid")
-    pair = pair.withColumn("ring", ring)
+    outlined = cars.select("car_id", "x", "y", "height", geo.rectangle("x", "y", F.cos("ang"), F.sin("ang"), "len", "wid").alias("ring"))
+    near = (F.col("x") >= F.col("__a")) & (F.col("x") <= F.col("__c")) & (F.col("y") >= F.col("__b")) & (F.col("y") <= F.col("__d"))
+    pair = near_pairs(spread(outlined, "car_id"), p, "x", "y", ("__a", "__b", "__c", "__d"), 0.0, size).filter(near)
     ground = F.transform("ring", lambda v: geo.project(v.x, v.y, _pose(), F.col("p.axes"), cam))
     lower = {**_pose(), "alt": F.col("p.alt") - F.col("height")}
     roof = F.transform("ring", lambda v: geo.project(v.x, v.y, lower, F.col("p.axes"), cam))
-    bb = pair.withColumn("b", geo.bbox(F.concat(ground, roof)))
+    # both outlines are projected once per pair; what a generator makes is not copied into later uses
+    bb = pair.select("frame_idx", "car_id", F.explode(F.array(geo.extent(F.concat(ground, roof)))).alias("b"))
     full = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
     zero = F.lit(0.0)
     out = bb.withColumns({"x0": F.greatest(zero, "b.x0"), "y0": F.greatest(zero, "b.y0"), "x1": F.least(F.lit(float(cam.w)), "b.x1"),
