@@ -160,6 +160,8 @@ def observed_spans(samples: DataFrame, poses: DataFrame, cam: Camera, size: floa
     reach = cam.reach(F.col("p.alt"))
     p = p.withColumns({"__a": F.col("p.x") - reach, "__b": F.col("p.y") - reach, "__c": F.col("p.x") + reach, "__d": F.col("p.y") + reach})
     pair = near_pairs(samples, p, "x", "y", ("__a", "__b", "__c", "__d"), 0.0, size)
+    near = (F.col("x") >= F.col("__a")) & (F.col("x") <= F.col("__c")) & (F.col("y") >= F.col("__b")) & (F.col("y") <= F.col("__d"))
+    pair = pair.filter(near)
     px = geo.project("x", "y", _pose(), F.col("p.axes"), cam)
     inside = (F.col("px.x") >= 0) & (F.col("px.x") < cam.w) & (F.col("px.y") >= 0) & (F.col("px.y") < cam.h)
     hits = pair.withColumn("px", px).filter(inside)
@@ -173,12 +175,13 @@ def observed_spans(samples: DataFrame, poses: DataFrame, cam: Camera, size: floa
 
 def run_samples(runs: DataFrame, step: float = 0.5, line: str = "line") -> DataFrame:
     """Evenly spaced kerb points including both ends."""
-    from .geometry import point_at, polyline_length
+    from .geometry import pieces, point_on, polyline_length
 
-    base = runs.select("run_id", line, polyline_length(F.col(line)).alias("length_m"))
+    # the pieces of a line are laid out once, before its samples are made
+    base = spread(runs, "run_id").select("run_id", line, polyline_length(F.col(line)).alias("length_m"), F.explode(F.array(pieces(F.col(line)))).alias("pieces"))
     n = F.greatest(F.lit(2), F.floor(F.col("length_m") / step).cast("int") + 1)
     ks = base.withColumn("last", n - 1).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    ks = ks.withColumn("s", F.col("length_m") * F.col("k") / F.col("last")).withColumn("q", point_at(F.col(line), F.col("s")))
+    ks = ks.withColumn("s", F.col("length_m") * F.col("k") / F.col("last")).withColumn("q", point_on(F.col("pieces"), F.get(line, F.lit(0)), F.col("s")))
     return ks.select("run_id", "k", "s", F.col("q.x").alias("x"), F.col("q.y").alias("y"), "last", "length_m")
 
 

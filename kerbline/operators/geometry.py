@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo, text
+from ..session import spread
 
 
 def variants(df: DataFrame, rules: dict[str, Column], keep: list[str], name: str = "occupied") -> DataFrame:
@@ -33,18 +34,16 @@ def apply_corrections(bays: DataFrame, corrections: DataFrame) -> DataFrame:
 # ---- lines -------------------------------------------------------------------
 
 def polyline_length(line: Column) -> Column:
-    n = F.size(line)
-    return geo.fold(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.when(
-        i < n, geo.distance(F.get(line, i - 1).x, F.get(line, i - 1).y, F.get(line, i).x, F.get(line, i).y)).otherwise(0.0))
+    return geo.let(line, lambda v: geo.fold(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), lambda i: F.when(
+        i < F.size(v), geo.distance(F.get(v, i - 1).x, F.get(v, i - 1).y, F.get(v, i).x, F.get(v, i).y)).otherwise(0.0)))
 
 
-def _pieces(line: Column) -> Column:
+def pieces(line: Column) -> Column:
     """Segments with their start arclength; zero-length ones dropped."""
-    n = F.size(line)
-    segs = F.filter(F.transform(
-        F.slice(line, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        lambda p, i: F.struct(p.x.alias("ax"), p.y.alias("ay"), F.get(line, i + 1).x.alias("bx"), F.get(line, i + 1).y.alias("by"),
-                              geo.distance(p.x, p.y, F.get(line, i + 1).x, F.get(line, i + 1).y).alias("len"))), lambda e: e.len > 0)
+    segs = geo.let(line, lambda v: F.filter(F.transform(
+        F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))),
+        lambda p, i: F.struct(p.x.alias("ax"), p.y.alias("ay"), F.get(v, i + 1).x.alias("bx"), F.get(v, i + 1).y.alias("by"),
+                              geo.distance(p.x, p.y, F.get(v, i + 1).x, F.get(v, i + 1).y).alias("len"))), lambda e: e.len > 0))
     none = F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double,len:double,s0:double>>")
     start = F.struct(F.lit(0.0).alias("s"), none.alias("done"))
     return F.aggregate(segs, start, lambda a, e: F.struct(
@@ -58,15 +57,21 @@ def _on(e: Column, s: Column) -> Column:
 
 def point_at(line: Column, s: Column) -> Column:
     """Point ``s`` metres along a line, clamped to its ends."""
-    segs = _pieces(line)
-    reach = F.get(F.filter(segs, lambda e: e.s0 + e.len >= s), F.lit(0))
-    last = F.get(segs, F.size(segs) - 1)
-    return F.when(F.size(segs) == 0, F.get(line, F.lit(0))).when(reach.isNotNull(), _on(reach, s)).otherwise(_on(last, s))
+    return point_on(pieces(line), F.get(line, F.lit(0)), s)
+
+
+def point_on(segs: Column, start: Column, s: Column) -> Column:
+    """The same on the ``pieces`` of a line; ``start`` stands in for a line without any."""
+    def reached(v):
+        hit = F.coalesce(F.get(F.filter(v, lambda e: e.s0 + e.len >= s), F.lit(0)), F.get(v, F.size(v) - 1))
+        return F.when(F.size(v) == 0, start).otherwise(geo.let(hit, lambda e: _on(e, s)))
+
+    return geo.let(segs, reached)
 
 
 def slice_by_arclength(line: Column, s0: Column, s1: Column) -> Column:
     """Vertices of the stretch between two arclengths, both ends cut."""
-    hit = F.filter(_pieces(line), lambda e: (e.s0 + e.len > s0) & (e.s0 < s1))
+    hit = F.filter(pieces(line), lambda e: (e.s0 + e.len > s0) & (e.s0 < s1))
     first = F.get(hit, F.lit(0))
     tail = F.transform(hit, lambda e: _on(e, s1))
     return F.when(F.size(hit) > 0, F.concat(F.array(_on(first, s0)), tail)).otherwise(F.array_remove(F.array(geo.point(F.lit(0.0), F.lit(0.0))), geo.point(F.lit(0.0), F.lit(0.0))))
@@ -129,7 +134,7 @@ def _per_ring(df: DataFrame, ring: str, fn) -> DataFrame:
             pdf = pdf.assign(**{ring: [[{"x": float(x), "y": float(y)} for x, y in o] for o in out]})
             yield pdf[[len(o) >= 3 for o in out]] if len(pdf) else pdf
 
-    return df.mapInPandas(run, df.schema)
+    return spread(df).mapInPandas(run, df.schema)
 
 
 def clip_polygons(df: DataFrame, ring: str, lim: float) -> DataFrame:
