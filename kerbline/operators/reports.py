@@ -112,15 +112,18 @@ def rect_vs_ring_error(bays: DataFrame, tolerance_m: float = 0.05) -> DataFrame:
 
 def pair_by_position(a: DataFrame, b: DataFrame, max_m: float = 6.0) -> DataFrame:
     """Outlines of one pass paired with the nearest of another, offset split along and across the bay."""
-    near = nearest(a, b, "bay_id", "other_id", "x", "y", "x", "y", limit=max_m)
-    th = F.radians(geo.long_axis_deg(F.col("ring")))
-    j = near.join(a.select("bay_id", "x", "y", "ring"), "bay_id").join(b.select("other_id", F.col("x").alias("ox"), F.col("y").alias("oy")), "other_id")
+    # most find theirs at half that distance; those are settled by one look around
+    near = nearest(a, b, "bay_id", "other_id", "x", "y", "x", "y", limit=max_m, size=max_m / 2)
+    turned = a.select("bay_id", "x", "y", F.explode(F.array(F.radians(geo.long_axis_deg(F.col("ring"))))).alias("th"))
+    th = F.col("th")
+    j = near.join(turned, "bay_id").join(b.select("other_id", F.col("x").alias("ox"), F.col("y").alias("oy")), "other_id")
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     return j.select("bay_id", "other_id", "dist", F.abs(dx * F.cos(th) + dy * F.sin(th)).alias("along_m"), F.abs(dy * F.cos(th) - dx * F.sin(th)).alias("across_m"),
                     (F.col("bay_id") == F.col("other_id")).alias("same_id"))
 
 
 def pair_agreement(pairs: DataFrame) -> DataFrame:
+    pairs = cut(pairs.select("along_m", "across_m", "same_id"))
     n = pairs.agg(F.count(F.lit(1)).alias("pairs"), count_if(F.col("same_id")).alias("same_id"))
     from .serve import side_by_side
 

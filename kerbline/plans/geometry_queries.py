@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geo, numeric, text
 from ..functions.geo import Camera
 from ..operators import geometry, serve, spatial, stats
+from ..session import spread
 from .adapters import table, view
 from .registry import query
 
@@ -21,7 +22,7 @@ RAW_KIND = "case park_txt when 'perpendicular' then 'Напречно' when 'ang
 
 
 def ringed(spark, sf) -> DataFrame:
-    b = view(spark, sf, "v_bay").withColumn("park_txt", F.expr(RAW_KIND)).withColumn("deg", F.col("ord") % 7 * F.lit(3.0) + 1.0)
+    b = spread(view(spark, sf, "v_bay"), "bay_id").withColumn("park_txt", F.expr(RAW_KIND)).withColumn("deg", F.col("ord") % 7 * F.lit(3.0) + 1.0)
     return b.withColumn("ring", geo.bay_rectangle("x", "y", "deg", "park_txt"))
 
 
