@@ -104,15 +104,16 @@ def run_lines(members: DataFrame, runs: DataFrame) -> DataFrame:
 
 def shift_lateral(line, delta):
     """Line moved ``delta`` metres to the left, every vertex along the normal of the piece it starts."""
-    n = F.size(line)
+    def moved(pts):
+        def one(p, i):
+            j = F.least(i, F.size(pts) - 2)
+            a, b = F.get(pts, j), F.get(pts, j + 1)
+            d = F.coalesce(F.nullif(geo.distance(a.x, a.y, b.x, b.y), F.lit(0.0)), F.lit(1.0))
+            return geo.point(p.x - (b.y - a.y) / d * delta, p.y + (b.x - a.x) / d * delta)
 
-    def moved(p, i):
-        j = F.least(i, n - 2)
-        a, b = F.get(line, j), F.get(line, j + 1)
-        d = F.coalesce(F.nullif(geo.distance(a.x, a.y, b.x, b.y), F.lit(0.0)), F.lit(1.0))
-        return geo.point(p.x - (b.y - a.y) / d * delta, p.y + (b.x - a.x) / d * delta)
+        return F.transform(pts, one)
 
-    return F.transform(line, moved)
+    return geo.let(line, moved)
 
 
 def lateral_fit(points: DataFrame, segments: DataFrame, runs: DataFrame, max_m: float = 6.0, min_n: int = 5) -> DataFrame:
@@ -150,7 +151,8 @@ def recompute_run_states(dets: DataFrame, spans: DataFrame, runs: DataFrame, seg
 
     mine, seen = cut(current(dets)), current(spans)
     cars = cluster_points(mine.withColumnRenamed("frame_idx", "view"), cluster_m, "view", min_views, by=["run_id"])
-    cars = cars.withColumn("car", F.concat_ws("|", "run_id", "label"))
+    # a mean depends on the order of its sum: kept to 1e-9 m, so that a gap of exactly so many places counts alike in every run
+    cars = cars.withColumns({"car": F.concat_ws("|", "run_id", "label"), "x": F.round("x", 9), "y": F.round("y", 9)})
     on = locate(cars.select("car", "run_id", "x", "y"), segments, "car", "x", "y", "run_id", max_m, same_key=True)
     live = runs.join(newest.select("run_id"), "run_id", "left_semi")
     per, gaps = intervals.run_summary(live, on.select("run_id", "s"), seen)

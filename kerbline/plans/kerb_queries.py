@@ -261,7 +261,8 @@ MISSION = "concat('m', cast(cast(floor((day(observed_at)-1)/5) as bigint) as var
  mine as (select d.event_id id, d.run_id, d.x, d.y, d.frame_idx from {OWN_RUN} d join nm on nm.run_id=d.run_id and {MISSION.replace('observed_at', 'd.observed_at')}=nm.mid where d.observed_at > {CUT}),
  seen as (select sp.* from sp join nm using (run_id, mid)), live as (select r.* from v_run r join nm using (run_id)),
  {clustered('mine', 'run_id', 'frame_idx', 'cl')},
- cars as (select run_id, least(greatest(x,0.0e0),length_m) s from cl join v_run r using (run_id) where sqrt(pow(x-least(greatest(x,0.0e0),length_m),2)+pow(cl.y-r.y,2)) <= 6.0e0),
+ cn as (select run_id, round(x,9) x, round(y,9) y from cl),
+ cars as (select run_id, least(greatest(x,0.0e0),length_m) s from cn join v_run r using (run_id) where sqrt(pow(x-least(greatest(x,0.0e0),length_m),2)+pow(cn.y-r.y,2)) <= 6.0e0),
  {summary_sql('cars', 'live', 'seen')} select summ.*, nm.mid mission_id from summ join nm using (run_id)""")
 def win09(spark, sf):
     dets = view(spark, sf, "v_detection")
