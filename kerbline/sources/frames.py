@@ -128,6 +128,8 @@ def read_detections(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
 
 def detections_for(poses: DataFrame, dets: DataFrame) -> DataFrame:
     """Detections of each pose, filed under file name, stem, video frame or frame number; the first key present wins."""
+    # what a reader in Python hands out is dealt by key and measured: a plan knows only the few bytes of the list it was made from
+    dets = dets.repartition("key")
     keys = F.array(F.col("file"), _stem("file"), F.col("video_frame").cast("string"), F.col("frame_idx").cast("string"))
     cand = poses.select("frame_idx", F.posexplode(keys).alias("rank", "key")).filter("key is not null")
     hit = cand.join(dets.select("key").distinct(), "key").groupBy("frame_idx").agg(F.min_by("key", "rank").alias("key"))
