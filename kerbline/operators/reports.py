@@ -170,12 +170,27 @@ def frame_overview(frames: DataFrame, dets: DataFrame) -> DataFrame:
 def offset_grid_search(dets: DataFrame, bays: DataFrame, reach: float = 8.0, step: float = 0.5, radius: float = 3.0, size: float = 12.0) -> DataFrame:
     """Every shift of the detections on a grid: median distance to the nearest bay and hits within ``radius``."""
     n = int(round(reach / step))
-    ticks = F.array(*[F.lit(i * step) for i in range(-n, n + 1)])
-    moved = (dets.select("event_id", "x", "y").withColumn("dx", F.explode(ticks)).withColumn("dy", F.explode(ticks))
-             .withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy"), "pid": F.struct("event_id", "dx", "dy")}))
-    near = nearest(moved, bays, "pid", "bay_id", "x", "y", "x", "y", size=size).select("pid.dx", "pid.dy", "dist")
-    hits = near.groupBy("dx", "dy").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("dist") <= radius).alias("hits"))
-    return hits.join(percentiles(near, ["dx", "dy"], "dist", {"median_m": (0.5, "upper_median")}), ["dx", "dy"])
+    steps = [i * step for i in range(-n, n + 1)]
+    ticks = F.array(*[F.lit(v) for v in steps])
+    # equal detections are one row with their number, whatever their shifts meet
+    spots = dets.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    sites = bays.select(F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    # a spot meets the bays around it once; a pair tells the distances under all shifts, a row per step east with those north beside each other
+    pairs = near_pairs(spots, sites, "x", "y", ("bx", "by", "bx", "by"), size + n * step, size + n * step).withColumn("dx", F.explode(ticks))
+    least = [F.min(geo.distance(F.col("x") + F.col("dx"), F.col("y") + F.lit(dy), "bx", "by")) for dy in steps]
+    around = pairs.groupBy("x", "y", "dx").agg(F.array(*least).alias("d"))
+    looked = cut(spots.withColumn("dx", F.explode(ticks)).join(around, ["x", "y", "dx"], "left"))
+    every = looked.select("x", "y", "n", "dx", "d", F.posexplode(ticks).alias("i", "dy")).select("x", "y", "n", "dx", "dy", F.get("d", F.col("i")).alias("dist"))
+    # a distance up to ``size`` is the least of all; shifts that have none search on
+    near = every.filter(F.col("dist") <= size).select("dx", "dy", "dist", "n")
+    far = every.filter(F.col("dist").isNull() | (F.col("dist") > size)).select(F.struct("x", "y", "dx", "dy", "n").alias("pid"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    far = cut(far)
+    if not far.isEmpty():
+        near = near.unionByName(nearest(far, bays, "pid", "bay_id", "x", "y", "x", "y").select("pid.dx", "pid.dy", "dist", "pid.n"))
+    # what is counted and ranked is the number of detections at a distance
+    near = cut(near.groupBy("dx", "dy", "dist").agg(F.sum("n").alias("n")))
+    hits = near.groupBy("dx", "dy").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("dist") <= radius, F.col("n"))), F.lit(0)).alias("hits"))
+    return hits.join(percentiles(near, ["dx", "dy"], "dist", {"median_m": (0.5, "upper_median")}, weight="n"), ["dx", "dy"])
 
 
 def raster_shift_search(paint: DataFrame, marks: DataFrame, cell_m: float, reach: float) -> DataFrame:

@@ -10,19 +10,19 @@ from .scan import ordered_scan
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, picks: dict[str, tuple[float, str]],
-                extra: list[Column] | None = None) -> DataFrame:
+                extra: list[Column] | None = None, weight: str | None = None) -> DataFrame:
     """Exact percentiles per group without gathering a group in one task.
 
     Values are counted (combined map-side), dealt by range into as many chunks as their number asks for, ranked chunk by
     chunk and picked by rank.  Methods: ``continuous`` interpolates; ``nearest`` takes rank ``round((n-1)q)`` half
     to even; ``truncate`` takes ``floor(n q)``; ``upper_median`` takes ``floor(n/2)``.
-    A global call (``by`` empty) gives one row even without data.
+    A global call (``by`` empty) gives one row even without data.  ``weight`` names a column that tells how many equal values a row is.
     """
     keys = by or ["__all"]
     src = df.filter(F.col(value).isNotNull())
     if not by:
         src = src.withColumn("__all", F.lit(0))
-    hist = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("cnt"))
+    hist = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("cnt"))
     hist = cut(hist.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
     ranked = ordered_scan(hist, keys, ["__v"], F.col("__range"), running_sum={"upto": F.col("cnt")}, total={"size": F.col("cnt")})
 
