@@ -22,9 +22,9 @@ def r(c, n=4):
 
 
 def one_box(spark, sf, name) -> DataFrame:
-    """Boxes with the least corner per id, as ids repeat in the source."""
+    """Boxes with the least corner per id, as ids repeat in the source; written once, as every score reads them several times."""
     v = view(spark, sf, name)
-    return v.groupBy("frame", "box_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")], *([F.min("conf").alias("conf")] if "conf" in v.columns else []))
+    return cut(v.groupBy("frame", "box_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")], *([F.min("conf").alias("conf")] if "conf" in v.columns else [])))
 
 
 GT = "gt as (select frame, box_id, min(x0) x0, min(y0) y0, min(x1) x1, min(y1) y1 from v_gt_box group by 1,2)"
