@@ -78,6 +78,8 @@ def bay_audit(bays: DataFrame, roads: DataFrame, buildings: DataFrame, far_m: fl
 
 def audit_report(audit: DataFrame, by: str = "street", min_group: int = 10) -> DataFrame:
     """Per group: bays, road distance median and p90, skew median, flagged share; worst first, small groups out."""
+    # three parts read the audit, whose search for roads is the work
+    audit = cut(audit.select(by, "road_m", "skew_deg", "in_building", "flagged"))
     n = audit.groupBy(by).agg(F.count(F.lit(1)).alias("bays"), count_if(F.col("in_building")).alias("in_building"), count_if(F.col("flagged")).alias("flagged"))
     n = n.filter(F.col("bays") >= min_group)
     d = percentiles(audit, [by], "road_m", {"road_p50": (0.5, "nearest"), "road_p90": (0.9, "nearest")})
