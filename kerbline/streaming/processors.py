@@ -6,7 +6,8 @@ Times are microseconds (milliseconds where timers are concerned) since 1970.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -124,6 +125,7 @@ class Silence(StatefulProcessor):
     ``limit_ms`` have passed without one.
 
     Signs wait until the watermark has passed them, so that late ones still count; a timer makes silence itself a row.
+    Of the signs in a stretch as long as the limit only the first and the last wait: those between end no silence and begin none.
     """
 
     def __init__(self, limit_ms: int):
@@ -134,12 +136,22 @@ class Silence(StatefulProcessor):
         self.pending = handle.getListState("pending", "at bigint")
         self.last = handle.getValueState("last", "at bigint, silent boolean")
 
+    def held(self) -> Iterator[int]:
+        return (x[0] for x in (self.pending.get() if self.pending.exists() else ()))
+
+    def ends(self, signs: Iterable[int]) -> set[int]:
+        """The first and last sign of every stretch, taken one by one."""
+        stretches: dict[int, tuple[int, int]] = {}
+        for at in signs:
+            lo, hi = stretches.get(at // self.limit_ms, (at, at))
+            stretches[at // self.limit_ms] = (min(lo, at), max(hi, at))
+        return {at for both in stretches.values() for at in both}
+
     def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
-        waiting = {r["at_ms"] for r in rows} | {x[0] for x in (self.pending.get() if self.pending.exists() else ())}
-        yield from self.advance(key, waiting, timers)
+        yield from self.advance(key, self.ends(chain((r["at_ms"] for r in rows), self.held())), timers)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.advance(key, {x[0] for x in (self.pending.get() if self.pending.exists() else ())}, timerValues)
+        yield from self.advance(key, set(self.held()), timerValues)
 
     def advance(self, key, waiting: set[int], timers) -> Iterator[Row]:
         now = timers.getCurrentWatermarkInMs()

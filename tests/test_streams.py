@@ -131,3 +131,45 @@ def test_marks_that_expire_by_the_clock(spark):
     parts = [[frame(1, "d", 1, "10:00:00")], [frame(2, "d", 1, "10:00:30"), frame(3, "d", 2, "10:00:40")]]
     rows, _ = play(spark, parts, FRAMES, lambda s: jobs.frame_ledger(s, 3600.0), processors.NUMBERED, idle_batches=False)
     assert sorted(r.frame_id for r in rows.collect()) == ["g1", "g3"]
+
+
+class Held:
+    """State of one key in memory."""
+
+    def __init__(self):
+        self.rows, self.most = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows
+
+    def put(self, rows):
+        self.rows, self.most = rows, max(self.most, len(rows))
+
+    update = put
+
+    def clear(self):
+        self.rows = []
+
+
+def test_waiting_signs_are_two_a_stretch():
+    """However many signs wait, two per stretch are held; tones are those of all signs."""
+    rnd = random.Random(5)
+    limit = 600
+    signs = [rnd.randrange(k, k + 2000) for k in (0, 2100, 9000, 9601, 30000, 33600) for _ in range(3000)]
+    pending, last, watermark = Held(), Held(), [-1]
+    tones = processors.Silence(limit)
+    tones.init(type("Handle", (), {"getListState": lambda *a: pending, "getValueState": lambda *a: last, "listTimers": lambda self: [], "deleteTimer": lambda *a: None, "registerTimer": lambda *a: None})())
+    timers = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: watermark[0]})()
+    got = []
+    for i in range(4):
+        got += tones.handleInputRows(("d",), iter([{"at_ms": at} for at in signs[i::4]]), timers)
+    assert not got and pending.most <= 2 * (36000 // limit)
+    for watermark[0] in (1234, 9100, 9700, 31000, 100000):
+        got += tones.handleExpiredTimer(("d",), timers, None)
+    all_signs = sorted(set(signs))
+    want = [("good", b) for a, b in zip([None, *all_signs], all_signs) if a is None or b - a >= limit]
+    want += [("warn", a + limit) for a, b in zip(all_signs, [*all_signs[1:], None]) if b is None or b - a >= limit]
+    assert sorted((r.tone, r.at_ms) for r in got) == sorted(want) and len(want) > 4
