@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..functions.numeric import count_if, ratio, wrap_angle
@@ -72,15 +72,23 @@ def course_median(good: DataFrame, bins: int = 3600) -> DataFrame:
     return circ_median(hist.select("flight", (F.col("bin") * width).alias("a"), "n").withColumn("a", wrap_angle("a")).select("flight", "a", "n"), ["flight"], "a", "n")
 
 
-def smooth_heading(poses: DataFrame, good: DataFrame, smooth: int = SMOOTH) -> DataFrame:
+def smooth_heading(poses: DataFrame, good: DataFrame, smooth: int = SMOOTH, chunk: int = 4096) -> DataFrame:
     """``(flight, idx, yaw, yaw_src)``: circular median of the good headings within ``smooth`` poses,
-    else the flight's middle course."""
-    g = good.select("flight", F.col("idx").alias("__g"), F.col("yaw").alias("__yaw"))
-    near = g.withColumn("idx", F.explode(F.sequence(F.col("__g") - smooth, F.col("__g") + smooth)))
-    mine = poses.select("flight", "idx").join(near, ["flight", "idx"])
-    flow = circ_median(mine, ["flight", "idx"], "__yaw").withColumnRenamed("yaw", "__flow")
+    else the flight's middle course.
+
+    Poses and headings lie in chunks of the flight, headings near an end in both; a window brings a pose the few around it.
+    """
+    g = good.filter("flight is not null").select("flight", "idx", F.col("yaw").alias("__a"))
+    over = F.sequence(chunk_of(F.col("idx") - smooth, chunk), chunk_of(F.col("idx") + smooth, chunk))
+    rows = g.select("flight", F.explode(over).alias("__chunk"), "idx", "__a", F.lit(False).alias("__pose"))
+    mine = poses.select("flight", chunk_of("idx", chunk).alias("__chunk"), "idx", F.lit(None).cast(g.schema["__a"].dataType).alias("__a"), F.lit(True).alias("__pose"))
+    around = Window.partitionBy("flight", "__chunk").orderBy("idx").rangeBetween(-smooth, smooth)
+    seen = mine.unionByName(rows).withColumn("__v", F.collect_list("__a").over(around)).filter("__pose")
+    v = F.array_sort("__v")
+    cost = geo.let(v, lambda w: F.transform(w, lambda c: F.struct(
+        F.round(geo.fold(w, lambda e: F.abs(wrap_angle(e - c))), 6).alias("cost"), c.alias("a"))))
     whole = course_median(good).withColumnRenamed("yaw", "__course")
-    out = poses.select("flight", "idx").join(flow, ["flight", "idx"], "left").join(whole, "flight", "left")
+    out = seen.select("flight", "idx", F.array_min(cost).a.alias("__flow")).join(whole, "flight", "left")
     src = F.when(F.col("__flow").isNotNull(), "flow").when(F.col("__course").isNotNull(), "course")
     return out.select("flight", "idx", F.round(F.coalesce("__flow", "__course"), 6).alias("yaw"), src.alias("yaw_src"))
 
