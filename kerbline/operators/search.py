@@ -78,40 +78,53 @@ def closest(points: DataFrame, items: DataFrame, dims: int, exact: Callable[[],
     for f in sound:
         items = items.filter(f)
     payload = [c for c in items.columns if c not in keys]
+    # every depth that is tried, the tree and the end read the items
+    items = cut(items)
     built = _tree(items, dims, keys)
     if built is None:
         return points.filter("false").select("point", F.lit(0.0).alias("dist"), *[F.lit(None).cast(items.schema[c].dataType).alias(c) for c in payload])
     tree, leaves, depth, span = built
     at = [f"c{d}" for d in range(dims)]
     mine = [c for c in points.columns]
-    state = spread(points, "point").select(*mine, *[F.lit(0).cast("bigint").alias(c) for c in at])
+    # what is known to hold k items goes along, so that a cell opened later sends on nothing beyond it
+    state = spread(points, "point").select(*mine, *[F.lit(0).cast("bigint").alias(c) for c in at], F.lit(math.inf if limit is None else float(limit)).alias("bound"))
     per = Window.partitionBy("point")
-    slack = 1e-12
+
+    def within(low: Column, bound: Column) -> Column:
+        return low <= bound + (bound + span) * 1e-12
+
+    def least_for_k(kids: Column) -> Column:
+        """The distance inside which the nearest cells of a row surely hold k items."""
+        if k == 1:
+            return F.array_min(F.transform(kids, lambda x: x["high"]))
+        start = F.struct(F.lit(k).cast("bigint").alias("left"), F.lit(math.inf).alias("high"))
+        by_high = F.array_sort(F.transform(kids, lambda x: F.struct(x["high"].alias("high"), x["n"].alias("n"))))
+        return F.aggregate(by_high, start, lambda a, x: F.when(a["left"] <= 0, a).otherwise(F.struct(
+            (a["left"] - x["n"]).alias("left"), F.when(a["left"] <= x["n"], x["high"]).otherwise(F.lit(math.inf)).alias("high"))), lambda a: a["high"])
+
     for level in range(depth + 1):
         kids = tree.filter(F.col("level") == level).drop("level")
         kids = kids.select(*[F.col(c).alias(f"k_{c}") for c in keys], *[F.col(f"up_{c}").alias(f"k_{c}") for c in at], "kids")
         if level < SHALLOW and not keys and dims == 2:
             kids = F.broadcast(kids)
         p = [F.col(f"p{d}") for d in range(dims)]
-        opened = state.join(kids, [F.col(c) == F.col(f"k_{c}") for c in [*keys, *at]]).select(*mine, F.transform("kids", lambda x: F.struct(
+        opened = state.join(kids, [F.col(c) == F.col(f"k_{c}") for c in [*keys, *at]]).select(*mine, "bound", F.transform("kids", lambda x: F.struct(
             *[x[c].alias(c) for c in at], x["n"].alias("n"),
             _norm([_gap(p[d], x[f"lo{d}"], x[f"hi{d}"]) for d in range(dims)]).alias("low"),
             F.least(_norm([_far(p[d], x[f"lo{d}"], x[f"hi{d}"]) for d in range(dims)]),
                     _norm([_far(p[d], x["one"][f"lo{d}"], x["one"][f"hi{d}"]) for d in range(dims)]) if k == 1 else F.lit(math.inf)).alias("high"))).alias("kids"))
-        kept = F.col("kids")
-        if k == 1:  # what a sibling rules out need not leave the row; distances and the least of them are computed once a row
-            kept = let(kept, lambda v: let(F.array_min(F.transform(v, lambda x: x["high"])), lambda least: F.filter(v, lambda x: x["low"] <= least + (least + span) * slack)))
-        flat = opened.select(*mine, F.explode(kept).alias("kid")).select(*mine, "kid.*")
+        # what a sibling rules out need not leave the row; distances and the least of them are computed once a row
+        kept = let(F.col("kids"), lambda v: let(F.least(F.col("bound"), least_for_k(v)), lambda least: F.filter(v, lambda x: within(x["low"], least))))
+        flat = opened.select(*mine, "bound", F.explode(kept).alias("kid")).select(*mine, "bound", "kid.*")
         if k == 1:
             bound = F.min("high").over(per)
         else:
             upto = per.orderBy("high").rangeBetween(Window.unboundedPreceding, Window.currentRow)
             flat = flat.withColumn("enough", F.when(F.sum("n").over(upto) >= k, F.col("high")))
-            bound = F.coalesce(F.min("enough").over(per), F.lit(math.inf))
-        if limit is not None:
-            bound = F.least(bound, F.lit(float(limit)))
-        state = flat.withColumn("bound", bound).filter(F.col("low") <= F.col("bound") + (F.col("bound") + span) * slack).select(*mine, *at)
+            bound = F.min("enough").over(per)
+        state = flat.withColumn("bound", F.least("bound", bound)).filter(within(F.col("low"), F.col("bound"))).select(*mine, *at, "bound")
     found = state.join(leaves.select(*[F.col(c).alias(f"k_{c}") for c in [*keys, *at]], *payload), [F.col(c) == F.col(f"k_{c}") for c in [*keys, *at]])
+    found = found.filter(within(_norm([_gap(F.col(f"p{d}"), F.col(f"lo{d}"), F.col(f"hi{d}")) for d in range(dims)]), F.col("bound")))
     found = found.withColumn("dist", exact())
     if limit is not None:
         found = found.filter(F.col("dist") <= limit)

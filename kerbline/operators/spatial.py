@@ -257,14 +257,15 @@ def closest_road(bays: DataFrame, roads: DataFrame) -> DataFrame:
 def street_bearing(bays: DataFrame, roads: DataFrame, snap_m: float = MAX_SNAP_M) -> DataFrame:
     """``(bay_id, bearing_deg)`` in [0, 180): road direction, else the axis of the six nearest bays of the
     street, else the direction to the nearest bay of all."""
-    on_road = nearest_road(bays, roads, snap_m).select("bay_id", "bearing_deg")
+    # what several parts read is written, as each would search again
+    on_road = cut(nearest_road(bays, roads, snap_m).select("bay_id", "bearing_deg"))
     rest = cut(bays.select("bay_id", "street", "x", "y").join(on_road, "bay_id", "left_anti"))
     out = on_road
     if not rest.isEmpty():
         near = k_nearest(rest, bays.select(F.col("bay_id").alias("other"), "street", "x", "y"), "bay_id", "other", 6, "street")
         fit = near.groupBy("bay_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("ix").alias("vx"), F.var_pop("iy").alias("vy"), F.covar_pop("ix", "iy").alias("cxy"))
-        axis = fit.filter("n >= 3").select("bay_id", F.degrees(F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")) / 2).alias("bearing_deg"))
-        lone = rest.join(axis, "bay_id", "left_anti")
+        axis = cut(fit.filter("n >= 3").select("bay_id", F.degrees(F.atan2(2 * F.col("cxy"), F.col("vx") - F.col("vy")) / 2).alias("bearing_deg")))
+        lone = cut(rest.join(axis, "bay_id", "left_anti"))
         twin = k_nearest(lone.withColumn("__k", F.lit(1)), bays.select(F.col("bay_id").alias("other"), "x", "y").withColumn("__k", F.lit(1)), "bay_id", "other", 2, "__k")
         toward = (twin.filter(F.col("bay_id") != F.col("other")).join(lone.select("bay_id", "x", "y"), "bay_id").groupBy("bay_id")
                   .agg(F.min(F.struct("dist", (F.col("ix") - F.col("x")).alias("dx"), (F.col("iy") - F.col("y")).alias("dy"))).alias("b")))
