@@ -19,6 +19,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
     Edges are rewired to stars: first every greater neighbour of a node to the least of its neighbourhood, then
     every lesser one.  The least node of a neighbourhood is a map-side combined aggregate, so a hub is one small row; its neighbours
     meet that row in parts, so no task's rows follow the size of a component.  Edges inside a finished star stay as they are.
+    A row per node is merged in, never sent through the driver: every round would send one again.
     Rounds run until nothing changes; each is cut in shared storage.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -33,7 +34,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", a
         least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
         upward = cut(_meet_least(star.select(F.col("v").alias("u"), F.col("u").alias("far")), least).distinct())
         low = upward.groupBy("u").agg(F.min("v").alias("m"))
-        down = upward.join(low, "u")
+        down = upward.join(low.hint("merge"), "u")
         star = cut(down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
     labels = star.groupBy("u").agg(F.min("v").alias("label"))
     return (nodes.select(F.col(node).alias("id")).join(labels, F.col("id") == F.col("u"), "left")
@@ -46,7 +47,7 @@ def _meet_least(outer: DataFrame, least: DataFrame) -> DataFrame:
     The list of hubs is shorter than the edges by a factor of ``HUB``; Spark broadcasts it where it measures it as small.
     """
     hubs = least.filter(F.col("n") >= HUB).select(F.col("u").alias("hub"), "m")
-    plain = outer.join(hubs.select("hub"), F.col("u") == F.col("hub"), "left_anti").join(least.filter(F.col("n") < HUB).select("u", "m"), "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
+    plain = outer.join(hubs.select("hub"), F.col("u") == F.col("hub"), "left_anti").join(least.filter(F.col("n") < HUB).select("u", "m").hint("merge"), "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
     parts = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
     dealt = outer.withColumn("deal", F.pmod(F.xxhash64("far"), F.lit(HUB_PARTS)).cast("int"))
     around = dealt.join(parts, (F.col("u") == F.col("hub")) & (F.col("deal") == F.col("part"))).select(F.col("far").alias("u"), F.col("m").alias("v"))

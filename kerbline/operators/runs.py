@@ -43,8 +43,8 @@ def chain_bays(bays: DataFrame, along_m: float = ALONG_M, lateral_m: float = LAT
     link = aligned & (fits("a") | (fits("b") & (F.col("b_lo") < F.col("a_hi"))))
     edges = near.filter(link).select(F.col("a_lo").alias("a"), F.col("b_lo").alias("b"))
     labels = connected_components(piles.select(F.col("lo").alias("id")), edges)
-    first = bays.join(piles.select(*pos, "lo"), pos)
-    return first.join(labels, first["lo"] == labels["id"]).select("bay_id", "label")
+    first = bays.join(piles.select(*pos, "lo").hint("merge"), pos)
+    return first.join(labels.hint("merge"), first["lo"] == labels["id"]).select("bay_id", "label")
 
 
 def build_runs(bays: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
