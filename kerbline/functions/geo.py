@@ -368,6 +368,24 @@ def fully_in_shot(e: Column, cam: Camera) -> Column:
     return (e.x0 >= 0) & (e.x1 < cam.w) & (e.y0 >= 0) & (e.y1 < cam.h)
 
 
+def may_be_in_shot(box: Column, pose: dict, axes: Column, cam: Camera) -> Column:
+    """False only if an outline with this ground box cannot be ``fully_in_shot``: a test of one point before all are projected.
+
+    The middle of a box lies in the hull of whatever touches its four sides, so in front of the camera its pixel lies between theirs.
+    """
+    wx, wy, wz = (box.x0 + box.x1) / 2 - pose["x"], (box.y0 + box.y1) / 2 - pose["y"], -pose["alt"]
+
+    def dot(v):
+        return wx * v.x + wy * v.y + wz * v.z
+
+    depth = dot(axes.d)
+    # no corner is farther from the middle; one below the least depth can end up anywhere
+    unsure = depth - distance(box.x0, box.y0, box.x1, box.y1) / 2 <= 2 * MIN_DEPTH_M
+    # a pixel of room for rounding
+    seen = [F.abs(dot(v)) * cam.f <= depth * (side / 2.0 + 1.0) for v, side in ((axes.r, cam.w), (axes.b, cam.h))]
+    return unsure | (seen[0] & seen[1])
+
+
 def overlaps_frame(e: Column, cam: Camera) -> Column:
     return (e.x1 >= 0) & (e.x0 < cam.w) & (e.y1 >= 0) & (e.y0 < cam.h)
 

@@ -33,8 +33,11 @@ def frame_bay_views(poses: DataFrame, bays: DataFrame, cam: Camera, mode: str =
     p = with_axes(poses).select("frame_idx", F.struct("x", "y", "alt", "yaw", "axes").alias("p"))
     reach = cam.reach(F.col("p.alt"))
     p = p.withColumns({"__a": F.col("p.x") - reach, "__b": F.col("p.y") - reach, "__c": F.col("p.x") + reach, "__d": F.col("p.y") + reach})
-    b = bays.select("bay_id", "x", "y", geo.open_ring(F.col("ring")).alias("open"), geo.bbox(F.col("ring")).alias("bb"))
+    # outlines are laid out once for the pairing and its sizes
+    b = cut(bays.select("bay_id", "x", "y", geo.open_ring(F.col("ring")).alias("open"), geo.bbox(F.col("ring")).alias("bb")))
     pair = box_pairs(p, b, ("__a", "__b", "__c", "__d"), ("bb.x0", "bb.y0", "bb.x1", "bb.y1"), size)
+    if mode == "full":
+        pair = pair.filter(geo.may_be_in_shot(F.col("bb"), _pose(), F.col("p.axes"), cam))
     # the outline is projected once per candidate and reduced to its extent; what a generator makes is not copied into later uses
     ring_px = F.transform("open", lambda v: geo.project(v.x, v.y, _pose(), F.col("p.axes"), cam))
     shot = pair.select("frame_idx", "bay_id", "x", "y", F.explode(F.array(geo.extent(ring_px))).alias("px")).withColumn("fully", geo.fully_in_shot(F.col("px"), cam))

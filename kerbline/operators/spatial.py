@@ -23,12 +23,21 @@ def at_cell(df: DataFrame, x, y, size: float, cx: str = "cx", cy: str = "cy") ->
     return df.withColumns({cx: cell(x, size), cy: cell(y, size)})
 
 
+def each(df: DataFrame, name: str, values: Column) -> DataFrame:
+    """A row per value in ``name``; rows without any are left out.
+
+    They are left out afterwards: of a plain ``explode`` Spark makes a filter on the array, which it takes, with all that the array is
+    made of, below earlier shuffles to the scan, where a table of few bytes is one task.
+    """
+    return df.withColumn(name, F.explode_outer(values)).filter(F.col(name).isNotNull())
+
+
 def over_cells(df: DataFrame, x0, y0, x1, y1, size: float, margin: float = 0.0, cx: str = "cx", cy: str = "cy") -> DataFrame:
     """One row per cell that a box, grown by ``margin``, touches."""
     m = F.lit(float(margin))
     xs = F.sequence(cell(col(x0) - m, size), cell(col(x1) + m, size))
     ys = F.sequence(cell(col(y0) - m, size), cell(col(y1) + m, size))
-    return df.withColumn(cx, F.explode(xs)).withColumn(cy, F.explode(ys))
+    return each(each(df, cx, xs), cy, ys)
 
 
 # Parts in which the points of one large cell are dealt, and the level of nesting from which a cell is large.
@@ -54,7 +63,7 @@ def nested_cell(value, size: float, level) -> Column:
 def over_nested_cells(df: DataFrame, x0, y0, x1, y1, size: float, level) -> DataFrame:
     """One row per cell of ``level`` that a box touches, in ``__cx, __cy``."""
     xs, ys = (F.sequence(nested_cell(a, size, level), nested_cell(b, size, level)) for a, b in ((x0, x1), (y0, y1)))
-    return df.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
+    return each(each(df, "__cx", xs), "__cy", ys)
 
 
 def points_in_boxes(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple, size: float) -> DataFrame:
@@ -129,7 +138,7 @@ def polyline_segments(lines: DataFrame, key: str, line: str) -> DataFrame:
                                                      geo.distance(e.ax, e.ay, e.bx, e.by).alias("seg_len")))
     # one running sum; it is zipped to the pieces, as an expression inside a lambda would be computed for every piece
     before = F.aggregate(with_len, F.array(F.lit(0.0)), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) + e.seg_len)))
-    placed = lines.select(key, F.posexplode(F.arrays_zip(with_len.alias("e"), before.alias("s0"))).alias("seg", "z")).filter("z.e is not null")
+    placed = lines.select(key, F.posexplode_outer(F.arrays_zip(with_len.alias("e"), before.alias("s0"))).alias("seg", "z")).filter("z.e is not null")
     return placed.select(key, "seg", "z.e.ax", "z.e.ay", "z.e.bx", "z.e.by", "z.s0", "z.e.seg_len").filter("seg_len > 0")
 
 
@@ -170,10 +179,12 @@ def assign_runs(points: DataFrame, segments: DataFrame, point_id: str, px: str,
 
 def points_in_areas(points: DataFrame, areas: DataFrame, px: str, py: str, ring: str = "ring", size: float = 50.0) -> DataFrame:
     """Inner join of points with the polygons that hold them."""
-    boxed = areas.withColumn("__b", geo.bbox(F.col(ring))).withColumns(
-        {f"__{k}": F.col(f"__b.{k}") for k in ("x0", "y0", "x1", "y1")}).drop("__b")
-    cand = points_in_boxes(points, boxed, px, py, ("__x0", "__y0", "__x1", "__y1"), size)
-    return cand.filter(geo.point_in_ring(px, py, F.col(ring))).drop("__x0", "__y0", "__x1", "__y1")
+    # boxes are laid out once, and behind a generator: what is asked of them is not asked of the outlines in the scan
+    boxed = areas.withColumn("__b", F.explode(F.array(geo.bbox(F.col(ring)))))
+    corners = tuple(f"__{k}" for k in ("x0", "y0", "x1", "y1"))
+    boxed = cut(boxed.withColumns({c: F.col(f"__b.{c[2:]}") for c in corners}).drop("__b"))
+    cand = points_in_boxes(points, boxed, px, py, corners, size)
+    return cand.filter(geo.point_in_ring(px, py, F.col(ring))).drop(*corners)
 
 
 def _once(df: DataFrame, side: str, *corners: Column) -> DataFrame:

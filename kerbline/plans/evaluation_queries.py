@@ -113,7 +113,10 @@ def jon09(spark, sf):
  round(max(case when i=floor(n*0.1e0) then nearest_m end),4) nearest_p10, round(max(case when i=floor(n*0.5e0) then nearest_m end),4) nearest_p50, round(max(case when i=floor(n*0.9e0) then nearest_m end),4) nearest_p90,
  round(count(*)/cast((select count(*) from d) as double),4) unmatched_share from kk""")
 def agg36(spark, sf):
-    out = reports.unassigned_report(dets(spark, sf), rejected(spark, sf), ringed(spark, sf))
+    # detections are read by four parts, outlines by two
+    found, outlines = cut(dets(spark, sf)), cut(ringed(spark, sf))
+    views = cut(evidence.frame_bay_views(view(spark, sf, "v_pose"), outlines, CAM))
+    out = reports.unassigned_report(found, evidence.unassigned(found, views, view(spark, sf, "v_bay")), outlines)
     return out.withColumns({c: r(F.col(c)) for c in ("nearest_p10", "nearest_p50", "nearest_p90")})
 
 
