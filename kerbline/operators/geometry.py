@@ -77,6 +77,12 @@ def slice_by_arclength(line: Column, s0: Column, s1: Column) -> Column:
     return F.when(F.size(hit) > 0, F.concat(F.array(_on(first, s0)), tail)).otherwise(F.array_remove(F.array(geo.point(F.lit(0.0), F.lit(0.0))), geo.point(F.lit(0.0), F.lit(0.0))))
 
 
+def vertices(lines: DataFrame, line: str, number: str, vertex: str) -> DataFrame:
+    """A row per vertex in ``vertex``, numbered from 0; a plain ``posexplode`` would be tested for vertices in the scan, see ``spatial.each``."""
+    kept = [c for c in lines.columns if c != line]
+    return lines.select(*kept, F.posexplode_outer(line).alias(number, vertex)).filter(F.col(number).isNotNull())
+
+
 def densify(lines: DataFrame, key: str, line: str, step: float) -> DataFrame:
     """A point every ``step`` metres: ``(key, k, s, x, y)``."""
     from .spatial import polyline_segments

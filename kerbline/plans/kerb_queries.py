@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
-from ..operators import components, intervals, runs, spatial
+from ..operators import components, geometry, intervals, runs, spatial
 from .adapters import AS_OF, WINDOW_S, view
 from .registry import query
 from .state_queries import CUT
@@ -285,8 +285,8 @@ def win13(spark, sf):
 
 @query("WIN14_shift_lateral", """select run_id, i vertex, round(case i when 0 then 0.0e0 when 1 then 100.3e0 else 230.1e0 end,4) x, round(y+1.25e0,4) y from v_run, (select cast(unnest([0,1,2]) as int) i) t""")
 def win14(spark, sf):
-    moved = lines(spark, sf).withColumn("line", runs.shift_lateral(F.col("line"), F.lit(1.25)))
-    return moved.select("run_id", F.posexplode("line").alias("vertex", "p")).select("run_id", "vertex", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
+    moved = lines(spark, sf).select("run_id", runs.shift_lateral(F.col("line"), F.lit(1.25)).alias("line"))
+    return geometry.vertices(moved, "line", "vertex", "p").select("run_id", "vertex", r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 
 @query("WIN15_nearest_gap", f"""with {WIN7}, t as (select g.run_id, concat(g.run_id,'@',cast(round(g.s0,2) as varchar)) target, (round(g.s0,2)+round(g.s1,2))/2 s, r.y from g join v_run r on r.run_id=g.run_id where spaces>0),
