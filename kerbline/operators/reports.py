@@ -107,8 +107,9 @@ def geometry_diff(old: DataFrame, new: DataFrame, turned_deg: float = 5.0, moved
 
 def rect_vs_ring_error(bays: DataFrame, tolerance_m: float = 0.05) -> DataFrame:
     """Per area: worst corner distance between the stored outline and the rectangle rebuilt from its bearing."""
-    ring, made = geo.open_ring(F.col("ring")), geo.bay_rectangle("x", "y", "deg", "park_txt")
-    err = F.array_max(F.transform(made, lambda p: F.array_min(F.transform(ring, lambda q: geo.distance(p.x, p.y, q.x, q.y)))))
+    made = geo.bay_rectangle("x", "y", "deg", "park_txt")
+    # the outline is opened once, not for every corner
+    err = geo.let(geo.open_ring(F.col("ring")), lambda rg: F.array_max(F.transform(made, lambda p: F.array_min(F.transform(rg, lambda q: geo.distance(p.x, p.y, q.x, q.y))))))
     return bays.withColumn("__e", err).groupBy("zona").agg(F.count(F.lit(1)).alias("bays"), F.max("__e").alias("worst_m"), count_if(F.col("__e") > tolerance_m).alias("off"))
 
 
