@@ -277,7 +277,7 @@ def prj22(spark, sf):
 
 @query("PRJ23_clip_polygons", """with t as (select bay_id, greatest(x-2.0e0,-100.0e0) a, least(x+2.0e0,100.0e0) b, greatest(y-1.0e0,-100.0e0) c, least(y+1.0e0,100.0e0) d from v_bay) select bay_id, round((b-a)*(d-c),4) area from t where b>a and d>c""")
 def prj23(spark, sf):
-    b = view(spark, sf, "v_bay").withColumn("ring", geo.rectangle("x", "y", F.lit(1.0), F.lit(0.0), F.lit(4.0), F.lit(2.0)))
+    b = spread(view(spark, sf, "v_bay"), "bay_id").withColumn("ring", geo.rectangle("x", "y", F.lit(1.0), F.lit(0.0), F.lit(4.0), F.lit(2.0)))
     out = geometry.clip_polygons(b.select("bay_id", "ring"), "ring", 100.0)
     return out.select("bay_id", r(F.abs(geo.signed_area(F.col("ring")))).alias("area"))
 
