@@ -78,10 +78,12 @@ def points_in_boxes(points: DataFrame, items: DataFrame, px: str, py: str, box:
     at = at.withColumns({"__cx": nested_cell(px, size, F.col("__level")), "__cy": nested_cell(py, size, F.col("__level")),
                          "__part": F.when(F.col("__level") >= LARGE, F.pmod(F.xxhash64(px, py), F.lit(DEALT)).cast("int")).otherwise(F.lit(0))})
     parts = F.explode(F.sequence(F.lit(0), F.when(F.col("__level") >= LARGE, F.lit(DEALT - 1)).otherwise(F.lit(0))))
-    lain = over_nested_cells(leveled, *box, size, F.col("__level")).withColumn("__part", parts).repartition("__level", "__cx", "__cy", "__part")
+    # dealt on both sides, as in near_pairs
+    keys = ["__level", "__cx", "__cy", "__part"]
+    lain = over_nested_cells(leveled, *box, size, F.col("__level")).withColumn("__part", parts).repartition(*keys)
     x0, y0, x1, y1 = (col(c) for c in box)
     inside = col(px).between(x0, x1) & col(py).between(y0, y1)
-    return at.join(lain, ["__level", "__cx", "__cy", "__part"]).filter(inside).drop("__level", "__cx", "__cy", "__part")
+    return at.repartition(*keys).join(lain, keys).filter(inside).drop(*keys)
 
 
 def near_pairs(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple, reach: float, size: float | None = None,
@@ -92,9 +94,10 @@ def near_pairs(points: DataFrame, items: DataFrame, px: str, py: str, box: tuple
     (a frame, a run).  The caller applies the exact predicate.
     """
     size = size or reach
-    left = at_cell(points, px, py, size, "__cx", "__cy")
-    # dealt by the join's own keys, so that Spark measures the rows of all cells and not the few bytes they were made from
+    # both sides are dealt by the join's own keys: Spark measures the rows of all cells and not the few bytes they were made from, and
+    # a broadcast that it planned by those bytes is given up, which it does only where no further shuffle is needed for that
     keys = [*(on or []), "__cx", "__cy"]
+    left = at_cell(points, px, py, size, "__cx", "__cy").repartition(*keys)
     right = over_cells(items, *box, size, reach, "__cx", "__cy").repartition(*keys)
     out = left.join(right, keys, how)
     return out.drop("__cx", "__cy")
