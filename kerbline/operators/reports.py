@@ -119,7 +119,8 @@ def pair_by_position(a: DataFrame, b: DataFrame, max_m: float = 6.0) -> DataFram
     near = nearest(a, b, "bay_id", "other_id", "x", "y", "x", "y", limit=max_m, size=max_m / 2)
     turned = a.select("bay_id", "x", "y", F.explode(F.array(F.radians(geo.long_axis_deg(F.col("ring"))))).alias("th"))
     th = F.col("th")
-    j = near.join(turned, "bay_id").join(b.select("other_id", F.col("x").alias("ox"), F.col("y").alias("oy")), "other_id")
+    # a row per outline on every side: they are merged, however few bytes the files are
+    j = near.join(turned.hint("merge"), "bay_id").join(b.select("other_id", F.col("x").alias("ox"), F.col("y").alias("oy")).hint("merge"), "other_id")
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     return j.select("bay_id", "other_id", "dist", F.abs(dx * F.cos(th) + dy * F.sin(th)).alias("along_m"), F.abs(dy * F.cos(th) - dx * F.sin(th)).alias("across_m"),
                     (F.col("bay_id") == F.col("other_id")).alias("same_id"))
