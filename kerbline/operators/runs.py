@@ -155,7 +155,10 @@ def recompute_run_states(dets: DataFrame, spans: DataFrame, runs: DataFrame, seg
     cars = cars.withColumns({"car": F.concat_ws("|", "run_id", "label"), "x": F.round("x", 9), "y": F.round("y", 9)})
     on = locate(cars.select("car", "run_id", "x", "y"), segments, "car", "x", "y", "run_id", max_m, same_key=True)
     live = runs.join(newest.select("run_id"), "run_id", "left_semi")
-    per, gaps = intervals.run_summary(live, on.select("run_id", "s"), seen)
+    # and so does the place along the kerb, which parts and sums of a line would leave a last bit beside the mean; the end is the length itself
+    at = F.when(F.col("s") > F.col("length_m") - 5e-10, F.col("length_m")).otherwise(F.round("s", 9))
+    on = on.join(runs.select("run_id", "length_m"), "run_id").select("run_id", at.alias("s"))
+    per, gaps = intervals.run_summary(live, on, seen)
     return per.join(newest.select("run_id", F.col("__m").alias("mission_id")), "run_id"), gaps
 
 

@@ -1,10 +1,12 @@
 """What went through the driver, and results on larger tables."""
 
+import math
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from kerbline.operators import reports, spatial
+from kerbline.functions import geo
+from kerbline.operators import reports, runs, spatial
 
 
 @contextmanager
@@ -52,3 +54,20 @@ def test_outlines_that_are_paired_are_merged(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= 2
     assert [tuple(r) for r in out.groupBy("dist", "same_id").count().collect()] == [(0.0, True, 400)]
+
+
+def test_a_gap_of_exactly_so_many_places_counts_by_the_mean(spark):
+    """The place along the kerb is the mean of the looks to the last bit, not that of a sum of parts of the line."""
+    length = 39 * 5.9
+    cases = [("r0", 1.4, 21.8), ("r1", 4.5, 42.6), ("r2", 5.2, 25.6), ("r3", 5.9, 14.5), ("r4", length + 1.0, length - 5.9)]
+    kerbs = spark.createDataFrame([(k, 40, 5.9, length, 12.1) for k, _, _ in cases], "run_id string, capacity bigint, pitch_m double, length_m double, y double")
+    lines = kerbs.withColumn("line", F.array(geo.point(F.lit(0.0), "y"), geo.point(F.lit(100.3), "y"), geo.point("length_m", "y")))
+    seen = F.expr("timestamp_ntz '2024-01-30 00:00:00'").alias("observed_at")
+    mark = [F.lit("m").alias("mission_id"), seen]
+    dets = spark.createDataFrame([(i, k, x, 12.1) for k, x, _ in cases for i in (1, 2)], "frame_idx int, run_id string, x double, y double").select("*", *mark)
+    spans = spark.createDataFrame([(i, k, 1, 0.0, b) for i, (k, _, b) in enumerate(cases)], "event_id bigint, run_id string, frame_idx int, s0 double, s1 double").select("*", *mark)
+    per, _ = runs.recompute_run_states(dets, spans, kerbs, spatial.polyline_segments(lines, "run_id", "line"), "2024-01-31 00:00:00", 950400)
+    got = {r.run_id: (r.cars + r.cars_off_observed, r.free) for r in per.collect()}
+    gap = {k: math.floor((b - (x + 2.2) - 0.5) / 5.9) for k, x, b in cases[:4]}
+    assert gap == {"r0": 2, "r1": 5, "r2": 3, "r3": 0}
+    assert {k: got[k] for k in gap} == {k: (1, n) for k, n in gap.items()} and got["r4"] == (1, 38)
