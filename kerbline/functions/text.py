@@ -98,26 +98,36 @@ BOX_MIN, BOX_MAX, BOX_SLACK = 0.01, 0.45, 0.01
 
 
 def label_problems(line) -> Column:
-    """Every problem of one label line as an array of short messages (empty when sound)."""
-    f = F.split(F.trim(col(line)), r"\s+")
-    five = F.size(f) == 5
-    cls = F.when(F.get(f, F.lit(0)).rlike(r"^[+-]?\d+$"), F.get(f, F.lit(0)).try_cast("int"))
-    cx, cy, w, h = [F.get(f, F.lit(i)).try_cast("double") for i in range(1, 5)]
-    numeric = cls.isNotNull() & cx.isNotNull() & cy.isNotNull() & w.isNotNull() & h.isNotNull()
-    ok = five & F.coalesce(numeric, F.lit(False))
-
-    def out_of_unit(v):
-        return ok & ~v.between(0.0, 1.0)
-
-    empty = ok & ((w <= 0) | (h <= 0))
-    odd = ok & (w > 0) & (h > 0) & ~(w.between(BOX_MIN, BOX_MAX) & h.between(BOX_MIN, BOX_MAX))
-    lo, hi = -BOX_SLACK, 1 + BOX_SLACK
-    outside = ok & ((cx - w / 2 < lo) | (cx + w / 2 > hi) | (cy - h / 2 < lo) | (cy + h / 2 > hi))
-    return F.array_compact(F.array(
-        F.when(~five, "field count"), F.when(five & ~F.coalesce(numeric, F.lit(False)), "not numeric"),
-        F.when(ok & (cls != 0), "class"), F.when(out_of_unit(cx), "cx range"), F.when(out_of_unit(cy), "cy range"),
-        F.when(out_of_unit(w), "w range"), F.when(out_of_unit(h), "h range"), F.when(empty, "zero area"),
-        F.when(odd, "size"), F.when(outside, "outside image")))
+    """Every problem of one label line as an array of short messages (empty when sound).
+
+    The line is cut once and each number read once: what a rule repeats is computed again for every rule.
+    """
+    from .geo import let
+
+    def read(f):
+        cls = F.when(F.get(f, F.lit(0)).rlike(r"^[+-]?\d+$"), F.get(f, F.lit(0)).try_cast("int"))
+        box = [F.get(f, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)]
+        return F.struct((F.size(f) == 5).alias("five"), cls.alias("cls"), *box)
+
+    def messages(v):
+        five, cls, cx, cy, w, h = v.five, v.cls, v.cx, v.cy, v.w, v.h
+        numeric = cls.isNotNull() & cx.isNotNull() & cy.isNotNull() & w.isNotNull() & h.isNotNull()
+        ok = five & numeric
+
+        def out_of_unit(x):
+            return ok & ~x.between(0.0, 1.0)
+
+        empty = ok & ((w <= 0) | (h <= 0))
+        odd = ok & (w > 0) & (h > 0) & ~(w.between(BOX_MIN, BOX_MAX) & h.between(BOX_MIN, BOX_MAX))
+        lo, hi = -BOX_SLACK, 1 + BOX_SLACK
+        outside = ok & ((cx - w / 2 < lo) | (cx + w / 2 > hi) | (cy - h / 2 < lo) | (cy + h / 2 > hi))
+        return F.array_compact(F.array(
+            F.when(~five, "field count"), F.when(five & ~numeric, "not numeric"),
+            F.when(ok & (cls != 0), "class"), F.when(out_of_unit(cx), "cx range"), F.when(out_of_unit(cy), "cy range"),
+            F.when(out_of_unit(w), "w range"), F.when(out_of_unit(h), "h range"), F.when(empty, "zero area"),
+            F.when(odd, "size"), F.when(outside, "outside image")))
+
+    return let(let(F.split(F.trim(col(line)), r"\s+"), read), messages)
 
 
 # ---- classification of picture statistics -----------------------------------

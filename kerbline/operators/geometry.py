@@ -17,8 +17,10 @@ def variants(df: DataFrame, rules: dict[str, Column], keep: list[str], name: str
 
 
 def validate_labels(lines: DataFrame, line: str) -> DataFrame:
-    """One row per problem of a label line."""
-    return lines.withColumn("problem", F.explode(text.label_problems(line)))
+    """One row per problem of a label line; lines are judged once, and not before that to see whether they have any."""
+    from .spatial import each
+
+    return each(lines, "problem", text.label_problems(line))
 
 
 def apply_corrections(bays: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
-from kerbline.operators import reports, runs, spatial
+from kerbline.operators import geometry, reports, runs, spatial
 
 
 @contextmanager
@@ -71,3 +71,16 @@ def test_a_gap_of_exactly_so_many_places_counts_by_the_mean(spark):
     gap = {k: math.floor((b - (x + 2.2) - 0.5) / 5.9) for k, x, b in cases[:4]}
     assert gap == {"r0": 2, "r1": 5, "r2": 3, "r3": 0}
     assert {k: got[k] for k in gap} == {k: (1, n) for k, n in gap.items()} and got["r4"] == (1, 38)
+
+
+def test_a_label_line_is_cut_once(spark):
+    want = {"0 0.5 0.5 0.1": ["field count"], "": ["field count"], "0 a 0.5 0.1 0.1": ["not numeric"], "0.0 0.5 0.5 0.1 0.1": ["not numeric"], "1 0.5 0.5 0.1 0.1": ["class"],
+            "0 0.5 0.5 0 0.1": ["zero area"], "0 0.5 0.5 0.6 0.1": ["size"], " 0  0.5\t0.5 0.1 0.1 ": [], "2 -0.1 1.5 0.9 2": ["class", "cx range", "cy range", "h range", "outside image", "size"],
+            "0 0.02 0.5 0.1 0.1": ["outside image"], "99999999999 0.5 0.5 0.1 0.1": ["not numeric"], None: []}
+    out = geometry.validate_labels(spark.createDataFrame([(k,) for k in want], "line string"), "line")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Filter (size" not in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.line, []).append(r.problem)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
