@@ -19,7 +19,7 @@ from ..session import cut, ship_code
 RANGE_BYTES = 16 << 20
 # Bytes looked at before a bracket for its name; a longer name (with its blanks) is no name that is asked for.
 NAME_BYTES = 1 << 16
-# Ranges are dealt to as many tasks as there are ranges, up to this; then a task takes several, one after another.
+# Ranges are dealt to a task for every ``RANGE_BYTES`` (or as many as a shuffle has), up to this; then a task takes several, one after another.
 MOST_TASKS = 20_000
 
 _TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{}"]', re.S)
@@ -181,8 +181,10 @@ def read_elements(spark: SparkSession, path: str, within: dict[tuple, str], rang
     """
     ship_code(spark)
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
-    total = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
-    tasks = int(min(total, MOST_TASKS))
+    total = files.agg(F.sum(F.ceil(F.col("length") / range_bytes)).alias("ranges"), F.sum("length").alias("bytes")).first()
+    # small documents share tasks, so that the driver keeps account of bytes and not of files
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(min(total.ranges or 1, max(-(-(total.bytes or 0) // range_bytes), usual), MOST_TASKS))
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"), "length")
     ranges = ranges.select("path", "start", F.least("length", F.col("start") + range_bytes).alias("stop"))
 

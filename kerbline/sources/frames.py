@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geo
+from ..session import cut
 from .documents import RANGE_BYTES, read_elements
 
 _POSE = """frame_idx int, i int, file string, video_frame int, t_s double, x double, y double, alt double, lat double, lon double, captured_at string,
@@ -116,7 +117,8 @@ def read_detections(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
     ``{key: [{box, conf}]}``, the same below ``frames``, or ``[{pose, dets: [[box, conf]]}]``, where the key is the pose's file or
     else its video frame or frame number.  Entries without a box are skipped.
     """
-    parts = read_elements(spark, path, _CACHES, range_bytes)
+    # both forms read the elements, which are handed out once
+    parts = cut(read_elements(spark, path, _CACHES, range_bytes))
     listed = parts.filter("section <> '['").select(F.from_json(F.concat(F.lit('{"'), "name", F.lit('":'), "value", F.lit("}")), f"map<string,{_DET}>").alias("m"))
     named = listed.select(F.explode("m").alias("key", "ds")).select("key", F.posexplode("ds").alias("n", "d")).select("key", "n", "d.box", "d.conf")
     posed = parts.filter("section = '['").select(F.from_json("value", "pose struct<file:string,video_frame:int,frame_idx:int,i:int>, dets array<array<string>>").alias("f"))
@@ -128,12 +130,13 @@ def read_detections(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
 
 def detections_for(poses: DataFrame, dets: DataFrame) -> DataFrame:
     """Detections of each pose, filed under file name, stem, video frame or frame number; the first key present wins."""
-    # what a reader in Python hands out is dealt by key and measured: a plan knows only the few bytes of the list it was made from
-    dets = dets.repartition("key")
+    # what a reader hands out is written once for the two joins
+    dets = cut(dets)
     keys = F.array(F.col("file"), _stem("file"), F.col("video_frame").cast("string"), F.col("frame_idx").cast("string"))
     cand = poses.select("frame_idx", F.posexplode(keys).alias("rank", "key")).filter("key is not null")
-    hit = cand.join(dets.select("key").distinct(), "key").groupBy("frame_idx").agg(F.min_by("key", "rank").alias("key"))
-    return hit.join(dets, "key")
+    # keys and detections are as many as the frames: they are merged, as Spark would send all of them round by those few bytes
+    hit = cand.join(dets.select("key").distinct().hint("merge"), "key").groupBy("frame_idx").agg(F.min_by("key", "rank").alias("key"))
+    return hit.join(dets.hint("merge"), "key")
 
 
 def _label_name(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators import geometry, reports, runs, spatial
+from kerbline.sources import documents, frames
 
 
 @contextmanager
@@ -84,3 +85,16 @@ def test_a_label_line_is_cut_once(spark):
     for r in out.collect():
         got.setdefault(r.line, []).append(r.problem)
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_detections_are_merged_and_small_documents_share_tasks(spark, tmp_path):
+    """Neither keys nor detections are sent to all, and the driver does not keep account of a task per small document."""
+    for k in range(30):
+        (tmp_path / f"{k}.json").write_text('{"%d": [{"box": [1, 2, 3, %d], "conf": 0.5}]}' % (k, k))
+    parts = documents.read_elements(spark, str(tmp_path), frames._CACHES)
+    assert parts.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions")) and parts.count() == 30
+    poses = spark.range(40).select(F.col("id").alias("frame_idx"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("video_frame"))
+    got = frames.detections_for(poses, frames.read_detections(spark, str(tmp_path)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2 and "MapInPandas" not in plan
+    assert sorted((r.frame_idx, r.y1) for r in got.collect()) == [(k, float(k)) for k in range(30)]
