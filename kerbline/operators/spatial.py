@@ -125,7 +125,9 @@ def nearest(points: DataFrame, items: DataFrame, point_id: str, item_id: str, px
     found = closest(spots, sites, 2, lambda: geo.distance("p0", "p1", "lo0", "lo1"), "__item", limit=limit).select("point", "__item", "dist")
     if around is not None:
         found = found.unionByName(around)
-    return (todo.join(found.select(F.col("point.p0").alias("q0"), F.col("point.p1").alias("q1"), "__item", "dist"), (F.col("p0") == F.col("q0")) & (F.col("p1") == F.col("q1")))
+    # a row per position: merged, as the files that settled points are read from are fewer bytes than the rows
+    found = found.select(F.col("point.p0").alias("q0"), F.col("point.p1").alias("q1"), "__item", "dist").hint("merge")
+    return (todo.join(found, (F.col("p0") == F.col("q0")) & (F.col("p1") == F.col("q1")))
             .select(F.col("__pid").alias(point_id), F.col("__item").alias(item_id), "dist"))
 
 

@@ -98,3 +98,12 @@ def test_detections_are_merged_and_small_documents_share_tasks(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") == 2 and "MapInPandas" not in plan
     assert sorted((r.frame_idx, r.y1) for r in got.collect()) == [(k, float(k)) for k in range(30)]
+
+
+def test_found_items_are_merged_with_their_points(spark):
+    points, items = grid(spark, 600).withColumn("p", F.monotonically_increasing_id()), grid(spark, 300, "ix", "iy").withColumn("i", F.monotonically_increasing_id())
+    out = spatial.nearest(points, items, "p", "i", "x", "y", "ix", "iy", size=3.0)
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+    # one row of places has an item each, of the next every place has its nearest right below
+    got = {r.p: r.dist for r in out.collect()}
+    assert len(got) == 600 and sum(d == 0 for d in got.values()) == 300
