@@ -1,7 +1,7 @@
 """Grid-bucketed spatial joins.
 
 Every join is an equality on a grid cell, so Catalyst can hash, sort-merge or (when it has
-measured one side to be small) broadcast it, and AQE splits a hot cell.  Nothing is hinted.
+measured one side to be small) broadcast it.  Only what a search found is merged with its points by a hint.
 """
 
 from __future__ import annotations
